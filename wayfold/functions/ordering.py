@@ -124,6 +124,8 @@ def discounted_suffix(df: DataFrame, keys: Sequence[str], pos: str, value: str,
     scale = F.pow(F.lit(float(g)), F.col(pos) - F.col(c) * size) if g != 1 else F.lit(1.0)
     w = Window.partitionBy(*keys, c).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn(f"_l{level}", F.sum(F.col(value) * scale).over(w) / scale)
+    if not t.filter(F.col(c) > 0).take(1):
+        return t.withColumn(out, F.col(f"_l{level}")).drop(c, f"_l{level}")
     chunks = t.groupBy(*keys, c).agg(F.sum(F.col(value) * scale).alias("_t"))
     carry = discounted_suffix(chunks, keys, c, "_t", float(g) ** size, f"_k{level}", level + 1)
     carry = carry.select(*keys, (F.col(c) - 1).alias(c), F.col(f"_k{level}"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("rewards", "tokens")
+MODULES = ("rewards", "tokens", "batches")
 
 
 def load():
