@@ -24,29 +24,29 @@ def best_of_n(values: DataFrame) -> DataFrame:
     """
     key = ["source", "prompt", "variable"]
     v = ranked(values, key, ["value", "response_id"], "i")
-    size = v.groupBy(*key).agg(F.count(F.lit(1)).alias("N"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    e = v.join(size.select(*key, "N"), key).filter("N > 1").withColumn("n", F.explode(draw_sizes(F.col("N"))))
-    x, n, i, big = F.col("value"), F.col("n").cast("double"), F.col("i"), F.col("N")
+    size = v.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    e = v.join(size.select(*key, "group_size"), key).filter("group_size > 1").withColumn("n", F.explode(draw_sizes(F.col("group_size"))))
+    x, n, i, big = F.col("value"), F.col("n").cast("double"), F.col("i"), F.col("group_size")
     up = F.pow(i / big, n) - F.pow((i - 1) / big, n)
     down = F.pow((big - i + 1) / big, n) - F.pow((big - i) / big, n)
-    e = e.groupBy(*key, "N", "n").agg(F.sum(x * up).alias("b1"), F.sum(x * x * up).alias("b2"), F.sum(x * down).alias("w1"), F.sum(x * x * down).alias("w2"))
+    e = e.groupBy(*key, "group_size", "n").agg(F.sum(x * up).alias("b1"), F.sum(x * x * up).alias("b2"), F.sum(x * down).alias("w1"), F.sum(x * x * down).alias("w2"))
 
     def spread(m1, m2):
         return F.sqrt(F.greatest(F.col(m2) - F.col(m1) * F.col(m1), F.lit(0.0)))
     at = F.concat(F.lit("@"), F.col("n").cast("string"))
-    drawn = e.select(*key, "N", F.explode(F.array(*[
+    drawn = e.select(*key, "group_size", F.explode(F.array(*[
         F.struct(F.concat(F.lit(a), at, F.lit(b)).alias("metric"), c.alias("score"))
         for a, b, c in (("best", "/mean", F.col("b1")), ("best", "/std", spread("b1", "b2")), ("worst", "/mean", F.col("w1")), ("worst", "/std", spread("w1", "w2")))])).alias("m"))
-    whole = size.select(*key, "N", F.explode(F.array(
-        F.struct(F.concat(F.lit("mean@"), F.col("N").cast("string")).alias("metric"), F.col("mean").alias("score")),
-        F.struct(F.when(F.col("N") > 1, F.concat(F.lit("std@"), F.col("N").cast("string"))).alias("metric"), F.col("std").alias("score")))).alias("m"))
-    return whole.unionByName(drawn).select(*key, "N", "m.metric", "m.score").filter(F.col("metric").isNotNull())
+    whole = size.select(*key, "group_size", F.explode(F.array(
+        F.struct(F.concat(F.lit("mean@"), F.col("group_size").cast("string")).alias("metric"), F.col("mean").alias("score")),
+        F.struct(F.when(F.col("group_size") > 1, F.concat(F.lit("std@"), F.col("group_size").cast("string"))).alias("metric"), F.col("std").alias("score")))).alias("m"))
+    return whole.unionByName(drawn).select(*key, "group_size", "m.metric", "m.score").filter(F.col("metric").isNotNull())
 
 
 def average_over_prompts(metrics: DataFrame, core: str) -> DataFrame:
     """Mean of each metric over prompts, named core (the main variable at its largest N) or aux."""
     a = metrics.groupBy("source", "variable", "metric").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n_prompts"))
-    top = metrics.groupBy("source", "variable").agg(F.max("N").alias("top"))
+    top = metrics.groupBy("source", "variable").agg(F.max("group_size").alias("top"))
     main = (F.col("variable") == core) & F.col("metric").rlike("^(mean|maj|best)") & F.col("metric").contains(F.concat(F.lit("@"), F.col("top").cast("string")))
     return a.join(top, ["source", "variable"]).withColumn("section", F.when(main, "core").otherwise("aux")).drop("top")
 
@@ -55,9 +55,9 @@ def majority(values: DataFrame, resamples: int, seed: str) -> DataFrame:
     """Value of the most common prediction in hash-drawn resamples of size n; ties go to the earliest draw."""
     key = ["source", "prompt"]
     v = materialize(ranked(values, key, ["response_id"], "i").select(*key, "i", "value", "pred"))
-    size = v.groupBy(*key).agg(F.count(F.lit(1)).alias("N")).filter("N > 1").withColumn("n", F.explode(draw_sizes(F.col("N"))))
+    size = v.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1").withColumn("n", F.explode(draw_sizes(F.col("group_size"))))
     draws = size.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    draws = draws.withColumn("i", hash_int(hash_of(seed, *key, "n", "b", "j")) % F.col("N") + 1)
+    draws = draws.withColumn("i", hash_int(hash_of(seed, *key, "n", "b", "j")) % F.col("group_size") + 1)
     votes = draws.join(v, [*key, "i"]).groupBy(*key, "n", "b", "pred").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("j", "value")).alias("first"))
     won = votes.groupBy(*key, "n", "b").agg(F.max(F.struct("c", (-F.col("first.j")).alias("j"), F.col("first.value").alias("value"))).alias("w"))
     return won.groupBy(*key, "n").agg(F.avg("w.value").alias("maj_mean"), F.stddev_pop("w.value").alias("maj_std"))

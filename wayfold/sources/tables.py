@@ -85,3 +85,61 @@ TOKENS_SQL = """tokens AS (SELECT user_id AS sample_id, CAST(floor(user_id / 4)
   ((event_id * 37) % 101) / CAST(101 AS DOUBLE) AS val, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS mask,
   -((event_id * 13) % 89) / CAST(89 AS DOUBLE) AS old_logp, -((event_id * 29) % 89) / CAST(89 AS DOUBLE) AS rollout_logp,
   -((event_id * 53) % 89) / CAST(89 AS DOUBLE) AS ref_logp FROM events)"""
+
+
+def episodes(spark: SparkSession, d: str) -> DataFrame:
+    """One evaluated episode per order: model, task, errors, turns, reward and finish reason."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    key = F.col("o_orderkey")
+    return o.select(
+        F.concat(F.lit("m"), (F.col("c_nationkey") % 6).cast("string")).alias("model"), F.concat(F.lit("task"), (key % 3).cast("string")).alias("task"),
+        key.alias("sample_id"), F.concat(F.lit("scene"), F.floor(F.col("c_custkey") / 20).cast("string")).alias("scene_id"),
+        (F.col("o_orderstatus") == "F").alias("success"), (F.col("o_totalprice") / 100000).alias("pos_err_m"), (((key * 7919) % 1800) / 10).alias("ang_err_deg"),
+        (1 + key % 10).alias("gt_action_len"), (1 + key % 7).alias("num_turns"), (F.col("o_totalprice") / 1000 - 100).alias("cumulative_reward"),
+        F.when(F.col("o_orderpriority").startswith("1"), "error").when(F.col("o_orderpriority").startswith("2"), "max_turns").otherwise("done").alias("finish_reason"))
+
+
+EPISODES_SQL = """episodes AS (SELECT 'm' || CAST(c_nationkey % 6 AS VARCHAR) AS model, 'task' || CAST(o_orderkey % 3 AS VARCHAR) AS task, o_orderkey AS sample_id,
+  'scene' || CAST(c_custkey // 20 AS VARCHAR) AS scene_id, o_orderstatus = 'F' AS success, o_totalprice / 100000 AS pos_err_m, ((o_orderkey * 7919) % 1800) / 10 AS ang_err_deg,
+  1 + o_orderkey % 10 AS gt_action_len, 1 + o_orderkey % 7 AS num_turns, o_totalprice / 1000 - 100 AS cumulative_reward,
+  CASE WHEN o_orderpriority LIKE '1%' THEN 'error' WHEN o_orderpriority LIKE '2%' THEN 'max_turns' ELSE 'done' END AS finish_reason
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+_LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+
+
+def poses(spark: SparkSession, d: str) -> DataFrame:
+    """(traj_id, turn, scene_id, tx..rz): the camera poses of an order's lines in sequence."""
+    li = table(spark, d, "lineitem")
+    li = numbered(li, ["l_orderkey"], _LINE_ORDER, "turn", F.col("l_linenumber") * 1000000 + F.floor(F.col("l_partkey") / 1000))
+    return li.select(F.col("l_orderkey").alias("traj_id"), "turn", F.concat(F.lit("scene"), F.floor(F.col("l_orderkey") / 50).cast("string")).alias("scene_id"),
+                     (F.col("l_quantity") / 10).alias("tx"), (F.col("l_extendedprice") / 10000).alias("ty"), (F.col("l_tax") * 10).alias("tz"),
+                     (F.col("l_discount") * 900).alias("rx"), (F.col("l_quantity") * 7 - 170).alias("ry"), (F.col("l_tax") * 1000 - 40).alias("rz"))
+
+
+POSES_SQL = f"""poses AS (SELECT l_orderkey AS traj_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINE_ORDER)}) - 1 AS turn,
+  'scene' || CAST(l_orderkey // 50 AS VARCHAR) AS scene_id, l_quantity / 10 AS tx, l_extendedprice / 10000 AS ty, l_tax * 10 AS tz, l_discount * 900 AS rx, l_quantity * 7 - 170 AS ry,
+  l_tax * 1000 - 40 AS rz FROM lineitem)"""
+
+
+def view_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(sample_id, a_tx.., b_tx..): first and last pose of each order, by partial aggregation."""
+    pose = F.struct("tx", "ty", "tz", "rx", "ry", "rz")
+    g = poses(spark, d).groupBy(F.col("traj_id").alias("sample_id")).agg(F.min_by(pose, "turn").alias("a"), F.max_by(pose, "turn").alias("b"))
+    return g.select("sample_id", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("tx", "ty", "tz", "rx", "ry", "rz")])
+
+
+VIEW_PAIRS_SQL = POSES_SQL + ",\nview_pairs AS (SELECT traj_id AS sample_id, " + ", ".join(
+    f"{f}({c}, turn) AS {s}_{c}" for s, f in (("a", "min_by"), ("b", "max_by")) for c in ("tx", "ty", "tz", "rx", "ry", "rz")) + " FROM poses GROUP BY 1)"
+
+
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    """Tagged answers over whole documents, with a gold text and a gold number."""
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return j.select("doc_id", F.col("source").alias("data_source"), "quality", F.concat(
+        F.lit("<think>"), "text", F.lit("</think><answer>The "), "lang", F.lit("</answer> #### "), (F.col("n_chars") % 7).cast("string")).alias("response"),
+        F.when(F.col("quality") == 1, F.col("lang")).otherwise("xx").alias("gold_text"), (F.col("n_chars") % 5).cast("string").alias("gold_num"))
+
+
+RESPONSES_SQL = """responses AS (SELECT d.doc_id, d.source AS data_source, quality, '<think>' || d.text || '</think><answer>The ' || d.lang || '</answer> #### ' || CAST(d.n_chars % 7 AS VARCHAR) AS response,
+  CASE WHEN l.quality = 1 THEN d.lang ELSE 'xx' END AS gold_text, CAST(d.n_chars % 5 AS VARCHAR) AS gold_num FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
