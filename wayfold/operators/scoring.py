@@ -66,8 +66,12 @@ def mean_by_source(scored: DataFrame) -> DataFrame:
 def _grams(pairs: DataFrame, col: str, units: Column, sizes: range) -> DataFrame:
     """(pair_id, n, gram, count): n-grams of each text, counted."""
     u = pairs.select("pair_id", units.alias("u"))
-    grams = F.flatten(F.array(*[F.transform(F.when(F.size("u") >= k, F.sequence(F.lit(1), F.size("u") - k + 1)).otherwise(F.array().cast("array<int>")),
-                                            lambda i, k=k: F.struct(F.lit(k).alias("n"), F.concat_ws("\u0001", F.slice("u", i, k)).alias("gram"))) for k in sizes]))
+    def starts(k):
+        return F.when(F.size("u") >= k, F.sequence(F.lit(1), F.size("u") - k + 1)).otherwise(F.array().cast("array<int>"))
+
+    def gram(k):
+        return lambda i: F.struct(F.lit(k).alias("n"), F.concat_ws("\u0001", F.slice("u", i, k)).alias("gram"))
+    grams = F.flatten(F.array(*[F.transform(starts(k), gram(k)) for k in sizes]))
     return u.select("pair_id", F.inline(grams)).groupBy("pair_id", "n", "gram").agg(F.count(F.lit(1)).alias(col))
 
 
