@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("rewards", "tokens", "batches", "evaluation", "scoring", "maps", "sampling")
+MODULES = ("rewards", "tokens", "batches", "evaluation", "scoring", "maps", "sampling", "parsing")
 
 
 def load():
