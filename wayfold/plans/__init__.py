@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("rewards", "tokens", "batches", "evaluation", "scoring", "maps", "sampling", "parsing", "graph")
+MODULES = ("rewards", "tokens", "batches", "evaluation", "scoring", "maps", "sampling", "parsing", "graph", "datasets", "files")
 
 
 def load():
