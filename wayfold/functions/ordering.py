@@ -66,33 +66,29 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], na
     The sorted rows are written once with order-preserving ids; ranks then follow from
     per-partition counts, so a key may span any number of tasks.
     """
-    mid = "_mid"
-    s = materialize(df.orderBy(*keys, *order).withColumn(mid, F.monotonically_increasing_id()))
-    return _positions(s, keys, mid, name).drop(mid, "_part")
-
-
-def _positions(s: DataFrame, keys: Sequence[str], mid: str, name: str) -> DataFrame:
-    s = s.withColumn("_part", F.shiftright(F.col(mid), 33))
-    first = s.groupBy(*keys, "_part").agg(F.min(mid).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    off = first.withColumn("_off", F.coalesce(F.sum("_n").over(_before(keys, "_part")), F.lit(0))).drop("_n")
-    return (s.join(off, [*keys, "_part"])
-            .withColumn(name, (F.col(mid) - F.col("_first") + F.col("_off") + 1).cast("long"))
-            .drop("_first", "_off"))
+    return _sorted_positions(df, keys, order, name=name, sums={})
 
 
 def ranked_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], rank: str,
                    sums: dict[str, str]) -> DataFrame:
     """``ranked`` plus inclusive prefix sums ``{output: input column}`` in the same order."""
-    mid = "_mid"
-    s = materialize(df.orderBy(*keys, *order).withColumn(mid, F.monotonically_increasing_id()))
-    s = _positions(s, keys, mid, rank)
-    tot = s.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    tot = tot.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{o}").over(_before(keys, "_part")), F.lit(0)).alias(f"_c_{o}") for o in sums])
-    w = Window.partitionBy(*keys, "_part").orderBy(mid).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.select("*", *[F.sum(c).over(w).alias(f"_l_{o}") for o, c in sums.items()]).join(tot, [*keys, "_part"])
+    return _sorted_positions(df, keys, order, rank, sums)
+
+
+def _sorted_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, sums: dict[str, str]) -> DataFrame:
+    mid, part = "_mid", "_part"
+    s = materialize(df.orderBy(*keys, *order).withColumn(mid, F.monotonically_increasing_id())).withColumn(part, F.shiftright(F.col(mid), 33))
+    per = s.groupBy(*keys, part).agg(F.min(mid).alias("_first"), F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
+    before = _before(keys, part)
+    per = per.select(*keys, part, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                     *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_c_{o}") for o in sums])
+    if sums:
+        w = Window.partitionBy(*keys, part).orderBy(mid).rowsBetween(Window.unboundedPreceding, 0)
+        s = s.select("*", *[F.sum(c).over(w).alias(f"_l_{o}") for o, c in sums.items()])
+    s = s.join(per, [*keys, part]).withColumn(name, (F.col(mid) - F.col("_first") + F.col("_off") + 1).cast("long"))
     for o in sums:
         s = s.withColumn(o, F.col(f"_l_{o}") + F.col(f"_c_{o}"))
-    return s.drop(mid, "_part", *[f"_l_{o}" for o in sums], *[f"_c_{o}" for o in sums])
+    return s.drop(mid, part, "_first", "_off", *[f"_{k}_{o}" for o in sums for k in "lc"])
 
 
 def average_ranked(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import pose
 from wayfold.functions.ordering import average_ranked, hash_of, ranked
 from wayfold.functions.stats import one
+from wayfold.session import materialize
 
 SLACK = 1e-9
 
@@ -204,7 +205,7 @@ def geometric_factors(views: DataFrame) -> DataFrame:
 
 def factor_correlation(episodes: DataFrame, factors: DataFrame, min_n: int = 10) -> DataFrame:
     """Spearman correlation of each factor with success per model and task; 0 if short or constant."""
-    j = episodes.select("model", "task", "sample_id", F.col("success").cast("double").alias("s")).join(factors, "sample_id")
+    j = materialize(episodes.select("model", "task", "sample_id", F.col("success").cast("double").alias("s")).join(factors, "sample_id"))  # read three times
     long = j.select("model", "task", "s", F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("x")) for c in FACTORS])))
     long = long.filter(F.col("x").isNotNull() & ~F.isnan("x"))
     key = ["model", "task", "factor"]

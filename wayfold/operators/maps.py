@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.ordering import position_chunk, running
 from wayfold.functions.stats import one
-from wayfold.session import materialize
+from wayfold.session import materialize, spread
 
 BLOCK = 64
 
@@ -27,21 +27,25 @@ def _direction_agreement(objects: DataFrame) -> DataFrame:
     A map is cut into blocks of 64 objects.  Pairs are counted inside the expression that
     sees one block against another, so no pair becomes a row and no task holds a whole map.
     """
+    objects = materialize(objects)
     origin = objects.select("map_id").distinct().select("map_id", F.lit(-1).cast("long").alias("idx"), *[
         F.lit(v).alias(c) for c, v in (("x", 0.0), ("y", 0.0), ("px", 0.0), ("py", 0.0))])
     o = objects.select("map_id", "idx", "x", "y", "px", "py").unionByName(origin).withColumn("idx", F.col("idx") + 1)
     item = F.struct("idx", "x", "y", "px", "py")
     b = materialize(o.groupBy("map_id", F.floor(F.col("idx") / BLOCK).alias("block")).agg(F.collect_list(item).alias("items")))
     left, right = b.select("map_id", F.col("block").alias("ba"), F.col("items").alias("a")), b.select("map_id", F.col("block").alias("bb"), F.col("items").alias("c"))
-    pairs = left.join(right, "map_id").filter("ba <= bb")
+    pairs = spread(left.join(right, "map_id").filter("ba <= bb"), "map_id", "ba", "bb")
 
-    def same(p, q):
+    def agrees(p, q):
         true = direction_bin(p["x"] - q["x"], p["y"] - q["y"])
-        guess = direction_bin(p["px"] - q["px"], p["py"] - q["py"])
-        return F.when(p["idx"] < q["idx"], F.when(true == guess, 1).otherwise(0))
-    per = F.flatten(F.transform("a", lambda p: F.transform("c", lambda q: F.struct(F.when(p["idx"] < q["idx"], 1).otherwise(0).alias("n"), F.coalesce(same(p, q), F.lit(0)).alias("ok")))))
-    sums = F.aggregate(per, F.struct(F.lit(0).alias("n"), F.lit(0).alias("ok")), lambda acc, v: F.struct((acc["n"] + v["n"]).alias("n"), (acc["ok"] + v["ok"]).alias("ok")))
-    return pairs.select("map_id", sums.alias("s")).groupBy("map_id").agg(F.sum("s.n").alias("n_pairs"), F.sum("s.ok").alias("n_agree"))
+        return F.when((p["idx"] < q["idx"]) & (true == direction_bin(p["px"] - q["px"], p["py"] - q["py"])), 1).otherwise(0)
+
+    def row(p):
+        return F.aggregate("c", F.lit(0), lambda acc, q: acc + agrees(p, q))
+    found = pairs.select("map_id", F.aggregate("a", F.lit(0), lambda acc, p: acc + row(p)).alias("ok"))
+    n = F.max("n")
+    sizes = o.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(sizes, "map_id").groupBy("map_id").agg((n * (n - 1) / 2).alias("n_pairs"), F.sum("ok").alias("n_agree"))
 
 
 def map_similarity(objects: DataFrame, allow_scale: bool = False, norm: float | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ ROLES = {"system": "system", "human": "user", "gpt": "assistant", "observation":
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
@@ -51,7 +51,10 @@ def chatml_parse(rollouts: DataFrame) -> DataFrame:
     """(rollout_id, input, output) -> one row per message in order."""
     full = F.replace(F.concat(F.coalesce("input", F.lit("")), F.coalesce("output", F.lit(""))), F.lit("<|endoftext|>"), F.lit(""))
     m = rollouts.select("rollout_id", F.posexplode(F.regexp_extract_all(full, F.lit(CHATML), F.lit(0))).alias("pos", "raw"))
-    return m.select("rollout_id", F.col("pos").cast("long").alias("pos"), F.regexp_extract("raw", CHATML, 1).alias("role"), strip(F.regexp_extract("raw", CHATML, 2)).alias("content"))
+    m = m.withColumn("role", F.regexp_extract("raw", r"^<\|im_start\|>(\w+)", 1))
+    start = F.length("role") + len("<|im_start|>") + 2
+    body = F.substring(F.col("raw"), start, F.length("raw") - start + 1 - len("<|im_end|>"))
+    return m.select("rollout_id", F.col("pos").cast("long").alias("pos"), "role", strip(body).alias("content"))
 
 
 def render_parts(parts: Column) -> Column:

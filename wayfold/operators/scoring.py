@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.session import spread
+
 # The answer formats recognised by the rules.
 HASH_NUMBER = r"#### (-?[0-9.,]+)"
 ANY_NUMBER = r"(-?[0-9.,]+)"
@@ -63,47 +65,52 @@ def mean_by_source(scored: DataFrame) -> DataFrame:
     return scored.groupBy("data_source").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols])
 
 
-def _grams(pairs: DataFrame, col: str, units: Column, sizes: range) -> DataFrame:
-    """(pair_id, n, gram, count): n-grams of each text, counted."""
-    u = pairs.select("pair_id", units.alias("u"))
+def _grams(units: Column, sizes: range, family: str, side: int) -> Column:
+    """Array of (family, n, gram, in prediction, in label) over all n-grams of a unit list."""
     def starts(k):
-        return F.when(F.size("u") >= k, F.sequence(F.lit(1), F.size("u") - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.when(F.size(units) >= k, F.sequence(F.lit(1), F.size(units) - k + 1)).otherwise(F.array().cast("array<int>"))
 
     def gram(k):
-        return lambda i: F.struct(F.lit(k).alias("n"), F.concat_ws("\u0001", F.slice("u", i, k)).alias("gram"))
-    grams = F.flatten(F.array(*[F.transform(starts(k), gram(k)) for k in sizes]))
-    return u.select("pair_id", F.inline(grams)).groupBy("pair_id", "n", "gram").agg(F.count(F.lit(1)).alias(col))
+        return lambda i: F.struct(F.lit(family).alias("family"), F.lit(k).alias("n"), F.concat_ws("\u0001", F.slice(units, i, k)).alias("gram"), F.lit(1 - side).alias("p"), F.lit(side).alias("l"))
+    return F.flatten(F.array(*[F.transform(starts(k), gram(k)) for k in sizes]))
 
 
 def ngram_overlap(pairs: DataFrame) -> DataFrame:
     """ROUGE-1/2 F over word sets and smoothed BLEU-4 over characters of ``(pair_id, prediction, label)``.
 
-    Grams of both sides meet in a join on (pair, n, gram), so a long text is spread over tasks.
+    Both texts are exploded once into grams tagged by side; one aggregate per (pair, gram)
+    counts both sides with map-side combining, so no join is needed and a long text is spread
+    over tasks.
     """
     def words(c):
         return F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
 
-    def overlap(units, sizes):
-        p, q = _grams(pairs, "cp", units("prediction"), sizes), _grams(pairs, "cl", units("label"), sizes)
-        j = p.join(q, ["pair_id", "n", "gram"], "full")
-        return j.groupBy("pair_id", "n").agg(F.count_if(F.col("cp").isNotNull() & F.col("cl").isNotNull()).alias("both"), F.count("cp").alias("np"), F.count("cl").alias("nl"),
-                                             F.sum(F.least(F.coalesce("cp", F.lit(0)), F.coalesce("cl", F.lit(0)))).alias("clipped"), F.coalesce(F.sum("cp"), F.lit(0)).alias("tp"))
-    prec, rec = F.try_divide("both", "np"), F.try_divide("both", "nl")
-    f = F.coalesce(2 * prec * rec / (prec + rec + 1e-8), F.lit(0.0))
-    rouge = overlap(words, range(1, 3)).groupBy("pair_id").agg(*[F.max(F.when(F.col("n") == k, F.round(100 * f, 4))).alias(f"rouge_{k}") for k in (1, 2)])
-
-    counts = overlap(lambda c: F.split(F.col(c), ""), range(1, 5)).groupBy("pair_id").agg(
-        *[F.coalesce(F.max(F.when(F.col("n") == k, F.col(x))), F.lit(0)).alias(f"{x}{k}") for k in range(1, 5) for x in ("clipped", "tp")])
+    u = spread(pairs, "pair_id").select("pair_id", F.length("prediction").alias("lp"), F.length("label").alias("ll"), words("prediction").alias("wp"), words("label").alias("wl"),
+                     F.split("prediction", "").alias("cp"), F.split("label", "").alias("cl"))
+    grams = F.concat(_grams(F.col("wp"), range(1, 3), "w", 0), _grams(F.col("wl"), range(1, 3), "w", 1), _grams(F.col("cp"), range(1, 5), "c", 0), _grams(F.col("cl"), range(1, 5), "c", 1))
+    per_gram = u.select("pair_id", "lp", "ll", F.inline_outer(grams)).groupBy("pair_id", "family", "n", "gram").agg(
+        F.sum("p").alias("p"), F.sum("l").alias("l"), F.max("lp").alias("lp"), F.max("ll").alias("ll"))
+
+    def at(family, k, value):
+        return F.sum(F.when((F.col("family") == family) & (F.col("n") == k), value))
+    both, in_p, in_l = ((F.col("p") > 0) & (F.col("l") > 0)).cast("int"), (F.col("p") > 0).cast("int"), (F.col("l") > 0).cast("int")
+    c = per_gram.groupBy("pair_id").agg(
+        F.max("lp").alias("lp"), F.max("ll").alias("ll"),
+        *[F.coalesce(at("w", k, v), F.lit(0)).alias(f"{name}{k}") for k in (1, 2) for name, v in (("both", both), ("np", in_p), ("nl", in_l))],
+        *[F.coalesce(at("c", k, v), F.lit(0)).alias(f"{name}{k}") for k in range(1, 5) for name, v in (("clipped", F.least("p", "l")), ("tp", F.col("p")))])
+
+    def rouge(k):
+        prec, rec = F.try_divide(f"both{k}", f"np{k}"), F.try_divide(f"both{k}", f"nl{k}")
+        return F.round(100 * F.coalesce(2 * prec * rec / (prec + rec + 1e-8), F.lit(0.0)), 4)
     zeros, total = F.lit(0), F.lit(0.0)
     for k in range(1, 5):
         # the i-th empty precision counts as 1 / (2^i * number of grams)
         hit, den = F.col(f"clipped{k}"), F.greatest(F.col(f"tp{k}"), F.lit(1))
         zeros = zeros + (hit == 0).cast("int")
         total = total + F.ln(F.when(hit > 0, hit / den).otherwise(1 / (F.pow(F.lit(2.0), zeros) * den)))
-    c = counts.join(pairs.select("pair_id", F.length("prediction").alias("lp"), F.length("label").alias("ll")), "pair_id")
     brevity = F.when(F.col("lp") > F.col("ll"), 1.0).when(F.col("lp") == 0, 0.0).otherwise(F.exp(1 - F.col("ll") / F.nullif("lp", F.lit(0))))
-    bleu = c.select("pair_id", F.round(100 * F.when(F.col("clipped1") == 0, 0.0).otherwise(brevity * F.exp(total / 4)), 4).alias("bleu_4"))
-    return pairs.select("pair_id").join(rouge, "pair_id", "left").join(bleu, "pair_id", "left").fillna(0.0)
+    bleu = F.round(100 * F.when(F.col("clipped1") == 0, 0.0).otherwise(brevity * F.exp(total / 4)), 4)
+    return c.select("pair_id", rouge(1).alias("rouge_1"), rouge(2).alias("rouge_2"), bleu.alias("bleu_4"))
 
 
 def length_cdf(lengths: DataFrame, interval: int) -> DataFrame:

@@ -64,3 +64,11 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark)}/wayfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows over all shuffle partitions before an expression that multiplies them.
+
+    Adaptive execution would merge a small input into few tasks although its output is large.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
