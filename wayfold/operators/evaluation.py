@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import pose
-from wayfold.functions.ordering import average_ranked, hash_of, ranked
+from wayfold.functions.ordering import average_ranked, hash_of, ranked_running
 from wayfold.functions.stats import one
 from wayfold.session import materialize
 
@@ -251,11 +251,12 @@ def failure_partition(episodes: DataFrame) -> DataFrame:
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Median per key from distributed ranks: the mean of the one or two middle rows."""
-    r = ranked(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, [value], "_r")
-    n = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    mid = r.join(n, keys).filter(F.col("_r").isin(F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)))
-    return mid.groupBy(*keys).agg(F.avg(value).alias(name))
+    """Median per key: equal values are counted, the counts prefix-summed in order, the middle read off."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    r = ranked_running(counts, keys, [value], "_r", {"_upto": "_n"})
+    total = r.groupBy(*keys).agg(F.max("_upto").alias("_total"))
+    mid = r.join(total, keys).withColumn("_m", F.explode(F.array(F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2))))
+    return mid.filter((F.col("_m") > F.col("_upto") - F.col("_n")) & (F.col("_m") <= F.col("_upto"))).groupBy(*keys).agg(F.avg(value).alias(name))
 
 
 def failure_decomposition(episodes: DataFrame, metres: float = 0.5, degrees: float = 30.0) -> DataFrame:

@@ -106,29 +106,27 @@ def merge_graphs(stored: tuple[DataFrame, DataFrame], new: tuple[DataFrame, Data
 def dedup_nodes_tolerance(poses: DataFrame, tol: float = 1e-3) -> DataFrame:
     """Nodes of a scene whose pose axes all differ by less than ``tol`` are one: (id, rep).
 
-    First equal poses at four decimals collapse, which bounds how many fit in one cell of size
-    ``tol``.  Poses sharing a cell are then alike by construction and only linked to their
-    cell; points are compared across neighbouring cells alone.  The result is the transitive
-    closure, each class named by its smallest id.
+    First equal poses collapse; written at four decimals, only so many fit in one cell of size
+    ``tol``.  Poses sharing a cell are alike by construction and only linked to their cell.
+    Neighbouring cells meet in blocks of two cells per axis, laid out with each of the 64
+    half-block shifts: any two adjacent cells share a block and a block holds at most 64
+    cells, so the fan-out is bounded whatever the data.  Points are compared across such
+    pairs alone.  The result is the transitive closure, each class named by its smallest id.
     """
     axes = ("tx", "ty", "tz", "rx", "ry", "rz")
     cells = [F.floor(F.col(a) / tol).alias(f"c_{a}") for a in axes]
     p = materialize(poses.groupBy("id", "scene_id").agg(*[F.min(a).alias(a) for a in axes]).select("*", *cells))
     c = ["scene_id", *[f"c_{a}" for a in axes]]
-    own = p.groupBy(*c).agg(F.min("id").alias("head"))
+    own = materialize(p.groupBy(*c).agg(F.min("id").alias("head")))
     same = p.join(own, c).select(F.col("id").alias("a"), F.col("head").alias("b"))
-    near = own.select(*c)
-    for a in axes[:3]:
-        near = near.withColumn(f"n_{a}", F.explode(F.array(*[F.col(f"c_{a}") + k for k in (-1, 0, 1)])))
-    other = own.select("scene_id", *[F.col(f"c_{a}").alias(f"n_{a}") for a in axes])
-    rest = [F.abs(near[f"c_{a}"] - other[f"n_{a}"]) <= 1 for a in axes[3:]]
-    cond = (near["scene_id"] == other["scene_id"])
-    for a in axes[:3]:
-        cond = cond & (near[f"n_{a}"] == other[f"n_{a}"])
-    for r in rest:
-        cond = cond & r
-    pairs = near.join(other, cond).select(near["scene_id"], *[near[f"c_{a}"] for a in axes], *[other[f"n_{a}"] for a in axes])
-    pairs = pairs.filter(F.struct(*[f"c_{a}" for a in axes]) < F.struct(*[F.col(f"n_{a}").alias(f"c_{a}") for a in axes]))
+    blocks = own.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    key = ["scene_id", "shift", *[f"g_{a}" for a in axes]]
+    blocks = blocks.select("*", *[F.floor((F.col(f"c_{a}") + F.shiftright("shift", i).bitwiseAND(1)) / 2).alias(f"g_{a}") for i, a in enumerate(axes)])
+    shared = blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
+    blocks = materialize(blocks.join(shared, key, "left_semi"))
+    other = blocks.select(*key, *[F.col(f"c_{a}").alias(f"n_{a}") for a in axes])
+    pairs = blocks.join(other, key).filter(F.struct(*[f"c_{a}" for a in axes]) < F.struct(*[F.col(f"n_{a}").alias(f"c_{a}") for a in axes]))
+    pairs = pairs.select("scene_id", *[f"c_{a}" for a in axes], *[f"n_{a}" for a in axes]).distinct()
     left = p.select("scene_id", *[f"c_{a}" for a in axes], F.col("id").alias("a"), *[F.col(x).alias(f"p_{x}") for x in axes])
     right = p.select("scene_id", *[F.col(f"c_{a}").alias(f"n_{a}") for a in axes], F.col("id").alias("b"), *[F.col(x).alias(f"q_{x}") for x in axes])
     j = pairs.join(left, c).join(right, ["scene_id", *[f"n_{a}" for a in axes]])

@@ -17,6 +17,7 @@ ADAPTIVE_SETTINGS = {
 }
 
 _local_scratch: str | None = None
+_run = f"wayfold-{uuid.uuid4().hex}"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -61,7 +62,7 @@ def materialize(df: DataFrame) -> DataFrame:
     columns, and gives the optimizer the real size of the intermediate result.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/wayfold-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{_run}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -72,3 +73,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Adaptive execution would merge a small input into few tasks although its output is large.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this process's intermediate tables; call it once the results are written or collected."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{_run}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
