@@ -30,11 +30,13 @@ def largest_remainder(n: Column, ratios: list[float]) -> list[Column]:
 def split_by_group(df: DataFrame, group: str, ratios: list[float], names: list[str], seed: str) -> DataFrame:
     """Group-disjoint splits with largest-remainder group counts, groups in hash order."""
     groups = hash_ranked(df.select(group).distinct(), [], seed, [group], "_rank")
-    n = one(df.agg(F.countDistinct(group).alias("n")))["n"]
-    upto, split = F.lit(0), None
-    for name, quota in zip(names, largest_remainder(n, ratios)):
-        upto = upto + quota
-        split = F.when(F.col("_rank") <= upto, name) if split is None else split.when(F.col("_rank") <= upto, name)
+    n = df.agg(F.countDistinct(group).alias("n"))
+    for i, quota in enumerate(largest_remainder(F.col("n"), ratios)):
+        n = n.withColumn(f"u{i}", quota + (F.col(f"u{i - 1}") if i else F.lit(0)))
+    upto, split = one(n), None
+    for i, name in enumerate(names):
+        inside = F.col("_rank") <= upto[f"u{i}"]
+        split = F.when(inside, name) if split is None else split.when(inside, name)
     return df.join(groups.select(group, split.alias("split")), group)
 
 
