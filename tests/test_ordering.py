@@ -76,3 +76,9 @@ def test_hash_rank_is_a_permutation_and_independent_of_partitioning(data, spark)
     assert a == b
     for k, vs in per_key(rows).items():
         assert sorted(r for kk, _, r in a if kk == k) == list(range(1, len(vs) + 1))
+
+
+def test_carried_forward_crosses_partitions(spark):
+    rows = [(i, i if i % 40 == 3 else None) for i in range(500)]
+    got = {r.i: r.x for r in o.carried_forward(spark.createDataFrame(rows, "i long, v long").repartition(5), ["i"], "v", "x").collect()}
+    assert got == {i: ((i - 3) // 40 * 40 + 3 if i >= 3 else None) for i in range(500)}

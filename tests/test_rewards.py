@@ -57,12 +57,13 @@ def test_top_k_keeps_at_least_one_group(spark):
 
 def test_pairwise_accuracy_equals_pair_loop(spark):
     rnd = random.Random(2)
-    rows = [(u, rnd.random(), float(rnd.random() < 0.5)) for u in range(6) for _ in range(9)]
+    rows = [(u, rnd.random(), rnd.choice([0.0, 1.0] if u < 3 else [0.0, 0.25, 0.7, 1.0])) for u in range(6) for _ in range(9)] + [(6, 0.3, 1.0), (6, 0.2, 1.0)]
     df = spark.createDataFrame([(u, i, x, 1, a) for i, (u, x, a) in enumerate(rows)], "uid long, sample_id long, reward double, length long, acc double")
     for g in r.pairwise_accuracy(df).collect():
         v = [(x, a) for u, x, a in rows if u == g.uid]
-        pairs = [((x > y) == (a > b)) for i, (x, a) in enumerate(v) for y, b in v[i + 1:] if a != b]
-        assert g.pair_accuracy == pytest.approx(sum(pairs) / len(pairs) if pairs else 0.5)
+        pairs = [(abs(a - b), (x > y) == (a > b)) for i, (x, a) in enumerate(v) for y, b in v[i + 1:]]
+        weight = sum(w for w, _ in pairs)
+        assert g.pair_accuracy == pytest.approx(sum(w for w, ok in pairs if ok) / weight if weight else 0.5)
 
 
 def test_resample_draws_follow_weights(spark):

@@ -91,6 +91,20 @@ def _sorted_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     return s.drop(mid, part, "_first", "_off", *[f"_{k}_{o}" for o in sums for k in "lc"])
 
 
+def carried_forward(df: DataFrame, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
+    """Last non-null ``value`` at or before each row in one global order (an as-of look-up).
+
+    The sorted rows are written once; only the last value of each partition travels further.
+    """
+    mid, part = "_mid", "_part"
+    s = materialize(df.orderBy(*order).withColumn(mid, F.monotonically_increasing_id())).withColumn(part, F.shiftright(F.col(mid), 33))
+    per = s.groupBy(part).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(mid))).alias("_last"))
+    per = per.select(part, F.last("_last", ignorenulls=True).over(_before([], part)).alias("_carry"))
+    w = Window.partitionBy(part).orderBy(mid).rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_local", F.last(value, ignorenulls=True).over(w)).join(per, part)
+    return s.withColumn(name, F.coalesce("_local", "_carry")).drop(mid, part, "_local", "_carry")
+
+
 def average_ranked(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Average rank (ties share the mean of their positions) per key."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.functions.ordering import average_ranked, hash_int, hash_of, numbered, position_chunk, ranked, ranked_running
+from wayfold.functions.ordering import average_ranked, carried_forward, hash_int, hash_of, numbered, ranked, ranked_running
 from wayfold.functions.stats import one, with_group
+from wayfold.session import materialize
 
 EPS = 1e-6
 
@@ -134,23 +135,24 @@ def softmean_baseline(samples: DataFrame, beta: float = 1.0, by: list[str] | Non
     return s.withColumn("seq_reward", F.col("reward") - F.col("_soft")).drop("_hi", "_avg", "_soft")
 
 
-def reweight_resample(samples: DataFrame, method: str = "pow", power: float = 2.0, seed: str = "resample", bins: int = 4096) -> DataFrame:
+def reweight_resample(samples: DataFrame, method: str = "pow", power: float = 2.0, seed: str = "resample") -> DataFrame:
     """As many draws with replacement as there are samples, by score weight.
 
-    Weights are laid on the unit interval; each draw is a hash-uniform point.  Both sides are
-    cut into ``bins`` equal cells, so the interval lookup is an equi-join on the cell.
+    Weights are laid on the unit interval and each draw is a hash-uniform point.  Interval
+    starts and points are sorted together and each point takes the last start before it, so
+    neither a dominant weight nor a crowd of draws on one sample is a hot spot.
     """
     top = one(samples.agg(F.max("reward").alias("hi"), F.min("reward").alias("lo")))
     weight = {"pow": F.pow(F.abs("reward"), power),
               "max_min": F.when((F.col("reward") == top["hi"]) | (F.col("reward") == top["lo"]), 1.0).otherwise(0.0),
               "max_random": F.when(F.col("reward") == top["hi"], 0.4).otherwise(0.1)}[method]
-    w = ranked_running(samples.withColumn("weight", weight + 1e-8), [], ["sample_id"], "idx", {"cum": "weight"})
+    w = materialize(ranked_running(samples.withColumn("weight", weight + 1e-8), [], ["sample_id"], "idx", {"cum": "weight"}))
     total = one(w.agg(F.max("cum").alias("total")))["total"]
-    w = w.withColumn("hi", F.col("cum") / total).withColumn("lo", (F.col("cum") - F.col("weight")) / total)
-    cells = w.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * bins), F.floor(F.col("hi") * bins))))
+    starts = w.select(((F.col("cum") - F.col("weight")) / total).alias("at"), F.lit(0).alias("is_draw"), "idx", F.struct("uid", "sample_id", "reward").alias("sample"))
     u = hash_int(hash_of(seed, "idx")) / F.lit(float(16 ** 12))
-    draws = w.select(F.col("idx").alias("draw"), u.alias("u")).withColumn("cell", F.floor(F.col("u") * bins))
-    return draws.join(cells, "cell").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", "uid", "sample_id", "reward")
+    draws = w.select(u.alias("at"), F.lit(1).alias("is_draw"), "idx", F.lit(None).cast(starts.schema["sample"].dataType).alias("sample"))
+    got = carried_forward(starts.unionByName(draws), ["at", "is_draw", "idx"], "sample", "hit").filter("is_draw = 1")
+    return got.select(F.col("idx").alias("draw"), "hit.uid", "hit.sample_id", "hit.reward")
 
 
 def preference_pairs(samples: DataFrame) -> DataFrame:
@@ -167,17 +169,22 @@ def preference_pairs(samples: DataFrame) -> DataFrame:
 
 
 def pairwise_accuracy(samples: DataFrame) -> DataFrame:
-    """Share of (right, wrong) pairs of a prompt that the score orders rightly, plus sign accuracy.
+    """Agreement of score order with correctness order over all pairs of a prompt, weighted by the
+    difference in correctness, plus sign accuracy; 0.5 without any difference.
 
-    With 0/1 correctness the weighted pair count equals a rank sum, so no pair is ever formed:
-    ordered pairs = sum of the right samples' ranks - r (r + 1) / 2.  A tied score counts half.
+    No pair is formed.  The weight of a pair is the sum of the gaps between correctness levels
+    it spans, and for one gap the rightly ordered pairs are a rank sum: the ranks of the samples
+    above the gap minus P (P + 1) / 2 for P of them.  A tied score counts half.
     """
     s = average_ranked(samples, ["uid"], "reward", "rank")
-    g = s.groupBy("uid").agg(F.sum(F.col("rank") * F.col("acc")).alias("rs"), F.sum("acc").alias("pos"), F.count(F.lit(1)).alias("n"),
-                             F.avg((F.signum(F.col("reward")) == F.signum(F.col("acc") * 2 - 1)).cast("double")).alias("sign_accuracy"))
-    pairs = F.col("pos") * (F.col("n") - F.col("pos"))
-    acc = F.when(pairs == 0, 0.5).otherwise((F.col("rs") - F.col("pos") * (F.col("pos") + 1) / 2) / F.nullif(pairs, F.lit(0)))
-    return g.select("uid", acc.alias("pair_accuracy"), "sign_accuracy")
+    per = s.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.avg((F.signum(F.col("reward")) == F.signum(F.col("acc") * 2 - 1)).cast("double")).alias("sign_accuracy"))
+    levels = s.groupBy("uid", "acc").agg(F.sum("rank").alias("rs"), F.count(F.lit(1)).alias("c"))
+    levels = ranked_running(levels, ["uid"], [F.desc("acc")], "k", {"above": "c", "ranks": "rs"})
+    lower = levels.select("uid", (F.col("k") - 1).alias("k"), F.col("acc").alias("below"))
+    gaps = levels.join(lower, ["uid", "k"]).join(per.select("uid", "n"), "uid")
+    gap, p = F.col("acc") - F.col("below"), F.col("above")
+    g = gaps.groupBy("uid").agg(F.sum(gap * (F.col("ranks") - p * (p + 1) / 2)).alias("right"), F.sum(gap * p * (F.col("n") - p)).alias("weight"))
+    return per.join(g, "uid", "left").select("uid", F.coalesce(F.try_divide("right", "weight"), F.lit(0.5)).alias("pair_accuracy"), "sign_accuracy")
 
 
 def overlong_penalty(samples: DataFrame, max_length: int, buffer: int, factor: float) -> DataFrame:
