@@ -55,8 +55,10 @@ def majority(values: DataFrame, resamples: int, seed: str) -> DataFrame:
     """Value of the most common prediction in hash-drawn resamples of size n; ties go to the earliest draw."""
     key = ["source", "prompt"]
     v = materialize(ranked(values, key, ["response_id"], "i").select(*key, "i", "value", "pred"))
-    size = v.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1").withColumn("n", F.explode(draw_sizes(F.col("group_size"))))
-    draws = size.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    size = v.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    # draw j of a resample is issued by the j-th response, so no row ever expands to a whole group
+    draws = v.select(*key, F.col("i").alias("j")).join(size, key).withColumn("n", F.explode(F.filter(draw_sizes(F.col("group_size")), lambda n: n >= F.col("j"))))
+    draws = draws.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     draws = draws.withColumn("i", hash_int(hash_of(seed, *key, "n", "b", "j")) % F.col("group_size") + 1)
     votes = draws.join(v, [*key, "i"]).groupBy(*key, "n", "b", "pred").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("j", "value")).alias("first"))
     won = votes.groupBy(*key, "n", "b").agg(F.max(F.struct("c", (-F.col("first.j")).alias("j"), F.col("first.value").alias("value"))).alias("w"))

@@ -92,8 +92,10 @@ def mix_datasets(parts: dict[str, DataFrame], idx: str, strategy: str = "concat"
     elif strategy == "interleave_over":
         rows = rows.join(size.select("_dataset_name", "_n"), "_dataset_name")
         laps = F.ceil(ends["last"] * F.col("_p") / F.col("_n"))
-        rows = rows.withColumn("_lap", F.explode(F.sequence(F.lit(0).cast("long"), laps - 1))).withColumn("_i", F.col("_i") + F.col("_lap") * F.col("_n"))
-        rows = rows.filter(F.col("_i") / F.col("_p") <= ends["last"]).drop("_n", "_lap")
+        rows = rows.withColumn("_laps", laps).withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_laps") - 1) / 1024))))
+        rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_laps") - 1, F.lit(1023))))).withColumn("_lap", F.col("_a") * 1024 + F.col("_b"))
+        rows = rows.filter("_lap < _laps").withColumn("_i", F.col("_i") + F.col("_lap") * F.col("_n"))
+        rows = rows.filter(F.col("_i") / F.col("_p") <= ends["last"]).drop("_n", "_laps", "_a", "_b", "_lap")
     elif strategy != "interleave_once":
         raise ValueError(f"unknown mixing strategy {strategy!r}")
     return rows.withColumn("mix_time", F.col("_i") / F.col("_p")).drop("_i", "_p")
