@@ -164,7 +164,7 @@ def _(spark, d):
 tg AS (SELECT record_id, turn AS at_turn, a AS target_turn FROM ix WHERE role = 'assistant' AND u > 0)""", """
 x AS (SELECT tg.record_id, target_turn, turn AS pos, role, content, upto, role = 'user' AND (u = 1 OR u BETWEEN greatest(1, target_turn - 1) AND target_turn) AS keep FROM tg JOIN ix ON ix.record_id = tg.record_id AND turn <= at_turn)""") + """
 SELECT record_id, target_turn, pos, role, CASE WHEN role <> 'user' OR keep THEN content ELSE replace(content, '<image>', '') END AS content,
-  string_agg(CASE WHEN keep THEN array_to_string(list_transform(range(upto - 1 - pos % 2, upto), lambda i: 'img' || CAST(i AS BIGINT)), ',') END, ',') OVER (PARTITION BY record_id, target_turn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS images FROM x""".replace("range(upto - 1 - pos % 2, upto)", "range(CAST(upto AS BIGINT) - 1 - pos % 2, CAST(upto AS BIGINT))"))
+  string_agg(CASE WHEN keep THEN array_to_string(list_transform(range(CAST(upto AS BIGINT) - 1 - pos % 2, CAST(upto AS BIGINT)), lambda i: 'img' || CAST(i AS BIGINT)), ',') END, ',') OVER (PARTITION BY record_id, target_turn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS images FROM x""")
 def _(spark, d):
     x = op.explode_turns(_records(spark, d), 2)
     return x.select("record_id", "target_turn", F.array_join("images", ",").alias("images"), F.posexplode("messages").alias("pos", "m")).select(

@@ -41,15 +41,14 @@ def _(spark, d):
 
 
 @query("reweight_dataset", """WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
-dr AS (SELECT j AS draw, ('0x' || substr(md5('rw|' || j), 1, 12))::BIGINT % (SELECT count(*) FROM documents) AS i FROM range(1, 100000000) x(j) WHERE j <= CAST(floor((SELECT count(*) FROM documents) * 1.5) AS BIGINT))
-SELECT draw, doc_id FROM dr JOIN k USING (i)""".replace("range(1, 100000000) x(j) WHERE j <= CAST(floor((SELECT count(*) FROM documents) * 1.5) AS BIGINT)",
-                                                        "(SELECT unnest(range(1, CAST(floor(count(*) * 1.5) AS BIGINT) + 1)) AS j FROM documents)"))
+dr AS (SELECT j AS draw, ('0x' || substr(md5('rw|' || j), 1, 12))::BIGINT % (SELECT count(*) FROM documents) AS i FROM (SELECT unnest(range(1, CAST(floor(count(*) * 1.5) AS BIGINT) + 1)) AS j FROM documents))
+SELECT draw, doc_id FROM dr JOIN k USING (i)""")
 def _(spark, d):
     return op.reweight_dataset(t.table(spark, d, "documents").select("doc_id"), "doc_id", weight=1.5, seed="rw").select("draw", "doc_id")
 
 
-MIX = """a AS (SELECT '{x}' AS s, 0.7::DOUBLE AS p, doc_id AS id FROM documents WHERE lang = 'en' UNION ALL SELECT 'other', 0.3::DOUBLE, doc_id FROM documents WHERE lang <> 'en'),
-k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY id) AS i, count(*) OVER (PARTITION BY s) AS n FROM a)""".replace("{x}", "english")
+MIX = """a AS (SELECT 'english' AS s, 0.7::DOUBLE AS p, doc_id AS id FROM documents WHERE lang = 'en' UNION ALL SELECT 'other', 0.3::DOUBLE, doc_id FROM documents WHERE lang <> 'en'),
+k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY id) AS i, count(*) OVER (PARTITION BY s) AS n FROM a)"""
 
 
 def _mix(name, sql):
