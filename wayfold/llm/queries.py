@@ -24,3 +24,40 @@ def op10_minhash(spark, d):
 
     r = near_duplicates(table(spark, d, "documents"), size=2)
     return r.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+#: (verdict, host, path)
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Hosts whose pages make up the block list.
+LISTED_HOSTS = ("spam-farm", "cheap-pills", "casino-win", "adult-x", "free-bets", "ads-track")
+
+
+@query
+def op3_url_filters(spark, d):
+    from wayfold.llm.urls import canonical_urls, judge_urls
+
+    pages = table(spark, d, "pages")
+    listed = canonical_urls(pages.filter(F.lower("url").rlike("://([^/?#]*\\.)?(" + "|".join(LISTED_HOSTS) + ")\\.")))
+    return judge_urls(pages, listed, URL_RULES).withColumnRenamed("id", "page_id")
+
+
+def _fits(verdict: str, host: str, path: str) -> str:
+    return f"((host = '{host}' OR suffix(host, '.{host}')) AND starts_with(path, '{path}'))"
+
+
+_LONGEST = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+ORACLES["op3_url_filters"] = f"""WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, url FROM pages),
+p AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  regexp_replace(regexp_replace(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&', '') AS q FROM r),
+c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\\.', '') || rtrim(path, '/') || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS canonical,
+  CASE {' '.join(f"WHEN {_fits(*r)} THEN '{r[1] + r[2]}'" for r in _LONGEST)} END AS rule, CASE {' '.join(f"WHEN {_fits(*r)} THEN '{r[0]}'" for r in _LONGEST)} END AS says FROM p),
+l AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(lower(url), '://([^/?#]*\\.)?({'|'.join(LISTED_HOSTS)})\\.') AND canonical IS NOT NULL)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, rule IS NULL AND l.canonical IS NOT NULL AS listed FROM c LEFT JOIN l ON c.canonical = l.canonical"""
+
+
+@query
+def op6_mixing(spark, d):
+    from wayfold.llm.mixing import mix
+
+    r = mix(table(spark, d, "documents"))
+    return r.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
