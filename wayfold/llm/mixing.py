@@ -8,7 +8,9 @@ counts of (source, size), in which all documents are contained.
 
 Rates become whole copies by a shared offset: a document is copied once for every whole number
 that ``rate + hash`` reaches, and each source's offset is the weighted quantile at which the words
-taken meet the target.  The quantile is found by histograms, each 1024 times finer.
+taken meet the target.  The quantile is found by histograms, each 1024 times finer.  What the
+document at the quantile leaves open is filled in the same way with documents of at most
+half of it.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from wayfold.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 2
 BINS = 1024
-EXACT = 1e-10
+EXACT = 1e-7
 
 
 def sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -80,9 +82,9 @@ def tilts(cells: DataFrame, sources: DataFrame) -> DataFrame:
     return state.select("sid", "lam", "mean")
 
 
-def _cuts(events: DataFrame, sources: DataFrame) -> DataFrame:
-    """(sid, cut): copies are the events below ``cut``, whose words come nearest to the target."""
-    state = materialize(sources.filter("source_size > 0").select("sid", "target", F.lit(-float(MOST)).alias("lo"), F.lit(float(MOST)).alias("hi"), F.lit(0.0).alias("below"), F.lit(0.0).alias("inside"), F.lit(2).cast("long").alias("n")))
+def _cuts(events: DataFrame, targets: DataFrame, nearest: bool) -> DataFrame:
+    """(sid, cut, rest): the events below ``cut`` have words up to the target or nearest to it; ``rest`` are those missing."""
+    state = materialize(targets.select("sid", "target", F.lit(-float(MOST)).alias("lo"), F.lit(float(MOST)).alias("hi"), F.lit(0.0).alias("below"), F.lit(0.0).alias("inside"), F.lit(2).cast("long").alias("n")))
     while state.filter("n > 1 AND hi - lo > 1e-15").take(1):
         e = events.join(state.filter("n > 1 AND hi - lo > 1e-15"), "sid").filter("e >= lo AND e < hi")
         bin_ = F.least(F.floor((F.col("e") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
@@ -94,7 +96,8 @@ def _cuts(events: DataFrame, sources: DataFrame) -> DataFrame:
         new = hit.select("sid", "target", (F.col("lo") + F.col("bin") * width).alias("lo"), F.when(F.col("bin") == BINS - 1, F.col("hi")).otherwise(F.col("lo") + (F.col("bin") + 1) * width).alias("hi"), (F.col("upto") - F.col("words")).alias("below"), F.col("words").alias("inside"), F.col("k").alias("n"))
         kept = state.join(new.select("sid"), "sid", "left_anti").withColumn("n", F.least("n", F.lit(1).cast("long")))
         state = materialize(new.unionByName(kept))
-    return state.select("sid", F.when(F.col("target") - F.col("below") > F.col("inside") / 2, F.col("hi")).otherwise(F.col("lo")).alias("cut"))
+    whole = F.col("target") >= F.col("below") + (F.col("inside") / 2 if nearest else F.col("inside"))
+    return state.select("sid", F.when(whole, F.col("hi")).otherwise(F.col("lo")).alias("cut"), (F.col("target") - F.col("below") - F.when(whole, F.col("inside")).otherwise(0.0)).alias("rest"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.5) -> DataFrame:
@@ -118,7 +121,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("mix")), 11) / F.lit(float(1 << 53)))
     rated = materialize(rated.withColumn("at", F.col("rate") + u).select("id", "source", "sid", "size", "source_size", "target", "rate", "at"))
     events = rated.filter("size > 0").select("sid", "size", F.explode(F.array(*[F.lit(float(k)) - F.col("at") for k in range(1, MOST + 1)])).alias("e"))
-    cuts = _cuts(events, s)
-    copies = sum(((F.lit(float(k)) - F.col("at")) < F.col("cut")).cast("int") for k in range(1, MOST + 1))
+    cuts = materialize(_cuts(events, s.filter("source_size > 0"), nearest=False))
+    small = F.col("size") * 2 <= F.col("rest")
+    open_ = events.join(cuts, "sid").filter(small & (F.col("e") >= F.col("cut"))).select("sid", "size", "e")
+    fill = _cuts(open_, cuts.filter("rest > 0").select("sid", F.col("rest").alias("target")), nearest=True)
+    cuts = cuts.join(fill.select("sid", F.col("cut").alias("fill")), "sid", "left")
+    e = [F.lit(float(k)) - F.col("at") for k in range(1, MOST + 1)]
+    copies = sum(F.coalesce((x < F.col("cut")) | (small & (x < F.col("fill"))), F.lit(False)).cast("int") for x in e)
     out = rated.join(cuts, "sid", "left").withColumn("copies", F.when(F.col("size") == 0, F.lit(1)).otherwise(copies))
     return out.select("id", "source", "size", "source_size", "target", "rate", "copies")
