@@ -61,3 +61,20 @@ def op6_mixing(spark, d):
 
     r = mix(table(spark, d, "documents"))
     return r.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
+
+
+@query
+def op5_media(spark, d):
+    from wayfold.llm.media import features, stored
+
+    return features(stored(table(spark, d, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op8_quality(spark, d):
+    from wayfold.llm.quality import fit, held_out, scored
+
+    docs = table(spark, d, "documents")
+    w = fit(docs, table(spark, d, "labels").filter(~held_out()))
+    r = scored(docs.select("doc_id", "text"), w).select("doc_id", held_out().alias("held_out"), "score")
+    return r.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
