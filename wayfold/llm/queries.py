@@ -78,3 +78,11 @@ def op8_quality(spark, d):
     w = fit(docs, table(spark, d, "labels").filter(~held_out()))
     r = scored(docs.select("doc_id", "text"), w).select("doc_id", held_out().alias("held_out"), "score")
     return r.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op1_sentencepiece(spark, d):
+    from wayfold.llm.pieces import decoded, encoded
+
+    r = decoded(encoded(table(spark, d, "documents")))
+    return r.select(F.col("id").alias("doc_id"), F.size("ids").alias("n_pieces"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
