@@ -86,3 +86,10 @@ def op1_sentencepiece(spark, d):
 
     r = decoded(encoded(table(spark, d, "documents")))
     return r.select(F.col("id").alias("doc_id"), F.size("ids").alias("n_pieces"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@query
+def op4_lines(spark, d):
+    from wayfold.llm.lines import dedup_lines
+
+    return dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
