@@ -7,12 +7,14 @@ key).  By the pigeonhole principle every pair whose signatures differ in fewer t
 
 Buckets are never expanded into all pairs while their members are still being joined to each
 other: each round compares the members of a bucket with one pivot only, and links merge
-components.  Only members of different components are compared pair by pair at the end, which is
-exact, since a pair inside one component cannot change the result.
+components.  Only members of different components are compared pair by pair at the end, block by
+block, which is exact, since a pair inside one component cannot change the result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,10 @@ CHUNKS, WIDTH = 8, 5
 #: Found pairs whose signatures differ in more symbols are not confirmed: at the least similarity
 #: of 0.8 that happens to 5 in a million.
 MOST_DIFFERENT = 20
-PIVOT_ROUNDS = 6
+#: Rounds of comparing with one pivot a bucket.
+PIVOT_ROUNDS = 3
+#: Members of one block of a bucket; classes of shingles that are counted, and the count that says no more.
+BLOCK, CLASSES, FULL = 256, 256, 65535
 
 
 def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -127,16 +132,49 @@ def _close(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def _shingles(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, size: int) -> DataFrame:
-    """(id, s): full shingle sets of the documents named in ``ids``."""
+    """(id, s, classes): full shingle sets of the documents named in ``ids``, and how many fall in each of ``CLASSES``."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 sets = _sets(b.column(1), size)
-                yield pa.RecordBatch.from_arrays([b.column(0), lists(np.concatenate(sets).view(np.int64), np.cumsum([0, *map(len, sets)]), pa.int64())], ["id", "s"])
+                classes = [np.minimum(np.bincount((x & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), FULL).astype(np.uint16).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), lists(np.concatenate(sets).view(np.int64), np.cumsum([0, *map(len, sets)]), pa.int64()), pa.array(classes, pa.binary())], ["id", "s", "classes"])
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return d.join(broadcast_if_small(ids, ids.count()), "id", "left_semi").mapInArrow(run, "id long, s array<long>")
+    return d.join(broadcast_if_small(ids, ids.count()), "id", "left_semi").mapInArrow(run, "id long, s array<long>, classes binary")
+
+
+def _across(m: DataFrame, per: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket but different components that may be similar enough.
+
+    Buckets are cut into blocks of about ``BLOCK`` members and every two blocks meet in one task,
+    where signatures and class counts are compared as arrays.  The class counts bound the common
+    shingles from above, so what they rule out is no link.
+    """
+
+    def run(key, t):
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, -1)
+        classes = np.frombuffer(b"".join(t.column("classes").to_pylist()), np.uint16).reshape(t.num_rows, -1)
+        ids, comp, n, block = (t.column(c).to_numpy() for c in ("id", "comp", "n", "block"))
+        i, j = key[1].as_py(), key[2].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out = []
+        for x in left:
+            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+            y = y[(sig[y] != sig[x]).sum(1) <= MOST_DIFFERENT]
+            both = np.minimum(classes[y], classes[x]).sum(1, dtype=np.int64)
+            full = (classes[y] == FULL).any(1) | (classes[x] == FULL).any()
+            y = y[full | (100 * both >= percent * (n[y] + n[x] - both))]
+            out.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
+        a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    o = m.join(per.select("key", F.col("n").alias("members")), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    o = o.join(about, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    o = o.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "sig", "classes")
+    return o.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -156,42 +194,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = materialize(some.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")))
     reps = materialize(some.join(groups, ["f1", "f2", "n"]).filter("id = rep").select("id", "n", "sig").dropDuplicates(["id"]))
     keys = materialize(_index(reps))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    members = materialize(keys.join(shared, "key").select("key", "id"))
-    links, tested, comp, sets = None, None, None, None
-
-    def confirm(pairs):
-        """Adds the pairs that hold on full sets to the links."""
-        nonlocal links, tested, comp, sets
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    per = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("c > 1")
+    per = per.groupBy("c", "x", "y").agg(F.min("key").alias("key"))  # buckets of the same members say the same
+    members = materialize(keys.join(per.select("key"), "key").select("key", "id"))
+    comp = materialize(members.select("id").distinct().withColumn("comp", F.col("id")))
+    sets = materialize(_shingles(docs, id_col, text_col, comp.select("id"), size))
+    links, tested = [], []
+
+    def confirmed(pairs, last=False):
+        """The pairs that hold on full sets; all pairs tried are noted."""
+        if last and tested:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
         pairs = materialize(_close(pairs, reps))
-        if not pairs.take(1):
-            return False
-        if sets is None:
-            sets = materialize(_shingles(docs, id_col, text_col, materialize(members.select("id").distinct()), size))
+        tested.append(pairs)
         full = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
         both = F.size(F.array_intersect("sa", "sb"))
-        held = full.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-        links = materialize(held if links is None else links.unionByName(held))
-        tested = pairs if tested is None else materialize(tested.unionByName(pairs))
-        comp = materialize(components(links).select("id", "component"))
-        return True
-
-    for t in range(PIVOT_ROUNDS):
-        m = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        m = materialize(m)
-        size_of = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("low"), F.min_by("id", F.xxhash64("id", F.lit(t))).alias("pick"))
-        per = size_of.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max_by("pick", F.struct("c", F.xxhash64("pick", F.lit(t)))).alias("pivot"), F.max_by("comp", F.struct("c", F.xxhash64("pick", F.lit(t)))).alias("home"))
-        per = materialize(per.filter("n * n > q"))
+        links.append(materialize(full.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")))
+        return links[-1]
+
+    for t in range(PIVOT_ROUNDS + 1):
+        m = materialize(members.join(comp, "id"))
+        of = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct(F.xxhash64("id", F.lit(t)).alias("r"), "id")).alias("pick"))
+        most = F.max(F.struct("c", "pick", "comp"))
+        per = of.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), most.alias("home"))
+        per = materialize(per.filter("n * n > q").select("key", "n", "q", F.col("home.pick.id").alias("pivot"), F.col("home.comp").alias("home")))
         left = per.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("x"), F.sum("n").alias("n")).first()
         if not left["x"]:
             break
-        open_ = m.join(per, "key").filter("comp <> home")
-        if left["x"] <= 4 * left["n"] or t == PIVOT_ROUNDS - 1:
-            o = materialize(m.join(per.select("key"), "key"))
-            confirm(o.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")).join(o.select("key", F.col("id").alias("b"), F.col("comp").alias("cb")), "key").filter("a < b AND ca <> cb").select("a", "b").distinct())
+        if left["x"] <= left["n"] or t == PIVOT_ROUNDS:
+            confirmed(_across(m, per, reps.join(sets.select("id", "classes"), "id"), percent), last=True)
             break
-        confirm(open_.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+        new = confirmed(m.join(per.select("key", "pivot", "home"), "key").filter("comp <> home").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+        # equal labels are surely linked; labels that stay apart for now only cost another look
+        met = new.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").select("ca", "cb")
+        low = met.select("ca", "cb").union(met.select("cb", "ca")).groupBy("ca").agg(F.min("cb").alias("low"))
+        comp = materialize(comp.join(low, comp["comp"] == low["ca"], "left").select("id", F.least("comp", F.coalesce("low", "comp")).alias("comp")))
+    comp = None
+    if links:
+        comp = components(reduce(DataFrame.unionByName, links)).select("id", "component")
     named = groups if comp is None else groups.join(comp, groups["rep"] == comp["id"], "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("rep"))
     out = every.join(named, ["f1", "f2", "n"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("component_id"))
