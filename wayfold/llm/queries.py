@@ -93,3 +93,11 @@ def op4_lines(spark, d):
     from wayfold.llm.lines import dedup_lines
 
     return dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_windows(spark, d):
+    from wayfold.llm.windows import remove_repeats
+
+    r = remove_repeats(table(spark, d, "documents"))
+    return r.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
