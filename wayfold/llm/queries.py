@@ -101,3 +101,11 @@ def op7_windows(spark, d):
 
     r = remove_repeats(table(spark, d, "documents"))
     return r.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_embeddings(spark, d):
+    from wayfold.llm.embeddings import near_vectors
+
+    r = near_vectors(table(spark, d, "embeddings"))
+    return r.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"), "recall")
