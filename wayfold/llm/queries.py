@@ -109,3 +109,11 @@ def op2_embeddings(spark, d):
 
     r = near_vectors(table(spark, d, "embeddings"))
     return r.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"), "recall")
+
+
+@query
+def op9_suffixes(spark, d):
+    from wayfold.llm.suffixes import remove_strings
+
+    r = remove_strings(table(spark, d, "documents"))
+    return r.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
