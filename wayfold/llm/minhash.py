@@ -25,6 +25,8 @@ from wayfold.llm.arrays import LOWER, broadcast_if_small, flat, hashes, lists, m
 from wayfold.session import materialize
 
 CHUNKS, WIDTH = 8, 5
+#: Bits of a key that tell which chunk it is of and which symbol is left out.
+PART = np.uint64(63)
 #: Found pairs whose signatures differ in more symbols are not confirmed: at the least similarity
 #: of 0.8 that happens to 5 in a million.
 MOST_DIFFERENT = 20
@@ -107,7 +109,7 @@ def _index(reps: DataFrame) -> DataFrame:
                     if j != out:
                         packed = (packed << np.uint64(16)) | sig[:, :, j]
                 for c in range(CHUNKS):
-                    keys[:, c, out] = mixed(packed[:, c], c * WIDTH + out + 1)
+                    keys[:, c, out] = (mixed(packed[:, c], c * WIDTH + out + 1) & ~PART) | np.uint64(c * WIDTH + out)
             ids = np.repeat(b.column(0).to_numpy(), CHUNKS * WIDTH)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], ["key", "id"])
 
@@ -145,6 +147,13 @@ def _shingles(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, size:
     return d.join(broadcast_if_small(ids, ids.count()), "id", "left_semi").mapInArrow(run, "id long, s array<long>, classes binary")
 
 
+def _first_key(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The first chunk and left-out symbol in whose key signatures agree with ``one``."""
+    differ = (many != one).reshape(-1, CHUNKS, WIDTH)
+    chunk = (differ.sum(2) <= 1).argmax(1)
+    return chunk * WIDTH + differ[np.arange(len(many)), chunk].argmax(1)
+
+
 def _across(m: DataFrame, per: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one bucket but different components that may be similar enough.
 
@@ -157,7 +166,7 @@ def _across(m: DataFrame, per: DataFrame, about: DataFrame, percent: int) -> Dat
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, -1)
         classes = np.frombuffer(b"".join(t.column("classes").to_pylist()), np.uint16).reshape(t.num_rows, -1)
         ids, comp, n, block = (t.column(c).to_numpy() for c in ("id", "comp", "n", "block"))
-        i, j = key[1].as_py(), key[2].as_py()
+        part, i, j = key[0].as_py() & int(PART), key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out = []
         for x in left:
@@ -166,6 +175,7 @@ def _across(m: DataFrame, per: DataFrame, about: DataFrame, percent: int) -> Dat
             both = np.minimum(classes[y], classes[x]).sum(1, dtype=np.int64)
             full = (classes[y] == FULL).any(1) | (classes[x] == FULL).any()
             y = y[full | (100 * both >= percent * (n[y] + n[x] - both))]
+            y = y[_first_key(sig[y], sig[x]) == part]  # each pair in one of its buckets only
             out.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
         a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -194,9 +204,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = materialize(some.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")))
     reps = materialize(some.join(groups, ["f1", "f2", "n"]).filter("id = rep").select("id", "n", "sig").dropDuplicates(["id"]))
     keys = materialize(_index(reps))
-    per = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("c > 1")
-    per = per.groupBy("c", "x", "y").agg(F.min("key").alias("key"))  # buckets of the same members say the same
-    members = materialize(keys.join(per.select("key"), "key").select("key", "id"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    members = materialize(keys.join(shared, "key").select("key", "id"))
     comp = materialize(members.select("id").distinct().withColumn("comp", F.col("id")))
     sets = materialize(_shingles(docs, id_col, text_col, comp.select("id"), size))
     links, tested = [], []
