@@ -174,11 +174,37 @@ def test_walks_are_valid_and_distinct(spark):
         assert [have[a, b] for a, b in zip(w.nodes, w.nodes[1:])] == w.actions
 
 
-def test_diameter_and_size_limit(spark):
+def test_diameter_of_small_components(spark):
     e = edge_frame(spark, [("a", "b", "x"), ("b", "c", "x"), ("x", "y", "x")])
     n = node_frame(spark, ["a", "b", "c", "x", "y", "z"])
     assert {r.component: r.diameter for r in g.graph_diameter(n, e).collect()} == {"a": 2, "x": 1, "z": 0}
-    assert {r.component: r.diameter for r in g.graph_diameter(n, e, max_nodes=2).collect()} == {"a": -1, "x": 1, "z": 0}
+
+
+def test_diameter_of_a_large_component(spark):
+    """A star of paths: 6,001 nodes, known diameter, beside a cycle whose nodes are all alike."""
+    arms, long = 1000, 6
+    rows = [("c" if k == 0 else f"a{i:04d}_{k}", f"a{i:04d}_{k + 1}", "x") for i in range(arms) for k in range(long)]
+    rows += [(f"z{i:02d}", f"z{(i + 1) % 9:02d}", "x") for i in range(9)]
+    e = edge_frame(spark, rows)
+    n = node_frame(spark, sorted({x for r in rows for x in r[:2]}))
+    got = {r.component: (r.n_nodes, r.diameter) for r in g.graph_diameter(n, e).collect()}
+    assert got == {"a0000_1": (arms * long + 1, 2 * long), "z00": (9, 4)}
+
+
+def test_grid_regions_of_wide_and_negative_coordinates(spark):
+    cells = [("a", 100, 5), ("a", 10, 5), ("a", 101, 5), ("a", -3, 0), ("a", -30, 0), ("a", -2, 0)]
+    got = {r.id: r.region for r in g.grid_regions(spark.createDataFrame(cells, "grp string, x int, y int")).collect()}
+    assert len(got) == 6 and got["a:100:5"] == got["a:101:5"] != got["a:10:5"] and got["a:-3:0"] == got["a:-2:0"] != got["a:-30:0"]
+
+
+def test_poses_are_numbered_in_order_for_any_key(spark, tmp_path):
+    from wayfold.sources import tables
+
+    rows = [(1, n, p, 1, 1.0 * n, "1995-01-01", 1.0, 0.0, 0.0) for n, p in ((1, 5_000_000_000), (2, 10), (3, 10))]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate string, l_quantity double, l_tax double, l_discount double")
+    df.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.ty: r.turn for r in tables.poses(spark, str(tmp_path)).collect()}
+    assert got == {0.0001: 0, 0.0002: 1, 0.0003: 2}
 
 
 def test_save_and_load_merge(spark, tmp_path):

@@ -122,10 +122,10 @@ def best_checkpoint(metrics: DataFrame) -> DataFrame:
     return s.withColumn("best", before).withColumn("is_best", F.col("best").isNull() | (F.col("score") > F.col("best"))).drop("best")
 
 
-def filter_overlong(prompts: DataFrame, text: str, max_tokens: int, max_samples: int | None = None, seed: str = "prompts") -> DataFrame:
-    """Prompts of at most ``max_tokens`` words; a missing text counts as overlong.  Optionally a hash-random subset."""
+def filter_overlong(prompts: DataFrame, text: str, max_tokens: int, share: float | None = None, seed: str = "prompts") -> DataFrame:
+    """Prompts of at most ``max_tokens`` words; a missing text counts as overlong.  Optionally a hash-random ``share`` of all prompts at most."""
     n = F.size(F.split(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""), r"\s+"))
     kept = prompts.withColumn("n_tokens", n.cast("long")).filter(F.col(text).isNotNull() & (F.col("n_tokens") <= max_tokens))
-    if max_samples is None:
+    if share is None:
         return kept
-    return hash_ranked(kept, [], seed, ["prompt_id"], "pick").filter(F.col("pick") <= max_samples).drop("pick")
+    return hash_ranked(kept, [], seed, ["prompt_id"], "pick").filter(F.col("pick") <= one(prompts.agg(F.count(F.lit(1)).alias("n")))["n"] * F.lit(share)).drop("pick")

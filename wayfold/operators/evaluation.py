@@ -164,7 +164,9 @@ def pose_error_table(views: DataFrame) -> DataFrame:
 
 
 def closeness(err: Column, threshold: float, steepness: float = 6.0) -> Column:
-    """Logistic closeness in [0, 1], one half at the threshold."""
+    """Logistic closeness in [0, 1], one half at the threshold; 0 for any error where the threshold is 0."""
+    if threshold <= 0:
+        return F.when(err <= SLACK, 1.0).otherwise(0.0)
     z = steepness * (err / threshold - 1)
     return F.when(err <= SLACK, 1.0).when(z >= 60, 0.0).when(z <= -60, 1.0).otherwise(1 / (1 + F.exp(pose.clip(z, -60.0, 60.0))))
 

@@ -24,7 +24,7 @@ def atoms(action: Column) -> Column:
 
 
 def node_id(scene: Column, key: Column) -> Column:
-    return F.concat(scene, F.lit("_"), F.substring(F.md5(F.concat(scene, F.lit("|"), key)), 1, 12))
+    return F.concat(scene, F.lit("_"), F.md5(F.concat(scene, F.lit("|"), key)))
 
 
 def state_key(state: Column) -> Column:
@@ -150,7 +150,7 @@ def filter_low_quality_nodes(nodes: DataFrame, edges: DataFrame, min_std: float
 # --- refinement ----------------------------------------------------------------------------
 def split_action_edges(edges: DataFrame) -> DataFrame:
     """Multi-action edges become chains through virtual nodes named by edge and position."""
-    base = F.concat(F.lit("~"), F.substring(F.md5(F.concat_ws("|", "src", "dst", "action")), 1, 12), F.lit("_"))
+    base = F.concat(F.lit("~"), F.md5(F.concat_ws("|", "src", "dst", "action")), F.lit("_"))
     e = edges.withColumn("_a", atoms(F.col("action"))).withColumn("_base", base).withColumn("_n", F.size("_a"))
     e = e.select("src", "dst", "_base", "_n", F.posexplode("_a").alias("i", "action"))
     frm = F.when(F.col("i") == 0, F.col("src")).otherwise(F.concat("_base", F.col("i").cast("string")))
@@ -284,28 +284,37 @@ def component_table(labels: DataFrame, edges: DataFrame, label: str, min_nodes:
     return t.withColumn("avg_degree", F.round(2 * F.col("n_edges") / F.col("n_nodes"), 2)).orderBy(F.desc("n_nodes"), label)
 
 
-def graph_diameter(nodes: DataFrame, edges: DataFrame, max_nodes: int = 5000) -> DataFrame:
-    """Undirected diameter per component, -1 above ``max_nodes`` nodes.
+def graph_diameter(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Undirected diameter per component, exact for any size.
 
-    Breadth-first search from every node of the admitted components at once.
+    Breadth-first searches from few roots bound every node's eccentricity: from above by a root's
+    eccentricity plus the distance to it.  A node whose bound does not exceed the greatest
+    distance found so far can't change the result and leaves.  Each round searches from the nodes
+    with the largest bounds, twice as many a component as before.
     """
-    lab = materialize(connected_components(nodes, edges))
-    size = lab.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    ok = materialize(lab.join(size.filter(F.col("n") <= max_nodes), "component").select("id", "component"))
-    und = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().join(ok.select(F.col("id").alias("src")), "src", "left_semi")
-    und = materialize(und)
-    front = ok.select("component", F.col("id").alias("root"), "id")
-    seen, best, hops = front, front.select("component").distinct().withColumn("d", F.lit(0)), 0
-    while True:
-        hops += 1
-        nxt = front.join(und, front["id"] == und["src"]).select("component", "root", F.col("dst").alias("id")).distinct()
-        front = materialize(nxt.join(seen.select("root", "id"), ["root", "id"], "left_anti").select("component", "root", "id"))
-        if not front.take(1):
-            break
-        seen = materialize(seen.unionByName(front))
-        best = materialize(best.unionByName(front.select("component").distinct().withColumn("d", F.lit(hops))))
-    best = best.groupBy("component").agg(F.max("d").alias("d"))
-    return size.join(best, "component", "left").select("component", F.col("n").alias("n_nodes"), F.coalesce("d", F.lit(-1)).cast("long").alias("diameter"))
+    lab = materialize(connected_components(nodes, edges).select("id", "component"))
+    und = materialize(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    best = lab.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"), F.lit(0).alias("d"))
+    best = materialize(best)
+    open_ = materialize(lab.join(best.filter("n_nodes > 1"), "component").select("component", "id", F.lit(None).cast("int").alias("high")))
+    roots_each = 1
+    while open_.take(1):
+        bucket = F.pmod(F.xxhash64("id", F.lit(roots_each)), F.lit(roots_each))
+        roots = open_.groupBy("component", bucket.alias("b")).agg(F.max_by("id", F.struct(F.coalesce("high", F.lit(2147483647)), "id")).alias("root"))
+        seen = front = materialize(roots.select("component", "root", F.col("root").alias("id"), F.lit(0).alias("d")))
+        hops = 0
+        while front.take(1):
+            hops += 1
+            nxt = front.join(und, front["id"] == und["src"]).select("component", "root", F.col("dst").alias("id")).distinct()
+            front = materialize(nxt.join(seen.select("root", "id"), ["root", "id"], "left_anti").select("component", "root", "id", F.lit(hops).alias("d")))
+            seen = materialize(seen.unionByName(front))
+        far = seen.groupBy("component", "root").agg(F.max("d").alias("far"))
+        best = materialize(best.join(far.groupBy("component").agg(F.max("far").alias("far")), "component", "left").select("component", "n_nodes", F.greatest("d", F.coalesce("far", F.lit(0))).alias("d")))
+        high = seen.join(far, ["component", "root"]).groupBy("id").agg(F.min(F.col("d") + F.col("far")).alias("now"))
+        left = open_.join(roots.select(F.col("root").alias("id")), "id", "left_anti").join(high, "id", "left").join(best, "component")
+        open_ = materialize(left.select("component", "id", F.least("high", "now").alias("high"), "d").filter("high > d").drop("d"))
+        roots_each *= 2
+    return best.select("component", "n_nodes", F.col("d").cast("long").alias("diameter"))
 
 
 def subgraph(ids: DataFrame, edges: DataFrame, min_degree: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -406,9 +415,9 @@ def sample_walks(nodes: DataFrame, edges: DataFrame, min_len: int, max_len: int,
 
 
 def grid_regions(cells: DataFrame) -> DataFrame:
-    """4-connected regions of grid cells ``(grp, x, y)``: (id, region), ids being group and padded coordinates."""
+    """4-connected regions of grid cells ``(grp, x, y)``: (id, region), ids being group and coordinates."""
     def key(x, y):
-        return F.concat_ws(":", F.col("grp").cast("string"), F.lpad(x.cast("string"), 2, "0"), F.lpad(y.cast("string"), 2, "0"))
+        return F.concat_ws(":", F.col("grp").cast("string"), x.cast("string"), y.cast("string"))
     c = materialize(cells.select("grp", "x", "y").distinct())
     x, y = F.col("x"), F.col("y")
     links = None

@@ -309,9 +309,9 @@ def _prompt(source: str, content: Column, ability: str, style: str, truth: Colum
 
 
 def math_prompts(rows: DataFrame, source: str, split: str, instruction: str) -> DataFrame:
-    """Questions with the answer after ``####`` -> prompt rows; rows without one are an error upstream, here dropped."""
+    """Questions with the answer after ``####`` -> prompt rows; a row without one keeps a null truth."""
     truth = F.replace(found(F.col("answer"), r"#### (-?[0-9.,]+)"), F.lit(","), F.lit(""))
-    return rows.filter(truth.isNotNull()).select(*_prompt(source, F.concat("question", F.lit(" " + instruction)), "math", "rule", truth, split, F.col("idx")))
+    return rows.select(*_prompt(source, F.concat("question", F.lit(" " + instruction)), "math", "rule", truth, split, F.col("idx")))
 
 
 def tidy_brackets(text: Column) -> Column:

@@ -54,8 +54,9 @@ def variance_report(before: DataFrame, after: DataFrame) -> DataFrame:
     return line(before, "before").unionByName(line(after, "after"))
 
 
-def filter_zero_std_groups(samples: DataFrame, quota: int) -> DataFrame:
-    """Prompts whose reward varies (or that have one sample), the first ``quota`` of them by uid."""
+def filter_zero_std_groups(samples: DataFrame, share: float) -> DataFrame:
+    """Prompts whose reward varies (or that have one sample), the first ``share`` of all prompts by uid."""
+    quota = one(samples.agg(F.count_distinct("uid").alias("n")))["n"] * F.lit(share)
     g = group_variance(samples).filter((F.col("variance") > 0) | (F.col("n") == 1))
     return samples.join(ranked(g, [], ["uid"], "rank").filter(F.col("rank") <= quota).select("uid"), "uid", "left_semi")
 

@@ -97,7 +97,7 @@ def _(spark, d):
 
 
 @query("filter_overlong", ctes(r"""pk AS (SELECT doc_id AS prompt_id, len(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) AS n_tokens FROM documents WHERE text IS NOT NULL),
-rk AS (SELECT *, row_number() OVER (ORDER BY md5('prompts|' || prompt_id), prompt_id) AS k FROM pk WHERE n_tokens <= 200)""") + "SELECT prompt_id, n_tokens FROM rk WHERE k <= 500")
+rk AS (SELECT *, row_number() OVER (ORDER BY md5('prompts|' || prompt_id), prompt_id) AS k FROM pk WHERE n_tokens <= 200)""") + "SELECT prompt_id, n_tokens FROM rk WHERE k <= 0.2 * (SELECT count(*) FROM documents)")
 def _(spark, d):
     docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("prompt_id"), "text")
-    return op.filter_overlong(docs, "text", 200, max_samples=500).select("prompt_id", "n_tokens")
+    return op.filter_overlong(docs, "text", 200, share=0.2).select("prompt_id", "n_tokens")

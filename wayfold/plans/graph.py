@@ -9,7 +9,7 @@ from wayfold.plans.catalog import ctes, query, r
 from wayfold.session import materialize
 from wayfold.sources import tables as t
 
-NID = "scene_id || '_' || substr(md5(scene_id || '|' || {}), 1, 12)"
+NID = "scene_id || '_' || md5(scene_id || '|' || {})"
 TR = """tr AS (SELECT a.traj_id, a.turn, a.scene_id, a.state, a.action, b.state AS next_state FROM steps a JOIN steps b ON b.traj_id = a.traj_id AND b.turn = a.turn + 1 WHERE a.action IS NOT NULL)"""
 NODES = f"""nodes AS (SELECT {NID.format('state')} AS id, scene_id, state, traj_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, state ORDER BY traj_id, turn) AS rn
   FROM (SELECT scene_id, state, traj_id, turn FROM tr UNION ALL SELECT scene_id, next_state, traj_id, turn + 1 FROM tr)) WHERE rn = 1)"""
@@ -117,7 +117,7 @@ def _(spark, d):
     return op.filter_low_quality_nodes(n, e.select(v.alias("src"), (v + 1).alias("dst")))[1].select("src", "dst")
 
 
-@query("split_action_edges", ctes(*G, "sp AS (SELECT src, dst, list_transform(string_split(action, '|'), lambda a: trim(a)) AS a, '~' || substr(md5(src || '|' || dst || '|' || action), 1, 12) || '_' AS base FROM edges)",
+@query("split_action_edges", ctes(*G, "sp AS (SELECT src, dst, list_transform(string_split(action, '|'), lambda a: trim(a)) AS a, '~' || md5(src || '|' || dst || '|' || action) || '_' AS base FROM edges)",
                                   "x AS (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM sp)") + """
 SELECT DISTINCT CASE WHEN i = 1 THEN src ELSE base || (i - 1) END AS src, CASE WHEN i = len(a) THEN dst ELSE base || i END AS dst, a[i] AS action FROM x""")
 def _(spark, d):
@@ -281,14 +281,25 @@ def _(spark, d):
     return op.profile_fields(p.select(s, x))
 
 
-@query("grid_regions", """WITH RECURSIVE c AS (SELECT DISTINCT l_orderkey // 100 AS grp, l_partkey % 40 AS x, l_suppkey % 40 AS y FROM lineitem), k AS (SELECT *, grp || ':' || lpad(CAST(x AS VARCHAR), 2, '0') || ':' || lpad(CAST(y AS VARCHAR), 2, '0') AS id FROM c),
+def _regions(grp: str, x: str, y: str) -> str:
+    return f"""WITH RECURSIVE c AS (SELECT DISTINCT {grp} AS grp, {x} AS x, {y} AS y FROM lineitem), k AS (SELECT *, grp || ':' || x || ':' || y AS id FROM c),
 e AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.grp = b.grp AND abs(a.x - b.x) + abs(a.y - b.y) = 1), r(id, r) AS (SELECT id, id FROM k UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.r)
-SELECT id, min(r) AS region FROM r GROUP BY 1""")
+SELECT id, min(r) AS region FROM r GROUP BY 1"""
+
+
+@query("grid_regions", _regions("l_orderkey // 100", "l_partkey % 40", "l_suppkey % 40"))
 def _(spark, d):
     c = t.table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 100).alias("grp"), (F.col("l_partkey") % 40).alias("x"), (F.col("l_suppkey") % 40).alias("y"))
     return op.grid_regions(c)
 
 
+@query("grid_regions_wide", _regions("l_orderkey // 500", "l_partkey - 100", "l_suppkey - 50"))
+def _(spark, d):
+    """Unreduced keys: coordinates below 0 and above 99."""
+    c = t.table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 500).alias("grp"), (F.col("l_partkey") - 100).alias("x"), (F.col("l_suppkey") - 50).alias("y"))
+    return op.grid_regions(c)
+
+
 # --- walks ---------------------------------------------------------------------------------
 SEED, MINL, MAXL, PER, TRY = "walk", 2, 4, 20, 3
 WALKS = f"""nk AS (SELECT scene_id, id, row_number() OVER (PARTITION BY scene_id ORDER BY md5('{SEED}|' || id), id) AS k, count(*) OVER (PARTITION BY scene_id) AS n FROM nodes),

@@ -260,7 +260,7 @@ def _(spark, d):
 
 
 # --- prompt rows ---------------------------------------------------------------------------
-@query("rl_prompt_math", """SELECT doc_id AS idx, text || ' Think.' AS content, CAST(n_chars AS VARCHAR) AS truth, 'math' AS ability FROM documents WHERE doc_id % 4 > 0""")
+@query("rl_prompt_math", """SELECT doc_id AS idx, text || ' Think.' AS content, CASE WHEN doc_id % 4 > 0 THEN CAST(n_chars AS VARCHAR) END AS truth, 'math' AS ability FROM documents""")
 def _(spark, d):
     ans = F.when(F.col("doc_id") % 4 > 0, F.concat("text", F.lit(" #### "), F.format_string("%,d", "n_chars"))).otherwise(F.col("lang"))
     p = op.math_prompts(t.table(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("question"), ans.alias("answer")), "docs", "train", "Think.")

@@ -47,9 +47,9 @@ def _(spark, d):
 
 
 @query("filter_zero_std_groups", ctes(S, GV) + f"""
-SELECT uid, sample_id, {r('reward')} AS reward FROM samples WHERE uid IN (SELECT uid FROM gv WHERE variance > 0 OR n = 1 ORDER BY uid LIMIT 1000000)""")
+SELECT uid, sample_id, {r('reward')} AS reward FROM samples WHERE uid IN (SELECT uid FROM gv WHERE variance > 0 OR n = 1 QUALIFY row_number() OVER (ORDER BY uid) <= 0.4 * (SELECT count(DISTINCT uid) FROM samples))""")
 def _(spark, d):
-    return op.filter_zero_std_groups(t.samples(spark, d), 1000000).select("uid", "sample_id", r6("reward").alias("reward"))
+    return op.filter_zero_std_groups(t.samples(spark, d), 0.4).select("uid", "sample_id", r6("reward").alias("reward"))
 
 
 @query("filter_accuracy_band", ctes(S, """p AS (SELECT uid, avg(acc) BETWEEN 0.2 AND 0.8 AND max(length) < 84 AS passes FROM samples GROUP BY uid)""") + f"""

@@ -111,7 +111,7 @@ _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_s
 def poses(spark: SparkSession, d: str) -> DataFrame:
     """(traj_id, turn, scene_id, tx..rz): the camera poses of an order's lines in sequence."""
     li = table(spark, d, "lineitem")
-    li = numbered(li, ["l_orderkey"], _LINE_ORDER, "turn", F.col("l_linenumber") * 1000000 + F.floor(F.col("l_partkey") / 1000))
+    li = numbered(li, ["l_orderkey"], _LINE_ORDER, "turn", F.col("l_linenumber"))
     return li.select(F.col("l_orderkey").alias("traj_id"), "turn", F.concat(F.lit("scene"), F.floor(F.col("l_orderkey") / 50).cast("string")).alias("scene_id"),
                      (F.col("l_quantity") / 10).alias("tx"), (F.col("l_extendedprice") / 10000).alias("ty"), (F.col("l_tax") * 10).alias("tz"),
                      (F.col("l_discount") * 900).alias("rx"), (F.col("l_quantity") * 7 - 170).alias("ry"), (F.col("l_tax") * 1000 - 40).alias("rz"))
