@@ -14,7 +14,7 @@ from wayfold.llm.arrays import broadcast_if_small, table
 from wayfold.llm.lines import dedup_lines
 from wayfold.llm.minhash import near_duplicates
 from wayfold.llm.mixing import mix
-from wayfold.llm.pieces import decoded, encoded
+from wayfold.llm.pieces import encoded
 from wayfold.llm.quality import fit, held_out, scored
 from wayfold.session import materialize
 
@@ -49,8 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document and copy, and whether decoding gives its text back."""
-    r = decoded(encoded(docs))
-    return r.select(F.col("id").alias("doc_id"), F.size("ids").alias("n_pieces"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return encoded(docs).select(F.col("id").alias("doc_id"), F.size("ids").alias("n_pieces"), "ids", "round_trip")
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicate), ("mixture", mixture), ("tokens", tokens)]

@@ -61,9 +61,12 @@ def test_best_score_of_every_word():
 
 
 def test_texts_are_their_words(spark):
-    rows = [(i, t) for i, t in enumerate(TEXTS + corpus()[:40])] + [(None, "no id"), (7, None), (7, None)]
+    rows = [(i, t) for i, t in enumerate(TEXTS + corpus()[:40])] + [(None, "no id"), (7000, None), (7000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS row")
-    got = pieces.decoded(pieces.encoded(df)).collect()
+    enc = pieces.encoded(df)
+    assert enc.filter("round_trip").count() == len(rows)
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    got = [r.asDict() | {"text": texts[r["id"]]} for r in pieces.decoded(enc).collect()]
     assert len(got) == len(rows)
     assert all(r["decoded"] == (r["text"] or "") for r in got)
     e = pieces.Encoder(pieces.vocabulary())
@@ -76,5 +79,5 @@ def test_empty_table_mark_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pieces.decoded(pieces.encoded(empty)).count() == 0
     marked = pieces.decoded(pieces.encoded(spark.createDataFrame([(1, "a▁b")], "doc_id long, text string"))).first()
-    assert marked["decoded"] == "a b"
+    assert marked["decoded"] == "a b" and not marked["round_trip"]
     assert pieces.decoded(spark.createDataFrame([(1, None)], "id long, ids array<int>")).first()["decoded"] == ""

@@ -22,7 +22,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct words that a task keeps solved between batches.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[bytes | None, float, str]]:
@@ -152,22 +152,39 @@ def _shared(df: DataFrame, path: str):
     return ready(df.sparkSession).sparkContext.broadcast(vocabulary(path))  # bounded by the vocabulary
 
 
+class Decoder:
+    def __init__(self, vocab: list[tuple[bytes | None, float, str]]):
+        raw = [x or b"" for x, _, _ in vocab]
+        self.letters, self.size = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+        self.first = np.append(0, np.cumsum(self.size))[:-1]
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Bytes of each text; the mark put before it goes."""
+        data, begins = _gathered(self.letters, self.first[ids], self.size[ids])
+        data, cut = data.tobytes(), begins[at]
+        return [data[i + (data[i: i + 1] == b" " and i < j): j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:
-    """(id, text, ids): piece ids of every whole text.
+    """(id, ids, round_trip): piece ids of every whole text, and whether decoding them gives it back.
 
-    Null and empty texts have no ids.  As the mark stands for a space, a mark in a text is read as one.
+    Null and empty texts have no ids.  As the mark stands for a space, a mark in a text is read as
+    one (and such a text does not come back).
     """
     shared = _shared(docs, path)
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for b in batches:
             if b.num_rows:
                 ids, at = encoder.encode(b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(ids, at, pa.int32())], ["id", "text", "ids"])
+                data, offsets = flat(b.column(1))
+                raw = data.tobytes()
+                same = [raw[i:j] == x for i, j, x in zip(offsets[:-1].tolist(), offsets[1:].tolist(), decoder.decode(ids, at))]
+                yield pa.RecordBatch.from_arrays([b.column(0), lists(ids, at, pa.int32()), pa.array(same)], ["id", "ids", "round_trip"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, text string, ids array<int>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, round_trip boolean")
 
 
 def decoded(rows: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str = MODEL) -> DataFrame:
@@ -179,19 +196,13 @@ def decoded(rows: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str
     inner = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches):
-        raw = [x or b"" for x, _, _ in shared.value]
-        letters, size = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
-        first = np.append(0, np.cumsum(size))[:-1]
+        decoder = Decoder(shared.value)
         for b in batches:
             if not b.num_rows:
                 continue
             column = b.column(1)
-            ids, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy().astype(np.int64)
-            at = at - at[0]
-            data, begins = _gathered(letters, first[ids], size[ids])
-            data, cut = data.tobytes(), begins[at]
-            # the mark put before the text goes
-            texts = [data[i + (data[i: i + 1] == b" " and i < j): j].decode("utf-8", "replace") for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            at = column.offsets.to_numpy().astype(np.int64)
+            texts = [x.decode("utf-8", "replace") for x in decoder.decode(column.flatten().to_numpy(zero_copy_only=False), at - at[0])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", "decoded"])
 
     return inner.mapInArrow(run, inner.select("row").schema.add("decoded", "string")).select("row.*", "decoded")

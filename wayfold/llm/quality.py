@@ -125,20 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column ``name``: the probability of label 1, for empty and null texts that of the intercept."""
     shared = ready(docs.sparkSession).sparkContext.broadcast(weights)
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
         w = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            places, first = _grams(b.column(1))
-            sums = np.append(0.0, np.cumsum(w[places]))
-            dot = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1) * SCALE + w[FEATURES]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-dot)))], ["row", "s"])
+        places, first = _grams(text)
+        sums = np.append(0.0, np.cumsum(w[places]))
+        dot = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1) * SCALE + w[FEATURES]
+        return pa.array(1 / (1 + np.exp(-dot)))
 
-    schema = inner.select("row").schema.add("s", "double")
-    return inner.mapInArrow(run, schema).select("row.*", F.col("s").alias(name))
+    return docs.withColumn(name, score(F.col(f"`{text_col}`").cast("string")))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

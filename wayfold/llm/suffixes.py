@@ -94,8 +94,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 def transform(sequences: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Burrows-Wheeler transform of one shard: its suffixes in order and the symbol before each.
 
-    Symbols are positive; each sequence gets a closing 0, and equal closings count as equal.
-    Suffixes are sorted by doubling.
+    Symbols are positive; each sequence gets a closing 0, and closings follow the order of their
+    sequences.  Suffixes are sorted by doubling.
     """
     n = len(sequences) + len(lengths)
     text = np.zeros(n, np.int64)
@@ -122,22 +122,24 @@ def merged(one: np.ndarray, two: np.ndarray, steps: int) -> tuple[np.ndarray, np
     """Interleave of two transforms (True: from ``two``) and the common prefix of every suffix with the one before.
 
     Each step sorts the interleave by the symbol before, stably: the suffixes one symbol longer
-    come into order.  It ends when a step changes neither order nor blocks.  Closing symbols of
-    all sequences are taken as equal, so a common prefix ends before them.
+    come into order.  It ends when a step changes neither order nor blocks.  Closing symbols differ
+    from each other and keep the order of their sequences, so a common prefix ends before them.
     """
     n = len(one) + len(two)
+    closed = int((one == 0).sum()), int((two == 0).sum())
     z = np.append(np.zeros(len(one), bool), np.ones(len(two), bool))
     common = np.full(n, -1, np.int64)
-    common[:1] = 0
+    common[:1] = 0  # nothing stands before the first
     block = np.zeros(n, np.int64)
     for step in range(steps):
         symbol = np.empty(n, np.int64)
         symbol[~z], symbol[z] = one, two
         order = np.argsort(symbol, kind="stable")
         s, b = symbol[order], block[order]
-        parts = np.append(False, (s[1:] != s[:-1]) | ((s[1:] != 0) & (b[1:] != b[:-1])))
+        parts = np.append(False, (s[1:] != s[:-1]) | (s[1:] == 0) | (b[1:] != b[:-1]))[:n]
         common[parts & (common < 0)] = step
         now, z2 = np.cumsum(parts), z[order]
+        z2[: sum(closed)] = np.repeat([False, True], closed)
         if (now == block).all() and (z2 == z).all():
             break
         z, block = z2, now
