@@ -72,7 +72,7 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, widened one code early."""
+    """Codes of 9 to 12 bits, most significant bit first, widened one code early (by the reader's table, one entry behind)."""
     bits, held, out = 0, 0, bytearray()
 
     def put(code, width):
@@ -94,14 +94,14 @@ def lzw_encode(data: bytes) -> bytes:
         put(table[word], width)
         table[longer], following = following, following + 1
         word = data[i: i + 1]
-        width = 9 if following < 511 else 10 if following < 1023 else 11 if following < 2047 else 12
+        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
         if following == 4094:
             put(256, width)
             table, following, width = {bytes((i,)): i for i in range(256)}, 258, 9
     if word:
         put(table[word], width)
         following += 1
-        width = 9 if following < 511 else 10 if following < 1023 else 11 if following < 2047 else 12
+        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
     put(257, width)
     if held:
         put(0, 8 - held)
