@@ -29,6 +29,9 @@ PROMPTS = {
     "inverse_edge": "Give the action between the two states.",
     "goal_reach": "Reach the goal state.",
 }
+#: Pieces of the user turns of the text-graph records.
+TURNS = {"now": "You are here:\n", "plan": "\n\nYou will do: ", "which": "\n\nWhere do you end up?\n", "before": "Seen first:\n", "after": "\n\nSeen then:\n",
+         "target": "\n\nYou want to be here:\n", "done": "You did '", "led": "' and are here now:\n", "next": "\n\nWhat do you do next?"}
 
 
 def msg(role: str, content: Column) -> Column:
@@ -312,7 +315,7 @@ def gen_view_difference_mcq(walks: DataFrame, seed: str) -> DataFrame:
 
 def gen_forward_state(walks: DataFrame) -> DataFrame:
     """Text graph: state and action sequence -> final state."""
-    user = text("Current state:\n", at("states", 0), "\n\nAction sequence: ", concat_actions())
+    user = text(TURNS["now"], at("states", 0), TURNS["plan"], concat_actions())
     return _record(walks, F.array(msg("system", F.lit(PROMPTS["forward_state"])), msg("user", user), msg("assistant", text("<prediction>\n", at("states", -1), "\n</prediction>"))))
 
 
@@ -322,7 +325,7 @@ def gen_forward_state_mcq(walks: DataFrame, nodes: DataFrame, seed: str) -> Data
     w = sample_negative_nodes(walks, n, 3, seed).filter(F.size("negatives") >= 3)
     st = w.select(*WALK, F.posexplode("negatives").alias("p", "id")).join(nodes.select("id", F.col("state").alias("_s")), "id").groupBy(*WALK).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "_s"))), lambda x: x["_s"]).alias("negatives"))
     w = with_options(w.drop("negatives").join(st, WALK), at("states", -1), seed)
-    user = text("Current state:\n", at("states", 0), "\n\nAction sequence: ", concat_actions(), "\n\nWhich state results?\n", lettered())
+    user = text(TURNS["now"], at("states", 0), TURNS["plan"], concat_actions(), TURNS["which"], lettered())
     return _record(w, F.array(msg("system", F.lit(PROMPTS["forward_state"])), msg("user", user), msg("assistant", F.col("letter"))))
 
 
@@ -331,17 +334,17 @@ def gen_inverse_edge(edges: DataFrame, nodes: DataFrame, n: int, seed: str) -> D
     e = hash_ranked(edges, [], seed, ["src", "dst", "action"], "walk").filter(F.col("walk") <= n)
     a, b = nodes.select(F.col("id").alias("src"), "scene_id", F.col("state").alias("sa")), nodes.select(F.col("id").alias("dst"), F.col("state").alias("sb"))
     w = e.join(a, "src").join(b, "dst")
-    user = text("Initial state:\n", F.col("sa"), "\n\nResulting state:\n", F.col("sb"))
+    user = text(TURNS["before"], F.col("sa"), TURNS["after"], F.col("sb"))
     return _record(w, F.array(msg("system", F.lit(PROMPTS["inverse_edge"])), msg("user", user), msg("assistant", F.col("action"))))
 
 
 def gen_goal_reach(walks: DataFrame) -> DataFrame:
     """Text graph: dialogue from the first to the last state, ending with the last action."""
-    ask = "\n\nDecide your next action(s)."
-    first = text("Initial state:\n", at("states", 0), "\n\nGoal state:\n", at("states", -1), "\n\nCurrent state:\n", at("states", 0), ask)
+    ask = TURNS["next"]
+    first = text(TURNS["now"], at("states", 0), TURNS["target"], at("states", -1), ask)
 
     def turn(a, i):
-        later = text("After action '", F.get("actions", i - 1), "', current state:\n", F.get("states", i), ask)
+        later = text(TURNS["done"], F.get("actions", i - 1), TURNS["led"], F.get("states", i), ask)
         return F.array(msg("user", F.when(i == 0, first).otherwise(later)), msg("assistant", a))
     return _record(walks, F.concat(F.array(msg("system", F.lit(PROMPTS["goal_reach"]))), F.flatten(F.transform("actions", turn))))
 

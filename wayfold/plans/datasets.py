@@ -205,7 +205,7 @@ def _(spark, d):
     return flat(op.gen_view_difference_mcq(annotated(spark, d)[2], "vd"), F.col("n_steps").cast("long").alias("n_steps"))
 
 
-FWD = "'Current state:' || chr(10) || states[1] || chr(10) || chr(10) || 'Action sequence: ' || cat"
+FWD = "'You are here:' || chr(10) || states[1] || chr(10) || chr(10) || 'You will do: ' || cat"
 
 
 @query("gen_forward_state", ctes(*B) + f"""SELECT scene_id, walk, {rec(sysm('forward_state'), m('user', FWD), m('assistant', "'<prediction>' || chr(10) || states[-1] || chr(10) || '</prediction>'"))} AS record, '' AS images FROM aw""")
@@ -215,14 +215,14 @@ def _(spark, d):
 
 @query("gen_forward_state_mcq", ctes(*B, neg_nodes("fwd", "im"), "ns AS (SELECT ng.scene_id, walk, list(state ORDER BY p) AS negs FROM (SELECT scene_id, walk, unnest(negs) AS id, generate_subscripts(negs, 1) AS p FROM ng WHERE len(negs) >= 3) ng JOIN (SELECT id, state FROM im) USING (id) GROUP BY ALL)",
                                      "fs AS (SELECT aw.*, negs FROM aw JOIN ns USING (scene_id, walk))", options("fs", "states[-1]", "fwd")) + f"""
-SELECT scene_id, walk, {rec(sysm('forward_state'), m('user', FWD + " || chr(10) || chr(10) || 'Which state results?' || chr(10) || " + LET), m('assistant', 'letter'))} AS record, '' AS images FROM op""")
+SELECT scene_id, walk, {rec(sysm('forward_state'), m('user', FWD + " || chr(10) || chr(10) || 'Where do you end up?' || chr(10) || " + LET), m('assistant', 'letter'))} AS record, '' AS images FROM op""")
 def _(spark, d):
     n, e, w = annotated(spark, d)
     return flat(op.gen_forward_state_mcq(w, n, "fwd"))
 
 
 @query("gen_inverse_edge", ctes(*G, """ie AS (SELECT *, row_number() OVER (ORDER BY md5('inv|' || src || '|' || dst || '|' || action), src, dst, action) AS walk FROM edges)""") + f"""
-SELECT a.scene_id, walk, {rec(sysm('inverse_edge'), m('user', "'Initial state:' || chr(10) || a.state || chr(10) || chr(10) || 'Resulting state:' || chr(10) || b.state"), m('assistant', 'action'))} AS record, '' AS images
+SELECT a.scene_id, walk, {rec(sysm('inverse_edge'), m('user', "'Seen first:' || chr(10) || a.state || chr(10) || chr(10) || 'Seen then:' || chr(10) || b.state"), m('assistant', 'action'))} AS record, '' AS images
 FROM ie JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE walk <= 2000""")
 def _(spark, d):
     n, e = graph(spark, d)
@@ -230,8 +230,8 @@ def _(spark, d):
 
 
 @query("gen_goal_reach", ctes(*B, """gr AS (SELECT aw.*, unnest(range(1, len(actions) + 1)) AS i FROM aw)""", """
-gb AS (SELECT scene_id, walk, string_agg('user: ' || CASE WHEN i = 1 THEN 'Initial state:' || chr(10) || states[1] || chr(10) || chr(10) || 'Goal state:' || chr(10) || states[-1] || chr(10) || chr(10) || 'Current state:' || chr(10) || states[1]
-  ELSE 'After action ''' || actions[i - 1] || ''', current state:' || chr(10) || states[i] END || chr(10) || chr(10) || 'Decide your next action(s).' || chr(10) || '--' || chr(10) || 'assistant: ' || actions[i], chr(10) || '--' || chr(10) ORDER BY i) AS body FROM gr GROUP BY ALL)""") + f"""
+gb AS (SELECT scene_id, walk, string_agg('user: ' || CASE WHEN i = 1 THEN 'You are here:' || chr(10) || states[1] || chr(10) || chr(10) || 'You want to be here:' || chr(10) || states[-1]
+  ELSE 'You did ''' || actions[i - 1] || ''' and are here now:' || chr(10) || states[i] END || chr(10) || chr(10) || 'What do you do next?' || chr(10) || '--' || chr(10) || 'assistant: ' || actions[i], chr(10) || '--' || chr(10) ORDER BY i) AS body FROM gr GROUP BY ALL)""") + f"""
 SELECT scene_id, walk, {rec(sysm('goal_reach'), 'body')} AS record, '' AS images FROM gb""")
 def _(spark, d):
     return flat(op.gen_goal_reach(annotated(spark, d)[2]))
