@@ -72,35 +72,29 @@ def rarity(walks: DataFrame) -> DataFrame:
 def balanced_select(walks: DataFrame, target: int, seed: str, max_share: float = MAX_ACTION_SHARE) -> DataFrame:
     """Per scene: greedy by rarity while no action exceeds its share of the running total, then filled up.
 
-    The greedy pass is sequential, so it runs as a grouped pandas function; a scene brings at
-    most ``OVERSAMPLE * target`` candidates by the sampler's own bound.
+    The greedy pass is a fold over a scene's candidates in order.  A scene may bring at most
+    ``OVERSAMPLE * target`` of them, what the sampler is asked for; more are an error, never cut.
     """
     s = rarity(walks).withColumn("tie", hash_of(seed, *WALK))
-    s = s.select(*WALK, "rarity", "tie", F.to_json("counts").alias("counts"))
-
-    def pick(pdf):
-        import json
-
-        pdf = pdf.sort_values(["rarity", "tie"], ascending=[False, True]).reset_index(drop=True)
-        totals, n, chosen = {}, 0, []
-        for i, raw in enumerate(pdf["counts"]):
-            if len(chosen) == target:
-                break
-            counts = json.loads(raw)
-            new = n + sum(counts.values())
-            if all((totals.get(a, 0) + c) / new <= max_share for a, c in counts.items()):
-                chosen.append(i)
-                n = new
-                for a, c in counts.items():
-                    totals[a] = totals.get(a, 0) + c
-        held = set(chosen)
-        chosen += [i for i in range(len(pdf)) if i not in held][:target - len(chosen)]
-        out = pdf.loc[chosen, ["scene_id", "walk", "rarity"]].copy()
-        out["pick"] = range(1, len(out) + 1)
-        return out
-
-    p = s.groupBy("scene_id").applyInPandas(pick, "scene_id string, walk long, rarity double, pick long")
-    return walks.join(p, WALK)
+    most = OVERSAMPLE * target
+    n = s.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
+    n = n.filter(F.when(F.col("n") > most, F.raise_error(F.concat(F.lit(f"more than {most} candidate walks in scene "), F.col("scene_id").cast("string"))).cast("boolean")).otherwise(True))
+    c = F.struct((-F.col("rarity")).alias("low"), "tie", "walk", F.array_sort(F.map_entries("counts")).alias("counts"))
+    g = s.join(n, "scene_id").groupBy("scene_id").agg(F.array_sort(F.collect_list(c)).alias("cs"))
+    empty = F.struct(F.create_map().cast("map<string,bigint>").alias("used"), F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("walks"))
+
+    def step(st, x):
+        own = F.map_from_entries(x["counts"])
+        n = st["n"] + F.aggregate(x["counts"], F.lit(0).cast("long"), lambda t, e: t + e["value"])
+        fits = F.forall(x["counts"], lambda e: (F.coalesce(F.try_element_at(st["used"], e["key"]), F.lit(0)) + e["value"]) / n <= max_share)
+        used = F.map_zip_with(st["used"], own, lambda k, a, b: F.coalesce(a, F.lit(0).cast("long")) + F.coalesce(b, F.lit(0).cast("long")))
+        took = F.struct(used.alias("used"), n.alias("n"), F.array_append(st["walks"], x["walk"]).alias("walks"))
+        return F.when(fits & (F.size(st["walks"]) < target), took).otherwise(st)
+
+    g = g.withColumn("first", F.aggregate("cs", empty, step)["walks"])
+    rest = F.filter(F.transform("cs", lambda x: x["walk"]), lambda w: ~F.array_contains("first", w))
+    g = g.select("scene_id", F.posexplode(F.slice(F.concat("first", rest), 1, target)).alias("pick", "walk")).withColumn("pick", (F.col("pick") + 1).cast("long"))
+    return walks.join(g.join(s.select(*WALK, "rarity"), WALK), WALK)
 
 
 def path_kind() -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import pose
-from wayfold.functions.ordering import average_ranked, hash_of, ranked_running
+from wayfold.functions.ordering import hash_of, ranked_running
 from wayfold.functions.stats import one
 from wayfold.session import materialize
 
@@ -207,16 +207,20 @@ def geometric_factors(views: DataFrame) -> DataFrame:
 
 def factor_correlation(episodes: DataFrame, factors: DataFrame, min_n: int = 10) -> DataFrame:
     """Spearman correlation of each factor with success per model and task; 0 if short or constant."""
-    j = materialize(episodes.select("model", "task", "sample_id", F.col("success").cast("double").alias("s")).join(factors, "sample_id"))  # read three times
+    j = materialize(episodes.select("model", "task", "sample_id", F.col("success").cast("double").alias("s")).join(factors, "sample_id"))  # read twice
     long = j.select("model", "task", "s", F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("x")) for c in FACTORS])))
     long = long.filter(F.col("x").isNotNull() & ~F.isnan("x"))
     key = ["model", "task", "factor"]
-    ranks = average_ranked(long, key, "x", "rx")
-    hits = long.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("pos"))
-    # success is 0/1, so its average ranks follow from the counts alone
-    ranks = ranks.join(hits, key).withColumn("rs", F.when(F.col("s") == 1, F.col("n") - (F.col("pos") - 1) / 2).otherwise((F.col("n") - F.col("pos") + 1) / 2))
-    g = ranks.groupBy(*key).agg(F.max("n").alias("n"), F.covar_pop("rx", "rs").alias("c"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("rs").alias("ss"))
-    rho = F.when((F.col("n") < min_n) | (F.col("sx") == 0) | (F.col("ss") == 0), 0.0).otherwise(F.try_divide("c", F.col("sx") * F.col("ss")))
+    counts = long.groupBy(*key, "x").agg(F.count(F.lit(1)).alias("k"), F.sum("s").alias("hits"))
+    r = ranked_running(counts, key, ["x"], "_r", {"_upto": "k"})
+    total = counts.groupBy(*key).agg(F.sum("k").alias("n"), F.sum("hits").alias("pos"))
+    # success is 0/1, so its average ranks follow from the counts alone; ranks are taken from their mean
+    mean = (F.col("n") + 1) / 2
+    rank, hit, miss = F.col("_upto") - (F.col("k") - 1) / 2 - mean, F.col("n") - (F.col("pos") - 1) / 2 - mean, (F.col("n") - F.col("pos") + 1) / 2 - mean
+    g = r.join(total, key).groupBy(*key).agg(F.max("n").alias("n"), F.max("pos").alias("pos"), F.sum(F.col("k") * rank * rank).alias("xx"), F.sum(rank * (F.col("hits") * hit + (F.col("k") - F.col("hits")) * miss)).alias("xs"))
+    ss = F.col("pos") * hit * hit + (F.col("n") - F.col("pos")) * miss * miss
+    flat = (F.col("xx") == 0) | (F.col("pos") == 0) | (F.col("pos") == F.col("n"))
+    rho = F.when((F.col("n") < min_n) | flat, 0.0).otherwise(F.try_divide("xs", F.sqrt(F.col("xx") * ss)))
     return g.select(*key, "n", rho.alias("rho"))
 
 
@@ -234,15 +238,15 @@ def inferred_success(episodes: DataFrame, observed: DataFrame, targets: DataFram
     return g.withColumn("n_success_inferred", inferred).withColumn("inferred_rate", F.when(F.col("n_success") > 0, inferred / F.nullif("n_success", F.lit(0))).otherwise(0.0))
 
 
+# The names of the failure categories.
 CATEGORIES = ("no_answer", "snap_answer", "orientation_flip", "both_off", "position_off_only", "rotation_off_only")
 
 
 def failure_category(metres: float = 0.5, degrees: float = 30.0, flip: float = 150.0) -> Column:
-    """First matching failure category of an episode."""
-    p, a = F.col("pos_err_m"), F.col("ang_err_deg")
-    return (F.when(~F.col("answered") | p.isNull() | a.isNull(), "no_answer").when(F.col("answer_turn") == 0, "snap_answer")
-            .when(a >= flip, "orientation_flip").when((p > metres) & (a > degrees), "both_off")
-            .when((p > metres) & (a <= degrees), "position_off_only").when((p <= metres) & (a > degrees), "rotation_off_only").otherwise("both_off"))
+    """Failure category of an episode: unanswered and rash ones first, then by which of the two errors is too large."""
+    far, turned = F.col("pos_err_m") > metres, F.col("ang_err_deg") > degrees
+    off = F.when(far == turned, "both_off").when(far, "position_off_only").otherwise("rotation_off_only")
+    return F.when(~F.col("answered") | far.isNull() | turned.isNull(), "no_answer").when(F.col("answer_turn") == 0, "snap_answer").when(F.col("ang_err_deg") >= flip, "orientation_flip").otherwise(off)
 
 
 def failure_partition(episodes: DataFrame) -> DataFrame:

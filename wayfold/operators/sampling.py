@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.functions.ordering import hash_int, hash_of, hash_ranked, position_chunk, numbered
+from wayfold.functions.ordering import hash_int, hash_of, hash_ranked, numbered, ranked
 from wayfold.functions.stats import one, with_group
 
 
@@ -64,7 +64,7 @@ def reweight_dataset(df: DataFrame, idx: str, size: int | None = None, weight: f
     for k in (size, None if weight is None else int((size if size is not None else n) * weight)):
         if k is None:
             continue
-        rows = numbered(df, [], [idx], "_i", position_chunk(idx))
+        rows = ranked(df, [], [idx], "_i").withColumn("_i", F.col("_i") - 1)
         draws = df.sparkSession.range(1, k + 1).withColumnRenamed("id", "draw")
         draws = draws.withColumn("_i", hash_int(hash_of(seed, "draw")) % n)
         df, n, idx = draws.join(rows.drop("draw"), "_i").drop("_i"), k, "draw"
@@ -84,7 +84,7 @@ def mix_datasets(parts: dict[str, DataFrame], idx: str, strategy: str = "concat"
         return cat
     probs = probs or [1.0 / len(parts)] * len(parts)
     p = F.element_at(F.create_map(*[x for n, q in zip(parts, probs) for x in (F.lit(n), F.lit(float(q)))]), F.col("_dataset_name"))
-    rows = numbered(cat, ["_dataset_name"], [idx], "_i", position_chunk(idx), start=1).withColumn("_p", p)
+    rows = ranked(cat, ["_dataset_name"], [idx], "_i").withColumn("_p", p)
     size = cat.groupBy("_dataset_name").agg(F.count(F.lit(1)).alias("_n")).withColumn("_end", F.col("_n") / p)
     ends = one(size.agg(F.min("_end").alias("first"), F.max("_end").alias("last")))
     if strategy == "interleave_under":

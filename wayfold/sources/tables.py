@@ -135,11 +135,11 @@ VIEW_PAIRS_SQL = POSES_SQL + ",\nview_pairs AS (SELECT traj_id AS sample_id, " +
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
     """Tagged answers over whole documents, with a gold text and a gold number."""
-    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     return j.select("doc_id", F.col("source").alias("data_source"), "quality", F.concat(
         F.lit("<think>"), "text", F.lit("</think><answer>The "), "lang", F.lit("</answer> #### "), (F.col("n_chars") % 7).cast("string")).alias("response"),
         F.when(F.col("quality") == 1, F.col("lang")).otherwise("xx").alias("gold_text"), (F.col("n_chars") % 5).cast("string").alias("gold_num"))
 
 
 RESPONSES_SQL = """responses AS (SELECT d.doc_id, d.source AS data_source, quality, '<think>' || d.text || '</think><answer>The ' || d.lang || '</answer> #### ' || CAST(d.n_chars % 7 AS VARCHAR) AS response,
-  CASE WHEN l.quality = 1 THEN d.lang ELSE 'xx' END AS gold_text, CAST(d.n_chars % 5 AS VARCHAR) AS gold_num FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+  CASE WHEN l.quality = 1 THEN d.lang ELSE 'xx' END AS gold_text, CAST(d.n_chars % 5 AS VARCHAR) AS gold_num FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
