@@ -137,11 +137,10 @@ def test_packbits_example():
     assert media.packbits_decode(packed, 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
 
 
-def test_media_of_texts(spark, monkeypatch):
-    monkeypatch.setattr(media, "PAGE_ROWS", 8)
+def test_media_of_texts(spark):
     given = ["", None, "a", "x" * 64, "é" * 400, "q" * 2000, "a"]
     df = spark.createDataFrame([(i, t, "m") for i, t in enumerate(given)] + [(None, "a", "m")], "doc_id long, text string, media string")
-    files = media.stored(df)
+    files = media.stored(df, page_rows=8)
     got = media.features(files).collect()
     assert len(got) == len(given) + 1
     for r in got:

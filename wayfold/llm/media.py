@@ -224,20 +224,20 @@ def read_tiff(data: bytes) -> Iterator[np.ndarray]:
         yield image[:height, :width]
 
 
-def text_pages(raw: bytes) -> list[np.ndarray]:
+def text_pages(raw: bytes, page_rows: int = PAGE_ROWS) -> list[np.ndarray]:
     """A text's bytes, padded with 0 to a positive multiple of 64, as pages 64 samples wide."""
     size = max(64, -(-len(raw) // 64) * 64)
     rows = np.frombuffer(raw.ljust(size, b"\0"), np.uint8).reshape(-1, ROW)
-    return [rows[k: k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)]
+    return [rows[k: k + page_rows] for k in range(0, len(rows), page_rows)]
 
 
-def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_rows: int = PAGE_ROWS) -> DataFrame:
     """(id, n_bytes, media): every whole text as a TIFF file; null is empty."""
 
     def run(batches):
         for b in batches:
             raw = [x or b"" for x in b.column(1).to_pylist()]
-            media = [write_tiff(text_pages(x), DEFLATE, predictor=1) for x in raw]
+            media = [write_tiff(text_pages(x, page_rows), DEFLATE) for x in raw]
             if media:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
