@@ -17,7 +17,8 @@ WALK = ["scene_id", "walk"]
 LETTERS = "ABCD"
 # The axis each atomic action moves along, as (plus, minus) pairs.
 AXES = [("move_forward", "move_backward"), ("move_right", "move_left"), ("move_up", "move_down"), ("turn_right", "turn_left"), ("look_up", "look_down"), ("rotate_cw", "rotate_ccw")]
-OVERSAMPLE = 5
+#: Candidate walks of one scene that a selection folds over.
+MOST_CANDIDATES = 10_000
 MAX_ACTION_SHARE = 0.15
 PROMPTS = {
     "action_gen": "Name the actions that lead from the first view to the second.",
@@ -73,12 +74,11 @@ def balanced_select(walks: DataFrame, target: int, seed: str, max_share: float =
     """Per scene: greedy by rarity while no action exceeds its share of the running total, then filled up.
 
     The greedy pass is a fold over a scene's candidates in order.  A scene may bring at most
-    ``OVERSAMPLE * target`` of them, what the sampler is asked for; more are an error, never cut.
+    ``MOST_CANDIDATES`` of them (the sampler's ``per_scene`` bounds them); more are an error, never cut.
     """
     s = rarity(walks).withColumn("tie", hash_of(seed, *WALK))
-    most = OVERSAMPLE * target
     n = s.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
-    n = n.filter(F.when(F.col("n") > most, F.raise_error(F.concat(F.lit(f"more than {most} candidate walks in scene "), F.col("scene_id").cast("string"))).cast("boolean")).otherwise(True))
+    n = n.filter(F.when(F.col("n") > MOST_CANDIDATES, F.raise_error(F.concat(F.lit(f"more than {MOST_CANDIDATES} candidate walks in scene "), F.col("scene_id").cast("string"))).cast("boolean")).otherwise(True))
     c = F.struct((-F.col("rarity")).alias("low"), "tie", "walk", F.array_sort(F.map_entries("counts")).alias("counts"))
     g = s.join(n, "scene_id").groupBy("scene_id").agg(F.array_sort(F.collect_list(c)).alias("cs"))
     empty = F.struct(F.create_map().cast("map<string,bigint>").alias("used"), F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("walks"))

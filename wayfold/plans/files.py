@@ -2,8 +2,6 @@
 
 import uuid
 
-import pandas as pd
-
 from pyspark.sql import functions as F
 
 from wayfold import registry
@@ -13,13 +11,13 @@ from wayfold.plans.catalog import ctes, query, r
 from wayfold.plans.evaluation import rounded
 from wayfold.plans.graph import G, graph, transitions
 from wayfold.plans.rewards import G as GROUP
-from wayfold.session import scratch_dir
+from wayfold.session import scratch_path
 from wayfold.sources import files as io, tables as t
 from wayfold.streaming import incremental as inc
 
 
 def fresh(spark, name):
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 @query("scan_rollout_jsonl", f"SELECT doc_id // 100 AS step, count(*) AS n, {r('avg(doc_id % 10)')} AS score, max(length(text)) AS longest FROM documents WHERE doc_id % 10 > 0 GROUP BY 1")
@@ -47,18 +45,18 @@ def _(spark, d):
 
 
 @query("load_dataset_auto", """SELECT CASE WHEN lang = 'en' THEN 'a' WHEN lang = 'fr' THEN 'b' WHEN lang = 'de' THEN 'c' ELSE 'd' END AS _dataset_name, CASE WHEN lang IN ('en', 'fr', 'de') THEN doc_id END AS doc_id,
-  CASE WHEN lang IN ('en', 'fr') THEN text END AS text, CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN source END AS value FROM documents""")
+  CASE WHEN lang IN ('en', 'fr', 'de') THEN text END AS text, CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN source END AS value FROM documents""")
 def _(spark, d):
     path, docs = fresh(spark, "data"), t.table(spark, d, "documents")
     docs.filter("lang = 'en'").select("doc_id", "text").write.json(f"{path}/a.jsonl")
     docs.filter("lang = 'fr'").select("doc_id", "text").write.parquet(f"{path}/b.parquet")
-    docs.filter("lang = 'de'").select("doc_id").write.option("header", "true").csv(f"{path}/c.csv")
+    docs.filter("lang = 'de'").select("doc_id", "text").write.option("header", "true").option("escape", '"').csv(f"{path}/c.csv")
     docs.filter("lang NOT IN ('en', 'fr', 'de')").select(F.col("source").alias("value")).write.text(f"{path}/d.txt")
     src = {n: f"{path}/{f}" for n, f in (("a", "a.jsonl"), ("b", "b.parquet"), ("c", "c.csv"), ("d", "d.txt"))}
-    return io.load_dataset_auto(spark, src, {"a": "doc_id long, text string", "c": "doc_id long"}).select("_dataset_name", "doc_id", "text", "value")
+    return io.load_dataset_auto(spark, src, {"a": "doc_id long, text string", "c": "doc_id long, text string"}, multi_line=True).select("_dataset_name", "doc_id", "text", "value")
 
 
-@query("write_sft_datasets", """SELECT lang AS dataset, lang || '.jsonl' AS file_name, CASE WHEN lang = 'de' THEN 'alpaca' ELSE 'sharegpt' END AS formatting, count(*) AS n_records FROM documents GROUP BY ALL""")
+@query("write_sft_datasets", """SELECT lang AS dataset, lang || '.jsonl' AS file_name, CASE WHEN lang = 'de' THEN 'alpaca' ELSE 'sharegpt' END AS formatting, CASE WHEN lang <> 'de' THEN 'messages' END AS messages, count(*) AS n_records FROM documents GROUP BY ALL""")
 def _(spark, d):
     docs, sets = t.table(spark, d, "documents"), {}
     for lang in ("en", "fr", "es", "de", "none"):
@@ -154,6 +152,9 @@ def _(spark, d):
 
 @query("custom_scorer", f"SELECT doc_id, {r('length(text) / n_chars')} AS score FROM documents")
 def _(spark, d):
-    def ratio(text: pd.Series, n: pd.Series) -> pd.Series:
-        return text.str.len() / n
-    return t.table(spark, d, "documents").select("doc_id", r6(registry.vectorised(ratio)("text", "n_chars")).alias("score"))
+    registry.register("scorer", "fullness")(_fullness)
+    return t.table(spark, d, "documents").select("doc_id", r6(registry.get("scorer", "fullness")("text", "n_chars")).alias("score"))
+
+
+def _fullness(text: str, n: str):
+    return F.length(text) / F.col(n)

@@ -55,6 +55,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A place in this process's part of the scratch folder, which ``clear_scratch`` deletes."""
+    return f"{scratch_dir(spark)}/{_run}/{name}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back.
 
@@ -62,7 +67,7 @@ def materialize(df: DataFrame) -> DataFrame:
     columns, and gives the optimizer the real size of the intermediate result.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{_run}/{uuid.uuid4().hex}"
+    path = scratch_path(spark, uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -77,5 +82,5 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this process's intermediate tables; call it once the results are written or collected."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{_run}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "").rstrip("/"))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

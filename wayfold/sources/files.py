@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.ordering import hash_int, hash_of, hash_ranked, numbered
+from wayfold.functions.ordering import hash_int, hash_of, hash_ranked
 
 ROLLOUT_SCHEMA = "input string, output string, gts string, score double, step long, reward_scores map<string,double>, _corrupt string"
 EPISODE_SCHEMA = ("rewards array<double>, infos array<map<string,string>>, success boolean, cumulative_reward double, num_turns long, finish_reason string, "
@@ -24,7 +25,11 @@ def scan_rollout_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_o"))
-    raw = numbered(raw, ["file"], ["block", "_o"], "line", F.col("block"))
+    # ids rise by one within a block, so its first id and the lines of the blocks before give the number
+    per = raw.groupBy("file", "block").agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # the blocks of one file
+    per = per.select("file", "block", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    raw = raw.join(per, ["file", "block"]).withColumn("line", F.col("_o") - F.col("_first") + F.col("_before"))
     j = raw.select("file", "line", F.regexp_extract("file", STEP_PATH, 1).try_cast("long").alias("file_step"), "value",
                    F.from_json("value", ROLLOUT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("j"))
     j = j.filter((F.trim("value") != "") & F.col("j._corrupt").isNull() & F.col("j").isNotNull())
@@ -43,9 +48,12 @@ def scan_eval_dump(spark: SparkSession, path: str, layout: str = DUMP_PATH, mult
     return e.select(F.regexp_extract("_f", layout, 1).alias("model"), F.regexp_extract("_f", layout, 2).alias("task"), F.regexp_extract("_f", layout, 3).alias("rollout_id"), *[c for c in e.columns if not c.startswith("_")])
 
 
-def load_dataset_auto(spark: SparkSession, sources: dict[str, str], schemas: dict[str, str] | None = None) -> DataFrame:
-    """Union of named files, each read by its extension and tagged with its name."""
-    readers = {"csv": ("csv", {"header": "true", "multiLine": "true", "escape": '"'}), "json": ("json", {"multiLine": "true"}), "jsonl": ("json", {}), "parquet": ("parquet", {}), "txt": ("text", {}), "text": ("text", {})}
+def load_dataset_auto(spark: SparkSession, sources: dict[str, str], schemas: dict[str, str] | None = None, multi_line: bool = False) -> DataFrame:
+    """Union of named files, each read by its extension and tagged with its name.
+
+    CSV values that hold line ends need ``multi_line``, which makes each file one task.
+    """
+    readers = {"csv": ("csv", {"header": "true", "multiLine": str(multi_line).lower(), "escape": '"'}), "json": ("json", {"multiLine": "true"}), "jsonl": ("json", {}), "parquet": ("parquet", {}), "txt": ("text", {}), "text": ("text", {})}
     frames = []
     for name, path in sources.items():
         ext = path.rstrip("/").rsplit(".", 1)[-1].lower()
@@ -62,22 +70,24 @@ def load_dataset_auto(spark: SparkSession, sources: dict[str, str], schemas: dic
 def write_sft_datasets(datasets: dict[str, DataFrame], path: str, overrides: dict[str, dict] | None = None) -> DataFrame:
     """One folder of JSON lines per dataset and a manifest; empty datasets are skipped, none at all is an error.
 
-    Returns the manifest rows (dataset, file_name, formatting, n_records).
+    The manifest is one JSON object, ``dataset_info``: per dataset the file name, the formatting
+    and the message column, over which an override's keys win.  Returns the same as rows.
     """
     spark = next(iter(datasets.values())).sparkSession
-    rows = []
+    rows, info = [], {}
     for name, df in datasets.items():
-        df.write.mode("overwrite").json(f"{path}/{name}.jsonl")
-        n = spark.read.schema(df.schema).json(f"{path}/{name}.jsonl").count()
-        if n == 0:
+        if df.isEmpty():
             continue
-        fmt = (overrides or {}).get(name, {}).get("formatting") or ("sharegpt" if {"conversations", "messages"} & set(df.columns) else "alpaca")
-        rows.append((name, f"{name}.jsonl", fmt, n))
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{path}/{name}.jsonl")
+        talk = next((c for c in ("conversations", "messages") if c in df.columns), None)
+        entry = {"file_name": f"{name}.jsonl", "formatting": "sharegpt", "columns": {"messages": talk}} if talk else {"file_name": f"{name}.jsonl", "formatting": "alpaca"}
+        info[name] = entry = {**entry, **(overrides or {}).get(name, {})}
+        rows.append((name, entry["file_name"], entry["formatting"], entry.get("columns", {}).get("messages"), seen.get["n"]))
     if not rows:
         raise ValueError("no dataset has any record")
-    manifest = spark.createDataFrame(rows, "dataset string, file_name string, formatting string, n_records long")
-    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/dataset_info")
-    return manifest
+    spark.createDataFrame([(json.dumps(info, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/dataset_info")
+    return spark.createDataFrame(rows, "dataset string, file_name string, formatting string, messages string, n_records long")
 
 
 def _stored(spark: SparkSession, path: str, below: int | None = None) -> tuple[DataFrame, DataFrame, int] | None:
