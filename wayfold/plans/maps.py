@@ -75,9 +75,17 @@ def _(spark, d):
     return rounded(op.pearson(_pearson_rows(spark, d), "task", "x", "y"), "r", "t")
 
 
-@query("pearson_p_values")
+# p value of (t, n): continued fraction of the incomplete beta function, list_reduce folds from its last term
+_TERM = "1 + (-(a + m - 1) * (a + b + m - 1) * z / ((a + 2 * m - 2) * (a + 2 * m - 1))) / (1 + (m * (b - m) * z / ((a + 2 * m - 1) * (a + 2 * m))) / f)"
+PV = f"""ps AS (SELECT task, count(*) AS n, corr(x, y) AS r FROM pr WHERE y IS NOT NULL GROUP BY 1), px AS (SELECT *, (n - 2) / 2 AS h, 1 - r * r AS x FROM ps),
+pz AS (SELECT *, x >= (h + 1) / (h + 2.5) AS turn, CASE WHEN x >= (h + 1) / (h + 2.5) THEN 0.5::DOUBLE ELSE h END AS a, CASE WHEN x >= (h + 1) / (h + 2.5) THEN h ELSE 0.5::DOUBLE END AS b, CASE WHEN x >= (h + 1) / (h + 2.5) THEN 1 - x ELSE x END AS z FROM px),
+pt AS (SELECT *, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(z) + b * ln(1 - z)) / a / list_reduce(list_prepend(1.0::DOUBLE, list_transform(range({op.TERMS}, 0, -1), lambda k: CAST(k AS DOUBLE))), lambda f, m: {_TERM}) AS tail FROM pz),
+pp AS (SELECT task, n, r, CASE WHEN turn THEN 1 - tail ELSE tail END AS p FROM pt)"""
+
+
+@query("pearson_p_values", ctes(PR, PV) + f"SELECT task, n, {r('r')} AS r, {r('p')} AS p, p < 0.05 AS significant FROM pp")
 def _(spark, d):
-    return op.pearson_table(_pearson_rows(spark, d), "task", "x", "y")
+    return rounded(op.pearson_table(_pearson_rows(spark, d), "task", "x", "y"), "r", "p")
 
 
 CELLS = """pd AS (SELECT DISTINCT l_orderkey // 100 AS grp, l_partkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem WHERE l_returnflag <> 'R'),
