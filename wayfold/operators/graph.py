@@ -213,23 +213,23 @@ def drop_redundant_edges(edges: DataFrame) -> DataFrame:
     """Drop edges that another path of at least two hops and no greater cost replaces.
 
     The cost of an edge is its number of actions, so only edges of cost two and more can go.
-    Each candidate explores within its own budget; the last hop is an equi-join on (node,
-    target), so nothing is expanded that cannot return in time.  All candidates are decided
-    at once: paths that replace an edge consist of cheaper ones, so the order is irrelevant.
+    Distances are searched once for each source, within the largest cost of its edges, and serve
+    all of them; the last hop is an equi-join.  All edges are decided at once: paths that replace
+    an edge consist of cheaper ones, so the order is irrelevant.
     """
     e = edges.groupBy("src", "dst").agg(F.min(F.struct("n_actions", "action")).alias("w")).select("src", "dst", "w.action", F.col("w.n_actions").alias("cost"))
     e = materialize(e)
     step = e.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.col("cost").alias("c"))
-    front = materialize(e.filter("cost >= 2").select("src", "dst", "cost", F.col("src").alias("x"), F.lit(0).cast("long").alias("spent")))
-    bad = e.select("src", "dst").limit(0)
+    budget = materialize(e.filter("cost >= 2").groupBy("src").agg(F.max("cost").alias("most")))
+    front = dist = materialize(e.join(budget, "src").filter("cost < most AND src <> dst").select("src", F.col("dst").alias("x"), F.col("cost").alias("spent")))
     while front.take(1):
-        nxt = front.filter("spent + 2 <= cost").join(step, "x").filter("spent + c < cost AND y <> dst AND y <> src")
-        nxt = nxt.groupBy("src", "dst", "cost", F.col("y").alias("x")).agg(F.min(F.col("spent") + F.col("c")).alias("spent"))
-        nxt = materialize(nxt)
-        closing = nxt.join(step.withColumnRenamed("y", "dst"), ["x", "dst"]).filter("spent + c <= cost").select("src", "dst").distinct()
-        bad = materialize(bad.unionByName(closing))
-        front = materialize(nxt.join(bad, ["src", "dst"], "left_anti"))
-    return e.join(bad.distinct(), ["src", "dst"], "left_anti").select("src", "dst", "action", F.col("cost").alias("n_actions"))
+        nxt = front.join(budget, "src").join(step, "x").filter("spent + c < most AND y <> src").groupBy("src", F.col("y").alias("x")).agg(F.min(F.col("spent") + F.col("c")).alias("spent"))
+        old = dist.withColumnRenamed("spent", "old")
+        front = materialize(nxt.join(old, ["src", "x"], "left").filter("old IS NULL OR spent < old").select("src", "x", "spent"))
+        dist = materialize(dist.unionByName(front).groupBy("src", "x").agg(F.min("spent").alias("spent")))
+    paths = dist.join(step, "x").filter("x <> y").groupBy("src", F.col("y").alias("dst")).agg(F.min(F.col("spent") + F.col("c")).alias("other"))
+    bad = e.join(paths, ["src", "dst"]).filter("other <= cost").select("src", "dst")
+    return e.join(bad, ["src", "dst"], "left_anti").select("src", "dst", "action", F.col("cost").alias("n_actions"))
 
 
 def prune_multi_action(edges: DataFrame) -> DataFrame:
