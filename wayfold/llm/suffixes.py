@@ -114,7 +114,7 @@ def transform(sequences: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, n
         if (now == rank).all() or k > WINDOW:
             break
         rank, k = now, 2 * k
-    before = np.where(np.append(True, ~inner[:-1]), 0, np.append(0, text[:-1]))
+    before = np.where(np.append(True, ~inner[:-1]), 0, np.append(0, text[:-1])).astype(sequences.dtype)
     return order, before[order]
 
 
@@ -132,7 +132,7 @@ def merged(one: np.ndarray, two: np.ndarray, steps: int) -> tuple[np.ndarray, np
     common[:1] = 0  # nothing stands before the first
     block = np.zeros(n, np.int64)
     for step in range(steps):
-        symbol = np.empty(n, np.int64)
+        symbol = np.empty(n, one.dtype)
         symbol[~z], symbol[z] = one, two
         order = np.argsort(symbol, kind="stable")
         s, b = symbol[order], block[order]
@@ -150,6 +150,7 @@ def merged(one: np.ndarray, two: np.ndarray, steps: int) -> tuple[np.ndarray, np
 def repeated_intervals(sequences: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """For each symbol the length, in symbols, of the longest sequence from it that starts elsewhere, too."""
     steps = int(lengths.max(initial=0)) + 2
+    sequences = sequences.astype(np.uint16 if sequences.max(initial=0) < 1 << 16 else np.int64)  # short symbols sort fastest
     shards, first = [], 0
     begins = np.append(0, np.cumsum(lengths))
     while first < len(lengths):
@@ -159,12 +160,12 @@ def repeated_intervals(sequences: np.ndarray, lengths: np.ndarray) -> np.ndarray
         shards.append((order + begins[first] + first, before, None))
         first = last
     if len(shards) == 1:  # a transform merged with an empty one tells its own common prefixes
-        shards.append((np.zeros(0, np.int64), np.zeros(0, np.int64), None))
+        shards.append((np.zeros(0, np.int64), np.zeros(0, sequences.dtype), None))
     while len(shards) > 1:
         pairs = []
         for a, b in zip(shards[::2], shards[1::2]):
             z, common = merged(a[1], b[1], steps)
-            order, before = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
+            order, before = np.empty(len(z), np.int64), np.empty(len(z), a[1].dtype)
             order[~z], order[z] = a[0], b[0]
             before[~z], before[z] = a[1], b[1]
             pairs.append((order, before, common))
@@ -263,36 +264,40 @@ def repeated_strings(docs: DataFrame, buckets: int, blocks: int, width: int, fla
         cat = lambda c, k, d: np.frombuffer(b"".join(x.as_py() for x, y in zip(t.column(c), kind) if y == k), d)
         doc, a, b = cat("doc", 1, np.int64), cat("at", 1, np.int64), cat("n", 1, np.int64)
         m, who, at, n = cat("m", 0, np.uint64), cat("doc", 0, np.int64), cat("at", 0, np.int64), cat("n", 0, np.int64)
-        if len(m):
-            data = cat("text", 0, np.uint8)
-            begins = np.append(0, np.cumsum(n - 1 + WINDOW))
-            likely = _candidates(data, begins, n)
-            w = _grams(data, WINDOW)
-            start = np.repeat(begins[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        raw, begins = cat("text", 0, np.uint8).tobytes(), np.append(0, np.cumsum(n - 1 + WINDOW)).tolist()
+        places: dict = {}  # of equal surroundings
+        for key, i, j, place in zip(m.tolist(), begins[:-1], begins[1:], zip(who.tolist(), at.tolist())):
+            places.setdefault((key, raw[i:j]), set()).add(place)
+        several = {k: len(p) > 1 or NOWHERE in {d for d, _ in p} for k, p in places.items()}
+        extra = [(d, x, x + len(k[1])) for k, p in places.items() if several[k] for d, x in p if d != NOWHERE]
+        kinds: dict = {}
+        for k in places:
+            kinds.setdefault(k[0], []).append(k)
+        # surroundings that differ meet the others of their minimizer, if any still has to be settled
+        some = [k for ks in kinds.values() if len(ks) > 1 and not all(several[k] for k in ks) for k in ks]
+        if some:
+            data, n = np.frombuffer(b"".join(k[1] for k in some), np.uint8), np.array([len(k[1]) - WINDOW + 1 for k in some])
+            begins, m = np.append(0, np.cumsum(n - 1 + WINDOW)), np.array([k[0] for k in some], np.uint64)
             own = np.repeat(np.arange(len(m)), n)
-            off = start - begins[own]
-            keep = np.flatnonzero(likely)
-            own, off, h = own[keep], off[keep], mixed(w[start[keep]] ^ m[own[keep]])
-            d, p = who[own], at[own] + off
-            order = np.lexsort((p, d, h))
-            hs, ds, ps = h[order], d[order], p[order]
+            off = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            keep = np.flatnonzero(_candidates(data, begins, n))
+            own, off = own[keep], off[keep]
+            h = mixed(_grams(data, WINDOW)[begins[own] + off] ^ m[own])
+            order = np.lexsort((own, h))
+            hs, us = h[order], own[order]
             new = np.append(True, hs[1:] != hs[:-1])[: len(hs)]
-            group = np.cumsum(new) - 1
             head, tail = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(hs))[: new.sum()] - 1
-            # more than one place, or one that stands for several
-            twice = (ds[head] == NOWHERE) | (ds[head] != ds[tail]) | (ps[head] != ps[tail])
             hit = np.zeros(len(h), bool)
-            hit[order] = twice[group]
-            hit &= d != NOWHERE
+            hit[order] = (us[head] != us[tail])[np.cumsum(new) - 1]
+            hit &= ~np.array([several[k] for k in some])[own]
             own, off = own[hit], off[hit]
-            if len(own):
-                order = np.lexsort((off, own))
-                own, off = own[order], off[order]
-                first = np.append(True, (own[1:] != own[:-1]) | (off[1:] != off[:-1] + 1))
-                x, y = np.flatnonzero(first), np.append(np.flatnonzero(first)[1:], len(own)) - 1
-                doc = np.append(doc, who[own[x]])
-                a = np.append(a, at[own[x]] + off[x])
-                b = np.append(b, at[own[y]] + off[y] + WINDOW)
+            edge = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (off[1:] != off[:-1] + 1))[: len(own)])
+            for x, y in zip(edge, np.append(edge[1:], len(own)) - 1):
+                d, base = next(iter(places[some[own[x]]]))
+                extra.append((d, base + off[x], base + off[y] + WINDOW))
+        if extra:
+            c = np.array(extra, np.int64)
+            doc, a, b = np.append(doc, c[:, 0]), np.append(a, c[:, 1]), np.append(b, c[:, 2])
         return pa.table(_table([r[1:] for r in _packed(0, doc % blocks, doc, a, b)], "block", "doc", "a", "b"))
 
     sent = docs.select("id", "text").mapInArrow(run, "kind int, block int, m binary, doc binary, at binary, n binary, text binary")
