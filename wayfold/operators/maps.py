@@ -32,8 +32,12 @@ def _direction_agreement(objects: DataFrame) -> DataFrame:
     o = objects.select("map_id", "idx", "x", "y", "px", "py").unionByName(origin).withColumn("idx", F.col("idx") + 1)
     item = F.struct("idx", "x", "y", "px", "py")
     b = materialize(o.groupBy("map_id", F.floor(F.col("idx") / BLOCK).alias("block")).agg(F.collect_list(item).alias("items")))
-    left, right = b.select("map_id", F.col("block").alias("ba"), F.col("items").alias("a")), b.select("map_id", F.col("block").alias("bb"), F.col("items").alias("c"))
-    pairs = spread(left.join(right, "map_id").filter("ba <= bb"), "map_id", "ba", "bb")
+    sizes = o.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
+    last = b.join(sizes.select("map_id", F.floor((F.col("n") - 1) / BLOCK).alias("last")), "map_id")
+    # every pair of blocks is a key of its own, so a large map is spread before its blocks meet
+    left = last.select("map_id", F.col("block").alias("ba"), F.explode(F.sequence("block", "last")).alias("bb"), F.col("items").alias("a"))
+    right = last.select("map_id", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("ba"), F.col("block").alias("bb"), F.col("items").alias("c"))
+    pairs = spread(left, "map_id", "ba", "bb").join(spread(right, "map_id", "ba", "bb"), ["map_id", "ba", "bb"])
 
     def agrees(p, q):
         true = direction_bin(p["x"] - q["x"], p["y"] - q["y"])
@@ -43,7 +47,6 @@ def _direction_agreement(objects: DataFrame) -> DataFrame:
         return F.aggregate("c", F.lit(0), lambda acc, q: acc + agrees(p, q))
     found = pairs.select("map_id", F.aggregate("a", F.lit(0), lambda acc, p: acc + row(p)).alias("ok"))
     n = F.max("n")
-    sizes = o.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
     return found.join(sizes, "map_id").groupBy("map_id").agg((n * (n - 1) / 2).alias("n_pairs"), F.sum("ok").alias("n_agree"))
 
 

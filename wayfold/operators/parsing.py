@@ -202,16 +202,17 @@ def explode_turns(records: DataFrame, recent_k: int) -> DataFrame:
 
     Records are rows of ``(record_id, messages, images)``; a sub-record is a slice, so no join is made.
     """
-    r = records.withColumn("_target", F.explode(F.filter(F.transform("messages", lambda m, i: F.when(m["role"] == "assistant", i + 1)), lambda x: x.isNotNull())))
-
-    def count(role):
-        return F.size(F.filter(F.slice("messages", 1, F.col("_target")), lambda m: m["role"] == role))
-    r = r.withColumn("target_turn", count("assistant")).withColumn("_users", count("user"))
-    numbered_msgs = F.transform(F.slice("messages", 1, F.col("_target")), lambda m, i: F.struct(
-        m["role"].alias("role"), m["content"].alias("content"), F.size(F.filter(F.slice("messages", 1, i + 1), lambda x: x["role"] == "user")).alias("u"),
-        F.regexp_count(F.array_join(F.transform(F.filter(F.slice("messages", 1, i), lambda x: x["role"] == "user"), lambda x: x["content"]), ""), F.lit("<image>")).alias("first"),
-        F.regexp_count(m["content"], F.lit("<image>")).alias("n")))
-    r = r.withColumn("_m", numbered_msgs)
+    empty = F.struct(F.array().cast("array<struct<role:string,content:string,u:int,first:int,n:int>>").alias("all"), F.lit(0).alias("u"), F.lit(0).alias("seen"))
+
+    def step(st, m):
+        user, n = m["role"] == "user", F.coalesce(F.regexp_count(m["content"], F.lit("<image>")), F.lit(0))
+        u = st["u"] + user.cast("int")
+        item = F.struct(m["role"].alias("role"), m["content"].alias("content"), u.alias("u"), st["seen"].alias("first"), n.alias("n"))
+        return F.struct(F.array_append(st["all"], item).alias("all"), u.alias("u"), (st["seen"] + F.when(user, n).otherwise(0)).alias("seen"))
+    # user turns and image places are counted once for a record; every target takes a slice
+    r = records.select("record_id", "images", F.aggregate("messages", empty, step)["all"].alias("_all"))
+    r = r.select("record_id", "images", "_all", F.posexplode(F.filter(F.transform("_all", lambda m, i: F.when(m["role"] == "assistant", i + 1)), lambda x: x.isNotNull())).alias("_p", "_target"))
+    r = r.select("record_id", "images", F.slice("_all", F.lit(1), F.col("_target")).alias("_m"), (F.col("_p") + 1).alias("target_turn"), F.get("_all", F.col("_target") - 1)["u"].alias("_users"))
 
     def kept(m):
         return (m["role"] == "user") & ((m["u"] == 1) | (m["u"].between(F.greatest(F.lit(1), F.col("target_turn") - recent_k + 1), F.col("target_turn"))))
