@@ -164,6 +164,22 @@ def test_vectors(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_audit_counts_vectors_not_links(spark):
+    """A found dense cluster doesn't hide that every small pair is missed."""
+    rng = np.random.default_rng(8)
+    hub = rng.standard_normal(32)
+    rows = [hub + rng.standard_normal(32) * 0.02 for _ in range(300)]
+    for _ in range(100):
+        v = rng.standard_normal(32)
+        rows += [v, v + rng.standard_normal(32) * 0.02]
+    vectors = spark.createDataFrame([(i, np.asarray(v).tobytes()) for i, v in enumerate(rows)], "id long, x binary")
+    hot = spark.createDataFrame([(i, 0) for i in range(300)], "id long, component long")
+    pairs = spark.createDataFrame([(i, i - i % 2) for i in range(300, 500)], "id long, component long")
+    assert embeddings._audit(vectors, hot, 0.95) == 0
+    assert embeddings._audit(vectors, hot.union(pairs), 0.95) == 1
+    assert embeddings._audit(vectors, hot.limit(0), 0.95) == 0
+
+
 def test_contract_digests(spark):
     from wayfold.llm.queries import QUERIES
 

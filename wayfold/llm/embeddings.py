@@ -22,7 +22,7 @@ from wayfold.session import materialize
 LIST, REVERSE, EACH = 10, 6, 5
 ORDERS, BITS, CHUNK = 6, 16, 64
 ROUNDS, TRIES = 3, 4
-AUDITED, RECALL = 512, 0.98
+AUDITED, RECALL, LARGE = 512, 0.98, 64
 BLOCK = 256
 SLACK = 1e-4
 
@@ -149,23 +149,32 @@ def _exact_pairs(comp: DataFrame, vectors: DataFrame, threshold: float) -> DataF
 
 
 def _audit(vectors: DataFrame, named: DataFrame, threshold: float) -> float:
-    """Share of the links of ``AUDITED`` vectors, found by comparing them with all rows, whose ends are in one component."""
-    picked = vectors.orderBy(F.xxhash64("id", F.lit("audit"))).limit(AUDITED).select("id", "x").toArrow().combine_chunks()
-    q, qx = picked.column("id").to_numpy(), _unit(picked.column("x"))
+    """Mean share of a vector's links, found by comparing it with all rows, that end in its own component.
+
+    Every vector with a link counts once, however many it has.  ``AUDITED`` vectors are drawn from
+    all and as many from outside components of more than ``LARGE``; the lower mean counts.
+    """
+    size = named.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    known = vectors.select("id", "x").join(named.select("id", "component").join(size, "component"), "id", "left")
+    known = materialize(known.select("id", "x", F.coalesce("component", "id").alias("component"), F.coalesce("members", F.lit(1)).alias("members")))
+    draws = [d.orderBy(F.xxhash64("id", F.lit("audit"))).limit(AUDITED).toArrow().combine_chunks() for d in (known, known.filter(F.col("members") <= LARGE))]
+    picked = pa.concat_tables(draws).combine_chunks()
+    q, qc, qx = picked.column("id").to_numpy(), picked.column("component").to_numpy(), _unit(picked.column("x"))
 
     def run(batches):
+        n, k = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
         for b in batches:
-            near = _unit(b.column(1)) @ qx.T >= threshold
-            i, j = np.nonzero(near)
-            ids = b.column(0).to_numpy()
-            keep = ids[i] != q[j]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i][keep]), pa.array(q[j][keep])], ["a", "b"])
+            for at in range(0, b.num_rows, AUDITED):
+                part = b.slice(at, AUDITED)
+                near = (_unit(part.column(1)) @ qx.T >= threshold) & (part.column(0).to_numpy()[:, None] != q)
+                n += near.sum(0)
+                k += (near & (part.column(2).to_numpy()[:, None] == qc)).sum(0)
+        j = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(n[j]), pa.array(k[j])], ["j", "n", "k"])
 
-    true = vectors.select("id", "x").mapInArrow(run, "a long, b long")
-    n = named.select("id", "component")
-    r = true.join(n.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left").join(n.withColumnsRenamed({"id": "b", "component": "cb"}), "b", "left")
-    r = r.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce((F.col("ca") == F.col("cb")).cast("int"), F.lit(0))).alias("k")).first()
-    return r["k"] / r["n"] if r["n"] else 1.0
+    t = known.select("id", "x", "component").mapInArrow(run, "j long, n long, k long").groupBy("j").agg((F.sum("k") / F.sum("n")).alias("share")).toArrow()
+    j, share = t.column("j").to_numpy(), t.column("share").to_numpy()
+    return min((float(x.mean()) for x in (share[j < draws[0].num_rows], share[j >= draws[0].num_rows]) if len(x)), default=1.0)
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -173,7 +182,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are
     their own component, as are rows without an id.  Equal vectors are searched once and linked
-    with each other.  Vectors must have one length.  ``recall`` is the audited share.
+    with each other.  Vectors must have one length.  ``recall`` is the audited mean.
     """
     spark = ready(df.sparkSession)
     every = materialize(valid_vectors(df, id_col, vector_col))
