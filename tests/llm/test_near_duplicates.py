@@ -180,6 +180,32 @@ def test_audit_counts_vectors_not_links(spark):
     assert embeddings._audit(vectors, hot.limit(0), 0.95) == 0
 
 
+def test_search_goes_on_until_the_audit_passes(spark, monkeypatch):
+    """Five attempts without a start are no reason to give up; attempts that never help end in an error."""
+    real, seen = embeddings._ordered, []
+
+    def late(*a):
+        seen.append(a)
+        return real(*a) if len(seen) > 5 else real(*a).limit(0)
+
+    rng = np.random.default_rng(3)
+    rows = [v + rng.standard_normal(16) * 0.01 for v in rng.standard_normal((40, 16)) for _ in range(2)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embeddings, "_ordered", late)
+    got = {r["id"]: r for r in embeddings.near_vectors(df).collect()}
+    assert len(seen) > 5
+    assert all(got[i]["n_links"] == 1 and got[i]["component_id"] == i - i % 2 and got[i]["recall"] == 1 for i in range(80))
+    monkeypatch.setattr(embeddings, "_ordered", lambda *a: real(*a).limit(0))
+    monkeypatch.setattr(embeddings, "STALLED", 2)
+    with pytest.raises(RuntimeError):
+        embeddings.near_vectors(df)
+
+
+def test_orders_grow_with_rows():
+    few, many = embeddings._order_sizes(10_000, 0.95), embeddings._order_sizes(1_000_000_000, 0.95)
+    assert many[0] > 3 * few[0] and many[1] > few[1] + 10
+
+
 def test_contract_digests(spark):
     from wayfold.llm.queries import QUERIES
 

@@ -2,14 +2,17 @@
 
 The graph starts from vectors that lie side by side in a few random sign orders.  In every round a
 vector's neighbours, taken in both directions, are compared with each other, and each list keeps
-the nearest found; a list always has room for twice its close neighbours, so that it grows when
-they fill it.  A sample of vectors is compared with all rows to audit the recall, which decides
-whether another order is drawn and refined.  Search uses single precision; links are counted in
-double precision inside the components that the close edges form, block by block.
+the nearest found; close neighbours and others have room of their own.  Close pairs of different
+components are always handed on and unite these at once, so the rounds go on until one unites
+none: further close edges inside a component would change nothing.  A sample of vectors is compared
+with all rows to audit the recall; more orders are drawn and refined until it suffices.  Search uses
+single precision; links are counted in double precision inside the components, block by block.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,7 +24,10 @@ from wayfold.session import materialize
 
 LIST, REVERSE, EACH = 10, 6, 5
 ORDERS, BITS, CHUNK = 6, 16, 64
-ROUNDS, TRIES = 3, 4
+#: Share of the pairs at the threshold that all orders of an attempt may part.
+MISSED = 0.1
+#: Attempts in a row that unite nothing although the audit fails: then there is an error, not a result.
+STALLED = 16
 AUDITED, RECALL, LARGE = 512, 0.98, 64
 BLOCK = 256
 SLACK = 1e-4
@@ -48,15 +54,22 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "id long, x binary")
 
 
-def _ordered(vectors: DataFrame, seed: int) -> DataFrame:
-    """(u, v, s): the nearest of the ``CHUNK`` vectors side by side in each of ``ORDERS`` sign orders."""
+def _order_sizes(rows: int, threshold: float) -> tuple[int, int]:
+    """Orders and their bits: both grow with the rows, as a pair has to agree in more bits to meet in a chunk."""
+    depth = max(math.log2(max(rows, 1) / CHUNK), 1.0)
+    meet = min(max(1 - math.acos(min(max(threshold, -1.0), 1.0)) / math.pi, 0.5), 0.999) ** depth
+    return max(ORDERS, math.ceil(math.log(MISSED) / math.log(1 - meet))), BITS + math.ceil(depth)
+
+
+def _ordered(vectors: DataFrame, seed: int, orders: int, bits: int) -> DataFrame:
+    """(u, v, s): the nearest of the ``CHUNK`` vectors side by side in each of the sign orders."""
 
     def signs(batches):
         for b in batches:
             x = _unit(b.column(1), np.float32)
-            for t in range(ORDERS):
-                plane = np.random.default_rng([seed, t]).standard_normal((x.shape[1], BITS)).astype(np.float32)
-                key = ((x @ plane > 0) @ (1 << np.arange(BITS)[::-1])).astype(np.int64) + (t << BITS)
+            for t in range(orders):
+                plane = np.random.default_rng([seed, t]).standard_normal((x.shape[1], bits)).astype(np.float32)
+                key = ((x @ plane > 0) @ (1 << np.arange(bits)[::-1])).astype(np.int64) + (t << bits)
                 yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), b.column(1)], ["key", "id", "x"])
 
     def near(batches):
@@ -76,26 +89,25 @@ def _ordered(vectors: DataFrame, seed: int) -> DataFrame:
 
 
 def _best(edges: DataFrame, threshold: float) -> DataFrame:
-    """The nearest neighbours of every list: ``LIST``, or twice the close ones if those are more."""
-    e = edges.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("new").alias("new"))
-    w = Window.partitionBy("u").orderBy(F.desc("s"), "v")  # one list
-    e = e.withColumn("r", F.row_number().over(w)).withColumn("close", F.sum((F.col("s") >= threshold - SLACK).cast("int")).over(Window.partitionBy("u")))
-    return e.filter(F.col("r") <= F.greatest(F.lit(LIST), 2 * F.col("close"))).select("u", "v", "s", "new")
+    """The neighbours of every list: the ``LIST`` nearest close ones and the ``LIST`` nearest others."""
+    e = edges.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("new").alias("new")).withColumn("close", F.col("s") >= threshold - SLACK)
+    w = Window.partitionBy("u", "close").orderBy(F.desc("s"), "v")  # one list
+    return e.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= LIST).select("u", "v", "s", "new")
 
 
-def _joined(graph: DataFrame, vectors: DataFrame, turn: int) -> DataFrame:
-    """(u, v, s): neighbours of one vector compared with each other, the nearest few for each."""
+def _joined(graph: DataFrame, vectors: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """(u, v, s): neighbours of one vector compared with each other: the nearest few for each, and all close ones of other components."""
     w = Window.partitionBy("u").orderBy(F.desc("new"), F.xxhash64("v", F.lit(turn)))
     forward = graph.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= LIST).select(F.col("u").alias("p"), F.col("v").alias("m"))
     picks = graph.groupBy("v").agg(*[F.min_by("u", F.xxhash64("u", F.lit(turn), F.lit(k))).alias(f"m{k}") for k in range(REVERSE)])
     back = picks.select(F.col("v").alias("p"), F.explode(F.array(*[f"m{k}" for k in range(REVERSE)])).alias("m"))
-    low = graph.groupBy("u").agg(F.when(F.count(F.lit(1)) >= LIST, F.min("s")).otherwise(F.lit(-1.0)).alias("low"))
-    about = vectors.join(low, vectors["id"] == low["u"], "left").select(F.col("id").alias("m"), "x", F.coalesce("low", F.lit(-1.0)).alias("low"))
-    group = forward.union(back).union(graph.select("u", "u")).distinct().join(about, "m").repartition("p").sortWithinPartitions("p").select("p", "m", "low", "x")
+    low = graph.groupBy("u").agg(F.when(F.count(F.when(F.col("s") < threshold - SLACK, 1)) >= LIST, F.min("s")).otherwise(F.lit(-1.0)).alias("low"))
+    about = vectors.join(low, vectors["id"] == low["u"], "left").select(F.col("id").alias("m"), "x", F.coalesce("low", F.lit(-1.0)).alias("low"), "component")
+    group = forward.union(back).union(graph.select("u", "u")).distinct().join(about, "m").repartition("p").sortWithinPartitions("p").select("p", "m", "low", "x", "component")
 
     def compare(t):
         p, m, low = (t.column(k).to_numpy() for k in range(3))
-        x = _unit(t.column(3), np.float32)
+        x, c = _unit(t.column(3), np.float32), t.column(4).to_numpy()
         begin = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
         size = np.diff(np.append(begin, len(p)))
         most = int(size.max())
@@ -107,10 +119,10 @@ def _joined(graph: DataFrame, vectors: DataFrame, turn: int) -> DataFrame:
         s[:, np.arange(most), np.arange(most)] = -2
         top = np.argsort(-s, axis=2)[:, :, :EACH]
         best = np.take_along_axis(s, top, 2)
-        ok = best > np.maximum(low[at], -1.5)[:, :, None]
-        u = np.broadcast_to(m[at][:, :, None], top.shape)[ok]
-        w = np.take_along_axis(np.broadcast_to(m[at][:, None, :], s.shape), top, 2)[ok]
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(best[ok].astype(np.float64))], ["u", "v", "s"])
+        keep = (s >= threshold - SLACK) & (c[at][:, :, None] != c[at][:, None, :])
+        np.put_along_axis(keep, top, np.take_along_axis(keep, top, 2) | (best > np.maximum(low[at], -1.5)[:, :, None]), 2)
+        g, i, j = np.nonzero(keep)
+        return pa.RecordBatch.from_arrays([pa.array(m[at[g, i]]), pa.array(m[at[g, j]]), pa.array(s[g, i, j].astype(np.float64))], ["u", "v", "s"])
 
     def run(batches):
         rest = None
@@ -182,33 +194,50 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are
     their own component, as are rows without an id.  Equal vectors are searched once and linked
-    with each other.  Vectors must have one length.  ``recall`` is the audited mean.
+    with each other.  If the audit can't be met, there is an error instead of a result.  Vectors must have one length.  ``recall`` is the audited mean.
     """
     spark = ready(df.sparkSession)
     every = materialize(valid_vectors(df, id_col, vector_col))
     groups = materialize(every.filter("x IS NOT NULL AND id IS NOT NULL").groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
     vectors = groups.select("id", "x", "n").dropDuplicates(["id"])
     vectors = materialize(vectors)
-    graph, comp, recall = None, None, 0.0
-    for attempt in range(TRIES):
-        fresh = _ordered(vectors.select("id", "x"), attempt).withColumn("new", F.lit(True))
-        graph = materialize(_best(fresh if graph is None else graph.withColumn("new", F.lit(False)).unionByName(fresh), threshold))
-        for turn in range(ROUNDS):
-            found = _joined(graph, vectors.select("id", "x"), attempt * ROUNDS + turn).withColumn("new", F.lit(True))
-            graph = materialize(_best(graph.withColumn("new", F.lit(False)).unionByName(found), threshold))
-            if not graph.filter(F.col("new") & (F.col("s") >= threshold - SLACK)).take(1):
+    orders, bits = _order_sizes(vectors.count(), threshold)
+    every_component = materialize(vectors.select("id", F.col("id").alias("component")))
+    graph, comp, recall, attempt, turn, stalled = None, None, 0.0, 0, 0, 0
+    while recall < RECALL:
+        found, united = materialize(_ordered(vectors.select("id", "x"), attempt, orders, bits).withColumn("new", F.lit(True))), False
+        every_component, moved = _united(every_component, found, vectors, threshold)
+        while True:
+            united |= moved
+            graph = materialize(_best(found if graph is None else graph.withColumn("new", F.lit(False)).unionByName(found), threshold))
+            found = materialize(_joined(graph, vectors.select("id", "x").join(every_component, "id"), turn, threshold).withColumn("new", F.lit(True)))
+            every_component, moved = _united(every_component, found, vectors, threshold)
+            turn += 1
+            if not moved:
                 break
-        close = graph.filter(F.col("s") >= threshold - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-        comp = materialize(components(_checked(close, vectors, threshold)).select("id", "component"))
+        comp = every_component.join(every_component.groupBy("component").count().filter("count > 1").select("component"), "component").select("id", "component")
         recall = _audit(vectors, comp, threshold)
-        if recall >= RECALL:
-            break
+        attempt, stalled = attempt + 1, 0 if united else stalled + 1
+        if recall < RECALL and stalled >= STALLED:
+            raise RuntimeError(f"{STALLED} attempts in a row found no further links, but the audited recall is {recall:.3f}")
     links = _exact_pairs(comp, vectors, threshold)
     about = groups.join(comp, "id", "left").join(links, "id", "left").select(F.col("x").alias("gx"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     r = every.join(about, (F.col("x") == F.col("gx")) & F.col("id").isNotNull(), "left")
     return r.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), F.lit(recall).alias("recall"))
 
 
+def _united(named: DataFrame, found: DataFrame, vectors: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
+    """The components (id, component) after the close edges found, and whether any were united."""
+    close = found.filter(F.col("s") >= threshold - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    across = close.join(named.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(named.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").filter("ca <> cb")
+    true = _checked(across.select("a", "b"), vectors, threshold)
+    links = materialize(across.join(true, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if not links.take(1):
+        return named, False
+    to = components(links).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return materialize(named.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))), True
+
+
 def _checked(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose cosine holds in double precision."""
 
