@@ -123,6 +123,34 @@ def test_strings(spark):
     assert suffixes.remove_strings(df.limit(0), width=1 << 16).count() == 0
 
 
+def test_strings_of_hot_minimizers(spark, monkeypatch):
+    """Minimizers split into windows give the same rows."""
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    monkeypatch.setattr(suffixes, "HEAVY", 1)
+    monkeypatch.setattr(suffixes, "SEND", 1 << 12)
+    test_strings(spark)
+
+
+def test_hot_minimizer_is_spread(spark, monkeypatch):
+    """A passage in every document, each with a context of its own, doesn't fill one bucket."""
+    monkeypatch.setattr(suffixes, "HOT", 100)
+    rng = random.Random(4)
+    own = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    passage = own(240)
+    docs = spark.createDataFrame([(i, own(300) + passage + own(300)) for i in range(400)], "id long, text string").selectExpr("id", "cast(text as binary) text").repartition(2).cache()
+    sketch = suffixes.sketches(docs, 1 << 18).cache()
+    share = lambda v: spark.sparkContext.broadcast(v)
+    flags, hot = share(suffixes.repeated_flags(sketch.filter("row < 2"), 1 << 18)), suffixes.hot_minimizers(sketch)[0]
+    assert len(hot)
+
+    def largest(hot):
+        t = suffixes.surroundings(docs, 257, 257, 1 << 18, flags, share(hot))
+        return t.filter("kind <> 1").groupBy("block").agg({"*": "count"}).count(), t.filter("kind <> 1").selectExpr("block", "length(doc) / 8 n").groupBy("block").sum("n").agg({"sum(n)": "max"}).first()[0] / t.filter("kind <> 1").selectExpr("sum(length(doc) / 8)").first()[0]
+
+    before, after = largest(hot[:0]), largest(hot)
+    assert before[1] > 0.2 and after[1] < 0.05 and after[0] > 200
+
+
 def test_merged_transforms_sort_suffixes():
     rng = np.random.default_rng(2)
     for _ in range(40):

@@ -10,6 +10,9 @@ Each shard of sequences gets its Burrows-Wheeler transform; transforms are merge
 refining the interleave one token per step, which sorts the joint suffixes without comparing them
 again and shows, by the step that parts two neighbours, their common prefix.  Windows whose whole
 tokens lie in such a repeated interval are then confirmed byte by byte through their hashes.
+
+A minimizer of very many places would send them all to one bucket.  Its surroundings are cut into
+windows instead, equal ones of a task are folded, and each goes to the bucket of its own hash.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ CHUNK, PLACE = 1 << 20, np.uint64((1 << 22) - 1)
 BUCKET_BYTES, BLOCK_DOCS, SEND = 4 << 20, 256, 8 << 20
 #: Tokens of one shard before merging.
 SHARD = 1 << 16
+#: Places from which on a minimizer is split into windows; places in one flush of the sketch from which on they are counted.
+HOT, HEAVY = 1 << 12, 64
 #: Document of surroundings that stand for several places, whose bytes are settled already.
 NOWHERE = -(1 << 63)
 
@@ -69,7 +74,13 @@ def _anchors(data: np.ndarray, offsets: np.ndarray):
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """Sketch blocks of every partition's minimizers, each place counted once."""
+    """Sketch blocks of every partition's minimizers, each place counted once; blocks of row 2 count those frequent in a flush."""
+    least = HEAVY
+
+    def heavy(m, part):
+        m, count = np.unique(m, return_counts=True)
+        some = count >= least
+        return pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int32()), pa.array([part], pa.int32()), pa.array([m[some].tobytes()]), pa.array([count[some].astype(np.int64).tobytes()]), pa.array([0], pa.int64())], ["row", "block", "part", "cells", "counts", "n"])
 
     def run(batches):
         from pyspark import TaskContext
@@ -84,13 +95,27 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 size += len(held[-1])
             if size >= FLUSH:
                 yield _sketch_rows(np.concatenate(held), width, part)
+                yield heavy(np.concatenate(held), part)
                 held, size = [], 0
         if size:
             yield _sketch_rows(np.concatenate(held), width, part)
+            yield heavy(np.concatenate(held), part)
 
     return docs.select("text").mapInArrow(run, SKETCH)
 
 
+def hot_minimizers(sketch: DataFrame) -> tuple[np.ndarray, int]:
+    """Minimizers of ``HOT`` counted places or more, in order, and the sum of their places."""
+
+    def run(batches):
+        for b in batches:
+            m, n = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(n)], ["m", "n"])
+
+    t = sketch.filter("row = 2").select("cells", "counts").mapInArrow(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT).toArrow()
+    return np.sort(t.column("m").to_numpy().view(np.uint64)), int(t.column("n").to_numpy().sum())
+
+
 def transform(sequences: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Burrows-Wheeler transform of one shard: its suffixes in order and the symbol before each.
 
@@ -209,8 +234,28 @@ def _candidates(data: np.ndarray, begins: np.ndarray, windows: np.ndarray) -> np
     return (b <= a) | (longest[np.minimum(a, len(at) - 1)] >= b - a)
 
 
-def repeated_strings(docs: DataFrame, buckets: int, blocks: int, width: int, flags) -> DataFrame:
-    """(block, doc, a, b): packed byte ranges covered by strings that start elsewhere, too, by block of the document's id."""
+def _hashed(data: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every window of surroundings of ``n`` windows each, its surrounding and its place there."""
+    begins = np.cumsum(n - 1 + WINDOW) - (n - 1 + WINDOW)
+    own = np.repeat(np.arange(len(n)), n)
+    off = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    return mixed(_grams(data, WINDOW)[begins[own] + off] ^ m[own]), own, off
+
+
+def _places(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row of each hash, and which rows' hash has several places (or stands for several)."""
+    order = np.lexsort((at, doc, h))
+    hs, ds, xs = h[order], doc[order], at[order]
+    new = np.append(True, hs[1:] != hs[:-1])[: len(hs)]
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(hs))[: len(head)] - 1
+    hit = np.zeros(len(h), bool)
+    hit[order] = ((ds[head] != ds[tail]) | (xs[head] != xs[tail]) | (ds[head] == NOWHERE))[np.cumsum(new) - 1]
+    return order[head], hit
+
+
+def surroundings(docs: DataFrame, buckets: int, blocks: int, width: int, flags, hot) -> DataFrame:
+    """Packed rows for each bucket: surroundings (kind 0), settled ranges (1) and windows of ``hot`` minimizers (2)."""
     names = ("kind", "block", "m", "doc", "at", "n", "text")
 
     def run(batches):
@@ -219,9 +264,11 @@ def repeated_strings(docs: DataFrame, buckets: int, blocks: int, width: int, fla
         def flush():
             m, doc, at, n = (np.concatenate([h[k] for h in held]) for k in range(4))
             text = [x for h in held for x in h[4]]
+            split = np.isin(m, hot.value)
             seen: dict = {}
             for k, x in enumerate(zip(m.tolist(), text)):
-                seen.setdefault(x, []).append(k)
+                if not split[k]:
+                    seen.setdefault(x, []).append(k)
             rows, settled = {}, []
             for (key, raw), at_ in seen.items():
                 spot = {(doc[k], at[k]) for k in at_}
@@ -234,6 +281,17 @@ def repeated_strings(docs: DataFrame, buckets: int, blocks: int, width: int, fla
             for bucket, some in rows.items():
                 c = list(zip(*some))
                 out.append((0, bucket, np.array(c[0], np.uint64).tobytes(), np.array(c[1], np.int64).tobytes(), np.array(c[2], np.int64).tobytes(), np.array(c[3], np.int64).tobytes(), b"".join(c[4])))
+            if split.any():
+                k = np.flatnonzero(split)
+                h, own, off = _hashed(np.frombuffer(b"".join(text[x] for x in k), np.uint8), m[k], n[k])
+                place = at[k][own] + off
+                first, hit = _places(h, doc[k][own], place)
+                who, where = np.where(hit[first], NOWHERE, doc[k][own[first]]), np.where(hit[first], 0, place[first])
+                out += [(2, bucket, x, d, a, b"", b"") for _, bucket, x, d, a in _packed(2, (h[first] % np.uint64(buckets)).astype(np.int64), h[first], who, where)]
+                own, place = own[hit], place[hit]
+                edge = np.append(True, (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1))[: len(own)]
+                d, a, z = doc[k][own[edge]], place[edge], place[np.append(edge[1:], True)[: len(own)]] + WINDOW
+                out += [(1, b % buckets, b"", d, a, e, b"") for _, b, d, a, e in _packed(1, d % blocks, d, a, z)]
             if settled:
                 k = np.array(settled)
                 out += [(1, b % buckets, b"", d, a, e, b"") for _, b, d, a, e in _packed(1, doc[k] % blocks, doc[k], at[k], at[k] + n[k] - 1 + WINDOW)]
@@ -259,11 +317,21 @@ def repeated_strings(docs: DataFrame, buckets: int, blocks: int, width: int, fla
         if size:
             yield flush()
 
+    return docs.select("id", "text").mapInArrow(run, "kind int, block int, m binary, doc binary, at binary, n binary, text binary")
+
+
+def repeated_strings(docs: DataFrame, buckets: int, blocks: int, width: int, flags, hot) -> DataFrame:
+    """(block, doc, a, b): packed byte ranges covered by strings that start elsewhere, too, by block of the document's id."""
+
     def settle(key, t):
         kind = np.array(t.column("kind"))
         cat = lambda c, k, d: np.frombuffer(b"".join(x.as_py() for x, y in zip(t.column(c), kind) if y == k), d)
         doc, a, b = cat("doc", 1, np.int64), cat("at", 1, np.int64), cat("n", 1, np.int64)
         m, who, at, n = cat("m", 0, np.uint64), cat("doc", 0, np.int64), cat("at", 0, np.int64), cat("n", 0, np.int64)
+        if 2 in kind:
+            h, d, x = cat("m", 2, np.uint64), cat("doc", 2, np.int64), cat("at", 2, np.int64)
+            hit = _places(h, d, x)[1] & (d != NOWHERE)
+            doc, a, b = np.append(doc, d[hit]), np.append(a, x[hit]), np.append(b, x[hit] + WINDOW)
         raw, begins = cat("text", 0, np.uint8).tobytes(), np.append(0, np.cumsum(n - 1 + WINDOW)).tolist()
         places: dict = {}  # of equal surroundings
         for key, i, j, place in zip(m.tolist(), begins[:-1], begins[1:], zip(who.tolist(), at.tolist())):
@@ -300,7 +368,7 @@ def repeated_strings(docs: DataFrame, buckets: int, blocks: int, width: int, fla
             doc, a, b = np.append(doc, c[:, 0]), np.append(a, c[:, 1]), np.append(b, c[:, 2])
         return pa.table(_table([r[1:] for r in _packed(0, doc % blocks, doc, a, b)], "block", "doc", "a", "b"))
 
-    sent = docs.select("id", "text").mapInArrow(run, "kind int, block int, m binary, doc binary, at binary, n binary, text binary")
+    sent = surroundings(docs, buckets, blocks, width, flags, hot)
     return sent.groupBy(F.col("block").alias("bucket")).applyInArrow(settle, "block int, doc binary, a binary, b binary")
 
 
@@ -316,9 +384,10 @@ def remove_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = d.filter("id IS NOT NULL")
     sketch = materialize(sketches(named, width))
     size = sketch.agg(F.sum("n")).first()[0] or 0
-    buckets, blocks = max(256, size * (2 * WINDOW) // BUCKET_BYTES) | 1, max(256, d.count() // BLOCK_DOCS) | 1
-    flags = docs.sparkSession.sparkContext.broadcast(repeated_flags(sketch, width))
-    gone = repeated_strings(named, buckets, blocks, width, flags)
+    hot, places = hot_minimizers(sketch)
+    buckets, blocks = max(256, (size * (2 * WINDOW) + places * SPAN * 24) // BUCKET_BYTES) | 1, max(256, d.count() // BLOCK_DOCS) | 1
+    flags = docs.sparkSession.sparkContext.broadcast(repeated_flags(sketch.filter("row < 2"), width))
+    gone = repeated_strings(named, buckets, blocks, width, flags, docs.sparkSession.sparkContext.broadcast(hot))
     by = F.coalesce(F.pmod("id", F.lit(blocks)), F.pmod(F.xxhash64("text"), F.lit(blocks))).cast("int")
 
     def finish(left, right):
