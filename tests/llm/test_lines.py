@@ -75,3 +75,12 @@ def test_empty_table_and_repeated_rows(spark):
     assert op.dedup_lines(empty).count() == 0
     twice = spark.createDataFrame([(1, "a\nb\na")] * 2 + [(2, "b")], "doc_id long, text string")
     assert sorted(r["text"] for r in op.dedup_lines(twice).collect()) == ["", "a\nb", "a\nb"]
+
+
+def test_different_texts_under_one_id(spark):
+    """Positions of one row mean nothing in another row of the same id, nor in the next document."""
+    long = [f"line number {i} of the long text {i * 7919}" for i in range(9)]
+    near = "a line of some length that nearly repeats"
+    texts = [(1, "\n".join(long)), (1, "short one\n" + near), (2, "\n".join(["short one", long[8], long[3], "own", near + "!"]))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    assert sorted((r["doc_id"], r["text"]) for r in op.dedup_lines(df).collect()) == sorted([texts[0], texts[1], (2, "own")])

@@ -41,7 +41,7 @@ def _judged(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(id, pos, h, g): every judged line with two 64-bit hashes."""
+    """(id, row, pos, h, g): every judged line with two 64-bit hashes; ``row`` tells texts of one id apart."""
 
     def run(batches):
         for b in batches:
@@ -55,9 +55,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
             starts, ends, doc, pos = starts[keep], ends[keep], doc[keep], pos[keep]
             h = hashes(data, starts, ends)
             g = hashes(data ^ np.uint8(0x5A), starts, ends)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], ["id", "pos", "h", "g"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], ["id", "row", "pos", "h", "g"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, pos int, h long, g long")
+    return docs.select("id", "text", "row").mapInArrow(run, "id long, row long, pos int, h long, g long")
 
 
 def _segments(length: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,8 +173,8 @@ def _small(a: bytes, b: bytes) -> int:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, line) of the lines at (id, pos)."""
-    per = wanted.groupBy("id").agg(F.collect_list("pos").alias("at"))  # lines of one document
+    """(h, line) of the lines at (id, row, pos)."""
+    per = wanted.groupBy("id", "row").agg(F.collect_list("pos").alias("at"))  # lines of one document
 
     def run(batches):
         for b in batches:
@@ -186,17 +186,17 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hashes(data, offsets[:-1], offsets[1:]).view(np.int64)), column], ["h", "line"])
 
     per = materialize(per)
-    return docs.join(broadcast_if_small(per, per.count(), 20_000), "id").select("text", "at").mapInArrow(run, "h long, line binary")
+    return docs.join(broadcast_if_small(per, per.count(), 20_000), ["id", "row"]).select("text", "at").mapInArrow(run, "h long, line binary")
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(x, y): pairs of hashes of different lines within ``TAU`` edits; ``firsts`` has (h, id, pos) of every line."""
+    """(x, y): pairs of hashes of different lines within ``TAU`` edits; ``firsts`` has (h, id, row, pos) of every line."""
     i, p = _keys(docs, False).withColumnsRenamed({"h": "x", "s": "sx"}), _keys(docs, True).withColumnsRenamed({"h": "y", "s": "sy"})
     off = F.col("sx").bitwiseXOR(F.col("sy"))
     near = (F.bit_count(off.bitwiseAND(F.lit((1 << 32) - 1))) <= 2 * TAU) & (F.bit_count(F.shiftrightunsigned(off, 32)) <= 4 * TAU)
     pairs = materialize(i.join(p, "key").filter((F.col("x") != F.col("y")) & near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
     some = pairs.select(F.col("x").alias("h")).union(pairs.select("y")).distinct()
-    lines = materialize(_texts(docs, some.join(firsts, "h").select("id", "pos")).dropDuplicates(["h"]))
+    lines = materialize(_texts(docs, some.join(firsts, "h").select("id", "row", "pos")).dropDuplicates(["h"]))
 
     def run(batches):
         for b in batches:
@@ -213,20 +213,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A line goes if an equal line, or one within ``TAU`` edits, starts earlier (in a smaller id, or
     in the same text); lines are judged on the input.  Lines of spaces only stay, as do the texts
     of rows without an id.  Null stays null; rows that share an id are judged as one text each,
-    and equal rows keep equal lines.  New columns replace columns of the same name.
+    in the order of their texts' hashes, and equal rows keep equal lines.  New columns replace columns of the same name.
     """
     ready(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL").withColumn("row", F.xxhash64("text"))
     seen = materialize(occurrences(d))
-    low = seen.groupBy("h", "g").agg(F.min("id").alias("id"))
-    firsts = materialize(seen.join(low, ["h", "g", "id"]).groupBy("h", "g", "id").agg(F.min("pos").alias("pos")))
-    links = materialize(near_lines(d, firsts.select("h", "id", "pos")))
-    f = firsts.select("h", "id", "pos")
-    x, y = f.select(F.col("h").alias("x"), F.struct("id", "pos").alias("fx")), f.select(F.col("h").alias("y"), F.struct("id", "pos").alias("fy"))
+    low = seen.groupBy("h", "g").agg(F.min(F.struct("id", "row")).alias("first")).select("h", "g", "first.id", "first.row")
+    firsts = materialize(seen.join(low, ["h", "g", "id", "row"]).groupBy("h", "g", "id", "row").agg(F.min("pos").alias("pos")))
+    links = materialize(near_lines(d, firsts.select("h", "id", "row", "pos")))
+    f = firsts.select("h", "id", "row", "pos")
+    x, y = f.select(F.col("h").alias("x"), F.struct("id", "row", "pos").alias("fx")), f.select(F.col("h").alias("y"), F.struct("id", "row", "pos").alias("fy"))
     later = links.join(x, "x").join(y, "y").select(F.when(F.col("fx") < F.col("fy"), F.col("y")).otherwise(F.col("x")).alias("h")).distinct()
-    stay = firsts.join(later, "h", "left_anti").groupBy("id").agg(F.collect_list("pos").alias("stay"))
+    stay = firsts.join(later, "h", "left_anti").groupBy("id", F.col("row").alias("key")).agg(F.collect_list("pos").alias("stay"))
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
-    full = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(stay, "id", "left")
+    full = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text")).join(stay, ["id", "key"], "left")
 
     def run(batches):
         for b in batches:
