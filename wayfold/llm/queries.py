@@ -116,3 +116,36 @@ def op9_suffixes(spark, d):
 
     r = remove_strings(table(spark, d, "documents"))
     return r.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op12_codes(spark, d):
+    from wayfold.llm.codes import compress, digest
+
+    r, books = compress(table(spark, d, "embeddings"))
+    return r.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+#: Rows of ``embeddings`` that can be put on the integer grid, with their grid vector ``g``.
+_GRID = "SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS g FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_COORDINATES = [f"a{k}" for k in range(4)]
+
+
+def _nearest(book: str) -> str:
+    gap = " + ".join(f"(p.{a} - c.{a}) * (p.{a} - c.{a})" for a in _COORDINATES)
+    return f"SELECT p.vec_id, p.part, arg_min(c.entry, ({gap}) * 64 + c.entry) AS entry, min({gap}) AS far FROM p JOIN {book} c ON p.part = c.part GROUP BY p.vec_id, p.part"
+
+
+def _means(book: str, near: str) -> str:
+    cols = ", ".join(f"coalesce(floor(m.{a} / m.n)::BIGINT, c.{a}) AS {a}" for a in _COORDINATES)
+    sums = ", ".join(f"sum(p.{a})::DOUBLE AS {a}" for a in _COORDINATES)
+    return f"SELECT c.part, c.entry, {cols} FROM {book} c LEFT JOIN (SELECT p.part, k.entry, count(*) AS n, {sums} FROM p JOIN {near} k ON p.vec_id = k.vec_id AND p.part = k.part GROUP BY p.part, k.entry) m ON c.part = m.part AND c.entry = m.entry"
+
+
+ORACLES["op12_codes"] = f"""WITH v AS ({_GRID}), p AS MATERIALIZED (SELECT vec_id, part, {', '.join(f'g[4 * part + {k + 1}] AS a{k}' for k in range(4))} FROM v, range(16) AS r(part)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < 64),
+c0 AS MATERIALIZED (SELECT part, entry, a0, a1, a2, a3 FROM p JOIN first USING (vec_id)), k0 AS MATERIALIZED ({_nearest('c0')}),
+c1 AS MATERIALIZED ({_means('c0', 'k0')}), k1 AS MATERIALIZED ({_nearest('c1')}), c2 AS MATERIALIZED ({_means('c1', 'k1')}), k2 AS MATERIALIZED ({_nearest('c2')}),
+r AS MATERIALIZED (SELECT v.vec_id, v.label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM v JOIN k2 USING (vec_id) GROUP BY v.vec_id, v.label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(concat_ws(',', a0, a1, a2, a3), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256 FROM r"""
