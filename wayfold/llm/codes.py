@@ -12,6 +12,7 @@ of vectors: tasks hand on one sum a part and entry.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,7 @@ class Cells:
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry and squared distance of every part; ties go to the lower entry."""
-        cells, which = np.unique(x >> self.bits, axis=0, return_inverse=True)
-        which = which.reshape(-1)
+        cells, which = _distinct(x >> self.bits)
         keys = [c.tobytes() for c in cells]
         if len(self.known) + len(keys) > self.most:
             self.clear()
@@ -81,8 +81,20 @@ class Cells:
         return best, low
 
 
+def _distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and which of them each row is."""
+    low = cells.min(0)
+    span = cells.max(0) - low + 1
+    if math.prod(span.tolist()) >= 1 << 62:
+        rows, which = np.unique(cells, axis=0, return_inverse=True)
+        return rows, which.reshape(-1)
+    key = (cells - low) @ np.append(np.cumprod(span[:0:-1])[::-1], 1)
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    return cells[first], which
+
+
 def _cut(g: np.ndarray, parts: int) -> np.ndarray:
-    return g.reshape(len(g), parts, -1)
+    return g.reshape(len(g), parts, g.shape[1] // parts)
 
 
 def seeds(rows: DataFrame, d: int, entries: int) -> np.ndarray:
@@ -120,8 +132,9 @@ def _moved(rows: DataFrame, d: int, parts: int, books: np.ndarray, side_bits: in
             g = _cut(g[ok], parts)
             for p in range(parts if len(g) else 0):
                 near, _ = cells[p].nearest(g[:, p])
-                np.add.at(n[p], near, 1)
-                np.add.at(total[p], near, g[:, p])
+                n[p] += np.bincount(near, minlength=books.shape[1])
+                for k in range(width):  # sums of a batch are below 2**53, so exact
+                    total[p, :, k] += np.bincount(near, g[:, p, k], minlength=books.shape[1]).astype(np.int64)
         p, e = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(e), pa.array(n[p, e]), *[pa.array(total[p, e, k]) for k in range(width)]], ["p", "e", "n", *[f"t{k}" for k in range(width)]])
 
