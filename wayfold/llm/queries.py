@@ -149,3 +149,19 @@ c1 AS MATERIALIZED ({_means('c0', 'k0')}), k1 AS MATERIALIZED ({_nearest('c1')})
 r AS MATERIALIZED (SELECT v.vec_id, v.label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM v JOIN k2 USING (vec_id) GROUP BY v.vec_id, v.label)
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
   (SELECT sha256(string_agg(concat_ws(',', a0, a1, a2, a3), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256 FROM r"""
+
+
+@query
+def op13_negatives(spark, d):
+    from wayfold.llm.negatives import hard_negatives
+
+    e = table(spark, d, "embeddings")
+    moved = e.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(moved, F.col("id") % 50 == 0)
+
+
+ORACLES["op13_negatives"] = f"""WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, g FROM ({_GRID}) WHERE label IS NOT NULL),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same, list_inner_product(a.g::DOUBLE[], o.g::DOUBLE[])::BIGINT AS score FROM v a JOIN v o ON a.vec_id <> o.vec_id WHERE a.vec_id % 50 = 0),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
