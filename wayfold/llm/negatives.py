@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.arrays import broadcast_if_small, ready
-from wayfold.llm.vectors import dimension, gathered, grid, narrowed, packed, unpacked
+from wayfold.llm.vectors import dimension, gathered, grid, narrowed, one_an_id, packed, unpacked
 from wayfold.session import materialize
 
 #: Anchors that the cluster centres are fitted on, and the most centres; both bound what the driver holds.
@@ -62,12 +62,7 @@ def _valid(df: DataFrame, id_col: str, label_col: str, vector_col: str, scale: i
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(2).filter(keep), packed(g[ok].astype(np.int32))], ["id", "label", "g"])
 
     valid = materialize(rows.select("id", "v", "label").mapInArrow(run, "id long, label long, g binary"))
-    twice = materialize(valid.groupBy("id").count().filter("count > 1").select("id"))
-    if twice.take(1):
-        n = twice.count()
-        one = valid.join(broadcast_if_small(twice, n), "id").groupBy("id").agg(F.min(F.struct("label", "g")).alias("m")).select("id", "m.label", "m.g")
-        valid = materialize(valid.join(broadcast_if_small(twice, n), "id", "left_anti").unionByName(one))
-    return valid, d
+    return one_an_id(valid, "label", "g"), d
 
 
 def _fitted(anchors: DataFrame, n: int, d: int) -> np.ndarray:

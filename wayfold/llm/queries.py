@@ -165,3 +165,10 @@ s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS
 pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
 SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+
+@query
+def op11_neighbours(spark, d):
+    from wayfold.llm.neighbours import nearest_neighbours
+
+    return nearest_neighbours(table(spark, d, "embeddings"), F.col("id") % 20 == 0)

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.arrays import broadcast_if_small
+from wayfold.session import materialize
+
 #: Integer components beyond this take no part: squares and products of them would not fit a long.
 LIMIT = 1 << 28
 
@@ -74,3 +77,14 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
             held, n = [], 0
     if n:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def one_an_id(valid: DataFrame, *columns: str) -> DataFrame:
+    """``valid`` (id, columns) with one row an id, the smallest by its columns; where none repeats, nothing but ids is shuffled."""
+    twice = materialize(valid.groupBy("id").count().filter("count > 1").select("id"))
+    n = twice.count()
+    if not n:
+        return valid
+    few = broadcast_if_small(twice, n)
+    one = valid.join(few, "id").groupBy("id").agg(F.min(F.struct(*columns)).alias("m")).select("id", *[f"m.{c}" for c in columns])
+    return materialize(valid.join(few, "id", "left_anti").unionByName(one))
