@@ -18,7 +18,7 @@ def table(seed, n=500, d=8):
         m, size = rng.choice(middle), rng.choice([0.1, 1, 1, 1, 3])
         v = [size * (c + rng.gauss(0, 0.5)) for c in m]
         rows.append((i, [0.5, -0.25] + [1.0] * (d - 2) if i % 4 == 1 else v, 0))
-    return rows + [(1000, None, 0), (1001, [0.0] * d, 0), (1002, [None] * d, 0), (1003, [float("nan")] * d, 0), (1004, [float("inf")] * d, 0), (1005, [1.0], 0), (1006, [], 0), (None, [1.0] * d, 0), rows[3], rows[8]]
+    return rows + [(1000, None, 0), (1001, [0.0] * d, 0), (1002, [None] * d, 0), (1003, [float("nan")] * d, 0), (1004, [float("inf")] * d, 0), (1005, [1.0], 0), (1006, [], 0), (None, [1.0] * d, 0), rows[3], rows[-1]]
 
 
 def exact(rows, step, k):
@@ -64,7 +64,8 @@ def test_few_candidates_and_empty_tables(spark):
     assert neighbours.nearest_neighbours(df.filter("vec_id > 999"), F.col("id") % 5 == 0).collect() == []
 
 
-def test_unreachable_recall_is_an_error(spark):
+def test_unreachable_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "STALLED", 1)
     df = spark.createDataFrame([(i, v, q, "n", 1) for i, v, q in table(3, 40)], SCHEMA)
     with pytest.raises(RuntimeError):
         neighbours.nearest_neighbours(df, F.col("id") % 5 == 0, least_recall=1.1)
