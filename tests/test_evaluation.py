@@ -165,3 +165,11 @@ def test_registry_rejects_other_function():
     with pytest.raises(ValueError, match="already"):
         registry.register("metric", "mine")(lambda x: x)
     assert registry.get("metric", "mine") is f and "grpo" in registry.names("advantage")
+
+
+def test_per_turn_stats_do_not_depend_on_the_order(spark):
+    rnd = random.Random(4)
+    rows = [(i % 3, rnd.choice([0.12345, 0.12335, rnd.random(), None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "turn long, value double")
+    got = [sorted(map(tuple, ev.per_turn_stats(df.repartition(n, F.xxhash64("value", F.lit(n)))).collect())) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2]

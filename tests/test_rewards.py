@@ -142,12 +142,66 @@ def test_validation_average(spark):
 def test_length_partition_covers_and_balances(spark):
     rnd = random.Random(6)
     df = spark.createDataFrame([(i, rnd.randint(1, 4000)) for i in range(640)], "sample_id long, length long")
-    parts = batches.seqlen_partition(df, 8)
+    parts = batches.snake_partition(df, 8)
     assert sorted(x.sample_id for x in parts.collect()) == list(range(640))
     rep = batches.imbalance_report(parts).first()
     assert rep.size_gap == 0 and rep.work_ratio < 1.05
 
 
+@pytest.mark.parametrize("equal_size", [True, False])
+def test_differencing_never_wider_than_snake(equal_size):
+    rnd = random.Random(7)
+    narrower = 0
+    for trial in range(200):
+        k = rnd.choice([1, 2, 3, 5, 8])
+        n = k * rnd.randint(1, 9) + (0 if equal_size else rnd.randint(0, k))
+        loads = [rnd.choice([rnd.randint(1, 9), rnd.randint(1, 4000), 500]) for _ in range(n)]
+        parts = batches.differenced(loads, k, equal_size)
+        sums = [sum(x for x, p in zip(loads, parts) if p == j) for j in range(k)]
+        by = sorted(range(n), key=lambda i: (-loads[i], i))
+        snake = [0] * k
+        for z, i in enumerate(by):
+            snake[z % k if z // k % 2 == 0 else k - 1 - z % k] += loads[i]
+        assert len(parts) == n and max(sums) - min(sums) <= max(snake) - min(snake)
+        narrower += max(sums) - min(sums) < max(snake) - min(snake)
+        if equal_size:
+            assert all(parts.count(j) == n // k for j in range(k))
+    assert narrower > 60
+
+
+def test_differencing_per_batch(spark):
+    rnd = random.Random(8)
+    df = spark.createDataFrame([(i, rnd.randint(1, 4000), "x") for i in range(96)] + [(96 + i, None, "y") for i in range(2)], "sample_id long, length long, part_of string")
+    r = batches.seqlen_partition(batches.global_batches(df, 32), 4).collect()
+    assert sorted(x.sample_id for x in r) == list(range(96))
+    for g in range(3):
+        sizes = [sum(1 for x in r if x.global_batch == g and x.part == p) for p in range(4)]
+        assert sizes == [8] * 4
+    with pytest.raises(ValueError, match="share equally"):
+        batches.seqlen_partition(batches.global_batches(df, 30), 4)
+    with pytest.raises(ValueError, match="at most"):
+        batches.seqlen_partition(batches.global_batches(df, 32), 4, most=10)
+    assert batches.seqlen_partition(batches.global_batches(df.limit(0), 32), 4).collect() == []
+
+
+def test_token_cap_is_never_exceeded(spark):
+    rnd = random.Random(9)
+    opened = 0
+    for _ in range(200):
+        cap = rnd.choice([10, 17, 100])
+        lengths = [rnd.randint(0, cap) for _ in range(rnd.randint(1, 25))]
+        at = batches.packed_batches(lengths, cap)
+        sums = [sum(x for x, b in zip(lengths, at) if b == j) for j in range(max(at) + 1)]
+        assert max(sums) <= cap and len(sums) <= len(lengths) and all(j in at for j in range(len(sums)))
+        opened += len(sums) > -(-sum(lengths) // cap)
+    assert opened > 20  # the cap bites: batches beyond the least number
+    df = spark.createDataFrame([(0, 6), (1, 6), (2, 6), (3, 0)], "sample_id long, length long")
+    r = batches.token_budget_batches(batches.global_batches(df, 4), 10).collect()
+    assert sorted(x.length for x in r) == [0, 6, 6, 6] and len({x.batch for x in r if x.length}) == 3
+    with pytest.raises(ValueError, match="more than a batch"):
+        batches.token_budget_batches(batches.global_batches(df, 4), 5)
+
+
 def test_concat_turns_reports_a_gap(spark):
     df = spark.createDataFrame([(1, 0, "user", "a b", 0.0), (1, 2, "assistant", "c", 1.0)], "traj_id long, turn long, role string, text string, score double")
     with pytest.raises(Exception, match="missing turn"):

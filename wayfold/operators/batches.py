@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,14 +73,91 @@ def workload(length: Column) -> Column:
     return 24576 * length + length * length
 
 
-def seqlen_partition(samples: DataFrame, parts: int | Column) -> DataFrame:
-    """Deal samples, heaviest first, to ``parts`` in snake order: equal sizes, near-equal workload."""
+def snake_partition(samples: DataFrame, parts: int | Column) -> DataFrame:
+    """Deal samples of one batch of any size, heaviest first, to ``parts`` in snake order: equal sizes, near-equal workload."""
     k = parts if isinstance(parts, Column) else F.lit(parts)
     s = ranked(samples.withColumn("workload", workload(F.col("length"))), [], [F.desc("workload"), "sample_id"], "rank")
     i, lap = (F.col("rank") - 1) % k, F.floor((F.col("rank") - 1) / k)
     return s.withColumn("part", F.when(lap % 2 == 0, i).otherwise(k - 1 - i)).drop("rank")
 
 
+def differenced(loads: list[int], k: int, equal_size: bool) -> list[int]:
+    """The part of each load after largest differencing over tuples of k sums.
+
+    A tuple is k disjoint sets of loads, largest sum first; at the start it holds one load, or, for
+    equal sizes, k loads of neighbouring ranks.  The two tuples with the widest gap between their
+    largest and smallest sum meet head to tail until one is left.  Ties go to the larger head, then
+    to the load that comes first.  Snake order is taken where its gap is smaller.
+    """
+    n = len(loads)
+    by = sorted(range(n), key=lambda i: (-loads[i], i))
+    if equal_size:
+        groups = [by[s: s + k] for s in range(0, n, k)]
+    else:
+        groups = [[i] for i in by]
+    heap = []
+    for g in groups:
+        sets = [(-loads[i], i, [i]) for i in g] + [(0, n, [])] * (k - len(g))
+        heap.append((sets[-1][0] * -1 + sets[0][0], sets[0][0], min(g), sets))
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        _, _, i, a = heapq.heappop(heap)
+        _, _, j, b = heapq.heappop(heap)
+        met = sorted(((x[0] + y[0], min(x[1], y[1]), x[2] + y[2]) for x, y in zip(a, reversed(b))), key=lambda t: t[:2])
+        heapq.heappush(heap, (met[0][0] - met[-1][0], met[0][0], min(i, j), met))
+    part = [0] * n
+    for p, (_, _, members) in enumerate(heap[0][3] if heap else []):
+        for i in members:
+            part[i] = p
+    snake = [0] * n
+    for z, i in enumerate(by):
+        snake[i] = z % k if z // k % 2 == 0 else k - 1 - z % k
+    return min((part, snake), key=lambda parts: _gap(loads, parts, k))
+
+
+def _gap(loads: list[int], parts: list[int], k: int) -> int:
+    sums = [0] * k
+    for load, p in zip(loads, parts):
+        sums[p] += load
+    return max(sums) - min(sums)
+
+
+def global_batches(samples: DataFrame, size: int) -> DataFrame:
+    """``samples`` with the number of their global batch: ``size`` samples each, in order of their ids."""
+    return ranked(samples, [], ["sample_id"], "_rank").withColumn("global_batch", F.floor((F.col("_rank") - 1) / size)).drop("_rank")
+
+
+def _per_batch(samples: DataFrame, key: str, most: int, solve, column: str, type_: str) -> DataFrame:
+    """One task a global batch: ``solve`` gives each of its rows, in order of their ids, a value; batches run in parallel."""
+    size = samples.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    if over := size.filter(F.col("n") > most).take(1):
+        raise ValueError(f"global batch {over[0][key]} has {over[0]['n']} samples; at most {most} can be balanced at once")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_id", kind="stable", ignore_index=True)
+        pdf[column] = solve([int(x) for x in pdf["length"]])
+        return pdf
+
+    s = samples.filter("length IS NOT NULL")
+    return s.groupBy(key).applyInPandas(run, ", ".join(f"`{c}` {t}" for c, t in s.dtypes) + f", `{column}` {type_}")
+
+
+def seqlen_partition(samples: DataFrame, parts: int, key: str = "global_batch", equal_size: bool = True, most: int = 65_536) -> DataFrame:
+    """``samples`` (global batch, sample_id, length) with workload and the part of their batch they go to.
+
+    Parts of one batch have near-equal workload, by largest differencing.  With ``equal_size`` they
+    hold equally many samples, and a batch whose size ``parts`` does not divide is an error; else
+    sizes are free.  A batch with fewer samples than parts leaves parts empty.  Global batches are
+    bounded (``most``); samples without a length are left out.
+    """
+    if equal_size:
+        odd = samples.filter("length IS NOT NULL").groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") % parts != 0).take(1)
+        if odd:
+            raise ValueError(f"global batch {odd[0][key]} has {odd[0]['n']} samples, which {parts} parts can't share equally")
+    s = samples.withColumn("workload", workload(F.col("length")).cast("long"))
+    return _per_batch(s, key, most, lambda lengths: differenced([24576 * x + x * x for x in lengths], parts, equal_size), "part", "long")
+
+
 def imbalance_report(parts: DataFrame) -> DataFrame:
     """Largest, smallest and mean length sum over the parts."""
     p = parts.groupBy("part").agg(F.sum("length").alias("tokens"), F.sum("workload").alias("work"), F.count(F.lit(1)).alias("n"))
@@ -85,14 +165,41 @@ def imbalance_report(parts: DataFrame) -> DataFrame:
                  (F.max("work") / F.avg("work")).alias("work_ratio"), (F.max("n") - F.min("n")).alias("size_gap"))
 
 
-def token_budget_batches(samples: DataFrame, cap: int) -> DataFrame:
-    """ceil(tokens / cap) balanced micro batches, heavy ones in the middle, light ones at both ends."""
-    k = one(samples.agg(F.ceil(F.sum("length") / F.lit(cap)).alias("k")))["k"]
-    s = seqlen_partition(samples, k)
-    w = ranked(s.groupBy("part").agg(F.sum("workload").alias("work")), [], [F.desc("work"), "part"], "q").withColumn("q", F.col("q") - 1)
-    half = F.floor((k + 1) / 2)
-    slot = F.when(F.col("q") % 2 == 0, half - 1 - F.floor(F.col("q") / 2)).otherwise(half + F.floor(F.col("q") / 2))
-    return s.join(w.select("part", slot.alias("batch")), "part")
+def packed_batches(lengths: list[int], cap: int) -> list[int]:
+    """The micro batch of each sequence: none above ``cap`` tokens, as few as first fit needs, balanced below the cap.
+
+    Sequences go, longest first, to the least loaded batch with room.  There are as many batches as
+    the tokens ask for; where the cap leaves a sequence without room another one is opened.  Batches
+    are numbered so that heavy ones lie in the middle and light ones at both ends.
+    """
+    cost = [24576 * x + x * x for x in lengths]
+    by = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    tokens = [0] * min(max(1, -(-sum(lengths) // cap)), max(1, sum(x > 0 for x in lengths)))
+    work, at = [0] * len(tokens), [0] * len(lengths)
+    for i in by:
+        room = [b for b in range(len(tokens)) if tokens[b] + lengths[i] <= cap]
+        if not room:
+            tokens.append(0)
+            work.append(0)
+            room = [len(tokens) - 1]
+        b = min(room, key=lambda b: (work[b], b))
+        tokens[b] += lengths[i]
+        work[b] += cost[i]
+        at[i] = b
+    used = sorted(set(at), key=lambda b: (-work[b], b))
+    order = used[::2][::-1] + used[1::2]
+    name = {b: k for k, b in enumerate(order)}
+    return [name[b] for b in at]
+
+
+def token_budget_batches(samples: DataFrame, cap: int, key: str = "global_batch", most: int = 65_536) -> DataFrame:
+    """``samples`` (global batch, sample_id, length) with the micro batch of their global batch: never above ``cap`` tokens.
+
+    There are at most as many micro batches as samples.  A sequence longer than ``cap`` is an error.
+    """
+    if long := samples.filter(F.col("length") > cap).take(1):
+        raise ValueError(f"sample {long[0]['sample_id']} has {long[0]['length']} tokens, more than a batch may hold ({cap})")
+    return _per_batch(samples, key, most, lambda lengths: packed_batches(lengths, cap), "batch", "long")
 
 
 def concat_turns(turns: DataFrame) -> DataFrame:

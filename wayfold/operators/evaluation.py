@@ -331,10 +331,17 @@ def filter_flag(episodes: DataFrame, flag: str, state: str) -> DataFrame:
 
 
 def per_turn_stats(series: DataFrame) -> DataFrame:
-    """Mean, population deviation, range and count per turn, four places."""
-    v = F.col("value")
-    return series.groupBy("turn").agg(F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"), F.round(F.min(v), 4).alias("min"),
-                                      F.round(F.max(v), 4).alias("max"), F.count(F.lit(1)).alias("n"))
+    """Mean, population deviation, range and count per turn, four places.
+
+    Values enter as decimals of eight places, so their sums and the sums of their squares are exact
+    and do not depend on the order of the rows; a shift of 1e-9 takes results off the rounding edge.
+    """
+    v = series.withColumn("value", F.col("value").cast("decimal(18,8)"))
+    g = v.groupBy("turn").agg(F.sum("value").cast("double").alias("s"), F.sum(F.col("value") * F.col("value")).cast("double").alias("q"),
+                              F.min("value").cast("double").alias("lo"), F.max("value").cast("double").alias("hi"), F.count(F.lit(1)).alias("n"), F.count("value").alias("k"))
+    mean = F.col("s") / F.col("k")
+    four = lambda c: F.round(c + 1e-9, 4)
+    return g.select("turn", four(mean).alias("mean"), four(F.sqrt(F.greatest(F.col("q") / F.col("k") - mean * mean, F.lit(0.0)))).alias("std"), four(F.col("lo")).alias("min"), four(F.col("hi")).alias("max"), "n")
 
 
 def category_accuracy(answers: DataFrame) -> DataFrame:

@@ -58,23 +58,69 @@ def _lengths(spark, d):
     return t.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("n_chars").alias("length"))
 
 
-@query("seqlen_partition", ctes(LEN) + f"SELECT sample_id, length, workload, {SNAKE.format(k=16)} AS part FROM lr")
+@query("seqlen_snake", ctes(LEN) + f"SELECT sample_id, length, workload, {SNAKE.format(k=16)} AS part FROM lr")
 def _(spark, d):
-    return op.seqlen_partition(_lengths(spark, d), 16)
+    return op.snake_partition(_lengths(spark, d), 16)
 
 
 @query("seqlen_imbalance", ctes(LEN, f"p AS (SELECT {SNAKE.format(k=16)} AS part, sum(length) AS tokens, sum(workload) AS work, count(*) AS n FROM lr GROUP BY 1)") + f"""
 SELECT CAST(min(tokens) AS BIGINT) AS min_tokens, CAST(max(tokens) AS BIGINT) AS max_tokens, {r('avg(tokens)')} AS mean_tokens, {r('max(work) / avg(work)')} AS work_ratio, max(n) - min(n) AS size_gap FROM p""")
 def _(spark, d):
-    rep = op.imbalance_report(op.seqlen_partition(_lengths(spark, d), 16))
+    rep = op.imbalance_report(op.snake_partition(_lengths(spark, d), 16))
     return rep.withColumn("mean_tokens", r6("mean_tokens")).withColumn("work_ratio", r6("work_ratio"))
 
 
-@query("token_budget_batches", ctes(LEN, "kk AS (SELECT CAST(ceil(sum(length) / 20000.0) AS BIGINT) AS k FROM ln)", f"pt AS (SELECT lr.*, k, {SNAKE.format(k='k')} AS part FROM lr, kk)", """
-wk AS (SELECT part, k, row_number() OVER (ORDER BY sum(workload) DESC, part) - 1 AS q FROM pt GROUP BY part, k)""") + """
-SELECT sample_id, length, CASE WHEN q % 2 = 0 THEN (wk.k + 1) // 2 - 1 - q // 2 ELSE (wk.k + 1) // 2 + q // 2 END AS batch FROM pt JOIN wk USING (part)""")
+def _batches(size: int) -> str:
+    return f"""gb AS (SELECT *, (row_number() OVER (ORDER BY sample_id) - 1) // {size} AS global_batch FROM ln),
+lr2 AS (SELECT *, row_number() OVER (PARTITION BY global_batch ORDER BY sample_id) - 1 AS i, row_number() OVER (PARTITION BY global_batch ORDER BY workload DESC, sample_id) - 1 AS z FROM gb)"""
+
+
+def _differencing(equal_size: bool) -> str:
+    """Largest differencing for two parts: a state is a sorted list of pairs of sets, widest gap first."""
+    if equal_size:
+        start = """SELECT global_batch, list_sort(list({gap: -(wa - wb), head: -wa, id: least(ia, ib), sa: wa, sb: wb, ma: ia, mb: ib, a: [ia], b: [ib]})) AS l
+  FROM (SELECT global_batch, z // 2, max(workload) AS wa, min(workload) AS wb, arg_min(i, z) AS ia, arg_max(i, z) AS ib FROM lr2 GROUP BY ALL) GROUP BY 1"""
+    else:
+        start = "SELECT global_batch, list_sort(list({gap: -workload, head: -workload, id: i, sa: workload, sb: 0::BIGINT, ma: i, mb: 8::BIGINT, a: [i], b: []::BIGINT[]})) AS l FROM lr2 GROUP BY 1"
+    return ctes(LEN, _batches(8), f"""st AS ({start} UNION ALL
+  SELECT global_batch, list_sort(list_prepend({{gap: -abs(s1 - s2), head: -greatest(s1, s2), id: least(l[1].id, l[2].id), sa: greatest(s1, s2), sb: least(s1, s2),
+    ma: CASE WHEN up THEN m1 ELSE m2 END, mb: CASE WHEN up THEN m2 ELSE m1 END, a: CASE WHEN up THEN e1 ELSE e2 END, b: CASE WHEN up THEN e2 ELSE e1 END}}, l[3:])) FROM (
+    SELECT *, s1 > s2 OR (s1 = s2 AND m1 <= m2) AS up FROM (SELECT global_batch, l, l[1].sa + l[2].sb AS s1, l[1].sb + l[2].sa AS s2, least(l[1].ma, l[2].mb) AS m1, least(l[1].mb, l[2].ma) AS m2,
+      list_concat(l[1].a, l[2].b) AS e1, list_concat(l[1].b, l[2].a) AS e2 FROM st WHERE len(l) > 1)))""",
+                f"""sn AS (SELECT *, {SNAKE.format(k=2)} AS p FROM lr2), sg AS (SELECT global_batch, abs(sum(CASE WHEN p = 0 THEN workload ELSE -workload END)) AS gap FROM sn GROUP BY 1)""") + """
+SELECT global_batch, sample_id, length, workload, CASE WHEN sg.gap < -l[1].gap THEN p WHEN list_contains(l[1].a, i) THEN 0 ELSE 1 END AS part
+FROM sn JOIN st USING (global_batch) JOIN sg USING (global_batch) WHERE len(l) = 1"""
+
+
+@query("seqlen_partition", _differencing(True))
+def _(spark, d):
+    return op.seqlen_partition(op.global_batches(_lengths(spark, d), 8), 2)
+
+
+@query("seqlen_partition_free", _differencing(False))
+def _(spark, d):
+    return op.seqlen_partition(op.global_batches(_lengths(spark, d), 8), 2, equal_size=False)
+
+
+#: More than any document has; global batches of 256 documents need several micro batches each.
+CAP = 131_072
+
+
+@query("token_budget_batches", ctes(LEN, _batches(256), f"""
+rk AS (SELECT *, row_number() OVER (PARTITION BY global_batch ORDER BY length DESC, sample_id) AS nth FROM lr2),
+sz AS (SELECT global_batch, count(*) AS n, least(greatest(1, CAST(ceil(sum(length) / {CAP}.0) AS BIGINT)), greatest(1, count(*) FILTER (WHERE length > 0))) AS k FROM rk GROUP BY 1),
+st AS (SELECT global_batch, 0::BIGINT AS nth, list_transform(range(k), lambda x: 0::BIGINT) AS tokens, list_transform(range(k), lambda x: 0::BIGINT) AS work, []::BIGINT[] AS put FROM sz UNION ALL
+  SELECT global_batch, nth, CASE WHEN b > len(tokens) THEN list_append(tokens, length) ELSE list_transform(tokens, lambda x, y: x + CASE WHEN y = b THEN length ELSE 0 END) END,
+    CASE WHEN b > len(work) THEN list_append(work, workload) ELSE list_transform(work, lambda x, y: x + CASE WHEN y = b THEN workload ELSE 0 END) END, list_append(put, b) FROM (
+    SELECT st.global_batch, rk.nth, tokens, work, put, length, workload,
+      coalesce((list_sort(list_transform(list_filter(range(1, len(tokens) + 1), lambda y: tokens[y] + length <= {CAP}), lambda y: {{w: work[y], b: y}})))[1].b, len(tokens) + 1) AS b
+    FROM st JOIN rk ON st.global_batch = rk.global_batch AND rk.nth = st.nth + 1))""",
+       "en AS (SELECT st.* FROM st JOIN sz ON st.global_batch = sz.global_batch AND st.nth = sz.n)",
+       "us AS (SELECT global_batch, b, row_number() OVER (PARTITION BY global_batch ORDER BY w DESC, b) - 1 AS q, count(*) OVER (PARTITION BY global_batch) AS m FROM (SELECT DISTINCT global_batch, unnest(put) AS b, work FROM en), LATERAL (SELECT work[b] AS w))") + """
+SELECT rk.global_batch, sample_id, length, CASE WHEN q % 2 = 0 THEN (m + 1) // 2 - 1 - q // 2 ELSE (m + 1) // 2 + q // 2 END AS batch
+FROM rk JOIN en USING (global_batch) JOIN us ON us.global_batch = rk.global_batch AND us.b = put[rk.nth]""")
 def _(spark, d):
-    return op.token_budget_batches(_lengths(spark, d), 20000).select("sample_id", "length", "batch")
+    return op.token_budget_batches(op.global_batches(_lengths(spark, d), 256), CAP)
 
 
 @query("concat_turns", ctes(r"""tw AS (SELECT conv_id AS traj_id, turn, role, regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+') AS words FROM conversations),

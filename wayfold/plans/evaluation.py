@@ -271,8 +271,9 @@ def _(spark, d):
     return rounded(op.inferred_success(t.episodes(spark, d), observed, t.view_pairs(spark, d), 3.0, 90.0), "mean_closest_m", "inferred_rate")
 
 
-@query("per_turn_stats", ctes(t.TURN_REWARDS_SQL) + """SELECT turn_idx AS turn, round(avg(reward), 4) AS mean, round(stddev_pop(reward), 4) AS std, round(min(reward), 4) AS min, round(max(reward), 4) AS max,
-  count(*) AS n FROM turn_rewards GROUP BY 1""")
+@query("per_turn_stats", ctes(t.TURN_REWARDS_SQL, "x AS (SELECT turn_idx AS turn, CAST(reward AS DECIMAL(18,8)) AS v FROM turn_rewards)", """
+g AS (SELECT turn, sum(v)::DOUBLE AS s, sum(CAST(v AS DECIMAL(18,8)) * CAST(v AS DECIMAL(18,8)))::DOUBLE AS q, min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi, count(*) AS n, count(v) AS k FROM x GROUP BY 1)""") + """
+SELECT turn, round(s / k + 1e-9, 4) AS mean, round(sqrt(greatest(q / k - (s / k) * (s / k), 0)) + 1e-9, 4) AS std, round(lo + 1e-9, 4) AS min, round(hi + 1e-9, 4) AS max, n FROM g""")
 def _(spark, d):
     return op.per_turn_stats(t.turn_rewards(spark, d).select(F.col("turn_idx").alias("turn"), F.col("reward").alias("value")))
 
