@@ -82,3 +82,16 @@ def test_carried_forward_crosses_partitions(spark):
     rows = [(i, i if i % 40 == 3 else None) for i in range(500)]
     got = {r.i: r.x for r in o.carried_forward(spark.createDataFrame(rows, "i long, v long").repartition(5), ["i"], "v", "x").collect()}
     assert got == {i: ((i - 3) // 40 * 40 + 3 if i >= 3 else None) for i in range(500)}
+
+
+def test_numbered_led_crosses_chunks(spark):
+    rnd = random.Random(12)
+    rows = [(rnd.choice([None, 1, 2]), t, rnd.choice([None, "a", "b"])) for t in rnd.sample(range(2000), 300)] + [(3, 7, "alone"), (4, None, "x"), (4, 900, "y")]
+    df = spark.createDataFrame(rows, "k long, t long, v string")
+    got = o.numbered_led(df, ["k"], ["t"], "n", F.floor(F.col("t") / 100), {"w": "v"})
+    want = []
+    for k in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1]))
+        want += [(k, r[1], r[2], n, mine[n + 1][2] if n + 1 < len(mine) else None, n + 1 < len(mine)) for n, r in enumerate(mine)]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted((tuple(r[c] for c in ("k", "t", "v", "n", "w", "has_next")) for r in got.collect()), key=key) == sorted(want, key=key)

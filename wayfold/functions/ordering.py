@@ -7,6 +7,7 @@ small per-chunk carries back, so the largest unit of work is one chunk.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -39,6 +40,29 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence, name: str, chu
     return running(df, keys, order, F.lit(1), name, chunk, inclusive=False).withColumn(name, (F.col(name) + start).cast("long"))
 
 
+def numbered_led(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, chunk: Column, leads: dict[str, str], start: int = 0) -> DataFrame:
+    """Dense row number per key, and of the next row ``{output: input column}`` and whether there is one (``has_next``).
+
+    ``chunk`` must be monotone in the ordering, and no two rows of a key may tie.  Rows are shuffled
+    once, by key and chunk; the window inside the chunk and the chunk's size and first row share
+    that exchange.  The last row of a chunk takes the first of the key's next chunk.
+    """
+    c = df.withColumn("_chunk", chunk)
+    c = c.repartition(*keys, "_chunk")
+    rest = [k for k in c.columns if k not in {*keys, *order, "_chunk"}]
+    first = F.struct(*order, *rest)  # all columns, so that both branches read the same exchange
+    carry = c.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.min(first).alias("_first"))
+    w = Window.partitionBy(*keys).orderBy("_chunk")
+    carry = carry.select(*[F.col(k).alias(f"_at_{k}") for k in [*keys, "_chunk"]], F.coalesce(F.sum("_n").over(_before(keys, "_chunk")), F.lit(0)).alias("_carry"), F.lead("_first").over(w).alias("_then"))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    near = F.struct(*[F.col(v).alias(o) for o, v in leads.items()])
+    local = c.withColumn("_local", F.row_number().over(w) - 1).withColumn("_next", F.lead(near).over(w))
+    at = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in [*keys, "_chunk"]]  # keeps rows without a key and the shared exchange
+    j = local.join(carry, functools.reduce(Column.__and__, at)).withColumn(name, (F.col("_local") + F.col("_carry") + start).cast("long"))
+    out = {o: F.when(F.col("_next").isNotNull(), F.col(f"_next.{o}")).otherwise(F.col(f"_then.{v}")) for o, v in leads.items()}
+    return j.withColumns(out | {"has_next": F.col("_next").isNotNull() | F.col("_then").isNotNull()}).drop("_chunk", "_local", "_carry", "_next", "_then", *[f"_at_{k}" for k in [*keys, "_chunk"]])
+
+
 def position_chunk(pos: str) -> Column:
     return F.floor(F.col(pos) / CHUNK)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import fixpoint
-from wayfold.functions.ordering import hash_int, hash_of, hash_ranked, numbered, position_chunk, running
+from wayfold.functions.ordering import hash_int, hash_of, hash_ranked, numbered, numbered_led, position_chunk, running
 from wayfold.operators import parsing
 from wayfold.session import materialize
 
@@ -54,10 +54,14 @@ def steps_from_messages(messages: DataFrame, state: Column, action: Column) -> D
 def extract_transitions(steps: DataFrame) -> DataFrame:
     """(state, action, next state) of consecutive turns; a state without action yields none.
 
-    Turns are dense, so the next state is an equi-join on (traj_id, turn + 1).
+    Steps that come with ``next_state`` and ``has_next`` are only filtered.  Else the next row is
+    looked up inside chunks of turns, and at their borders from the next chunk's first row; a turn
+    that is missing ends the run.
     """
-    nxt = steps.select("traj_id", (F.col("turn") - 1).alias("turn"), F.col("state").alias("next_state"))
-    return steps.filter("action IS NOT NULL").join(nxt, list(SEQ)).select("traj_id", "turn", "scene_id", "state", "action", "next_state")
+    if "next_state" not in steps.columns:
+        s = numbered_led(steps, ["traj_id"], ["turn"], "_nth", position_chunk("turn"), {"next_state": "state", "_next_turn": "turn"})
+        steps = s.withColumn("has_next", F.col("has_next") & (F.col("_next_turn") == F.col("turn") + 1))
+    return steps.filter("action IS NOT NULL AND has_next").select("traj_id", "turn", "scene_id", "state", "action", "next_state")
 
 
 def tidy_grid(text: Column) -> Column:

@@ -19,7 +19,7 @@ G = (t.STEPS_SQL, TR, NODES, ERAW, EDGES)
 
 
 def transitions(spark, d):
-    return op.extract_transitions(t.steps(spark, d))
+    return op.extract_transitions(t.steps_with_next(spark, d))
 
 
 def graph(spark, d):

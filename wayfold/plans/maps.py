@@ -109,19 +109,19 @@ def _(spark, d):
 
 
 @query("nearest_distance", """WITH p AS (SELECT DISTINCT l_orderkey // 100 AS grp, l_partkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem WHERE l_returnflag = 'A'),
-e AS (SELECT DISTINCT l_orderkey // 100 AS grp, l_partkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem WHERE l_returnflag = 'R')
+e AS (SELECT DISTINCT l_orderkey // 100 AS grp, l_partkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem WHERE l_returnflag <> 'A')
 """ + f"SELECT p.grp, p.x, p.y, {r('sqrt(min(pow(p.x - e.x, 2) + pow(p.y - e.y, 2)))')} AS distance FROM p JOIN e ON p.grp = e.grp GROUP BY ALL")
 def _(spark, d):
-    return rounded(op.nearest_distance(_cells(spark, d, "l_returnflag = 'A'"), _cells(spark, d, "l_returnflag = 'R'")), "distance")
+    return rounded(op.nearest_distance(_cells(spark, d, "l_returnflag = 'A'"), _cells(spark, d, "l_returnflag <> 'A'")), "distance")
 
 
 @query("distance_hit_correlation", """WITH p AS (SELECT DISTINCT l_orderkey // 100 AS grp, l_partkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem WHERE l_returnflag = 'A'),
-e AS (SELECT DISTINCT l_orderkey // 100 AS grp, l_partkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem WHERE l_returnflag = 'R'),
+e AS (SELECT DISTINCT l_orderkey // 100 AS grp, l_partkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem WHERE l_returnflag <> 'A'),
 h AS (SELECT DISTINCT l_orderkey // 100 AS grp, l_partkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem WHERE l_linestatus = 'O'),
 dd AS (SELECT p.grp, p.x, p.y, sqrt(min(pow(p.x - e.x, 2) + pow(p.y - e.y, 2))) AS distance FROM p JOIN e ON p.grp = e.grp GROUP BY ALL)
 """ + f"SELECT count(*) AS n, {r('corr(distance, CASE WHEN h.grp IS NULL THEN 0.0 ELSE 1.0 END)')} AS corr FROM dd LEFT JOIN h ON dd.grp = h.grp AND dd.x = h.x AND dd.y = h.y")
 def _(spark, d):
-    dist = op.nearest_distance(_cells(spark, d, "l_returnflag = 'A'"), _cells(spark, d, "l_returnflag = 'R'"))
+    dist = op.nearest_distance(_cells(spark, d, "l_returnflag = 'A'"), _cells(spark, d, "l_returnflag <> 'A'"))
     return rounded(op.distance_hit_correlation(dist, _cells(spark, d, "l_linestatus = 'O'").distinct()), "corr")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.functions.ordering import numbered
+from wayfold.functions.ordering import numbered, numbered_led
 
 # The twelve atomic camera actions, in the order used for picking.
 ACTIONS = ["move_forward", "move_backward", "move_left", "move_right", "move_up", "move_down",
@@ -26,16 +26,27 @@ def _ordered_events(spark: SparkSession, d: str, pos: str) -> DataFrame:
     return numbered(e, ["user_id"], ["ts", "event_id"], pos, F.date_trunc("HOUR", "ts"))
 
 
-def steps(spark: SparkSession, d: str) -> DataFrame:
-    """(traj_id, turn, scene_id, state, action): one row per observed state."""
+def _states(events: DataFrame) -> DataFrame:
+    """Events with their trajectory, scene, state and action."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     names = F.array(*[F.lit(a) for a in ACTIONS])
     first, second = F.get(names, k % 12), F.get(names, (k * 7) % 12)
-    return _ordered_events(spark, d, "turn").select(
-        F.col("user_id").alias("traj_id"), "turn",
-        F.concat(F.lit("scene"), F.floor(F.col("user_id") / 10).cast("string")).alias("scene_id"),
-        F.concat("event_type", F.lit("_"), F.floor(F.col("value") / 25).cast("string")).alias("state"),
-        F.when(F.col("event_type") == "error", F.lit(None)).when(k % 5 == 0, F.concat(first, F.lit(" | "), second)).otherwise(first).alias("action"))
+    return events.withColumns({
+        "traj_id": F.col("user_id"), "scene_id": F.concat(F.lit("scene"), F.floor(F.col("user_id") / 10).cast("string")),
+        "state": F.concat("event_type", F.lit("_"), F.floor(F.col("value") / 25).cast("string")),
+        "action": F.when(F.col("event_type") == "error", F.lit(None)).when(k % 5 == 0, F.concat(first, F.lit(" | "), second)).otherwise(first)})
+
+
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    """(traj_id, turn, scene_id, state, action): one row per observed state."""
+    return _states(_ordered_events(spark, d, "turn")).select("traj_id", "turn", "scene_id", "state", "action")
+
+
+def steps_with_next(spark: SparkSession, d: str) -> DataFrame:
+    """``steps`` with each row's next state, from one scan of the events."""
+    e = _states(table(spark, d, "events")).select("traj_id", "ts", "event_id", "scene_id", "state", "action")
+    s = numbered_led(e, ["traj_id"], ["ts", "event_id"], "turn", F.date_trunc("HOUR", "ts"), {"next_state": "state"})
+    return s.select("traj_id", "turn", "scene_id", "state", "action", "next_state", "has_next")
 
 
 STEPS_SQL = f"""v AS (SELECT i AS a, x AS name FROM (SELECT unnest(range(12)) AS i, unnest({ACTIONS!r}) AS x)),
