@@ -214,3 +214,11 @@ def test_save_and_load_merge(spark, tmp_path):
     files.save_graph(n.withColumn("state", F.lit("new")), edge_frame(spark, [("a", "b", "z")]), path)
     nodes, edges = files.load_graph(spark, path)
     assert {r.state for r in nodes.collect()} == {"a", "b"} and [r.action for r in edges.collect()] == ["z"]
+
+
+def test_pose_nodes(spark):
+    schema = "traj_id long, turn long, scene_id string, tx double, ty double, tz double, rx double, ry double, rz double"
+    rows = [(2, 0, "s", 1.00004, 0.0, 0.0, 0.0, 0.0, 0.0), (1, 3, "s", 1.00001, -0.00001, 0.0, 0.0, 0.0, 0.0), (1, 4, "s", 1.0001, 0.0, 0.0, 0.0, 0.0, 0.0), (1, 5, "t", 1.0, 0.0, 0.0, 0.0, 0.0, 0.0), (1, 6, "s", None, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    got = g.dedup_nodes_pose(spark.createDataFrame(rows, schema)).orderBy("scene_id", "state").collect()
+    assert [(r.scene_id, r.traj_id, r.turn, r.tx) for r in got] == [("s", 1, 3, 1.00001), ("s", 1, 4, 1.0001), ("t", 1, 5, 1.0)]
+    assert got[0].state == "1.0000_0.0000_0.0000_0.0000_0.0000_0.0000" and len({r.id for r in got}) == 3

@@ -108,3 +108,41 @@ def test_reweight_sizes(spark):
     df = spark.range(100).withColumnRenamed("id", "i")
     assert sampling.reweight_dataset(df, "i", size=30).count() == 30
     assert sampling.reweight_dataset(df, "i", size=30, weight=2.5).count() == 75
+
+
+def test_render_parts(spark):
+    rows = [(1, 0, "user", [("text", "a"), ("image_url", "x.png"), ("audio", "z"), ("text", None)]), (1, 1, None, []), (1, 2, "assistant", None)]
+    df = spark.createDataFrame(rows, "record_id long, turn long, role string, content array<struct<type:string,value:string>>")
+    assert p.chatml_render(df).first()["text"] == "<|im_start|>user\na<image><|im_end|>\n<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+
+
+def test_search_prompts_fall_back_to_golden_answers(spark):
+    schema = "idx long, question string, data_source string, ability string, reward_model struct<style:string,ground_truth:array<string>>, golden_answers array<string>, metadata string"
+    rows = [(0, "q", "nq", "fact", ("rule", ["a"]), ["b"], "m"), (1, None, None, None, None, ["b"], None), (2, "q", "nq", "fact", ("rule", None), ["b"], None), (3, "q", "nq", "fact", None, None, None)]
+    got = p.search_prompts(spark.createDataFrame(rows, schema), "test", "sys", "Ask: \n\n", "t_").orderBy("extra_info.index").collect()
+    assert [r.extra_info.tools_kwargs.search.create_kwargs.ground_truth for r in got] == [["a"], ["b"], None, []]
+    assert [(m.role, m.content) for m in got[0].prompt] == [("system", "sys"), ("user", "Ask: q")] and got[0].data_source == "t_nq"
+    assert got[1].prompt[1].content == "Ask: " and got[1].data_source == "t_" and got[1].extra_info.split == "test"
+
+
+def test_collapse_conversations(spark):
+    schema = "record_id long, prompt array<struct<role:string,content:string>>, single_turn_prompt string, ground_truth string, completion string"
+    df = spark.createDataFrame([(1, [("user", "hi")], "hi", "", "done"), (2, [], "x", "t", None), (3, None, "x", None, "")], schema)
+    got = {r["index"]: r for r in p.collapse_conversations(df, "S", "sim", "help").collect()}
+    assert [got[i].ground_truth for i in (1, 2, 3)] == ["done", "t", ""]
+    assert [m.content for m in got[1].prompt] == ["S", "hi"] and got[2].extra_info.interaction_kwargs.task_desc == "help" and got[1].agent_name == "sim_agent"
+    with pytest.raises(Exception, match="single_turn_prompt is missing"):
+        p.collapse_conversations(df.withColumn("single_turn_prompt", F.lit(None).cast("string")), "S", "sim", "help").collect()
+
+
+def test_few_shot_messages(spark):
+    schema = "id long, subject string, question string, choices array<string>, answer string"
+    rows = [(i, "maths" if i < 5 else "law", f"q{i}", ["w", None, "y"], "A") for i in range(7)] + [(7, "art", "q7", ["w"], "A"), (8, "law", None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.id: r for r in p.few_shot_messages(df, df.filter("subject <> 'art'"), 2, "s").collect()}
+    assert len(got) == 9 and [len(got[i].messages) for i in (0, 5, 7)] == [6, 4, 2]
+    for r in got.values():
+        text = [m.content for m in r.messages]
+        assert r.id == 8 or text[0].startswith(f"The following are multiple choice questions (with answers) about {r.subject}.\n\nq")
+        assert [m.role for m in r.messages] == ["user", "assistant"] * (len(text) // 2)
+        assert r.id == 8 or (text[-2].endswith(f"q{r.id}" + ("\nA. w" if r.id == 7 else "\nA. w\nC. y") + "\nAnswer:") and sum(f"q{r.id}\n" in x for x in text) == 1)

@@ -41,6 +41,13 @@ def rollout_summary(episodes: DataFrame, error_reasons: list[str]) -> DataFrame:
         F.count_if(F.col("finish_reason").isin(error_reasons)).alias("n_errors")).drop("task")
 
 
+def error_ids(episodes: DataFrame, error_reasons: list[str]) -> DataFrame:
+    """(tag, sample_id): the episodes that ended for one of these reasons, overall and per tag."""
+    e = episodes.filter(F.col("finish_reason").isin(error_reasons))
+    tags = F.when(F.col("task").isNull(), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), "task"))
+    return e.select(F.explode(tags).alias("tag"), "sample_id")
+
+
 def pending_jobs(jobs: DataFrame, runs: DataFrame, finished: list[str]) -> DataFrame:
     """Jobs without a run of the same (env, seed, tag) that ended for an accepted reason."""
     done = runs.filter(F.col("finish_reason").isin(finished)).select("env", "seed", "tag")

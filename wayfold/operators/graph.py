@@ -34,7 +34,7 @@ def state_key(state: Column) -> Column:
 
 def pose_key() -> Column:
     """Pose columns at four decimals, the text a pose node is identified by."""
-    return F.format_string("%.4f_%.4f_%.4f_%.4f_%.4f_%.4f", "tx", "ty", "tz", "rx", "ry", "rz")
+    return F.format_string("_".join(["%.4f"] * 6), *[F.round(c, 4) + F.lit(0.0) for c in ("tx", "ty", "tz", "rx", "ry", "rz")])
 
 
 # --- transitions ---------------------------------------------------------------------------
@@ -85,6 +85,14 @@ def raw_edges(transitions: DataFrame) -> DataFrame:
     return e.filter("src <> dst")
 
 
+def dedup_nodes_pose(poses: DataFrame) -> DataFrame:
+    """One node per scene and pose at four decimals; the earliest writer's pose stays.  Rows without a full pose name no node."""
+    cols = ["tx", "ty", "tz", "rx", "ry", "rz"]
+    p = poses.dropna(subset=[*cols, "scene_id"]).withColumn("key", pose_key())
+    g = p.groupBy("scene_id", "key").agg(F.min(F.struct(*SEQ, *cols)).alias("w"))
+    return g.select(node_id(F.col("scene_id"), F.col("key")).alias("id"), "scene_id", F.col("key").alias("state"), "w.traj_id", "w.turn", *[f"w.{c}" for c in cols])
+
+
 def dedup_edges(edges: DataFrame) -> DataFrame:
     """One edge per (src, dst, action), the earliest."""
     g = edges.groupBy("src", "dst", "action").agg(F.min(F.struct(*SEQ, "n_actions")).alias("w"))

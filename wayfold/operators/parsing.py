@@ -6,6 +6,8 @@ whole texts inside the scan stage; nothing here needs Python workers.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +65,12 @@ def render_parts(parts: Column) -> Column:
 
 
 def chatml_render(messages: DataFrame) -> DataFrame:
-    """Rows ``(record_id, turn, role, content)`` -> one log text per record, the output being that one row."""
-    piece = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "content", F.lit("<|im_end|>"))
+    """Rows ``(record_id, turn, role, content)`` -> one log text per record, the output being that one row.
+
+    ``content`` is a text or a list of parts (type, value); a missing one is empty, a missing role the user's.
+    """
+    content = render_parts(F.col("content")) if dict(messages.dtypes)["content"].startswith("array") else F.col("content")
+    piece = F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("user")), F.lit("\n"), F.coalesce(content, F.lit("")), F.lit("<|im_end|>"))
     g = messages.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("turn", piece.alias("piece")))).alias("m"))
     return g.select("record_id", F.concat(F.array_join(F.transform("m", lambda x: x["piece"]), "\n"), F.lit("\n")).alias("text"))
 
@@ -326,6 +332,77 @@ def choice_prompts(rows: DataFrame, source: str, split: str) -> DataFrame:
                                                    F.transform("endings", tidy_brackets).alias("choices"))
 
 
+def search_prompts(rows: DataFrame, split: str, system: str, instruction: str, tag: str) -> DataFrame:
+    """Questions for answering with a search tool: system and user message, the truth, and the tool's arguments.
+
+    ``rows`` (idx, question, data_source, ability, reward_model, golden_answers, metadata): the truth
+    is that of ``reward_model`` where there is one, even an empty one, else the golden answers.  A
+    missing question or source is empty.  ``tag`` goes before the source's name.
+    """
+    question, source = F.coalesce("question", F.lit("")), F.concat(F.lit(tag), F.coalesce("data_source", F.lit("")))
+    truth = F.when(F.col("reward_model").isNotNull(), F.col("reward_model.ground_truth")).otherwise(F.coalesce("golden_answers", F.array().cast("array<string>")))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    args = F.struct(truth.alias("ground_truth"), question.alias("question"), source.alias("data_source"))
+    return rows.select(
+        source.alias("data_source"), F.array(message("system", F.lit(system)), message("user", F.concat(F.lit(instruction.rstrip("\n")), question))).alias("prompt"), "ability", "reward_model",
+        F.struct(F.col("idx").alias("index"), F.lit(True).alias("need_tools_kwargs"), question.alias("question"), F.lit(split).alias("split"),
+                 F.struct(F.struct(args.alias("create_kwargs")).alias("search")).alias("tools_kwargs")).alias("extra_info"), "metadata")
+
+
+def source_prompts(sources: dict[str, tuple[DataFrame, Column, Column, str, str]]) -> DataFrame:
+    """Prompt rows of several sources {name: (rows with idx, question, solution, ability, split)} in one table."""
+    parts = [rows.select(*_prompt(name, question.cast("string"), ability, "rule", solution.cast("string"), split, F.col("idx")))
+             for name, (rows, question, solution, ability, split) in sources.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def collapse_conversations(rows: DataFrame, system: str, agent: str, task: str) -> DataFrame:
+    """Conversations (record_id, prompt, single_turn_prompt and, where there are any, ground_truth,
+    single_turn_completion, completion, task_desc) -> rows for training against a simulated user.
+
+    The system message comes first.  The truth is the first of ground truth, completion of the
+    single turn and completion that is not empty, else empty.  A row without ``single_turn_prompt``
+    is an error; without a task description it has ``task``.
+    """
+    have = set(rows.columns)
+    filled = [F.when(F.col(c) != "", F.col(c)) for c in ("ground_truth", "single_turn_completion", "completion") if c in have]
+    truth = F.coalesce(*filled, F.lit(""))
+    need = F.when(F.col("single_turn_prompt").isNull(), F.raise_error(F.concat(F.lit("single_turn_prompt is missing in record "), F.col("record_id").cast("string")))).otherwise(F.col("single_turn_prompt"))
+    desc = F.coalesce(*([F.col("task_desc")] if "task_desc" in have else []), F.lit(task))
+    prompt = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))), "prompt")
+    rest = [c for c in rows.columns if c not in ("record_id", "prompt", "ground_truth", "single_turn_prompt", "task_desc")]
+    info = F.struct(*rest, prompt.alias("prompt"), F.struct(F.lit(agent).alias("name"), need.alias("single_turn_prompt"), desc.alias("task_desc")).alias("interaction_kwargs"))
+    return rows.select(F.col("record_id").alias("index"), prompt.alias("prompt"), truth.alias("ground_truth"), prompt.alias("raw_prompt"), info.alias("extra_info"),
+                       F.struct(F.lit("rule").alias("style"), truth.alias("ground_truth")).alias("reward_model"), F.lit(agent).alias("data_source"), F.lit(f"{agent}_agent").alias("agent_name"))
+
+
+# The wording of English few-shot prompts.
+FEW_SHOT = {"system": "The following are multiple choice questions (with answers) about {subject}.\n\n", "choice": "\n{choice}. {content}", "answer": "\nAnswer:"}
+
+
+def few_shot_messages(targets: DataFrame, support: DataFrame, shots: int, seed: str, wording: dict[str, str] = FEW_SHOT) -> DataFrame:
+    """(id, subject, messages): each target question after ``shots`` answered questions of its subject.
+
+    Both tables hold (id, subject, question, choices, answer), ``choices`` being a list of at most 26
+    texts of which null ones are left out.  Support questions are drawn by hash; a target is never
+    among its own.  Questions and answers alternate, the target's own answer is the last message,
+    and the first one starts with the introduction.
+    """
+    letter = lambda i: F.char(F.lit(65) + i)
+    shape = wording["choice"].split("{choice}")
+    between, after = shape[1].split("{content}")
+    line = lambda c, i: F.when(c.isNotNull(), F.concat(F.lit(shape[0]), letter(i), F.lit(between), c, F.lit(after)))
+    text = F.concat("question", F.array_join(F.transform("choices", line), ""), F.lit(wording["answer"]))
+    pair = F.array(F.struct(F.lit("user").alias("role"), text.alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content")))
+    drawn = hash_ranked(support.filter("question IS NOT NULL AND choices IS NOT NULL AND answer IS NOT NULL"), ["subject"], seed, ["id"], "nth").filter(F.col("nth") <= shots + 1)
+    kept = drawn.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("nth", "id", pair.alias("pair")))).alias("shots"))  # shots + 1 a subject
+    j = targets.join(kept, "subject", "left")
+    others = F.slice(F.filter(F.coalesce("shots", F.array().cast(kept.schema["shots"].dataType)), lambda x: x["id"] != F.col("id")), 1, shots)
+    all_ = F.concat(F.flatten(F.transform(others, lambda x: x["pair"])), pair)
+    intro = F.concat(F.replace(F.lit(wording["system"]), F.lit("{subject}"), F.col("subject")), all_[0]["content"])
+    return j.select("id", "subject", F.transform(all_, lambda m, i: F.when(i == 0, F.struct(m["role"].alias("role"), intro.alias("content"))).otherwise(m)).alias("messages"))
+
+
 def preference_rows(rows: DataFrame) -> DataFrame:
     """Each chosen / rejected pair becomes two labelled rows."""
     both = F.array(F.struct(F.lit("chosen").alias("side"), F.col("chosen").alias("response"), F.lit(1).alias("label")), F.struct(F.lit("rejected").alias("side"), F.col("rejected").alias("response"), F.lit(0).alias("label")))

@@ -58,6 +58,11 @@ def _(spark, d):
     return rounded(op.rollout_summary(t.episodes(spark, d), ["error"]), "success_rate", "avg_reward", "avg_turns")
 
 
+@query("error_ids", ctes(E) + "SELECT 'all' AS tag, sample_id FROM episodes WHERE finish_reason IN ('error', 'max_turns') UNION ALL SELECT task, sample_id FROM episodes WHERE finish_reason IN ('error', 'max_turns')")
+def _(spark, d):
+    return op.error_ids(t.episodes(spark, d), ["error", "max_turns"])
+
+
 @query("pending_jobs", ctes(E) + """SELECT c_custkey AS env, s AS seed, 'task' || s AS tag FROM customer, range(3) x(s)
 WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = s AND o_orderpriority NOT LIKE '1%')""")
 def _(spark, d):
@@ -278,8 +283,8 @@ def _(spark, d):
     return op.per_turn_stats(t.turn_rewards(spark, d).select(F.col("turn_idx").alias("turn"), F.col("reward").alias("value")))
 
 
-@query("category_accuracy", f"""WITH a AS (SELECT source AS category, CASE WHEN quality = 1 THEN lang ELSE 'en' END = lang AS ok FROM documents JOIN labels USING (doc_id))
+@query("category_accuracy", f"""WITH a AS (SELECT source AS category, CASE WHEN quality = 1 THEN lang ELSE 'en' END = lang AS ok FROM documents LEFT JOIN labels USING (doc_id))
 SELECT category, count(*) AS n, {r(RATE.format('ok'))} AS accuracy FROM a GROUP BY 1 UNION ALL SELECT 'Average', count(*), {r(RATE.format('ok'))} FROM a""")
 def _(spark, d):
-    a = t.table(spark, d, "documents").join(t.table(spark, d, "labels"), "doc_id").select(F.col("source").alias("category"), F.when(F.col("quality") == 1, F.col("lang")).otherwise("en").alias("pred"), F.col("lang").alias("gold"))
+    a = t.table(spark, d, "documents").join(t.table(spark, d, "labels"), "doc_id", "left").select(F.col("source").alias("category"), F.when(F.col("quality") == 1, F.col("lang")).otherwise("en").alias("pred"), F.col("lang").alias("gold"))
     return rounded(op.category_accuracy(a), "accuracy")

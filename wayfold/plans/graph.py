@@ -73,6 +73,15 @@ def _(spark, d):
     return op.dedup_nodes_exact(transitions(spark, d)).withColumn("state_key", op.state_key(F.col("state")))
 
 
+_POSE_KEY = " || '_' || ".join(f"printf('%.4f', round(CAST({c} AS DECIMAL(18,8)), 4)::DOUBLE + 0.0)" for c in ("tx", "ty", "tz", "rx", "ry", "rz"))
+
+
+@query("dedup_nodes_pose", ctes(t.POSES_SQL, f"k AS (SELECT *, {_POSE_KEY} AS state FROM poses)") + """
+SELECT scene_id || '_' || md5(scene_id || '|' || state) AS id, scene_id, state, traj_id, turn, tx, ty, tz, rx, ry, rz FROM k QUALIFY row_number() OVER (PARTITION BY scene_id, state ORDER BY traj_id, turn) = 1""")
+def _(spark, d):
+    return op.dedup_nodes_pose(t.poses(spark, d))
+
+
 @query("dedup_edges", ctes(*G) + "SELECT src, dst, action, n_actions, traj_id, turn FROM eraw QUALIFY row_number() OVER (PARTITION BY src, dst, action ORDER BY traj_id, turn) = 1")
 def _(spark, d):
     return op.dedup_edges(op.raw_edges(transitions(spark, d)))

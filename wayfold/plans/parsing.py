@@ -259,6 +259,15 @@ def _(spark, d):
     return op.refine_answers(r, by_idx, by_sample)
 
 
+@query("chatml_render_parts", """SELECT conv_id AS record_id, string_agg('<|im_start|>' || role || chr(10) || CASE WHEN turn % 2 = 0 THEN '<image>' ELSE '' END || text || CASE WHEN turn % 3 = 0 THEN '' ELSE '<image>' END || '<|im_end|>', chr(10) ORDER BY turn) || chr(10) AS text
+FROM conversations GROUP BY 1""")
+def _(spark, d):
+    part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
+    image = part("image_url", F.lit("shot.png"))
+    parts = F.array(F.when(F.col("turn") % 2 == 0, image).otherwise(part("audio", F.lit("x"))), part("text", F.col("text")), F.when(F.col("turn") % 3 == 0, part("video", F.lit("y"))).otherwise(image))
+    return op.chatml_render(t.table(spark, d, "conversations").select(F.col("conv_id").alias("record_id"), "turn", "role", parts.alias("content")))
+
+
 # --- prompt rows ---------------------------------------------------------------------------
 @query("rl_prompt_math", """SELECT doc_id AS idx, text || ' Think.' AS content, CASE WHEN doc_id % 4 > 0 THEN CAST(n_chars AS VARCHAR) END AS truth, 'math' AS ability FROM documents""")
 def _(spark, d):
@@ -293,3 +302,53 @@ UNION ALL SELECT row_id, 2, 'assistant', 'so it is ' || lang, NULL FROM d""")
 def _(spark, d):
     text = F.concat("text", F.lit("\n<code>\n```python\nx = "), "lang", F.lit("\n```\n</code>\n<interpreter>\n"), "source", F.lit(" ok </interpreter> so it is <answer>"), "lang", F.lit("</answer>"))
     return op.split_tool_turns(t.table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), text.alias("text")))
+
+
+@query("rl_prompt_search", """SELECT doc_id AS idx, 'searchR1_' || source AS data_source, 'Be brief.' AS system, 'Search. ' || text AS content, CASE WHEN quality IS NULL THEN lang || '|' || source WHEN quality = 1 THEN lang END AS truth,
+  CASE WHEN quality IS NULL THEN lang || '|' || source WHEN quality = 1 THEN lang END AS tool_truth, text AS tool_question, 'train' AS split FROM documents LEFT JOIN labels USING (doc_id)""")
+def _(spark, d):
+    j = t.table(spark, d, "documents").join(t.table(spark, d, "labels"), "doc_id", "left")
+    model = F.when(F.col("quality").isNotNull(), F.struct(F.lit("rule").alias("style"), F.when(F.col("quality") == 1, F.array("lang")).alias("ground_truth")))
+    rows = j.select(F.col("doc_id").alias("idx"), F.col("text").alias("question"), F.col("source").alias("data_source"), F.lit("fact").alias("ability"), model.alias("reward_model"), F.array("lang", "source").alias("golden_answers"), F.lit(None).cast("string").alias("metadata"))
+    p = op.search_prompts(rows, "train", "Be brief.", "Search. \n", "searchR1_")
+    args = F.col("extra_info.tools_kwargs.search.create_kwargs")
+    joined = lambda c: F.when(c.isNotNull(), F.array_join(c, "|"))
+    truth = joined(args["ground_truth"])
+    return p.select(F.col("extra_info.index").alias("idx"), "data_source", F.col("prompt")[0]["content"].alias("system"), F.col("prompt")[1]["content"].alias("content"), truth.alias("truth"),
+                    truth.alias("tool_truth"), args["question"].alias("tool_question"), F.col("extra_info.split").alias("split"))
+
+
+@query("rl_prompt_sources", """SELECT 'docs' AS data_source, doc_id AS idx, text AS content, CAST(n_chars AS VARCHAR) AS truth, 'math' AS ability, 'train' AS split FROM documents
+UNION ALL SELECT 'pages', page_id, 'Where is ' || url, regexp_extract(url, '://([^/]*)', 1), 'web', 'test' FROM pages UNION ALL SELECT 'turns', conv_id * 1000 + turn, text, role, 'chat', 'train' FROM conversations""")
+def _(spark, d):
+    docs, pages, turns = (t.table(spark, d, n) for n in ("documents", "pages", "conversations"))
+    p = op.source_prompts({"docs": (docs.withColumn("idx", F.col("doc_id")), F.col("text"), F.col("n_chars"), "math", "train"),
+                           "pages": (pages.withColumn("idx", F.col("page_id")), F.concat(F.lit("Where is "), "url"), F.regexp_extract("url", "://([^/]*)", 1), "web", "test"),
+                           "turns": (turns.withColumn("idx", F.col("conv_id") * 1000 + F.col("turn")), F.col("text"), F.col("role"), "chat", "train")})
+    return p.select("data_source", F.col("extra_info.index").cast("long").alias("idx"), F.col("prompt")[0]["content"].alias("content"), F.col("reward_model.ground_truth").alias("truth"), "ability", F.col("extra_info.split").alias("split"))
+
+
+@query("collapse_conversations", """WITH c AS (SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY turn) AS body, min_by(text, turn) AS opening, max_by(text, turn) AS closing, count(*) AS n FROM conversations GROUP BY 1)
+SELECT conv_id AS record_id, 'system:Help.' || chr(10) || body AS prompt, CASE WHEN n % 3 = 0 THEN opening WHEN closing <> '' THEN closing ELSE '' END AS ground_truth, opening AS single_turn_prompt, CASE WHEN n % 2 = 0 THEN 'task ' || n ELSE 'help' END AS task_desc, n FROM c""")
+def _(spark, d):
+    m = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
+    c = t.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("m"), F.min_by("text", "turn").alias("opening"), F.max_by("text", "turn").alias("closing"), F.count(F.lit(1)).alias("n"))
+    rows = c.select(F.col("conv_id").alias("record_id"), F.transform("m", lambda x: x["m"]).alias("prompt"), F.col("opening").alias("single_turn_prompt"), F.when(F.col("n") % 3 == 0, F.col("opening")).otherwise("").alias("ground_truth"),
+                    F.col("closing").alias("completion"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("task "), F.col("n").cast("string"))).alias("task_desc"), "n")
+    r = op.collapse_conversations(rows, "Help.", "simulated", "help")
+    text = F.array_join(F.transform("prompt", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "\n")
+    return r.select(F.col("index").alias("record_id"), text.alias("prompt"), "ground_truth", "extra_info.interaction_kwargs.single_turn_prompt", "extra_info.interaction_kwargs.task_desc", "extra_info.n")
+
+
+@query("few_shot_prompts", r"""WITH q AS (SELECT doc_id AS id, source AS subject, text || chr(10) || 'A. ' || lang || chr(10) || 'C. ' || source || chr(10) || 'Answer:' AS body, CASE WHEN n_chars % 2 = 0 THEN 'A' ELSE 'C' END AS answer FROM documents),
+s AS (SELECT q.*, row_number() OVER (PARTITION BY subject ORDER BY md5('shots|' || id), id) AS nth FROM q JOIN labels ON id = doc_id QUALIFY nth <= 4),
+p AS (SELECT q.id, string_agg('user:' || s.body || chr(10) || 'assistant:' || s.answer || chr(10), '' ORDER BY s.nth) FILTER (WHERE s.k <= 3) AS shots, count(*) FILTER (WHERE s.k <= 3) AS n
+  FROM q LEFT JOIN LATERAL (SELECT s.body, s.answer, s.nth, row_number() OVER (ORDER BY s.nth) AS k FROM s WHERE s.subject = q.subject AND s.id <> q.id) s ON true GROUP BY 1)
+SELECT id, subject, CASE WHEN n = 0 THEN 1 ELSE n + 1 END * 2 AS n_messages, md5('user:The following are multiple choice questions (with answers) about ' || subject || '.' || chr(10) || chr(10) || substr(coalesce(shots, '') || 'user:' || body || chr(10) || 'assistant:' || answer || chr(10), 6)) AS digest
+FROM q JOIN p USING (id)""")
+def _(spark, d):
+    q = t.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("subject"), F.col("text").alias("question"), F.array("lang", F.lit(None).cast("string"), "source", F.lit(None).cast("string")).alias("choices"),
+                                              F.when(F.col("n_chars") % 2 == 0, "A").otherwise("C").alias("answer"))
+    support = q.join(t.table(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"], F.lit("\n"))), "")
+    return op.few_shot_messages(q, support, 3, "shots").select("id", "subject", F.size("messages").cast("long").alias("n_messages"), F.md5(text).alias("digest"))
