@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayfold.llm import embeddings, minhash, suffixes, windows
 
@@ -247,3 +248,40 @@ def test_contract_digests(spark):
     assert len(got) == len(docs)
     free = next(r for r in docs if got[r["doc_id"]]["n_removed"] == 0)
     assert got[free["doc_id"]]["kept_sha256"] == hashlib.sha256(" ".join(WORD.findall(free["text"])).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("long_first", [True, False])
+def test_two_texts_under_one_id(spark, long_first):
+    """Each text keeps its own places: short before long and long before short, for windows and strings."""
+    word = lambda seed, n: " ".join(f"{seed}{k}" for k in range(n))
+    rows = [(5, word("a", 300)), (5, word("b", 4)), (9, word("c", 3) + " " + word("a", 40)), (5, word("b", 2) + " " + word("a", 25)), (7, "x")]
+    df = spark.createDataFrame(rows if long_first else rows[::-1], "doc_id long, text string").coalesce(1)
+    hashed = dict(spark.createDataFrame(rows, "id long, text string").select("text", F.xxhash64("text")).collect())
+    seen: set = set()
+    want = []
+    for i, t in sorted(rows, key=lambda r: (r[0], hashed[r[1]])):
+        w = t.split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            if tuple(w[k: k + 20]) in seen:
+                gone[k: k + 20] = [True] * 20
+            seen.add(tuple(w[k: k + 20]))
+        want.append((i, " ".join(x for x, g in zip(w, gone) if not g)))
+    assert sorted((r["id"], r["kept"]) for r in windows.remove_repeats(df, width=1 << 16).collect()) == sorted(want)
+    count = Counter(t[k: k + 200] for _, t in rows for k in range(len(t) - 199))
+    want = []
+    for i, t in rows:
+        off = np.zeros(len(t), bool)
+        for k in range(len(t) - 199):
+            off[k: k + 200] |= count[t[k: k + 200]] > 1
+        want.append((i, "".join(c for c, g in zip(t, off) if not g)))
+    assert sorted((r["id"], bytes(r["kept"]).decode()) for r in suffixes.remove_strings(df, width=1 << 16).collect()) == sorted(want)
+
+
+def test_routes_bound_the_rows_of_a_bucket(spark, monkeypatch):
+    """With many blocks, rows pass few routes and reach the same documents."""
+    monkeypatch.setattr(windows, "ROUTES", 3)
+    monkeypatch.setattr(windows, "DEALT_BYTES", 64)
+    assert len(set(windows.routes(np.arange(-500, 500), 257).tolist())) == 17
+    test_windows(spark)
+    test_strings(spark)

@@ -1,7 +1,9 @@
 """URL filter, mixing, media and quality against plain versions."""
 
 import hashlib
+import math
 import os
+import random
 import re
 import zlib
 
@@ -177,3 +179,49 @@ def test_quality_of_odd_texts(spark):
     assert (quality.fit(df, labels) == w).all()
     none = quality.fit(df, labels.limit(0))
     assert not none.any() and quality.scored(df.limit(0), none).count() == 0
+
+
+def test_quality_equals_a_plain_learner(spark):
+    """Weights and scores against dictionaries and loops; equal texts score alike in every partitioning."""
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(60)] + ["Good", "bad", "42"]
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randint(1, 40))), i % 2) for i in range(60)] + [(100, "", 1), (101, None, 0), (102, "w1", 1)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, score string").withColumnRenamed("score", "label")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    weights = quality.fit(docs, labels)
+
+    def vector(text):
+        import pyarrow as pa
+
+        places = quality._grams(pa.array([text], pa.string()))[0].tolist()
+        return {k: np.float32(places.count(k) / len(places)) * quality.SCALE for k in set(places)} | {quality.FEATURES: 1.0}
+
+    turn = {r["id"]: r["t"] for r in spark.createDataFrame([(i,) for i, _, _ in rows], "id long").select("id", F.xxhash64("id", F.lit("order")).alias("t")).collect()}
+    total: dict = {}
+    shards = {turn[i] % quality.SHARDS for i, _, _ in rows}
+    for shard in shards:
+        z, n = {}, {}
+
+        def weight(k):
+            zk = z.get(k, 0.0)
+            return 0.0 if abs(zk) <= quality.L1 else (math.copysign(quality.L1, zk) - zk) / ((quality.BETA + math.sqrt(n.get(k, 0.0))) / quality.ALPHA + quality.L2)
+
+        mine = sorted((turn[i], i, vector(t), y) for i, t, y in rows if turn[i] % quality.SHARDS == shard)
+        for _ in range(quality.EPOCHS):
+            for _, _, x, y in mine:
+                p = 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))
+                for k, v in x.items():
+                    g, w, old = (p - y) * v, weight(k), n.get(k, 0.0)
+                    n[k] = old + g * g
+                    z[k] = z.get(k, 0.0) + g - (math.sqrt(n[k]) - math.sqrt(old)) / quality.ALPHA * w
+        for k in z:
+            total[k] = total.get(k, 0.0) + weight(k) / len(shards)
+    want = np.zeros(quality.FEATURES + 1)
+    want[list(total)] = list(total.values())
+    assert np.abs(weights - want).max() < 1e-5 and np.abs(want).max() > 0.01
+    repeated = docs.select("doc_id", "text").crossJoin(spark.range(20).select(F.col("id").alias("copy")))
+    got = [{(r["doc_id"], r["score"]) for r in quality.scored(repeated.repartition(n, "copy", "doc_id"), weights).collect()} for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    for i, s in got[0]:
+        x = vector(dict((a, b) for a, b, _ in rows)[i])
+        assert abs(s - 1 / (1 + math.exp(-sum(want[k] * v for k, v in x.items())))) < 1e-4

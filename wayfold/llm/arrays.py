@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.session import configure
+from wayfold.functions.ordering import ranked
+from wayfold.session import configure, materialize
 
 BLOCK = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -123,3 +124,17 @@ def lists(values: np.ndarray, offsets: np.ndarray, type_: pa.DataType) -> pa.Arr
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """A side of at most ``most`` narrow rows is broadcast; beyond that Spark shuffles as usual."""
     return F.broadcast(df) if rows <= most else df
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, text) with ``place``: the id, or, where an id has different texts, numbers of (id, hash of the text) in order.
+
+    Null ids have no place.  Only ids and hashes are shuffled to find out.
+    """
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    named = keyed.filter("id IS NOT NULL")
+    clash = named.groupBy("id").agg(F.min("_hash").alias("a"), F.max("_hash").alias("b")).filter("a <> b")
+    if not clash.take(1):
+        return docs.withColumn("place", F.col("id"))
+    numbers = ranked(named.select("id", "_hash").distinct(), [], ["id", "_hash"], "place").select(F.col("id").alias("_id"), F.col("_hash").alias("_of"), "place")
+    return keyed.join(materialize(numbers), (F.col("id") == F.col("_id")) & (F.col("_hash") == F.col("_of")), "left").select("id", "text", "place")

@@ -116,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     w = x.groupBy("shard").applyInPandas(lambda p: _follow(p).assign(shard=p["shard"].iloc[0]), "at int, w double, shard long")
     w = materialize(w)
     shards = w.agg(F.count_distinct("shard")).first()[0]
-    got = w.groupBy("at").agg(F.sum("w").alias("w")).toPandas()  # at most FEATURES + 1 rows
+    by_shard = F.array_sort(F.collect_list(F.struct("shard", "w")))  # SHARDS values, summed in their order so that reruns agree
+    got = w.groupBy("at").agg(F.aggregate(by_shard, F.lit(0.0), lambda a, x: a + x["w"]).alias("w")).toPandas()  # at most FEATURES + 1 rows
     out = np.zeros(FEATURES + 1)
     out[got["at"].to_numpy()] = got["w"].to_numpy() / max(shards, 1)
     return out
@@ -130,8 +131,11 @@ def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: s
     def score(text: pa.Array) -> pa.Array:
         w = shared.value
         places, first = _grams(text)
-        sums = np.append(0.0, np.cumsum(w[places]))
-        dot = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1) * SCALE + w[FEATURES]
+        size = np.diff(first)
+        dot = np.zeros(len(size))
+        if len(places):  # one sum a text, so that a score doesn't depend on the texts beside it
+            dot[size > 0] = np.add.reduceat(w[places], first[:-1][size > 0])
+        dot = dot / np.maximum(size, 1) * SCALE + w[FEATURES]
         return pa.array(1 / (1 + np.exp(-dot)))
 
     return docs.withColumn(name, score(F.col(f"`{text_col}`").cast("string")))

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrays import BASE, INVERSE, LETTER, SPACE, _power, flat, hashes, mixed, ready
-from wayfold.llm.windows import FLUSH, SKETCH, WIDTH, _flagged, _packed, _sketch_rows, _table, repeated_flags
+from wayfold.llm.arrays import BASE, INVERSE, LETTER, SPACE, _power, flat, hashes, mixed, placed, ready
+from wayfold.llm.windows import FLUSH, SKETCH, WIDTH, _flagged, _packed, _sketch_rows, _table, dealt, repeated_flags, routes
 from wayfold.session import materialize
 
 WINDOW, GRAM = 200, 32
@@ -291,10 +291,10 @@ def surroundings(docs: DataFrame, buckets: int, blocks: int, width: int, flags,
                 own, place = own[hit], place[hit]
                 edge = np.append(True, (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1))[: len(own)]
                 d, a, z = doc[k][own[edge]], place[edge], place[np.append(edge[1:], True)[: len(own)]] + WINDOW
-                out += [(1, b % buckets, b"", d, a, e, b"") for _, b, d, a, e in _packed(1, d % blocks, d, a, z)]
+                out += [(1, b % buckets, b"", d, a, e, b"") for _, b, d, a, e in _packed(1, routes(d, blocks), d, a, z)]
             if settled:
                 k = np.array(settled)
-                out += [(1, b % buckets, b"", d, a, e, b"") for _, b, d, a, e in _packed(1, doc[k] % blocks, doc[k], at[k], at[k] + n[k] - 1 + WINDOW)]
+                out += [(1, b % buckets, b"", d, a, e, b"") for _, b, d, a, e in _packed(1, routes(doc[k], blocks), doc[k], at[k], at[k] + n[k] - 1 + WINDOW)]
             return pa.RecordBatch.from_pydict(_table(out, *names))
 
         for b in batches:
@@ -366,10 +366,10 @@ def repeated_strings(docs: DataFrame, buckets: int, blocks: int, width: int, fla
         if extra:
             c = np.array(extra, np.int64)
             doc, a, b = np.append(doc, c[:, 0]), np.append(a, c[:, 1]), np.append(b, c[:, 2])
-        return pa.table(_table([r[1:] for r in _packed(0, doc % blocks, doc, a, b)], "block", "doc", "a", "b"))
+        return pa.table(_table([r[1:] for r in _packed(0, routes(doc, blocks), doc, a, b)], "block", "doc", "a", "b"))
 
     sent = surroundings(docs, buckets, blocks, width, flags, hot)
-    return sent.groupBy(F.col("block").alias("bucket")).applyInArrow(settle, "block int, doc binary, a binary, b binary")
+    return dealt(sent.groupBy(F.col("block").alias("bucket")).applyInArrow(settle, "block int, doc binary, a binary, b binary"), blocks)
 
 
 def remove_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -377,18 +377,20 @@ def remove_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of ``WINDOW`` bytes over it also starts anywhere else; strings do not
     cross documents and are judged on the input.  Null and empty texts have no bytes.  Rows
-    without an id keep theirs; equal rows that share an id are one place.
+    without an id keep theirs; equal rows that share an id are one place, different texts are places of
+    their own.
     """
     ready(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    named = d.filter("id IS NOT NULL")
+    d = placed(d)
+    named = d.filter("place IS NOT NULL").select(F.col("place").alias("id"), "text")
     sketch = materialize(sketches(named, width))
     size = sketch.agg(F.sum("n")).first()[0] or 0
     hot, places = hot_minimizers(sketch)
     buckets, blocks = max(256, (size * (2 * WINDOW) + places * SPAN * 24) // BUCKET_BYTES) | 1, max(256, d.count() // BLOCK_DOCS) | 1
     flags = docs.sparkSession.sparkContext.broadcast(repeated_flags(sketch.filter("row < 2"), width))
     gone = repeated_strings(named, buckets, blocks, width, flags, docs.sparkSession.sparkContext.broadcast(hot))
-    by = F.coalesce(F.pmod("id", F.lit(blocks)), F.pmod(F.xxhash64("text"), F.lit(blocks))).cast("int")
+    by = F.coalesce(F.pmod("place", F.lit(blocks)), F.pmod(F.xxhash64("text"), F.lit(blocks))).cast("int")
 
     def finish(left, right):
         doc, a, b = (np.frombuffer(b"".join(right.column(c).to_pylist()), np.int64) for c in ("doc", "a", "b"))
@@ -396,7 +398,7 @@ def remove_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         doc, a, b = doc[order], a[order], b[order]
         raw = [x or b"" for x in left.column("text").to_pylist()]
         removed, spans, kept = [], [], []
-        for k, text in zip(left.column("id").to_pylist(), raw):
+        for k, text in zip(left.column("place").to_pylist(), raw):
             i, j = (np.searchsorted(doc, k, "left"), np.searchsorted(doc, k, "right")) if k is not None else (0, 0)
             if i == j:
                 removed.append(0)

@@ -14,17 +14,21 @@ once, so that a passage that half the corpus holds reaches a bucket once a flush
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrays import flat, hashes, mixed, powers, ready, words
+from wayfold.llm.arrays import flat, hashes, mixed, placed, powers, ready, words
 from wayfold.session import materialize
 
 WINDOW, GRAM = 20, 10
 #: Counters of one of the two sketch rows; flags of both take ``2 * WIDTH / 8`` bytes.
 WIDTH, CELLS = 1 << 26, 1 << 16
+#: Routes from buckets to blocks of documents, and bytes that a task deals to the blocks at once.
+ROUTES, DEALT_BYTES = 257, 32 << 20
 #: Values a task holds before it sends them, and words for which a bucket is made.
 FLUSH, BUCKET_WORDS, BLOCK_DOCS = 1 << 20, 1 << 20, 256
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -159,6 +163,38 @@ def _packed(kind: int, block: np.ndarray, *values: np.ndarray) -> list[tuple]:
     return [(kind, int(b[0]), *(p[k].tobytes() for p in parts)) for k, b in enumerate(np.split(block, edges))]
 
 
+def routes(doc: np.ndarray, blocks: int) -> np.ndarray:
+    """The route to each document's block: at most about ``ROUTES`` or the root of the number of blocks.
+
+    A bucket writes one row a route it touches, so its rows don't grow with the number of blocks.
+    """
+    return doc % blocks % max(ROUTES, math.isqrt(blocks) | 1)
+
+
+def dealt(packed: DataFrame, blocks: int) -> DataFrame:
+    """Packed rows (block, doc, ...) of the routes, dealt to the blocks themselves."""
+    if blocks <= max(ROUTES, math.isqrt(blocks) | 1):
+        return packed
+    names = packed.columns
+
+    def split(held):
+        cols = [np.frombuffer(b"".join(x for b in held for x in b.column(k).to_pylist()), np.int64) for k in range(1, len(names))]
+        return pa.RecordBatch.from_pydict(_table([r[1:] for r in _packed(0, cols[0] % blocks, *cols)], *names))
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= DEALT_BYTES:
+                yield split(held)
+                held, size = [], 0
+        if held:
+            yield split(held)
+
+    return packed.repartition("block").mapInArrow(run, packed.schema)
+
+
 def _table(rows: list[tuple], *names: str) -> dict:
     c = list(zip(*rows)) or [()] * len(names)
     return {n: pa.array(v, pa.int32() if n in ("kind", "block") else pa.binary()) for n, v in zip(names, c)}
@@ -177,7 +213,7 @@ def repeated_windows(docs: DataFrame, buckets: int, blocks: int, width: int, fla
             stay = order[later]
             rows = _packed(0, (w[go] % np.uint64(buckets)).astype(np.int64), w[go], doc[go], at[go])
             # what repeats a window of this flush is settled; it passes the buckets by its document
-            rows += [(1, b % buckets, b"", d, a) for _, b, d, a in _packed(1, doc[stay] % blocks, doc[stay], at[stay])]
+            rows += [(1, b % buckets, b"", d, a) for _, b, d, a in _packed(1, routes(doc[stay], blocks), doc[stay], at[stay])]
             return pa.RecordBatch.from_pydict(_table(rows, "kind", "block", "w", "doc", "at"))
 
         size = 0
@@ -207,11 +243,11 @@ def repeated_windows(docs: DataFrame, buckets: int, blocks: int, width: int, fla
         order, later = _later(w, doc, at) if len(w) else (np.zeros(0, np.int64), np.zeros(0, bool))
         gone = order[later]
         doc, at = np.append(doc[gone], got[1][1]), np.append(at[gone], got[1][2])
-        rows = _packed(0, doc % blocks, doc, at)
+        rows = _packed(0, routes(doc, blocks), doc, at)
         return pa.table(_table([r[1:] for r in rows], "block", "doc", "at"))
 
     sent = docs.select("id", "text").mapInArrow(run, "kind int, block int, w binary, doc binary, at binary")
-    return sent.groupBy(F.col("block").alias("bucket")).applyInArrow(settle, "block int, doc binary, at binary")
+    return dealt(sent.groupBy(F.col("block").alias("bucket")).applyInArrow(settle, "block int, doc binary, at binary"), blocks)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -219,24 +255,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a window of ``WINDOW`` words over it also starts earlier, in a smaller id or
     earlier in the same text; windows are judged on the input.  Null and empty texts have no words.
-    Rows without an id keep their words; equal rows that share an id are one place.
+    Rows without an id keep their words; equal rows that share an id are one place, different texts
+    under one id come in the order of their hashes.
     """
     ready(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    named = d.filter("id IS NOT NULL")
+    d = placed(d)
+    named = d.filter("place IS NOT NULL").select(F.col("place").alias("id"), "text")
     sketch = materialize(sketches(named, width))
     size = sketch.agg(F.sum("n")).first()[0] or 0
     n_docs = d.count()
     buckets, blocks = max(256, size * (WINDOW - GRAM + 2) // 2 // BUCKET_WORDS) | 1, max(256, n_docs // BLOCK_DOCS) | 1
     flags = docs.sparkSession.sparkContext.broadcast(repeated_flags(sketch, width))
     gone = repeated_windows(named, buckets, blocks, width, flags)
-    by = F.coalesce(F.pmod("id", F.lit(blocks)), F.pmod(F.xxhash64("text"), F.lit(blocks))).cast("int")
+    by = F.coalesce(F.pmod("place", F.lit(blocks)), F.pmod(F.xxhash64("text"), F.lit(blocks))).cast("int")
 
     def finish(left, right):
         doc, at = (np.frombuffer(b"".join(right.column(c).to_pylist()), np.int64) for c in ("doc", "at"))
         order = np.argsort(doc, kind="stable")
         doc, at = doc[order], at[order]
-        ids = left.column("id")
+        ids = left.column("place")
         data, offsets = flat(left.column("text"))
         starts, ends, first = words(data, offsets)
         number = np.array([x if x is not None else -1 for x in ids.to_pylist()], np.int64)
@@ -253,6 +291,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for i, j in zip(first[:-1], first[1:]):
             some = np.flatnonzero(keep[i:j]) + i
             kept.append(b" ".join([raw[x:y] for x, y in zip(starts[some].tolist(), ends[some].tolist())]).decode())
-        return pa.table({"id": ids.cast(pa.int64()), "n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(n, pa.int64()), "kept": pa.array(kept, pa.string())})
+        return pa.table({"id": left.column("id").cast(pa.int64()), "n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(n, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     return d.withColumn("block", by).groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(finish, "id long, n_words long, n_removed long, kept string")
