@@ -32,8 +32,8 @@ NEW, OLD, LISTED_BY, EACH = 20, 10, 10, 5
 #: Sign orders of an attempt, nodes compared side by side in them, and those kept of each.
 ORDERS, CHUNK, SIDE = 6, 256, 8
 #: Rounds end when fewer than this share of all list entries is new.
-STILL = 0.02
-BEAM, EXPANDED, ENTRIES = 96, 24, 64
+STILL = 0.05
+BEAM, EXPANDED, ENTRIES = 96, 48, 64
 AUDITED, RECALL = 128, 0.95
 #: Attempts in a row that leave the recall as it was: then there is an error, not a result.
 STALLED = 4
