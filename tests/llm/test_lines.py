@@ -84,3 +84,34 @@ def test_different_texts_under_one_id(spark):
     texts = [(1, "\n".join(long)), (1, "short one\n" + near), (2, "\n".join(["short one", long[8], long[3], "own", near + "!"]))]
     df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
     assert sorted((r["doc_id"], r["text"]) for r in op.dedup_lines(df).collect()) == sorted([texts[0], texts[1], (2, "own")])
+
+
+def family(n, seed):
+    """``n`` lines that share a third, most of them within two edits of the first, the others unlike."""
+    rng = random.Random(seed)
+    base = "the same notice ends every page of this site, no. "
+    out = [base + "0000"]
+    for k in range(1, n):
+        x = list(base + "0000")
+        for _ in range(rng.randint(1, 2) if k % 5 else 9):
+            x[rng.randint(20, len(x) - 1)] = rng.choice("abcdefghij")
+        out.append("".join(x))
+    return out
+
+
+def test_a_hot_segment_equals_brute_force(spark):
+    lines = family(120, 2)
+    rows = [(i, "\n".join(lines[(7 * i + j) % len(lines)] for j in range(3))) for i in range(60)]
+    rows += [(100 + i, lines[0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: r["text"] for r in op.dedup_lines(df).collect()}
+    assert got == brute(rows)
+
+
+def test_pairs_of_a_hot_segment_grow_with_its_lines(spark):
+    def pairs(n):
+        d = spark.createDataFrame([(i, x, i) for i, x in enumerate(family(n, 3))], "id long, text string, row long").repartition(5)
+        firsts = op.occurrences(d).groupBy("h").agg(op.F.min("id").alias("id")).withColumn("row", op.F.col("id")).withColumn("pos", op.F.lit(0))
+        return op.candidates(d, op.materialize(firsts))[0].count()
+
+    assert pairs(1000) <= 15 * max(pairs(100), 100)

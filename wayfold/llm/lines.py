@@ -5,13 +5,15 @@ them unchanged, at a place that both lengths narrow to a few (seen from the left
 edits precede segment i; seen from the right, at most TAU + 1 - i follow).  Segments are indexed
 and these substrings probed as hashes; candidates that pass two letter-parity sketches are verified
 by a banded bit-parallel edit distance on the texts.  Lengths and edits count UTF-8 bytes.
+A line needs only one earlier neighbour to go, so families that share a segment are first compared
+with their earliest lines.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.arrays import BASE, BLOCK, INVERSE, LETTER, SPACE, _power, broadcast_if_small, flat, hashes, mixed, ready
@@ -20,6 +22,8 @@ from wayfold.session import materialize
 TAU = 2
 #: Shorter lines are compared for equality only: two edits would join unlike ones.
 LEAST_BYTES = 20
+#: Keys of more index lines than this are settled by pivots before pairs are made.
+HOT = 16
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,14 +193,14 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(broadcast_if_small(per, per.count(), 20_000), ["id", "row"]).select("text", "at").mapInArrow(run, "h long, line binary")
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(x, y): pairs of hashes of different lines within ``TAU`` edits; ``firsts`` has (h, id, row, pos) of every line."""
-    i, p = _keys(docs, False).withColumnsRenamed({"h": "x", "s": "sx"}), _keys(docs, True).withColumnsRenamed({"h": "y", "s": "sy"})
-    off = F.col("sx").bitwiseXOR(F.col("sy"))
-    near = (F.bit_count(off.bitwiseAND(F.lit((1 << 32) - 1))) <= 2 * TAU) & (F.bit_count(F.shiftrightunsigned(off, 32)) <= 4 * TAU)
-    pairs = materialize(i.join(p, "key").filter((F.col("x") != F.col("y")) & near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    some = pairs.select(F.col("x").alias("h")).union(pairs.select("y")).distinct()
-    lines = materialize(_texts(docs, some.join(firsts, "h").select("id", "row", "pos")).dropDuplicates(["h"]))
+def _close(s, t):
+    """Whether two sketches may belong to lines within ``TAU`` edits."""
+    off = s.bitwiseXOR(t)
+    return (F.bit_count(off.bitwiseAND(F.lit((1 << 32) - 1))) <= 2 * TAU) & (F.bit_count(F.shiftrightunsigned(off, 32)) <= 4 * TAU)
+
+
+def _later(pairs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(h): the later line of every pair (x, y) within ``TAU`` edits; ``lines`` has (h, line)."""
 
     def run(batches):
         for b in batches:
@@ -204,7 +208,77 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["x", "y"])
 
     both = pairs.join(lines.select(F.col("h").alias("x"), F.col("line").alias("lx")), "x").join(lines.select(F.col("h").alias("y"), F.col("line").alias("ly")), "y")
-    return both.select("x", "y", "lx", "ly").mapInArrow(run, "x long, y long")
+    links = both.select("x", "y", "lx", "ly").mapInArrow(run, "x long, y long")
+    at = F.struct("id", "row", "pos")
+    x, y = firsts.select(F.col("h").alias("x"), at.alias("fx")), firsts.select(F.col("h").alias("y"), at.alias("fy"))
+    return links.join(x, "x").join(y, "y").select(F.when(F.col("fx") < F.col("fy"), F.col("y")).otherwise(F.col("x")).alias("h")).distinct()
+
+
+def _lines_of(docs: DataFrame, hashes_: DataFrame, firsts: DataFrame) -> DataFrame:
+    return materialize(_texts(docs, hashes_.join(firsts, "h").select("id", "row", "pos")).dropDuplicates(["h"]))
+
+
+def _settled(docs: DataFrame, members: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(h): lines of hot keys near a line that starts earlier, as far as pivots tell.
+
+    Each round takes the earliest index line of every key that is neither settled nor taken yet
+    and compares it with all lines of the key.  Rounds end when one leaves over three quarters of
+    the index lines unsettled, so their number is logarithmic.
+    """
+    lines = _lines_of(docs, members.select("h").distinct(), firsts)
+    own = members.filter("own")
+    gone = used = None
+    before = own.count()
+    while True:
+        left = own if gone is None else own.join(gone, "h", "left_anti").join(used, ["key", "h"], "left_anti")
+        pivots = materialize(left.groupBy("key").agg(F.min(F.struct("first", "h", "s")).alias("p")).select("key", F.col("p.h").alias("x"), F.col("p.s").alias("sx")))
+        pairs = members.join(pivots, "key").filter((F.col("h") != F.col("x")) & _close(F.col("s"), F.col("sx"))).select("x", F.col("h").alias("y")).distinct()
+        found = _later(materialize(pairs), lines, firsts)
+        gone = materialize(found if gone is None else gone.union(found).distinct())
+        taken = pivots.select("key", F.col("x").alias("h"))
+        used = materialize(taken if used is None else used.union(taken))
+        rest = own.join(gone, "h", "left_anti").join(used, ["key", "h"], "left_anti").count()
+        if 4 * rest > 3 * before or not rest:
+            return gone
+        before = rest
+
+
+def candidates(docs: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """((x, y), (h)): pairs of different lines to verify, and lines that are near an earlier one already.
+
+    Repeats of a line meet once.  Where more than ``HOT`` lines share an index key, pivots settle
+    lines first, and only pairs whose later line is unsettled are made; so a family of near lines
+    makes rows in proportion to its size.
+    """
+    index = materialize(_keys(docs, False).repartition("key").dropDuplicates(["key", "h"]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))))
+    probe = _keys(docs, True)
+    cold = index.filter(F.col("n") <= HOT).select("key", F.col("h").alias("x"), F.col("s").alias("sx"))
+    p = probe.repartition("key").dropDuplicates(["key", "h"]).withColumnsRenamed({"h": "y", "s": "sy"})
+    differ = (F.col("x") != F.col("y")) & _close(F.col("sx"), F.col("sy"))
+    pair = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
+    pairs = cold.join(p, "key").filter(differ).select(*pair)
+    hot = index.filter(F.col("n") > HOT)
+    keys = materialize(hot.select("key").distinct())
+    n = keys.count()
+    if not n:
+        return materialize(pairs.distinct()), None
+    at = firsts.select("h", F.struct("id", "row", "pos").alias("first"))
+    members = probe.join(broadcast_if_small(keys, n), "key").dropDuplicates(["key", "h"]).join(hot.select("key", "h", F.lit(True).alias("own")), ["key", "h"], "left")
+    members = materialize(members.join(at, "h").select("key", "h", "s", "first", F.coalesce("own", F.lit(False)).alias("own")))
+    gone = _settled(docs, members, firsts)
+    left = materialize(members.join(gone, "h", "left_anti"))
+    x, y = [lambda d, c=c: d.select("key", F.col("h").alias(c), F.col("s").alias("s" + c), F.col("first").alias("f" + c)) for c in "xy"]
+    late_x = x(left.filter("own")).join(y(members), "key").filter(differ & (F.col("fx") > F.col("fy")))
+    late_y = x(members.filter("own")).join(y(left), "key").filter(differ & (F.col("fy") > F.col("fx")))
+    return materialize(pairs.union(late_x.select(*pair)).union(late_y.select(*pair)).distinct()), gone
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(h): lines within ``TAU`` edits of a different line that starts earlier; ``firsts`` has (h, id, row, pos) of every line."""
+    pairs, gone = candidates(docs, firsts)
+    lines = _lines_of(docs, pairs.select(F.col("x").alias("h")).union(pairs.select("y")).distinct(), firsts)
+    later = _later(pairs, lines, firsts)
+    return materialize(later if gone is None else later.union(gone).distinct())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,10 +294,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     seen = materialize(occurrences(d))
     low = seen.groupBy("h", "g").agg(F.min(F.struct("id", "row")).alias("first")).select("h", "g", "first.id", "first.row")
     firsts = materialize(seen.join(low, ["h", "g", "id", "row"]).groupBy("h", "g", "id", "row").agg(F.min("pos").alias("pos")))
-    links = materialize(near_lines(d, firsts.select("h", "id", "row", "pos")))
-    f = firsts.select("h", "id", "row", "pos")
-    x, y = f.select(F.col("h").alias("x"), F.struct("id", "row", "pos").alias("fx")), f.select(F.col("h").alias("y"), F.struct("id", "row", "pos").alias("fy"))
-    later = links.join(x, "x").join(y, "y").select(F.when(F.col("fx") < F.col("fy"), F.col("y")).otherwise(F.col("x")).alias("h")).distinct()
+    later = near_lines(d, firsts.select("h", "id", "row", "pos"))
     stay = firsts.join(later, "h", "left_anti").groupBy("id", F.col("row").alias("key")).agg(F.collect_list("pos").alias("stay"))
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     full = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text")).join(stay, ["id", "key"], "left")
