@@ -82,7 +82,11 @@ def _sketch(seg: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def _keys(docs: DataFrame, probe: bool) -> DataFrame:
-    """(key, h, s): index keys, or the substrings to look up, of the lines of ``LEAST_BYTES`` and more."""
+    """(key, h, s): index keys, or the substrings to look up, of the lines of ``LEAST_BYTES`` and more.
+
+    A line's own index keys are not among what it looks up: lines of one length with an equal
+    segment in place meet in the index itself.
+    """
 
     def block(data, starts, ends):
         length = ends - starts
@@ -109,7 +113,8 @@ def _keys(docs: DataFrame, probe: bool) -> DataFrame:
                 l = length - d
                 at, size = _segments(l, i)
                 for shift in range(max(-i, d - (TAU - i)), min(i, d + (TAU - i)) + 1):
-                    add(l, i, at + shift, size, (l >= LEAST_BYTES) & (at + shift >= 0) & (at + shift + size <= length))
+                    if d or shift:
+                        add(l, i, at + shift, size, (l >= LEAST_BYTES) & (at + shift >= 0) & (at + shift + size <= length))
         who = np.concatenate(who)
         return [pa.array(x.view(np.int64)) for x in (np.concatenate(keys), h[who], s[who])]
 
@@ -251,20 +256,21 @@ def candidates(docs: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame
     makes rows in proportion to its size.
     """
     index = materialize(_keys(docs, False).repartition("key").dropDuplicates(["key", "h"]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))))
-    probe = _keys(docs, True)
-    cold = index.filter(F.col("n") <= HOT).select("key", F.col("h").alias("x"), F.col("s").alias("sx"))
-    p = probe.repartition("key").dropDuplicates(["key", "h"]).withColumnsRenamed({"h": "y", "s": "sy"})
+    probe = _keys(docs, True).repartition("key").dropDuplicates(["key", "h"]).withColumnsRenamed({"h": "y", "s": "sy"})
     differ = (F.col("x") != F.col("y")) & _close(F.col("sx"), F.col("sy"))
     pair = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
-    pairs = cold.join(p, "key").filter(differ).select(*pair)
-    hot = index.filter(F.col("n") > HOT)
-    keys = materialize(hot.select("key").distinct())
-    n = keys.count()
-    if not n:
+    cold, hot = index.filter(F.col("n") <= HOT), index.filter(F.col("n") > HOT)
+    x = cold.select("key", F.col("h").alias("x"), F.col("s").alias("sx"))
+    several = cold.filter("n > 1").select("key", "h", "s")
+    same = several.select("key", F.col("h").alias("x"), F.col("s").alias("sx")).join(several.select("key", F.col("h").alias("y"), F.col("s").alias("sy")), "key").filter((F.col("x") < F.col("y")) & differ)
+    keys = hot.select("key", F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("sx")).distinct()
+    met = materialize(x.union(keys).join(probe, "key").filter(F.col("x").isNull() | differ).select("key", "x", "y", "sy"))  # x is null: who looks up a hot key
+    pairs = met.filter("x IS NOT NULL").select(*pair).union(same.select("x", "y"))
+    if hot.isEmpty():
         return materialize(pairs.distinct()), None
     at = firsts.select("h", F.struct("id", "row", "pos").alias("first"))
-    members = probe.join(broadcast_if_small(keys, n), "key").dropDuplicates(["key", "h"]).join(hot.select("key", "h", F.lit(True).alias("own")), ["key", "h"], "left")
-    members = materialize(members.join(at, "h").select("key", "h", "s", "first", F.coalesce("own", F.lit(False)).alias("own")))
+    members = hot.select("key", "h", "s", F.lit(True).alias("own")).union(met.filter("x IS NULL").select("key", "y", "sy", F.lit(False))).groupBy("key", "h").agg(F.first("s").alias("s"), F.max("own").alias("own"))
+    members = materialize(members.join(at, "h").select("key", "h", "s", "first", "own"))
     gone = _settled(docs, members, firsts)
     left = materialize(members.join(gone, "h", "left_anti"))
     x, y = [lambda d, c=c: d.select("key", F.col("h").alias(c), F.col("s").alias("s" + c), F.col("first").alias("f" + c)) for c in "xy"]
