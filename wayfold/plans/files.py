@@ -126,7 +126,7 @@ def _(spark, d):
 @query("stream_graph_upsert", ctes(*G) + "SELECT src, dst, min(n_actions) AS n_actions FROM eraw GROUP BY ALL")
 def _(spark, d):
     src, s = fresh(spark, "arrivals"), t.steps(spark, d)
-    s.repartition(4, "traj_id").write.parquet(src)
+    s.repartition(6, "turn").write.parquet(src)  # every episode is spread over the batches
     return inc.stream_graph_upsert(spark, src, s.schema.toDDL(), fresh(spark, "graph"))[1].select("src", "dst", "n_actions")
 
 

@@ -97,7 +97,7 @@ def _stored(spark: SparkSession, path: str, below: int | None = None) -> tuple[D
     try:
         v = spark.read.parquet(f"{path}/edges").select("version")
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # the latter: only empty versions
             raise
         return None
     top = (v if below is None else v.filter(F.col("version") < below)).agg(F.max("version")).first()[0]

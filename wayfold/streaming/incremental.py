@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import evaluation, graph
 from wayfold.operators.batches import filter_overlong
+from wayfold.session import materialize
 from wayfold.sources import files
 
 
@@ -32,13 +33,44 @@ def stream_rollout_summary(spark: SparkSession, source: str, schema: str, target
                     (F.col("t") / F.col("n")).alias("avg_turns"), F.col("e").alias("n_errors"))
 
 
+def with_border(steps: DataFrame, carried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(steps to extract from, steps to carry): a batch and what earlier ones left at the borders of their runs.
+
+    A step is carried while its next or previous turn has not come (``followed`` and ``led`` say
+    which has), so two for each run of turns, and files of an episode may arrive in any order.  A
+    turn sent again counts once; one from inside a run is carried again, which changes nothing.
+    """
+    key = ["traj_id", "turn"]
+    new = steps.withColumn("followed", F.lit(False)).withColumn("led", F.col("turn") == 0)
+    if carried is not None:
+        new = new.unionByName(carried.join(steps.select("traj_id").distinct(), "traj_id", "left_semi"))
+    mine = materialize(new.groupBy(*key).agg(*[F.first(c).alias(c) for c in steps.columns if c not in key], F.max("followed").alias("followed"), F.max("led").alias("led")))
+    turns = mine.select(*key)
+    after, before = [turns.withColumn("turn", F.col("turn") + by).withColumn(name, F.lit(True)) for by, name in ((-1, "_after"), (1, "_before"))]
+    border = mine.join(after, key, "left").join(before, key, "left").withColumn("followed", F.col("followed") | F.col("_after").isNotNull()).withColumn("led", F.col("led") | F.col("_before").isNotNull())
+    border = border.filter("NOT (followed AND led)").drop("_after", "_before")
+    if carried is not None:
+        border = border.unionByName(carried.join(turns.select("traj_id").distinct(), "traj_id", "left_anti"))
+    return mine.select(*steps.columns), border
+
+
 def stream_graph_upsert(spark: SparkSession, source: str, schema: str, target: str, files_per_batch: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Merge each arriving batch of whole episodes' steps into the stored graph and return the final graph."""
+    """Merge each arriving batch of steps into the stored graph and return the final graph.
+
+    An episode may be split over batches: steps at the borders are kept in a table of their own,
+    a version a batch, of which the last two stay, so a replayed batch reads what it read before.
+    """
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def merge(df: DataFrame, batch: int) -> None:
-        tr = graph.extract_transitions(df)
+        place = f"{target}/_border/version="
+        carried = df.sparkSession.read.schema(f"{schema}, followed boolean, led boolean").parquet(f"{place}{batch - 1}") if batch else None
+        steps, border = with_border(df, carried)
+        border.write.mode("overwrite").parquet(f"{place}{batch}")
+        tr = graph.extract_transitions(steps)
         files.save_graph(graph.dedup_nodes_exact(tr), graph.edges_shorter_wins(graph.raw_edges(tr)), target, version=batch)
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{place}{batch - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     _run(s, merge, f"{target}/_checkpoint")
     return files.load_graph(spark, target)
 
