@@ -29,3 +29,42 @@ def test_only_borders_of_runs_are_carried(spark):
     mine, border = inc.with_border(later, border)
     assert sorted((r.traj_id, r.turn) for r in border.collect()) == [(1, 9), (2, 4)]
     assert sorted(r.turn for r in mine.filter("traj_id = 1").collect()) == [3, 4, 5, 6, 7, 9]
+
+
+EPISODES = "task string, sample_id long, success boolean, cumulative_reward double, num_turns long, finish_reason string"
+
+
+def test_runs_double():
+    assert [inc.runs(n) for n in range(5)] == [[], [(0, 0)], [(0, 1)], [(0, 1), (2, 2)], [(0, 3)]]
+
+
+def test_summary_counts_a_sample_once_and_keeps_few_folders(spark, tmp_path):
+    source, target = str(tmp_path / "in"), tmp_path / "out"
+
+    def send(ids):
+        rows = [("t" if i % 2 else None, i, i % 3 == 0, 1.0, 2, "error" if i % 5 == 0 else "stop") for i in ids]
+        spark.createDataFrame(rows, EPISODES).coalesce(1).write.mode("append").parquet(source)
+    for n in range(6):
+        send([*range(2 * n, 2 * n + 4), 2 * n])  # half of each file was sent before, one id twice
+    first = {r.tag: tuple(r) for r in inc.stream_rollout_summary(spark, source, EPISODES, str(target), 1).collect()}
+    assert first["all"][1] == 14 and first["t"][1] == 7 and first[None][1] == 7
+    assert first["all"][5] == sum(i % 5 == 0 for i in range(14))
+    for _ in range(5):
+        send(range(14))
+    again = {r.tag: tuple(r) for r in inc.stream_rollout_summary(spark, source, EPISODES, str(target), 1).collect()}
+    assert again == first
+    assert sorted(p.name for p in (target / "sums").iterdir()) == ["10", "9"]
+    live = {f"{a}-{b}" for n in (10, 11) for a, b in inc.runs(n)}
+    assert live <= {p.name for p in (target / "seen").iterdir()} and len(list((target / "seen").iterdir())) <= 6
+    ids = spark.read.parquet(*[str(target / "seen" / f"{a}-{b}") for a, b in inc.runs(11)])
+    assert ids.count() == 14
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    source, target = str(tmp_path / "in"), tmp_path / "out"
+    for n in range(3):
+        spark.createDataFrame([("t", i, True, 1.0, 2, "stop") for i in range(n, n + 3)], EPISODES).coalesce(1).write.mode("append").parquet(source)
+    first = inc.stream_rollout_summary(spark, source, EPISODES, str(target), 1).collect()
+    for kind in (".2.crc", "2"):  # as if the last batch had ended before its commit
+        (target / "_checkpoint" / "commits" / kind).unlink()
+    assert inc.stream_rollout_summary(spark, source, EPISODES, str(target), 1).collect() == first

@@ -20,16 +20,62 @@ def _run(stream: DataFrame, handle, checkpoint: str, mode: str = "append") -> No
     q.awaitTermination()
 
 
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def runs(n: int) -> list[tuple[int, int]]:
+    """Batches 0 .. n - 1 as (first, last) runs whose lengths are the powers of two in n, longest first."""
+    out, start = [], 0
+    for bit in reversed(range(n.bit_length())):
+        if n >> bit & 1:
+            out.append((start, start + (1 << bit) - 1))
+            start += 1 << bit
+    return out
+
+
 def stream_rollout_summary(spark: SparkSession, source: str, schema: str, target: str, files_per_batch: int = 2) -> DataFrame:
-    """Per-task and overall summary, refreshed with every arriving file of episodes; repeats of a sample count once."""
-    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source).dropDuplicates(["sample_id"])
-    sums = e.select("task", F.col("success").cast("long").alias("s"), "cumulative_reward", "num_turns", (F.col("finish_reason") == "error").cast("long").alias("e")).groupBy("task").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"), F.sum("cumulative_reward").alias("r"), F.sum("num_turns").alias("t"), F.sum("e").alias("e"))
-    _run(sums, lambda df, batch: df.write.mode("overwrite").parquet(f"{target}/version={batch}"), f"{target}/_checkpoint", "complete")
-    v = spark.read.parquet(f"{target}/version=*").withColumn("version", F.regexp_extract("_metadata.file_path", r"version=(\d+)", 1).cast("long"))
-    last = v.agg(F.max("version")).first()[0]
-    g = v.filter(F.col("version") == last).groupingSets([[], [F.col("task")]], "task").agg(*[F.sum(c).alias(c) for c in ("n", "s", "r", "t", "e")])
-    return g.select(F.coalesce("task", F.lit("all")).alias("tag"), F.col("n").alias("n_episodes"), (F.col("s") / F.col("n")).alias("success_rate"), (F.col("r") / F.col("n")).alias("avg_reward"),
+    """Per-task and overall summary, refreshed with every arriving file of episodes; repeats of a sample count once.
+
+    Two tables are kept.  ``sums`` has a version a batch, of which the last two stay.  ``seen`` holds
+    every sample id once, in one folder for each run of batches; runs double in length like the
+    digits of a binary counter, so n batches leave about log n folders and an id is written again
+    about log n times.  A batch reads what the batch before it left and nothing of its own, so a
+    replayed batch changes nothing.
+    """
+    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+
+    def fold(df: DataFrame, batch: int) -> None:
+        s = df.sparkSession
+        at = lambda run: f"{target}/seen/{run[0]}-{run[1]}"
+        before, now = runs(batch), runs(batch + 1)
+        kind = df.schema["sample_id"].dataType.simpleString()
+        rest = [c for c in df.columns if c != "sample_id"]
+        new = df.groupBy("sample_id").agg(F.min(F.struct(*rest)).alias("w")).select("sample_id", "w.*")
+        if before:
+            known = s.read.schema(f"_known {kind}").parquet(*[at(r) for r in before])
+            new = new.join(known, F.col("sample_id").eqNullSafe(F.col("_known")), "left_anti")
+        new = materialize(new)
+        merged = [r for r in before if r not in now]
+        ids = new.select(F.col("sample_id").alias("_known"))
+        if merged:
+            ids = ids.unionByName(s.read.schema(f"_known {kind}").parquet(*[at(r) for r in merged]))
+        ids.write.mode("overwrite").parquet(at(now[-1]))
+        sums = new.select("task", F.lit(1).cast("long").alias("n"), F.col("success").cast("long").alias("s"), F.col("cumulative_reward").cast("double").alias("r"),
+                          F.col("num_turns").cast("long").alias("t"), (F.col("finish_reason") == "error").cast("long").alias("e"))
+        if batch:
+            sums = sums.unionByName(s.read.schema(sums.schema).parquet(f"{target}/sums/{batch - 1}"))
+        sums.groupBy("task").agg(*[F.sum(c).alias(c) for c in ("n", "s", "r", "t", "e")]).coalesce(1).write.mode("overwrite").parquet(f"{target}/sums/{batch}")
+        for old in set(runs(batch - 1) if batch > 1 else []) - set(before) - set(now):
+            _delete(s, at(old))
+        _delete(s, f"{target}/sums/{batch - 2}")
+    _run(e, fold, f"{target}/_checkpoint")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/sums")
+    kept = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)  # two folders at most
+    newest = max(int(f.getPath().getName()) for f in kept)
+    g = spark.read.parquet(f"{target}/sums/{newest}").groupingSets([[], [F.col("task")]], "task").agg(F.grouping_id().alias("_all"), *[F.sum(c).alias(c) for c in ("n", "s", "r", "t", "e")])
+    return g.select(F.when(F.col("_all") == 1, "all").otherwise(F.col("task")).alias("tag"), F.col("n").alias("n_episodes"), (F.col("s") / F.col("n")).alias("success_rate"), (F.col("r") / F.col("n")).alias("avg_reward"),
                     (F.col("t") / F.col("n")).alias("avg_turns"), F.col("e").alias("n_errors"))
 
 
@@ -69,8 +115,7 @@ def stream_graph_upsert(spark: SparkSession, source: str, schema: str, target: s
         border.write.mode("overwrite").parquet(f"{place}{batch}")
         tr = graph.extract_transitions(steps)
         files.save_graph(graph.dedup_nodes_exact(tr), graph.edges_shorter_wins(graph.raw_edges(tr)), target, version=batch)
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{place}{batch - 2}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        _delete(spark, f"{place}{batch - 2}")
     _run(s, merge, f"{target}/_checkpoint")
     return files.load_graph(spark, target)
 
