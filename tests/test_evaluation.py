@@ -139,6 +139,17 @@ def test_env_specs(spark):
         files.expand_env_specs(spark.createDataFrame([(1, "a", 2, None, [1, 2])], schema), 1).collect()
 
 
+def test_capped_seeds_of_a_wide_range(spark):
+    schema = "spec_id long, name string, n_envs long, seed array<long>, seed_list array<long>"
+    wide = files.expand_env_specs(spark.createDataFrame([(i, "a", 5, [0, 2**31, 1], None) for i in range(50)], schema), 3)
+    got = [r.env_seed for r in wide.collect()]
+    assert len(got) == 250 and all(0 <= x <= 2**31 for x in got) and len(set(got)) > 240
+    assert 0.4 < sum(x < 2**30 for x in got) / 250 < 0.6
+    for n in (1, 2, 3, 7, 64, 101):
+        df = spark.range(n).select(files.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k")).alias("x"))
+        assert sorted(r.x for r in df.collect()) == list(range(n))
+
+
 def test_log_and_dump_layouts(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "12.jsonl").write_text('{"input": "a", "output": "b", "score": 0.5}\n\n{"input": \n{"input": "c", "score": 1}\n')

@@ -97,6 +97,19 @@ def test_identical_texts_score_full(spark):
     assert got[1] == (100.0, 100.0, 100.0) and got[2] == (0.0, 0.0, 0.0) and got[3] == (0.0, 0.0, 0.0)
 
 
+def test_long_texts_are_counted_in_slices(spark, monkeypatch):
+    long = [(1, "a b c d e f g  h\nij", "b c x é😀 f g h"), (2, "", ""), (3, "ab" * 40, "ba " * 30), (4, "w " * 100, "w")]
+    df = spark.createDataFrame(long, "pair_id long, prediction string, label string")
+    whole = sorted(map(tuple, scoring.ngram_overlap(df).collect()))
+    for k in (3, 4, 7):
+        monkeypatch.setattr(scoring, "SLICE", k)
+        assert sorted(map(tuple, scoring.ngram_overlap(df).collect())) == whole
+    assert max(len(r.body) for r in scoring.text_slices(df).filter("family = 'c'").collect()) == 10
+    monkeypatch.undo()
+    big = spark.range(1).select(F.col("id").alias("pair_id"), F.repeat(F.lit("one two three "), 700_000).alias("prediction"), F.lit("one two").alias("label"))
+    assert scoring.text_slices(big).count() > 2500
+
+
 def test_group_split_is_disjoint_and_exact(spark):
     df = spark.range(1000).select(F.col("id").alias("i"), (F.col("id") % 37).alias("g"))
     s = sampling.split_by_group(df, "g", [80, 10, 10], ["train", "eval", "test"], "s").cache()

@@ -65,30 +65,53 @@ def mean_by_source(scored: DataFrame) -> DataFrame:
     return scored.groupBy("data_source").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols])
 
 
-def _grams(units: Column, sizes: range, family: str, side: int) -> Column:
-    """Array of (family, n, gram, in prediction, in label) over all n-grams of a unit list."""
+SLICE = 4096  # n-gram starts a slice, at least 3
+
+
+def _slices(family: str) -> Column:
+    """Consecutive slices of a text, each with enough of the next to finish the n-grams that start in it."""
+    if family == "w":
+        words = F.col("words")
+        n = F.size(words)
+        starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(SLICE))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, SLICE + 1), " "))
+    cut = F.col("cut")
+    return F.transform(cut, lambda x, i: F.concat(x, F.coalesce(F.left(F.get(cut, i + 1), F.lit(3)), F.lit(""))))
+
+
+def _grams(units: Column, sizes: range) -> Column:
+    """Array of (n, gram) over the n-grams that start in the first ``SLICE`` units."""
     def starts(k):
-        return F.when(F.size(units) >= k, F.sequence(F.lit(1), F.size(units) - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.when(F.size(units) >= k, F.sequence(F.lit(1), F.least(F.size(units) - k + 1, F.lit(SLICE)))).otherwise(F.array().cast("array<int>"))
 
     def gram(k):
-        return lambda i: F.struct(F.lit(family).alias("family"), F.lit(k).alias("n"), F.concat_ws("\u0001", F.slice(units, i, k)).alias("gram"), F.lit(1 - side).alias("p"), F.lit(side).alias("l"))
+        return lambda i: F.struct(F.lit(k).alias("n"), F.concat_ws("\u0001", F.slice(units, i, k)).alias("gram"))
     return F.flatten(F.array(*[F.transform(starts(k), gram(k)) for k in sizes]))
 
 
+def text_slices(pairs: DataFrame) -> DataFrame:
+    """(pair_id, lp, ll, family, p, l, body): words and characters of both texts in overlapping slices of bounded length."""
+    sides = pairs.select("pair_id", F.length("prediction").alias("lp"), F.length("label").alias("ll"), F.explode(F.array(*[
+        F.struct(F.col(c).alias("text"), F.lit(p).alias("p"), F.lit(1 - p).alias("l")) for c, p in (("prediction", 1), ("label", 0))])).alias("s"))
+    u = sides.select("pair_id", "lp", "ll", "s.*").withColumn("words", F.filter(F.split("text", r"\s+"), lambda w: w != "")).withColumn(
+        "cut", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{SLICE}}}"), F.lit(0)))
+
+    def tagged(family):
+        return F.transform(_slices(family), lambda b: F.struct(F.lit(family).alias("family"), b.alias("body")))
+    return u.select("pair_id", "lp", "ll", "p", "l", F.inline_outer(F.concat(tagged("w"), tagged("c"))))
+
+
 def ngram_overlap(pairs: DataFrame) -> DataFrame:
     """ROUGE-1/2 F over word sets and smoothed BLEU-4 over characters of ``(pair_id, prediction, label)``.
 
-    Both texts are exploded once into grams tagged by side; one aggregate per (pair, gram)
-    counts both sides with map-side combining, so no join is needed and a long text is spread
-    over tasks.
+    Texts are cut into overlapping slices where they lie; slices, not whole texts, are spread over
+    the tasks and exploded into grams tagged by side.  One aggregate per (pair, gram) counts both
+    sides with map-side combining, so no join is needed and one long pair is many small rows.
     """
-    def words(c):
-        return F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
-
-    u = spread(pairs, "pair_id").select("pair_id", F.length("prediction").alias("lp"), F.length("label").alias("ll"), words("prediction").alias("wp"), words("label").alias("wl"),
-                     F.split("prediction", "").alias("cp"), F.split("label", "").alias("cl"))
-    grams = F.concat(_grams(F.col("wp"), range(1, 3), "w", 0), _grams(F.col("wl"), range(1, 3), "w", 1), _grams(F.col("cp"), range(1, 5), "c", 0), _grams(F.col("cl"), range(1, 5), "c", 1))
-    per_gram = u.select("pair_id", "lp", "ll", F.inline_outer(grams)).groupBy("pair_id", "family", "n", "gram").agg(
+    words = F.split("body", " ")
+    u = spread(text_slices(pairs), "pair_id", "family", "body").withColumn("units", F.when(F.col("family") == "w", words).otherwise(F.split("body", "")))
+    grams = F.when(F.col("family") == "w", _grams(F.col("units"), range(1, 3))).otherwise(_grams(F.col("units"), range(1, 5)))
+    per_gram = u.select("pair_id", "lp", "ll", "family", "p", "l", F.inline_outer(grams)).groupBy("pair_id", "family", "n", "gram").agg(
         F.sum("p").alias("p"), F.sum("l").alias("l"), F.max("lp").alias("lp"), F.max("ll").alias("ll"))
 
     def at(family, k, value):

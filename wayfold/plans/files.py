@@ -101,9 +101,10 @@ def _(spark, d):
 
 @query("expand_env_specs", """WITH sp AS (SELECT s_suppkey AS k, 'env' || (s_suppkey % 3) AS name, 1 + s_suppkey % 5 AS n FROM supplier),
 dr AS (SELECT k AS spec_id, name, i, ('0x' || substr(md5('7|' || k || '|' || name || '|' || i), 1, 12))::BIGINT AS h FROM sp, range(1, 6) x(i) WHERE i <= n),
-cp AS (SELECT k AS spec_id, name, n, v, row_number() OVER (PARTITION BY k, name ORDER BY md5('7|' || k || '|' || name || '|' || v || '|' || c), k, name, v, c) AS i FROM sp, range(0, 5) a(o), range(1, 3) b(c), (SELECT 0) z, LATERAL (SELECT k + o AS v) WHERE k % 4 = 2)
+cp AS (SELECT k AS spec_id, name, i, k + list_reduce([i - 1] || range(1, 33), lambda x, q: CASE WHEN ('0x' || substr(md5('7|' || k || '|' || name || '|' || q || '|' || greatest(x, (('0x' || substr(md5('7|' || k || '|' || name || '|' || q), 1, 12))::BIGINT % 10 - x + 10) % 10)), 1, 12))::BIGINT % 2 = 1
+  THEN (('0x' || substr(md5('7|' || k || '|' || name || '|' || q), 1, 12))::BIGINT % 10 - x + 10) % 10 ELSE x END) % 5 AS v FROM sp, range(1, 6) x(i) WHERE i <= n AND k % 4 = 2)
 SELECT spec_id, name, i, h % 2147483648 AS env_seed FROM dr WHERE spec_id % 4 = 0 UNION ALL SELECT spec_id, name, i, spec_id + h % 10 FROM dr WHERE spec_id % 4 = 1
-UNION ALL SELECT spec_id, name, i, v FROM cp WHERE i <= n UNION ALL SELECT spec_id, name, i, spec_id * 10 + i FROM dr WHERE spec_id % 4 = 3""")
+UNION ALL SELECT spec_id, name, i, v FROM cp UNION ALL SELECT spec_id, name, i, spec_id * 10 + i FROM dr WHERE spec_id % 4 = 3""")
 def _(spark, d):
     k = F.col("s_suppkey")
     kind = k % 4

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.ordering import hash_int, hash_of, hash_ranked
+from wayfold.functions.ordering import hash_int, hash_of
 
 ROLLOUT_SCHEMA = "input string, output string, gts string, score double, step long, reward_scores map<string,double>, _corrupt string"
 EPISODE_SCHEMA = ("rewards array<double>, infos array<map<string,string>>, success boolean, cumulative_reward double, num_turns long, finish_reason string, "
@@ -149,11 +149,30 @@ def top_scenes(manifest: DataFrame, k: int = 5) -> DataFrame:
     return manifest.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "scene_id").limit(k)
 
 
+ROUNDS = 32  # of the swap-or-not permutation
+
+
+def permuted(slot: Column, n: Column, seed: Column) -> Column:
+    """Image of ``slot`` under a keyed permutation of 0 .. n - 1 (swap-or-not shuffle).
+
+    Each round pairs every slot with its mirror at a keyed offset and swaps the two if the pair's
+    keyed bit says so.  Any n will do, and one image costs the same whatever n.
+    """
+    def number(*parts):
+        return hash_int(F.md5(F.concat_ws("|", seed, *[p.cast("string") for p in parts])))
+
+    def swap(x, r):
+        other = (number(r) % n - x + n) % n
+        return F.when(number(r, F.greatest(x, other)) % 2 == 1, other).otherwise(x)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), slot.cast("long"), swap)
+
+
 def expand_env_specs(specs: DataFrame, base_seed: int) -> DataFrame:
     """n_envs rows per spec ``(spec_id, name, n_envs, seed, seed_list)`` with reproducible seeds.
 
     An explicit list is cut to n_envs and must be longer; one number draws from the full
-    range, two from a closed range, three cap how often a value may occur.
+    range, two from a closed range, three cap how often a value may occur: the i-th draw is then
+    the i-th image of a keyed permutation of all (value, copy) slots, of which none is written out.
     """
     def fail(why):
         return F.raise_error(F.concat(F.lit(why + " in spec "), F.col("spec_id").cast("string"))).cast("boolean")
@@ -164,9 +183,8 @@ def expand_env_specs(specs: DataFrame, base_seed: int) -> DataFrame:
         .when((F.col("_n") >= 2) & (hi < lo), fail("empty seed range")).when((F.col("_n") == 3) & ((cap <= 0) | ((hi - lo + 1) * cap < F.col("n_envs"))), fail("too few seeds")).otherwise(True))
     ids = ["spec_id", "name"]
     listed = s.filter("seed_list IS NOT NULL").select(*ids, F.posexplode(F.slice("seed_list", F.lit(1), F.col("n_envs").cast("int"))).alias("i", "env_seed")).withColumn("i", F.col("i") + 1)
-    drawn = s.filter("seed_list IS NULL AND _n < 3").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n_envs").cast("int"))))
+    drawn = s.filter("seed_list IS NULL").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n_envs").cast("int"))))
     h = hash_int(hash_of(str(base_seed), *ids, "i"))
-    drawn = drawn.select(*ids, "i", F.when(F.col("_n") == 1, h % 2147483648).otherwise(lo + h % (hi - lo + 1)).alias("env_seed"))
-    capped = s.filter("seed_list IS NULL AND _n = 3").select(*ids, "n_envs", cap.alias("cap"), F.explode(F.sequence(lo, hi)).alias("env_seed")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("cap"))))
-    capped = hash_ranked(capped, ids, str(base_seed), [*ids, "env_seed", "copy"], "i").filter("i <= n_envs").select(*ids, F.col("i").cast("int").alias("i"), "env_seed")
-    return listed.unionByName(drawn).unionByName(capped)
+    slot = permuted(F.col("i") - 1, (hi - lo + 1) * cap, F.concat_ws("|", F.lit(str(base_seed)), *[F.col(c).cast("string") for c in ids]))
+    drawn = drawn.select(*ids, "i", F.when(F.col("_n") == 1, h % 2147483648).when(F.col("_n") == 2, lo + h % (hi - lo + 1)).otherwise(lo + slot % (hi - lo + 1)).alias("env_seed"))
+    return listed.unionByName(drawn)
