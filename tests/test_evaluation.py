@@ -139,6 +139,18 @@ def test_env_specs(spark):
         files.expand_env_specs(spark.createDataFrame([(1, "a", 2, None, [1, 2])], schema), 1).collect()
 
 
+def test_cameras_descend_to_visible_cells_only(spark):
+    plane = spark.range(90_000).select(F.lit("s").alias("scene_id"), (F.col("id") % 300 - 77.5).alias("x"), (F.floor(F.col("id") / 300) - 33.5).alias("y"), F.lit(4.0).alias("z"))
+    pyramid, top = points.cell_pyramid(plane.unionByName(spark.createDataFrame([("t", 0.0, 0.0, 0.0)], plane.schema)), 1.0)
+    cams = spark.createDataFrame([(i, "s", 25.0 * i, 10.0 * i) for i in range(4)], "cam_id long, scene_id string, tx double, ty double")
+    sees = (F.abs(F.col("mx") - F.col("tx")) <= 3 + F.col("rad")) & (F.abs(F.col("my") - F.col("ty")) <= 3 + F.col("rad"))
+    levels = [x.count() for x in points.descend(cams, pyramid, top, sees)]
+    fine = points.descend(cams, pyramid, top, sees)[-1].select("cam_id", "gx", "gy", "gz").collect()
+    flat = cams.join(pyramid.filter("level = 0"), "scene_id").filter(sees).select("cam_id", "gx", "gy", "gz").collect()
+    assert sorted(fine) == sorted(flat) and 100 < len(fine) < 300
+    assert levels[0] <= 8 * 4 and sum(levels) < 2 * len(fine)
+
+
 def test_capped_seeds_of_a_wide_range(spark):
     schema = "spec_id long, name string, n_envs long, seed array<long>, seed_list array<long>"
     wide = files.expand_env_specs(spark.createDataFrame([(i, "a", 5, [0, 2**31, 1], None) for i in range(50)], schema), 3)
