@@ -155,6 +155,39 @@ def test_media_of_texts(spark):
     assert media.features(media.stored(df.limit(0))).count() == 0
 
 
+def test_query_meets_every_layout():
+    assert {media.layout(str(i).encode()) for i in range(500)} == {(c, p, t) for c in (media.PACKBITS, media.LZW, media.DEFLATE) for p in (1, 2) for t in (None, 64, 32)}
+
+
+def test_long_files_of_every_layout(spark):
+    rng = random.Random(5)
+    given = ["".join(rng.choice("abcdé \n") for _ in range(rng.randrange(3000, 9000))) * rng.choice([1, 4]) for _ in range(60)]
+    assert len({media.layout(t.encode()) for t in given}) == 18
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").repartition(3)
+    got = media.features(media.stored(df, page_rows=100)).collect()
+    assert sorted(r["id"] for r in got) == list(range(60))
+    for r in got:
+        raw = given[r["id"]].encode()
+        payload = raw.ljust(-(-len(raw) // 64) * 64, b"\0")
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r["feature"].split(":")[0] == str(-(-len(payload) // 6400))
+
+
+def test_damaged_files_have_a_status(spark):
+    whole = {c: media.write_tiff([np.arange(6400, dtype=np.uint8).reshape(100, 64)] * 2, c) for c in (media.NONE, media.PACKBITS, media.LZW, media.DEFLATE)}
+    broken = [b"", b"II", b"text", b"II*\0" + b"\xff" * 4]
+    for data in whole.values():
+        broken += [data[:n] for n in range(8, len(data), 97)]
+        broken += [data[:n] + bytes((data[n] ^ 255,)) + data[n + 1:] for n in (4, *range(len(data) - 130, len(data), 3))]
+    files = spark.createDataFrame([(i, len(x), bytearray(x)) for i, x in enumerate(broken)] + [(-1, 0, bytearray(whole[media.LZW])), (-2, 0, None)], "id long, n_bytes long, media binary")
+    rows = media.pages(files).collect()
+    assert [(r["page"], r["status"]) for r in rows if r["id"] == -1] == [(0, "ok"), (1, "ok")]
+    assert all((r["status"] == "ok") == (r["pixels"] is not None) for r in rows)
+    assert {r["id"] for r in rows if r["status"] != "ok"} >= {0, 1, 2, 3} and -2 not in {r["id"] for r in rows}
+    digests = {r["id"]: r for r in media.features(files).collect()}
+    assert digests[-1]["payload_bytes"] == 12800 and digests[2]["feature"] is None and digests[2]["media_bytes"] == 4
+
+
 # --- quality ---------------------------------------------------------------------------------
 @tables
 def test_quality_is_learned_and_generalises(spark):

@@ -29,6 +29,10 @@ TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4,
 ROW = 64
 #: Rows of one strip and of one page that the writer makes.
 STRIP_ROWS, PAGE_ROWS = 1024, 1 << 18
+#: Samples of the largest page that is decoded; a damaged size may name any number.
+MOST_SAMPLES = 1 << 30
+#: What a damaged file may raise.
+DAMAGE = (ValueError, LookupError, TypeError, ArithmeticError, struct.error, zlib.error)
 
 
 def packbits_encode(data: bytes) -> bytes:
@@ -73,39 +77,34 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first, widened one code early (by the reader's table, one entry behind)."""
-    bits, held, out = 0, 0, bytearray()
-
-    def put(code, width):
-        nonlocal bits, held
-        bits, held = (bits << width) | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append((bits >> held) & 255)
-        bits &= (1 << held) - 1
-
-    table, following, width = {bytes((i,)): i for i in range(256)}, 258, 9
-    put(256, width)
-    word = b""
-    for i in range(len(data)):
-        longer = word + data[i: i + 1]
-        if longer in table:
+    out = bytearray()
+    table, following, width = {}, 258, 9  # (code of a word, next byte) to the code of both
+    bits, held, word = 256, 9, -1
+    for byte in data:
+        if word < 0:
+            word = byte
+            continue
+        longer = table.get(word << 8 | byte)
+        if longer is not None:
             word = longer
             continue
-        put(table[word], width)
-        table[longer], following = following, following + 1
-        word = data[i: i + 1]
+        bits, held = bits << width | word, held + width
+        table[word << 8 | byte], following = following, following + 1
+        word = byte
         width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
         if following == 4094:
-            put(256, width)
-            table, following, width = {bytes((i,)): i for i in range(256)}, 258, 9
-    if word:
-        put(table[word], width)
-        following += 1
+            bits, held = bits << width | 256, held + width
+            table, following, width = {}, 258, 9
+        if held >= 64:
+            held -= 64
+            out += (bits >> held).to_bytes(8)
+            bits &= (1 << held) - 1
+    if word >= 0:
+        bits, held, following = bits << width | word, held + width, following + 1
         width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
-    put(257, width)
-    if held:
-        put(0, 8 - held)
-    return bytes(out)
+    bits, held = bits << width | 257, held + width
+    spare = -held % 8
+    return bytes(out) + (bits << spare).to_bytes((held + spare) // 8)
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
@@ -208,6 +207,8 @@ def read_tiff(data: bytes) -> Iterator[np.ndarray]:
     for tags in _directories(data):
         one = lambda tag, default: tags.get(tag, (default,))[0]
         width, height = one(WIDTH, 0), one(HEIGHT, 0)
+        if not 0 < width * height <= MOST_SAMPLES:
+            raise ValueError(f"a page of {width} x {height} samples is not supported")
         if one(BITS, 8) != 8 or one(SAMPLES, 1) != 1:
             raise ValueError("only 8-bit pages of one sample are supported")
         tiled = TILE_OFFSETS in tags
@@ -231,13 +232,19 @@ def text_pages(raw: bytes, page_rows: int = PAGE_ROWS) -> list[np.ndarray]:
     return [rows[k: k + page_rows] for k in range(0, len(rows), page_rows)]
 
 
+def layout(raw: bytes) -> tuple[int, int, int | None]:
+    """Compression, predictor and tile size of a text's file: any of the reader's, by a hash of the content."""
+    h = zlib.crc32(raw)
+    return (PACKBITS, LZW, DEFLATE)[h % 3], 1 + h // 3 % 2, (None, 64, 32)[h // 6 % 3]
+
+
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_rows: int = PAGE_ROWS) -> DataFrame:
-    """(id, n_bytes, media): every whole text as a TIFF file; null is empty."""
+    """(id, n_bytes, media): every whole text as a TIFF file in the ``layout`` of its content; null is empty."""
 
     def run(batches):
         for b in batches:
             raw = [x or b"" for x in b.column(1).to_pylist()]
-            media = [write_tiff(text_pages(x, page_rows), DEFLATE) for x in raw]
+            media = [write_tiff(text_pages(x, page_rows), *layout(x)) for x in raw]
             if media:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
@@ -246,43 +253,78 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw")).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
 
 
-def pages(files: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """(id, page, width, height, pixels): one row per page; null files have none."""
+def pages(files: DataFrame, id_col: str = "id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, page, width, height, pixels, status, then the columns in ``keep``): one row per page, in order.
+
+    Null files have no rows.  A file that is damaged or of another layout brings the pages before
+    the fault, then one row without size and pixels whose ``status`` says what is wrong; all other
+    rows have the status ``ok``.
+    """
+
+    def rows(data):
+        n = -1
+        try:
+            for n, image in enumerate(read_tiff(data)):
+                yield n, image.shape[1], image.shape[0], image.tobytes(), "ok"
+        except DAMAGE as fault:
+            yield n + 1, None, None, None, f"{type(fault).__name__}: {fault}"
 
     def run(batches):
         for b in batches:
-            for k, data in zip(b.column(0), b.column(1)):
-                for n, image in enumerate(read_tiff(data.as_py()) if data.is_valid else ()):
-                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], k.type), pa.array([n], pa.int32()), pa.array([image.shape[1]], pa.int32()), pa.array([image.shape[0]], pa.int32()), pa.array([image.tobytes()], pa.binary())], ["id", "page", "width", "height", "pixels"])
+            for k, data in enumerate(b.column(1)):
+                for n, width, height, pixels, status in rows(data.as_py()) if data.is_valid else ():
+                    own = [pa.array([n], pa.int32()), pa.array([width], pa.int32()), pa.array([height], pa.int32()), pa.array([pixels], pa.binary()), pa.array([status])]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), *own, *[b.column(2 + c).slice(k, 1) for c in range(len(keep))]], ["id", "page", "width", "height", "pixels", "status", *keep])
 
-    kind = files.select(F.col(id_col)).schema[0].dataType.simpleString()
-    return files.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {kind}, page int, width int, height int, pixels binary")
+    given = files.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"), *keep)
+    kinds = {f.name: f.dataType.simpleString() for f in given.schema}
+    return given.mapInArrow(run, ", ".join([f"id {kinds['id']}, page int, width int, height int, pixels binary, status string", *[f"`{c}` {kinds[c]}" for c in keep]]))
 
 
 def features(files: DataFrame) -> DataFrame:
-    """Digests of stored files (id, n_bytes, media), computed from the samples read back page by page.
+    """Digests of stored files (id, n_bytes, media), folded from the rows of their ``pages``.
 
-    ``feature`` is ``pages:rows:mean:deviation:entropy`` of the samples.
+    ``feature`` is ``pages:rows:mean:deviation:entropy`` of the samples.  A damaged file has its own
+    size and digest, but nulls for what its samples would give.  A file's pages follow each other
+    in one task, page 0 first, so nothing is shuffled.
     """
 
+    def digest(sha, tail, size, counts, n):
+        p = counts / max(size, 1)
+        mean = float(p @ np.arange(256))
+        spread = float(p @ (np.arange(256) - mean) ** 2) ** 0.5
+        p = p[p > 0]
+        return size, sha.hexdigest(), zlib.crc32(tail), f"{n}:{size // ROW}:{mean:.4f}:{spread:.4f}:{abs(float(p @ np.log2(p))):.4f}"
+
+    def batch(done):
+        own = pa.concat_tables([pa.table(f) for f, _ in done]).combine_chunks().to_batches()[0]
+        c = list(zip(*[d or (None,) * 4 for _, d in done]))
+        return pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(c[0], pa.int64()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), own.column(2), own.column(3), pa.array(c[3], pa.string())],
+                                          ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
     def run(batches):
+        done, about, state = [], None, None
         for b in batches:
-            out = []
-            for data in b.column(2).to_pylist():
-                sha, tail, size, counts, n = hashlib.sha256(), b"", 0, np.zeros(256, np.int64), 0
-                for image in read_tiff(data):
-                    raw = image.tobytes()
+            t = pa.table(b).select(["id", "n_bytes", "media_bytes", "media_sha256"])
+            for k, (n, pixels) in enumerate(zip(b.column(1).to_pylist(), b.column(4))):
+                if n == 0:
+                    if about is not None:
+                        done.append((about, state and digest(*state)))
+                    about, state = t.slice(k, 1), (hashlib.sha256(), b"", 0, np.zeros(256, np.int64), 0)
+                if not pixels.is_valid:
+                    state = None
+                elif state:
+                    sha, tail, size, counts, _ = state
+                    raw = pixels.as_buffer()
                     sha.update(raw)
-                    tail, size, n = (tail + raw[-64:])[-64:], size + len(raw), n + 1
-                    counts += np.bincount(image.reshape(-1), minlength=256)
-                p = counts / max(size, 1)
-                mean = float(p @ np.arange(256))
-                spread = float(p @ (np.arange(256) - mean) ** 2) ** 0.5
-                p = p[p > 0]
-                out.append((size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), f"{n}:{size // ROW}:{mean:.4f}:{spread:.4f}:{abs(float(p @ np.log2(p))):.4f}"))
-            if out:
-                c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c[0], pa.int64()), pa.array(c[1]), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4]), pa.array(c[5])], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                    samples = np.frombuffer(raw, np.uint8)
+                    state = sha, (tail + samples[-64:].tobytes())[-64:], size + len(samples), counts + np.bincount(samples, minlength=256), n + 1
+            if len(done) >= 64:
+                yield batch(done)
+                done = []
+        if about is not None:
+            yield batch([*done, (about, state and digest(*state))])
 
     kind = files.schema["id"].dataType.simpleString()
-    return files.select("id", "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    given = files.select("id", "media", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    return pages(given, keep=("n_bytes", "media_bytes", "media_sha256")).mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
