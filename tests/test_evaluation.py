@@ -123,6 +123,28 @@ def test_balanced_select_respects_share(spark):
     assert {r.walk for r in got} == {0, 1, 2}
 
 
+@pytest.mark.parametrize("folded", [3, 10_000])
+def test_balanced_select_against_a_plain_loop(spark, monkeypatch, folded):
+    rng, target, share = random.Random(1), 6, 0.3
+    rows = [(s, i, ["n"], [" | ".join(rng.choice("aaaabbcdefgh") for _ in range(rng.randrange(1, 5)))]) for s in ("p", "q") for i in range(40)] + [("few", 1, ["n"], ["a"])]
+    w = spark.createDataFrame(rows, "scene_id string, walk long, nodes array<string>, actions array<string>")
+    order = datasets.rarity(w).withColumn("tie", datasets.hash_of("b", "scene_id", "walk")).collect()
+    want = set()
+    for scene in ("p", "q", "few"):
+        used, total, first, rest = {}, 0, [], []
+        for r in sorted((r for r in order if r.scene_id == scene), key=lambda r: (-r.rarity, r.tie, r.walk)):
+            n = total + sum(r.counts.values())
+            if len(first) < target and all((used.get(a, 0) + c) / n <= share for a, c in r.counts.items()):
+                first, total, used = [*first, r.walk], n, {a: used.get(a, 0) + r.counts.get(a, 0) for a in {*used, *r.counts}}
+            else:
+                rest.append(r.walk)
+        want |= {(scene, walk, k) for k, walk in enumerate((first + rest)[:target], 1)}
+    monkeypatch.setattr(datasets, "FOLDED", folded)
+    got = datasets.balanced_select(w, target, "b", share)
+    assert {(r.scene_id, r.walk, r.pick) for r in got.collect()} == want
+    assert datasets.balanced_select(w.limit(0), target, "b").count() == 0
+
+
 def test_displacement(spark):
     df = spark.createDataFrame([(["move_forward", "move_forward", "turn_left"],)], "a array<string>")
     assert df.select(datasets.displacement(F.col("a"))).first()[0] == "2,0,0,-1,0,0"

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = ("degree_stats", "extract_transitions", "sample_walks", "gen_multi_turn_mix", "adv_grpo", "gae_tokens", "offpolicy_stats", "filter_topp_variance", "leaderboard", "factor_correlation",
-          "coverage_curve", "point_visibility", "overlap_value_stats", "visual_overlap", "map_similarity", "explode_turns", "ngram_overlap", "split_by_group", "mix_interleave_over", "stream_graph_upsert", "stream_rollout_summary", "expand_env_specs")
+          "coverage_curve", "point_visibility", "overlap_value_stats", "visual_overlap", "map_similarity", "explode_turns", "ngram_overlap", "split_by_group", "mix_interleave_over", "stream_graph_upsert", "stream_rollout_summary", "expand_env_specs", "balanced_select")
 
 
 def norm(v):

@@ -9,16 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.ordering import hash_int, hash_of, hash_ranked
+from wayfold.functions.ordering import hash_int, hash_of, hash_ranked, ranked
 from wayfold.operators.graph import atoms
+from wayfold.session import materialize
 from wayfold.sources.tables import ACTIONS
 
 WALK = ["scene_id", "walk"]
 LETTERS = "ABCD"
 # The axis each atomic action moves along, as (plus, minus) pairs.
 AXES = [("move_forward", "move_backward"), ("move_right", "move_left"), ("move_up", "move_down"), ("turn_right", "turn_left"), ("look_up", "look_down"), ("rotate_cw", "rotate_ccw")]
-#: Candidate walks of one scene that a selection folds over.
-MOST_CANDIDATES = 10_000
+#: Candidate walks of one scene that one round of a selection folds over.
+FOLDED = 10_000
 MAX_ACTION_SHARE = 0.15
 PROMPTS = {
     "action_gen": "Name the actions that lead from the first view to the second.",
@@ -73,28 +74,41 @@ def rarity(walks: DataFrame) -> DataFrame:
 def balanced_select(walks: DataFrame, target: int, seed: str, max_share: float = MAX_ACTION_SHARE) -> DataFrame:
     """Per scene: greedy by rarity while no action exceeds its share of the running total, then filled up.
 
-    The greedy pass is a fold over a scene's candidates in order.  A scene may bring at most
-    ``MOST_CANDIDATES`` of them (the sampler's ``per_scene`` bounds them); more are an error, never cut.
+    The greedy pass folds over a scene's candidates in order, ``FOLDED`` a round; the action counts
+    so far are carried from round to round, and scenes that have enough leave.
     """
     s = rarity(walks).withColumn("tie", hash_of(seed, *WALK))
-    n = s.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
-    n = n.filter(F.when(F.col("n") > MOST_CANDIDATES, F.raise_error(F.concat(F.lit(f"more than {MOST_CANDIDATES} candidate walks in scene "), F.col("scene_id").cast("string"))).cast("boolean")).otherwise(True))
-    c = F.struct((-F.col("rarity")).alias("low"), "tie", "walk", F.array_sort(F.map_entries("counts")).alias("counts"))
-    g = s.join(n, "scene_id").groupBy("scene_id").agg(F.array_sort(F.collect_list(c)).alias("cs"))
-    empty = F.struct(F.create_map().cast("map<string,bigint>").alias("used"), F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("walks"))
+    r = materialize(ranked(s, ["scene_id"], [F.desc("rarity"), "tie", "walk"], "rank"))
+    c = F.struct("rank", "walk", F.array_sort(F.map_entries("counts")).alias("counts"))
+    zero = F.lit(0).cast("long")
 
     def step(st, x):
         own = F.map_from_entries(x["counts"])
-        n = st["n"] + F.aggregate(x["counts"], F.lit(0).cast("long"), lambda t, e: t + e["value"])
+        n = st["n"] + F.aggregate(x["counts"], zero, lambda t, e: t + e["value"])
         fits = F.forall(x["counts"], lambda e: (F.coalesce(F.try_element_at(st["used"], e["key"]), F.lit(0)) + e["value"]) / n <= max_share)
-        used = F.map_zip_with(st["used"], own, lambda k, a, b: F.coalesce(a, F.lit(0).cast("long")) + F.coalesce(b, F.lit(0).cast("long")))
-        took = F.struct(used.alias("used"), n.alias("n"), F.array_append(st["walks"], x["walk"]).alias("walks"))
-        return F.when(fits & (F.size(st["walks"]) < target), took).otherwise(st)
-
-    g = g.withColumn("first", F.aggregate("cs", empty, step)["walks"])
-    rest = F.filter(F.transform("cs", lambda x: x["walk"]), lambda w: ~F.array_contains("first", w))
-    g = g.select("scene_id", F.posexplode(F.slice(F.concat("first", rest), 1, target)).alias("pick", "walk")).withColumn("pick", (F.col("pick") + 1).cast("long"))
-    return walks.join(g.join(s.select(*WALK, "rarity"), WALK), WALK)
+        used = F.map_zip_with(st["used"], own, lambda k, a, b: F.coalesce(a, zero) + F.coalesce(b, zero))
+        took = F.struct(used.alias("used"), n.alias("n"), (st["m"] + 1).alias("m"), F.array_append(st["walks"], x["walk"]).alias("walks"))
+        return F.when(fits & (st["m"] < target), took).otherwise(st)
+
+    none = F.array().cast(f"array<{walks.schema['walk'].dataType.simpleString()}>")
+    state, taken = None, None
+    for k in range(-(-(r.agg(F.max("rank")).first()[0] or 1) // FOLDED)):
+        part = r.filter((F.col("rank") > k * FOLDED) & (F.col("rank") <= (k + 1) * FOLDED)).groupBy("scene_id").agg(F.array_sort(F.collect_list(c)).alias("cs"))
+        if state is None:
+            part = part.select("*", F.create_map().cast("map<string,bigint>").alias("used"), zero.alias("n"), zero.alias("m"))
+        else:
+            part = part.join(state.filter(F.col("m") < target).select("scene_id", "used", "n", "m"), "scene_id")
+        start = F.struct("used", "n", "m", none.alias("walks"))
+        state = materialize(part.select("scene_id", F.aggregate("cs", start, step).alias("st")).select("scene_id", "st.*"))
+        won = state.select("scene_id", F.explode("walks").alias("walk"), F.lit(True).alias("took"))
+        taken = won if taken is None else taken.unionByName(won)
+        if not state.filter(F.col("m") < target).take(1):
+            break
+    # the fill-up ends within the first 2 * target ranks, so a scene brings few rows to the window
+    g = r.select(*WALK, "rarity", "rank").join(taken, WALK, "left").filter((F.col("rank") <= 2 * target) | F.col("took"))
+    w = Window.partitionBy("scene_id").orderBy(F.col("took").isNull(), "rank")
+    g = g.withColumn("pick", F.row_number().over(w).cast("long")).filter(F.col("pick") <= target)
+    return walks.join(g.select(*WALK, "pick", "rarity"), WALK)
 
 
 def path_kind() -> Column:
