@@ -28,6 +28,7 @@ LOWER[65:91] += 32
 def ready(spark: SparkSession) -> SparkSession:
     """Session settings of these operators: adaptive execution and small Arrow batches."""
     configure(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")  # rows here hold texts, vectors and hashes, which don't shrink as files
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark

@@ -14,6 +14,10 @@ ADAPTIVE_SETTINGS = {
     # skewed sides are split even where that costs one more shuffle further up
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # a side is broadcast by its measured size: files of few values shrink a hundredfold, and ``explode`` is not
+    # estimated at all, so before a shuffle only tiny files count as small
+    "spark.sql.autoBroadcastJoinThreshold": "64k",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
 }
 
 _local_scratch: str | None = None
