@@ -1,6 +1,7 @@
 """Streams whose files cut through episodes, against the batch result."""
 
 from wayfold.operators import graph as g
+from wayfold.plans.files import arrivals
 from wayfold.streaming import incremental as inc
 
 SCHEMA = "traj_id long, turn long, scene_id string, state string, action string"
@@ -68,3 +69,11 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     for kind in (".2.crc", "2"):  # as if the last batch had ended before its commit
         (target / "_checkpoint" / "commits" / kind).unlink()
     assert inc.stream_rollout_summary(spark, source, EPISODES, str(target), 1).collect() == first
+
+
+def test_arriving_files_are_as_many_as_the_splits(spark):
+    many, few = spark.range(0, 400, 1, 9), spark.range(0, 400, 1, 1)
+    for df, batches, each in ((many, 2, 5), (few, 2, 2), (few, 3, 2)):
+        src, got = arrivals(df, df, "id", batches)
+        files = spark.read.parquet(src)
+        assert got == each and files.count() == 400 and len(files.inputFiles()) == batches * each

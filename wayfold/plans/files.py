@@ -20,6 +20,16 @@ def fresh(spark, name):
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
+def arrivals(df, table, key, batches):
+    """Write ``df`` as a folder of arriving files: (folder, files per batch) for so many batches.
+
+    There are two files a batch at least and as many as ``table`` has splits, so a file does not grow with the table.
+    """
+    src, each = fresh(df.sparkSession, "arrivals"), max(2, -(-table.rdd.getNumPartitions() // batches))
+    df.repartition(batches * each, key).write.parquet(src)
+    return src, each
+
+
 @query("scan_rollout_jsonl", f"SELECT doc_id // 100 AS step, count(*) AS n, {r('avg(doc_id % 10)')} AS score, max(length(text)) AS longest FROM documents WHERE doc_id % 10 > 0 GROUP BY 1")
 def _(spark, d):
     k, path = F.col("doc_id"), fresh(spark, "log")
@@ -118,25 +128,24 @@ def _(spark, d):
 @query("stream_rollout_summary", ctes(t.EPISODES_SQL) + " UNION ALL ".join(f"""SELECT {tag} AS tag, count(*) AS n_episodes, {r('avg(CAST(success AS INT))')} AS success_rate, {r('avg(cumulative_reward)')} AS avg_reward,
   {r('avg(num_turns)')} AS avg_turns, count(*) FILTER (WHERE finish_reason = 'error') AS n_errors FROM episodes {g}""" for tag, g in (("'all'", ""), ("task", "GROUP BY task"))))
 def _(spark, d):
-    src = fresh(spark, "arrivals")
     e = t.episodes(spark, d).select("task", "sample_id", "success", "cumulative_reward", "num_turns", "finish_reason")
-    e.repartition(4, "sample_id").write.parquet(src)
-    return rounded(inc.stream_rollout_summary(spark, src, e.schema.toDDL(), fresh(spark, "summary")), "success_rate", "avg_reward", "avg_turns")
+    src, each = arrivals(e, t.table(spark, d, "orders"), "sample_id", 2)
+    return rounded(inc.stream_rollout_summary(spark, src, e.schema.toDDL(), fresh(spark, "summary"), each), "success_rate", "avg_reward", "avg_turns")
 
 
 @query("stream_graph_upsert", ctes(*G) + "SELECT src, dst, min(n_actions) AS n_actions FROM eraw GROUP BY ALL")
 def _(spark, d):
-    src, s = fresh(spark, "arrivals"), t.steps(spark, d)
-    s.repartition(6, "turn").write.parquet(src)  # every episode is spread over the batches
-    return inc.stream_graph_upsert(spark, src, s.schema.toDDL(), fresh(spark, "graph"))[1].select("src", "dst", "n_actions")
+    s = t.steps(spark, d)
+    src, each = arrivals(s, t.table(spark, d, "events"), "turn", 3)  # every episode is spread over the batches
+    return inc.stream_graph_upsert(spark, src, s.schema.toDDL(), fresh(spark, "graph"), each)[1].select("src", "dst", "n_actions")
 
 
 @query("stream_dataset_append", r"""SELECT doc_id, len(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) AS n_tokens FROM documents
 WHERE len(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) <= 150""")
 def _(spark, d):
-    src, docs = fresh(spark, "arrivals"), t.table(spark, d, "documents").select("doc_id", "text")
-    docs.repartition(4, "doc_id").write.parquet(src)
-    return inc.stream_dataset_append(spark, src, docs.schema.toDDL(), fresh(spark, "prompts"), "text", 150).select("doc_id", "n_tokens")
+    docs = t.table(spark, d, "documents").select("doc_id", "text")
+    src, each = arrivals(docs, docs, "doc_id", 2)
+    return inc.stream_dataset_append(spark, src, docs.schema.toDDL(), fresh(spark, "prompts"), "text", 150, each).select("doc_id", "n_tokens")
 
 
 # --- registry ------------------------------------------------------------------------------
