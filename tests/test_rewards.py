@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators import batches, rewards as r, tokens as tk
+from wayfold.sources import tables
 
 
 def sample_frame(spark, rows):
@@ -66,6 +67,16 @@ def test_pairwise_accuracy_equals_pair_loop(spark):
         assert g.pair_accuracy == pytest.approx(sum(w for w, ok in pairs if ok) / weight if weight else 0.5)
 
 
+def test_equal_rewards_tie_in_every_order_of_events(spark, tmp_path):
+    values = {0: [10.0, 20.0, 30.0, 260.0], 1: [70.1, 209.9, 20.0, 20.0], 2: [300.0], 3: [5.0]}
+    rows = [(u, v) for u, vs in values.items() for v in vs]
+    spark.createDataFrame(rows, "user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    s = tables.samples(spark, str(tmp_path))
+    rewards = {x.sample_id: x.reward for x in s.collect()}
+    assert rewards[0] == rewards[1] == 3.2
+    assert [g.pair_accuracy for g in r.pairwise_accuracy(s).collect()] == [0.625]
+
+
 def test_resample_draws_follow_weights(spark):
     s = sample_frame(spark, [(0, 0.0)] * 50 + [(0, 3.0)] * 50)
     drawn = r.reweight_resample(s).collect()

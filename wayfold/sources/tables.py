@@ -70,9 +70,13 @@ TURN_REWARDS_SQL = """turn_rewards AS (SELECT CAST(floor(user_id / 4) AS BIGINT)
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    """(uid, sample_id, reward, length, acc): one row per response, four responses to a prompt."""
+    """(uid, sample_id, reward, length, acc): one row per response, four responses to a prompt.
+
+    Rewards are rounded far below the cents they are summed from: the last bit of a sum of doubles
+    follows the order of the rows, and equal rewards must tie in every order.
+    """
     return (table(spark, d, "events").groupBy(F.floor(F.col("user_id") / 4).alias("uid"), F.col("user_id").alias("sample_id"))
-            .agg(F.sum(F.col("value") / 100).alias("reward"), F.count(F.lit(1)).alias("length"),
+            .agg(F.round(F.sum(F.col("value") / 100), 9).alias("reward"), F.count(F.lit(1)).alias("length"),
                  F.max(F.when(F.col("value") > 250, 1.0).otherwise(0.0)).alias("acc")))
 
 
