@@ -191,6 +191,30 @@ def test_diameter_of_a_large_component(spark):
     assert got == {"a0000_1": (arms * long + 1, 2 * long), "z00": (9, 4)}
 
 
+def counted(monkeypatch, *modules):
+    """Rows of every table that these modules write to the scratch folder."""
+    rows = []
+    for m in modules:
+        def write(df, kept=m.materialize):
+            out = kept(df)
+            rows.append(out.count())
+            return out
+        monkeypatch.setattr(m, "materialize", write)
+    return rows
+
+
+def test_links_shrink_by_rounds(spark, monkeypatch):
+    """Regions, components and merges share this step; integers and texts name a component by its smallest id."""
+    n = 400
+    rows = counted(monkeypatch, fixpoint)
+    path = [(i * 7 % n, (i + 1) * 7 % n) for i in range(n - 1)]
+    got = fixpoint.components(spark.createDataFrame(path + [(1000, 1000), (1003, 1001)], "a long, b long")).collect()
+    assert {(r.id, r.component) for r in got} == {(i, 0) for i in range(n)} | {(1000, 1000), (1001, 1001), (1003, 1001)}
+    assert sum(rows) < 6 * n
+    text = spark.createDataFrame([("b", "c"), ("c", "~a"), ("10", "9"), ("x", "x")], "a string, b string")
+    assert {(r.id, r.component) for r in fixpoint.components(text).collect()} == {("b", "b"), ("c", "b"), ("~a", "b"), ("10", "10"), ("9", "10"), ("x", "x")}
+
+
 def test_grid_regions_of_wide_and_negative_coordinates(spark):
     cells = [("a", 100, 5), ("a", 10, 5), ("a", 101, 5), ("a", -3, 0), ("a", -30, 0), ("a", -2, 0)]
     got = {r.id: r.region for r in g.grid_regions(spark.createDataFrame(cells, "grp string, x int, y int")).collect()}

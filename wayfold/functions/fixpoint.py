@@ -5,37 +5,66 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from wayfold.session import materialize
 
 
-def _digest(df: DataFrame) -> tuple:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def numbered_ids(ids: DataFrame) -> DataFrame:
+    """(id, n) of distinct ids: integers in the order of the ids, from one distributed sort.
 
+    Rounds on integers move a fraction of the bytes of text ids, and the smallest number is the smallest id.
+    """
+    return materialize(ids.select("id").orderBy("id").withColumn("n", F.monotonically_increasing_id()))
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) for all ids in the links ``(a, b)``; a component is named by its smallest id.
 
-    Alternating large-star and small-star steps: every node only keeps a link to the smallest
-    neighbour it knows, which needs few rounds and no fan-out at hubs beyond their own links.
+def on_numbers(pairs: DataFrame, names: DataFrame, a: str, b: str) -> DataFrame:
+    """The two id columns of ``pairs`` as their numbers; pairs with an unknown id are left out."""
+    for c in (a, b):
+        pairs = pairs.join(names.select(F.col("id").alias(c), F.col("n").alias("_n")), c).drop(c).withColumnRenamed("_n", c)
+    return pairs
+
+
+def contract(links: DataFrame) -> DataFrame:
+    """(id, root) for the ids in links ``(a, b)`` between different ids; the ids of a component share one root, any of them.
+
+    Each round every id takes the neighbour, or itself, that comes first in a random order of the round, and
+    links are rewritten to those.  About half of the ids go each round whatever the shape, so all rounds
+    together cost a small multiple of the first.
     """
-    ids = links.select("a").union(links.select("b")).distinct()
-    e = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
+    def undirected(e):
+        return materialize(e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    e, picks = undirected(links), []
+    while e.take(1):
+        def first(c, salt=len(picks)):
+            return F.struct(F.xxhash64(c, F.lit(salt)).alias("h"), F.col(c).alias("id"))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        e = materialize(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).filter("a <> b").distinct())
-        now = _digest(e)
-        if now == seen:
-            break
-        seen = now
-    return ids.join(e.select(F.col("a").alias("id"), F.col("b").alias("component")), ids["a"] == F.col("id"), "left").select(
-        F.col("a").alias("id"), F.coalesce("component", "a").alias("component"))
+        near = both.groupBy("a").agg(F.min(first("b")).alias("w"))
+        picks.append(materialize(near.select(F.col("a").alias("id"), F.least("w", first("a"))["id"].alias("root"))))
+        for c in ("a", "b"):
+            e = e.join(picks[-1].select(F.col("id").alias(c), "root"), c).drop(c).withColumnRenamed("root", c)
+        e = undirected(e)
+    if not picks:
+        return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    found = picks.pop()
+    while picks:
+        later = found.select(F.col("id").alias("root"), F.col("root").alias("_to"))
+        found = materialize(picks.pop().join(later, "root", "left").select("id", F.coalesce("_to", "root").alias("root")))
+    return found
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, component) for all ids in the links ``(a, b)``; a component is named by its smallest id."""
+    whole = links.schema["a"].dataType == links.schema["b"].dataType == LongType()
+    ids = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    names = None if whole else numbered_ids(ids.filter("id IS NOT NULL"))
+    root = contract(links if whole else on_numbers(links.select("a", "b"), names, "a", "b"))
+    low = root.groupBy("root").agg(F.min("id").alias("component"))
+    c = root.join(low, "root").select("id", "component")
+    if not whole:
+        of = names.select(F.col("n").alias("component"), F.col("id").alias("_name"))
+        c = c.join(of, "component").select(F.col("id").alias("n"), F.col("_name").alias("component")).join(names, "n").select("id", "component")
+    return ids.join(c, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def spread_min(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -60,8 +89,9 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     components.  The rest are coloured with the smallest ancestor; walking back from each
     colour's own node inside the colour gives that node's component, which then leaves.
     """
-    live = materialize(nodes.select("id").distinct())
-    e = materialize(edges.filter("src <> dst").select("src", "dst").distinct())
+    names = numbered_ids(nodes.select("id").distinct())
+    live = names.select(F.col("n").alias("id"))
+    e = materialize(on_numbers(edges.filter("src <> dst").select("src", "dst").distinct(), names, "src", "dst"))
     done = None
 
     def settle(part):
@@ -95,7 +125,10 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         settle(found)
         live = materialize(live.join(found, "id", "left_anti"))
         e = materialize(restrict(e, live))
-    return done
+    if done is None:
+        return names.select("id", F.col("id").alias("scc"))
+    of = names.select(F.col("n").alias("scc"), F.col("id").alias("_name"))
+    return done.withColumnRenamed("id", "n").join(of, "scc").join(names, "n").select("id", F.col("_name").alias("scc"))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
