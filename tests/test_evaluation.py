@@ -218,3 +218,25 @@ def test_per_turn_stats_do_not_depend_on_the_order(spark):
     df = spark.createDataFrame(rows, "turn long, value double")
     got = [sorted(map(tuple, ev.per_turn_stats(df.repartition(n, F.xxhash64("value", F.lit(n)))).collect())) for n in (1, 3, 7)]
     assert got[0] == got[1] == got[2]
+
+
+def test_maps_of_one_block_are_written_once(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(m, i, *[rnd.uniform(-3, 3) for _ in range(4)], 1, 1) for m, n in ((0, 5), (1, 63), (2, 64), (3, 130)) for i in range(n)]
+    df = spark.createDataFrame(rows, "map_id long, idx long, x double, y double, px double, py double, facing long, pfacing long")
+    written, kept = [], maps.materialize
+
+    def write(x):
+        out = kept(x)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(maps, "materialize", write)
+    got = {r.map_id: r.dir for r in maps.map_similarity(df).collect()}
+    assert written == [1 + 1 + 2 + 3]  # blocks, no objects
+
+    def sector(a, b):
+        return int(((math.degrees(math.atan2(a, b)) + 360) % 360 + 22.5) // 45) % 8
+    for m in range(4):
+        o = [(0.0, 0.0, 0.0, 0.0)] + [r[2:6] for r in rows if r[0] == m]
+        ok = [sector(a[0] - b[0], a[1] - b[1]) == sector(a[2] - b[2], a[3] - b[3]) for i, a in enumerate(o) for b in o[i + 1:]]
+        assert got[m] == pytest.approx(sum(ok) / len(ok))

@@ -20,50 +20,55 @@ def direction_bin(dx: Column, dy: Column) -> Column:
     return F.floor(((deg + 360) % 360 + 22.5) / 45) % 8
 
 
-def _direction_agreement(objects: DataFrame) -> DataFrame:
-    """Per map: pairs of true objects (the origin included) and those whose predicted sector agrees.
-
-    A map is cut into blocks of 64 objects.  Pairs are counted inside the expression that
-    sees one block against another, so no pair becomes a row and no task holds a whole map.
-    """
-    objects = materialize(objects)
-    origin = objects.select("map_id").distinct().select("map_id", F.lit(-1).cast("long").alias("idx"), *[
-        F.lit(v).alias(c) for c, v in (("x", 0.0), ("y", 0.0), ("px", 0.0), ("py", 0.0))])
-    o = objects.select("map_id", "idx", "x", "y", "px", "py").unionByName(origin).withColumn("idx", F.col("idx") + 1)
-    item = F.struct("idx", "x", "y", "px", "py")
-    b = materialize(o.groupBy("map_id", F.floor(F.col("idx") / BLOCK).alias("block")).agg(F.collect_list(item).alias("items")))
-    sizes = o.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
-    last = b.join(sizes.select("map_id", F.floor((F.col("n") - 1) / BLOCK).alias("last")), "map_id")
-    # every pair of blocks is a key of its own, so a large map is spread before its blocks meet
-    left = last.select("map_id", F.col("block").alias("ba"), F.explode(F.sequence("block", "last")).alias("bb"), F.col("items").alias("a"))
-    right = last.select("map_id", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("ba"), F.col("block").alias("bb"), F.col("items").alias("c"))
-    pairs = spread(left, "map_id", "ba", "bb").join(spread(right, "map_id", "ba", "bb"), ["map_id", "ba", "bb"])
-
+def _agreeing(a: str, c: str) -> Column:
+    """Ordered pairs of an item of array ``a`` and a later one of array ``c`` whose predicted sector agrees."""
     def agrees(p, q):
         true = direction_bin(p["x"] - q["x"], p["y"] - q["y"])
         return F.when((p["idx"] < q["idx"]) & (true == direction_bin(p["px"] - q["px"], p["py"] - q["py"])), 1).otherwise(0)
 
     def row(p):
-        return F.aggregate("c", F.lit(0), lambda acc, q: acc + agrees(p, q))
-    found = pairs.select("map_id", F.aggregate("a", F.lit(0), lambda acc, p: acc + row(p)).alias("ok"))
-    n = F.max("n")
-    return found.join(sizes, "map_id").groupBy("map_id").agg((n * (n - 1) / 2).alias("n_pairs"), F.sum("ok").alias("n_agree"))
+        return F.aggregate(c, F.lit(0), lambda acc, q: acc + agrees(p, q))
+    return F.aggregate(a, F.lit(0), lambda acc, p: acc + row(p))
+
+
+def _across_blocks(blocks: DataFrame) -> DataFrame:
+    """(map_id, n_agree) for each two blocks of a map.
+
+    Every pair of blocks is a key of its own, so a large map is spread before its blocks meet.  Only full
+    blocks have a later one, so maps of a single block take no part.
+    """
+    last = blocks.filter("block > 0").groupBy("map_id").agg(F.max("block").alias("last"))
+    left = blocks.filter(F.size("items") >= BLOCK).join(last, "map_id").filter("block < last")
+    left = left.select("map_id", F.col("block").alias("ba"), F.explode(F.sequence(F.col("block") + 1, "last")).alias("bb"), F.col("items").alias("a"))
+    right = blocks.filter("block > 0").select("map_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("ba"), F.col("block").alias("bb"), F.col("items").alias("c"))
+    pairs = spread(left, "map_id", "ba", "bb").join(spread(right, "map_id", "ba", "bb"), ["map_id", "ba", "bb"])
+    return pairs.select("map_id", _agreeing("a", "c").cast("long").alias("n_agree"))
 
 
 def map_similarity(objects: DataFrame, allow_scale: bool = False, norm: float | None = None) -> DataFrame:
     """Direction, facing and position agreement of predicted and true object maps and their mean.
 
     ``objects``: (map_id, idx, x, y, facing, px, py, pfacing) with nulls where an object was not
-    predicted and a null ``facing`` where the object has none; ``idx`` is dense per map.
+    predicted and a null ``facing`` where the object has none; ``idx`` is dense per map from 0.  The origin
+    is one more object of every map's directions.  A map is cut into blocks of 64 objects, made once with
+    their sums.  Pairs are counted inside the expression that sees one block against another, so no pair
+    becomes a row and no task holds a whole map.
     """
     hit = F.col("px").isNotNull()
 
     def total(c):
         return F.coalesce(F.sum(F.when(hit, c)), F.lit(0.0))
     x, y, px, py = (F.col(c) for c in ("x", "y", "px", "py"))
-    g = objects.groupBy("map_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("m"), total(px * px + py * py).alias("pp"), total(x * px + y * py).alias("pg"), total(x * x + y * y).alias("gg"),
-        F.count("facing").alias("nf"), F.count_if(F.col("facing") == F.col("pfacing")).alias("of"))
+    at = (F.col("idx") + 1).cast("long")
+    item = F.struct(at.alias("idx"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "px", "py")])
+    origin = F.struct(F.lit(0).cast("long").alias("idx"), *[F.lit(0.0).alias(c) for c in ("x", "y", "px", "py")])
+    sums = {"n": F.count(F.lit(1)), "m": F.count_if(hit), "pp": total(px * px + py * py), "pg": total(x * px + y * py), "gg": total(x * x + y * y),
+            "nf": F.count("facing"), "of": F.count_if(F.col("facing") == F.col("pfacing"))}
+    b = objects.groupBy("map_id", F.floor(at / BLOCK).alias("block")).agg(F.collect_list(item).alias("items"), *[c.alias(name) for name, c in sums.items()])
+    b = materialize(b.withColumn("items", F.when(F.col("block") == 0, F.array_append("items", origin)).otherwise(F.col("items"))))
+    parts = b.select("map_id", *sums, _agreeing("items", "items").cast("long").alias("n_agree"))
+    parts = parts.unionByName(_across_blocks(b), allowMissingColumns=True)
+    g = parts.groupBy("map_id").agg(*[F.sum(c).alias(c) for c in (*sums, "n_agree")])
     k = F.try_divide("pg", "pp") if allow_scale else F.lit(1.0)
     mse = (k * k * F.col("pp") - 2 * k * F.col("pg") + F.col("gg")) / F.nullif("m", F.lit(0))
     size = F.lit(norm) if norm else F.sqrt(F.col("gg") / F.nullif("m", F.lit(0)))
@@ -73,7 +78,7 @@ def map_similarity(objects: DataFrame, allow_scale: bool = False, norm: float |
         pos = pos.when(F.col("pp") == 0, 0.0)
     g = g.withColumn("pos", pos.otherwise(base * F.col("m") / F.col("n")))
     g = g.withColumn("facing", F.when(F.col("nf") == 0, 1.0).otherwise(F.col("of") / F.nullif("nf", F.lit(0))))
-    g = g.join(_direction_agreement(objects), "map_id").withColumn("dir", F.col("n_agree") / F.col("n_pairs"))
+    g = g.withColumn("dir", F.col("n_agree") / (F.col("n") * (F.col("n") + 1) / 2))
     return g.select("map_id", "dir", "facing", "pos", ((F.col("dir") + F.col("facing") + F.col("pos")) / 3).alias("overall"))
 
 
