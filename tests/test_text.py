@@ -110,6 +110,23 @@ def test_long_texts_are_counted_in_slices(spark, monkeypatch):
     assert scoring.text_slices(big).count() > 2500
 
 
+def test_grams_of_bounded_texts_are_no_rows(spark, monkeypatch):
+    rows = [(1, "a b c d e f g  h\nij", "b c x é😀 f g h"), (2, "", ""), (3, "ab" * 40, "ba " * 30), (4, "w " * 100, "w"), (5, None, "a b"), (6, "a b", None), (7, None, None), (8, " \t", "x"),
+            (9, "a b c", "a b d"), (9, "a b d", "e f"), (None, "a b", "b a"), (None, "b", "b a")]
+    df = spark.createDataFrame(rows, "pair_id long, prediction string, label string")
+    once = df.filter("pair_id < 9").withColumns({"lp": F.length("prediction"), "ll": F.length("label")})
+    order = ["pair_id", "lp", "ll", *scoring.COUNTS]
+    want = sorted(map(str, scoring._slice_counts(once).select(*order).collect()))
+    for units in (1 << 18, 8):
+        monkeypatch.setattr(scoring, "UNITS", units)
+        assert sorted(map(str, scoring._row_counts(once).select(*order).collect())) == want
+    assert sorted(map(str, scoring.ngram_overlap(df).select("pair_id").collect())) == sorted(f"Row(pair_id={i})" for i in [*range(1, 10), None])
+    # only what shares an id is cut into slices
+    seen, whole = [], scoring._slice_counts
+    monkeypatch.setattr(scoring, "_slice_counts", lambda d: seen.append(d) or whole(d))
+    assert scoring.ngram_overlap(df).count() == 10 and sorted(str(r.pair_id) for r in seen[0].collect()) == ["9", "9", "None", "None"]
+
+
 def test_group_split_is_disjoint_and_exact(spark):
     df = spark.range(1000).select(F.col("id").alias("i"), (F.col("id") % 37).alias("g"))
     s = sampling.split_by_group(df, "g", [80, 10, 10], ["train", "eval", "test"], "s").cache()

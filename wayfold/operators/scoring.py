@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,8 +103,67 @@ def text_slices(pairs: DataFrame) -> DataFrame:
     return u.select("pair_id", "lp", "ll", "p", "l", F.inline_outer(F.concat(tagged("w"), tagged("c"))))
 
 
-def ngram_overlap(pairs: DataFrame) -> DataFrame:
-    """ROUGE-1/2 F over word sets and smoothed BLEU-4 over characters of ``(pair_id, prediction, label)``.
+#: Columns of counts: words in both, in the prediction and in the label for 1 and 2; clipped and predicted characters for 1 to 4.
+COUNTS = [f"{c}{k}" for k in (1, 2) for c in ("both", "np", "nl")] + [f"{c}{k}" for k in range(1, 5) for c in ("clipped", "tp")]
+UNITS = 1 << 18  # characters counted at once in a task
+
+
+def _each_gram(units: np.ndarray, lengths: np.ndarray, n: int, most: int):
+    """For k = 1 to ``most``: pair, uses in predictions and uses in labels of every distinct k-gram of a pair.
+
+    ``units`` holds ``n`` predictions, then ``n`` labels.  A gram's number stands for the shorter gram it extends and one
+    more unit, so equal numbers are equal grams.
+    """
+    text = np.repeat(np.arange(2 * n), lengths)
+    at, key = np.arange(len(units)), (text % n) * (units.max(initial=0) + 1) + units
+    for k in range(1, most + 1):
+        if k > 1:
+            stay = at + k - 1 < len(units)
+            stay[stay] = text[at[stay] + k - 1] == text[at[stay]]
+            at, key = at[stay], number[stay] * (units.max(initial=0) + 1) + units[at[stay] + k - 1]
+        _, one, number = np.unique(key, return_index=True, return_inverse=True)
+        predicted = text[at] < n
+        yield k, text[at[one]] % n, np.bincount(number[predicted], minlength=len(one)), np.bincount(number[~predicted], minlength=len(one))
+
+
+def _row_counts(pairs: DataFrame) -> DataFrame:
+    """``COUNTS`` of pairs of bounded texts, row by row, without making a row a gram."""
+
+    def block(b):
+        n, out = b.num_rows, {}
+        sides = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (b.column("wp"), b.column("wl"))]
+        units = pa.concat_arrays([c.flatten() for c in sides]).dictionary_encode().indices.to_numpy().astype(np.int64)
+        lengths = np.concatenate([c.value_lengths().fill_null(0).to_numpy() for c in sides])
+        for k, pair, p, l in _each_gram(units, lengths, n, 2):
+            for name, hit in (("both", (p > 0) & (l > 0)), ("np", p > 0), ("nl", l > 0)):
+                out[f"{name}{k}"] = np.bincount(pair[hit], minlength=n)
+        texts = [(t or b"").decode("utf-8", "surrogateescape") for c in ("prediction", "label") for t in b.column(c).to_pylist()]
+        units = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        for k, pair, p, l in _each_gram(units, np.array([len(t) for t in texts]), n, 4):
+            out[f"clipped{k}"] = np.bincount(pair, np.minimum(p, l), n).astype(np.int64)
+            out[f"tp{k}"] = np.bincount(pair, p, n).astype(np.int64)
+        return pa.RecordBatch.from_arrays([b.column(c) for c in ("pair_id", "lp", "ll")] + [pa.array(out[c], pa.int64()) for c in COUNTS], ["pair_id", "lp", "ll", *COUNTS])
+
+    def run(batches):
+        for b in batches:
+            size = np.cumsum(b.column("lp").fill_null(0).to_numpy().astype(np.int64) + b.column("ll").fill_null(0).to_numpy())
+            i = 0
+            while i < b.num_rows:
+                j = max(int(np.searchsorted(size, (size[i - 1] if i else 0) + UNITS, "right")), i + 1)
+                yield block(b.slice(i, j - i))
+                i = j
+
+    def split(c):
+        return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    u = pairs.select("pair_id", "lp", "ll", split("prediction").alias("wp"), split("label").alias("wl"), F.col("prediction").cast("binary").alias("prediction"), F.col("label").cast("binary").alias("label"))
+    schema = u.select("pair_id", "lp", "ll").schema
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+    return u.mapInArrow(run, schema)
+
+
+def _slice_counts(pairs: DataFrame) -> DataFrame:
+    """``COUNTS`` of pairs of texts of any length.
 
     Texts are cut into overlapping slices where they lie; slices, not whole texts, are spread over
     the tasks and exploded into grams tagged by side.  One aggregate per (pair, gram) counts both
@@ -117,11 +178,24 @@ def ngram_overlap(pairs: DataFrame) -> DataFrame:
     def at(family, k, value):
         return F.sum(F.when((F.col("family") == family) & (F.col("n") == k), value))
     both, in_p, in_l = ((F.col("p") > 0) & (F.col("l") > 0)).cast("int"), (F.col("p") > 0).cast("int"), (F.col("l") > 0).cast("int")
-    c = per_gram.groupBy("pair_id").agg(
+    return per_gram.groupBy("pair_id").agg(
         F.max("lp").alias("lp"), F.max("ll").alias("ll"),
         *[F.coalesce(at("w", k, v), F.lit(0)).alias(f"{name}{k}") for k in (1, 2) for name, v in (("both", both), ("np", in_p), ("nl", in_l))],
         *[F.coalesce(at("c", k, v), F.lit(0)).alias(f"{name}{k}") for k in range(1, 5) for name, v in (("clipped", F.least("p", "l")), ("tp", F.col("p")))])
 
+
+def ngram_overlap(pairs: DataFrame) -> DataFrame:
+    """ROUGE-1/2 F over word sets and smoothed BLEU-4 over characters of ``(pair_id, prediction, label)``.
+
+    A pair whose texts have at most ``SLICE`` characters is counted inside its row.  Longer texts, and pairs that
+    share an id (they count as one), are cut into slices whose grams are rows.
+    """
+    p = spread(pairs.select("pair_id", "prediction", "label", F.length("prediction").alias("lp"), F.length("label").alias("ll")), "pair_id")
+    long = F.coalesce(F.greatest("lp", "ll"), F.lit(0)) > SLICE
+    sliced = p.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(long).alias("long")).filter("n > 1 OR long").select(F.col("pair_id").alias("sliced_id"))
+    same = F.col("pair_id").eqNullSafe(F.col("sliced_id"))
+    c = _row_counts(p.join(sliced, same, "left_anti")).unionByName(_slice_counts(p.join(sliced, same, "left_semi")))
+
     def rouge(k):
         prec, rec = F.try_divide(f"both{k}", f"np{k}"), F.try_divide(f"both{k}", f"nl{k}")
         return F.round(100 * F.coalesce(2 * prec * rec / (prec + rec + 1e-8), F.lit(0.0)), 4)
