@@ -240,3 +240,35 @@ def test_maps_of_one_block_are_written_once(spark, monkeypatch):
         o = [(0.0, 0.0, 0.0, 0.0)] + [r[2:6] for r in rows if r[0] == m]
         ok = [sector(a[0] - b[0], a[1] - b[1]) == sector(a[2] - b[2], a[3] - b[3]) for i, a in enumerate(o) for b in o[i + 1:]]
         assert got[m] == pytest.approx(sum(ok) / len(ok))
+
+
+def test_factor_correlation_equals_plain_ranks(spark):
+    n, shares = 3000, {"pos_dist": 7, "rot_dist": 1, "unified_dist": 1000, "horiz_dist": 3000}
+    x = spark.range(n).select(F.col("id").alias("sample_id"), *[((F.col("id") * 7919) % shares.get(c, 50) - 3.0 * (c == "pos_dist")).alias(c) for c in ev.FACTORS])
+    x = x.withColumn("height_diff", F.when(F.col("sample_id") % 3 == 0, F.lit(float("nan"))).when(F.col("sample_id") % 3 == 1, F.col("height_diff")))
+    e = spark.range(n).select(F.col("id").alias("sample_id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("m"), F.col("id") % 2)).alias("model"), F.when(F.col("id") < 5, "few").otherwise("many").alias("task"),
+                              F.when(F.col("id") % 11 > 0, (F.col("id") * 31) % 97 < 40).alias("success"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.model, r.task, r.factor): (r.n, r.rho) for r in ev.factor_correlation(e, x).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    d = e.join(x, "sample_id").toPandas()
+    d["s"] = d.success.eq(True).astype(float)
+    seen = 0
+    for (model, task), g in d.groupby(["model", "task"], dropna=False):
+        for f in ev.FACTORS:
+            h = g[g[f].notna()]
+            if len(h):
+                rx, rs = h[f].rank(), h.s.rank()
+                want = 0.0 if len(h) < 10 or rx.std() == 0 or rs.std() == 0 else rx.corr(rs)
+                have = got[None if model != model else model, task, f]
+                assert have[0] == len(h) and abs(have[1] - want) < 1e-9, (model, task, f)
+                seen += 1
+    assert seen == len(got)
+
+
+def test_equal_values_are_one_row_before_the_sort(spark):
+    x = spark.range(0, 20_000, 1, 2).select(F.lit(0).cast("long").alias("g"), (F.col("id") % 2).alias("s"), *[F.lit(1.5).alias(c) for c in ev.FACTORS])
+    counts = ev._value_counts(x).collect()
+    assert len(counts) <= 4 * len(ev.FACTORS) and sum(r.k for r in counts) == 20_000 * len(ev.FACTORS) and sum(r.hits for r in counts) == 10_000 * len(ev.FACTORS)

@@ -6,6 +6,11 @@ come from distributed ranks, never from one group's values held together.
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,23 +217,85 @@ def geometric_factors(views: DataFrame) -> DataFrame:
     return v.select("sample_id", *FACTORS)
 
 
+def _value_counts(wide: DataFrame) -> DataFrame:
+    """(g, x, k, hits): values, their uses and successes, group ``g * len(FACTORS) + position of the factor``; equal values of a batch are one row."""
+
+    def run(batches):
+        for b in batches:
+            x = np.concatenate([b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in FACTORS]) + 0.0
+            g = np.concatenate([b.column("g").to_numpy() * len(FACTORS) + i for i in range(len(FACTORS))])
+            s = np.tile(b.column("s").to_numpy(), len(FACTORS))
+            keep = ~np.isnan(x)
+            g, x, s = g[keep], x[keep], s[keep]
+            order = np.lexsort((x, g))
+            yield _merged(g[order], x[order], np.ones(len(x), np.int64), s[order])
+
+    return wide.select("g", "s", *FACTORS).mapInArrow(run, "g long, x double, k long, hits long")
+
+
+def _merged(g, x, k, hits) -> pa.RecordBatch:
+    """Sorted rows with equal values added up."""
+    first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (x[1:] != x[:-1]))) if len(g) else np.zeros(0, np.int64)
+    k, hits = (np.add.reduceat(c, first) if len(first) else c for c in (k, hits))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (g[first], x[first], k, hits)], ["g", "x", "k", "hits"])
+
+
+def _rank_sums(counts: DataFrame) -> DataFrame:
+    """Sums over the runs of each group that lie in one batch, ranks counted from the run's start; ``counts`` is sorted by g and x.
+
+    (g, part, at): where the run lies; its rows n, successes pos and distinct values; sums of the average rank over
+    its rows (r), squared (rr) and over its successes (hr).
+    """
+
+    def run(batches):
+        part, at, held = TaskContext.get().partitionId(), 0, None
+        empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.float64(), pa.int64(), pa.int64())], ["g", "x", "k", "hits"])
+        for b in itertools.chain(batches, [None]):  # the last value of a batch may go on in the next
+            got = [np.concatenate([y.column(c).to_numpy() for y in (held or empty, b or empty)]) for c in ("g", "x", "k", "hits")]
+            m = _merged(*got)
+            whole = m.num_rows if b is None else max(m.num_rows - 1, 0)
+            held = m.slice(whole)
+            if not whole:
+                continue
+            g, k, hits = (m.column(c).to_numpy()[:whole] for c in ("g", "k", "hits"))
+            first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            upto = np.cumsum(k)
+            start = np.repeat((upto - k)[first], np.diff(np.append(first, whole)))
+            r = upto - start - (k - 1) / 2
+            sums = [np.add.reduceat(c, first) for c in (k, hits, np.ones(whole, np.int64), k * r, k * r * r, hits * r)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g[first], np.full(len(first), part), np.full(len(first), at), *sums)], ["g", "part", "at", "n", "pos", "distinct", "r", "rr", "hr"])
+            at += 1
+
+    return counts.mapInArrow(run, "g long, part long, at long, n long, pos long, distinct long, r double, rr double, hr double")
+
+
 def factor_correlation(episodes: DataFrame, factors: DataFrame, min_n: int = 10) -> DataFrame:
-    """Spearman correlation of each factor with success per model and task; 0 if short or constant."""
-    j = materialize(episodes.select("model", "task", "sample_id", F.col("success").cast("double").alias("s")).join(factors, "sample_id"))  # read twice
-    long = j.select("model", "task", "s", F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("x")) for c in FACTORS])))
-    long = long.filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    key = ["model", "task", "factor"]
-    counts = long.groupBy(*key, "x").agg(F.count(F.lit(1)).alias("k"), F.sum("s").alias("hits"))
-    r = ranked_running(counts, key, ["x"], "_r", {"_upto": "k"})
-    total = counts.groupBy(*key).agg(F.sum("k").alias("n"), F.sum("hits").alias("pos"))
+    """Spearman correlation of each factor with success per model and task; 0 if short or constant.
+
+    Values are sorted once over all tasks.  Sums over ranks need no ranks of single rows: each task adds up its part of
+    a group from rank 0, and the parts are shifted to their places afterwards.
+    """
+    s = F.coalesce(F.col("success").cast("long"), F.lit(0)).alias("s")
+    j = materialize(episodes.select("model", "task", "sample_id", s).join(factors, "sample_id").select("model", "task", "s", *FACTORS))  # read three times
+    groups = materialize(j.select("model", "task").distinct().withColumn("g", F.monotonically_increasing_id()))
+    at = groups.select(F.col("model").alias("_m"), F.col("task").alias("_t"), "g")
+    wide = j.join(at, F.col("model").eqNullSafe(F.col("_m")) & F.col("task").eqNullSafe(F.col("_t")))
+    runs = _rank_sums(_value_counts(wide).orderBy("g", "x"))
+    every, before = Window.partitionBy("g"), Window.partitionBy("g").orderBy("part", "at").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"), F.sum("n").over(every).alias("all"), F.sum("pos").over(every).alias("hits"))
     # success is 0/1, so its average ranks follow from the counts alone; ranks are taken from their mean
-    mean = (F.col("n") + 1) / 2
-    rank, hit, miss = F.col("_upto") - (F.col("k") - 1) / 2 - mean, F.col("n") - (F.col("pos") - 1) / 2 - mean, (F.col("n") - F.col("pos") + 1) / 2 - mean
-    g = r.join(total, key).groupBy(*key).agg(F.max("n").alias("n"), F.max("pos").alias("pos"), F.sum(F.col("k") * rank * rank).alias("xx"), F.sum(rank * (F.col("hits") * hit + (F.col("k") - F.col("hits")) * miss)).alias("xs"))
-    ss = F.col("pos") * hit * hit + (F.col("n") - F.col("pos")) * miss * miss
-    flat = (F.col("xx") == 0) | (F.col("pos") == 0) | (F.col("pos") == F.col("n"))
+    mean = (F.col("all") + 1) / 2
+    off, hit, miss = F.col("off") - mean, F.col("all") - (F.col("hits") - 1) / 2 - mean, (F.col("all") - F.col("hits") + 1) / 2 - mean
+    xs = hit * (F.col("hr") + off * F.col("pos")) + miss * (F.col("r") - F.col("hr") + off * (F.col("n") - F.col("pos")))
+    c = runs.groupBy("g").agg(F.max("all").alias("n"), F.max("hits").alias("pos"), F.sum("distinct").alias("distinct"), F.max(hit).alias("hit"), F.max(miss).alias("miss"),
+                              F.sum(F.col("rr") + 2 * off * F.col("r") + off * off * F.col("n")).alias("xx"), F.sum(xs).alias("xs"))
+    ss = F.col("pos") * F.col("hit") * F.col("hit") + (F.col("n") - F.col("pos")) * F.col("miss") * F.col("miss")
+    # equal values lie in one part, so none is counted twice
+    flat = (F.col("distinct") == 1) | (F.col("pos") == 0) | (F.col("pos") == F.col("n"))
     rho = F.when((F.col("n") < min_n) | flat, 0.0).otherwise(F.try_divide("xs", F.sqrt(F.col("xx") * ss)))
-    return g.select(*key, "n", rho.alias("rho"))
+    name = F.element_at(F.array(*[F.lit(f) for f in FACTORS]), (F.col("g") % len(FACTORS) + 1).cast("int"))
+    c = c.select(F.expr(f"g div {len(FACTORS)}").alias("_g"), name.alias("factor"), "n", rho.alias("rho"))
+    return c.join(groups, F.col("_g") == F.col("g")).select("model", "task", "factor", "n", "rho")
 
 
 def inferred_success(episodes: DataFrame, observed: DataFrame, targets: DataFrame, metres: float, degrees: float) -> DataFrame:

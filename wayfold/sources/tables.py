@@ -6,7 +6,7 @@ four users, a scene a block of ten), so the number of groups scales as the table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.ordering import numbered, numbered_led
@@ -123,13 +123,18 @@ EPISODES_SQL = """episodes AS (SELECT 'm' || CAST(c_nationkey % 6 AS VARCHAR) AS
 _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
 
+def _pose() -> list[Column]:
+    """tx..rz of an order line."""
+    return [(F.col("l_quantity") / 10).alias("tx"), (F.col("l_extendedprice") / 10000).alias("ty"), (F.col("l_tax") * 10).alias("tz"),
+            (F.col("l_discount") * 900).alias("rx"), (F.col("l_quantity") * 7 - 170).alias("ry"), (F.col("l_tax") * 1000 - 40).alias("rz")]
+
+
 def poses(spark: SparkSession, d: str) -> DataFrame:
     """(traj_id, turn, scene_id, tx..rz): the camera poses of an order's lines in sequence."""
     li = table(spark, d, "lineitem")
     li = numbered(li, ["l_orderkey"], _LINE_ORDER, "turn", F.col("l_linenumber"))
     return li.select(F.col("l_orderkey").alias("traj_id"), "turn", F.concat(F.lit("scene"), F.floor(F.col("l_orderkey") / 50).cast("string")).alias("scene_id"),
-                     (F.col("l_quantity") / 10).alias("tx"), (F.col("l_extendedprice") / 10000).alias("ty"), (F.col("l_tax") * 10).alias("tz"),
-                     (F.col("l_discount") * 900).alias("rx"), (F.col("l_quantity") * 7 - 170).alias("ry"), (F.col("l_tax") * 1000 - 40).alias("rz"))
+                     *_pose())
 
 
 POSES_SQL = f"""poses AS (SELECT l_orderkey AS traj_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINE_ORDER)}) - 1 AS turn,
@@ -138,9 +143,9 @@ POSES_SQL = f"""poses AS (SELECT l_orderkey AS traj_id, row_number() OVER (PARTI
 
 
 def view_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """(sample_id, a_tx.., b_tx..): first and last pose of each order, by partial aggregation."""
-    pose = F.struct("tx", "ty", "tz", "rx", "ry", "rz")
-    g = poses(spark, d).groupBy(F.col("traj_id").alias("sample_id")).agg(F.min_by(pose, "turn").alias("a"), F.max_by(pose, "turn").alias("b"))
+    """(sample_id, a_tx.., b_tx..): first and last pose of each order, by partial aggregation without numbering the lines."""
+    line = F.struct(*_LINE_ORDER, *_pose())
+    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.min(line).alias("a"), F.max(line).alias("b"))
     return g.select("sample_id", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("tx", "ty", "tz", "rx", "ry", "rz")])
 
 
