@@ -285,3 +285,19 @@ def test_routes_bound_the_rows_of_a_bucket(spark, monkeypatch):
     assert len(set(windows.routes(np.arange(-500, 500), 257).tolist())) == 17
     test_windows(spark)
     test_strings(spark)
+
+
+def test_a_large_component_makes_a_row_for_each_block_outside(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 10)
+    comps = [0] * 400 + [1] * 4 + [2, 3, 3, 4]  # one bucket: 400 members in one component, eight outside
+    rows = [(7, i, c) for i, c in enumerate(comps)] + [(8, 1000 + i, i // 2) for i in range(8)]
+    m = spark.createDataFrame(rows, "key long, id long, comp long")
+    per = spark.createDataFrame([(7, 408, 400, 0), (8, 8, 2, 0)], "key long, n long, at_home long, home long")
+    got = minhash._dealt(m, per).collect()
+    assert len(got) <= 408 + 8 * 40 + 8 + 8 and minhash._blocks(per).groupBy().sum("rows").first()[0] == len(got)
+    met, groups = set(), {}
+    for r in got:
+        groups.setdefault((r.key, min(r.block, r.other), max(r.block, r.other)), []).append(r)
+    for (_, i, j), members in groups.items():
+        met |= {(min(x.id, y.id), max(x.id, y.id)) for x in members if x.block == i for y in members if y.block == j and x.comp != y.comp}
+    assert met == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]}

@@ -154,12 +154,31 @@ def _first_key(many: np.ndarray, one: np.ndarray) -> np.ndarray:
     return chunk * WIDTH + differ[np.arange(len(many)), chunk].argmax(1)
 
 
+def _blocks(per: DataFrame) -> DataFrame:
+    """``per`` with how many blocks a bucket has outside its largest component (``out``) and in it (``ins``), and the rows they make."""
+    wide = F.col("n") > BLOCK
+    b = per.withColumn("out", F.ceil(F.when(wide, F.col("n") - F.col("at_home")).otherwise(F.col("n")) / BLOCK).cast("int"))
+    b = b.withColumn("ins", F.when(wide, F.ceil(F.col("at_home") / BLOCK)).otherwise(0).cast("int"))
+    return b.withColumn("rows", F.when(wide, F.col("at_home") * F.col("out") + (F.col("n") - F.col("at_home")) * (F.col("out") + F.col("ins"))).otherwise(F.col("n")))
+
+
+def _dealt(m: DataFrame, per: DataFrame) -> DataFrame:
+    """(key, id, comp, block, other): every member with its block, once for each block that this one meets."""
+    o = m.join(_blocks(per).select("key", "home", "out", "ins"), "key")
+    inside = (F.col("ins") > 0) & (F.col("comp") == F.col("home"))
+    at = F.xxhash64("id")
+    o = o.withColumn("block", F.when(inside, F.col("out") + F.pmod(at, F.col("ins"))).otherwise(F.pmod(at, F.col("out"))).cast("int"))
+    last = F.col("out") + F.when(inside, 0).otherwise(F.col("ins")) - 1
+    return o.select("key", "id", "comp", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+
+
 def _across(m: DataFrame, per: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one bucket but different components that may be similar enough.
 
-    Buckets are cut into blocks of about ``BLOCK`` members and every two blocks meet in one task,
-    where signatures and class counts are compared as arrays.  The class counts bound the common
-    shingles from above, so what they rule out is no link.
+    Buckets are cut into blocks of about ``BLOCK`` members and two blocks meet in one task, where
+    signatures and class counts are compared as arrays.  In wide buckets the largest component has
+    blocks of its own, which meet the others only: its members make one row for each block outside.
+    The class counts bound the common shingles from above, so what they rule out is no link.
     """
 
     def run(key, t):
@@ -180,9 +199,7 @@ def _across(m: DataFrame, per: DataFrame, about: DataFrame, percent: int) -> Dat
         a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    o = m.join(per.select("key", F.col("n").alias("members")), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    o = o.join(about, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    o = _dealt(m, per).join(about, "id")
     o = o.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "sig", "classes")
     return o.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
@@ -208,6 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(keys.join(shared, "key").select("key", "id"))
     comp = materialize(members.select("id").distinct().withColumn("comp", F.col("id")))
     sets = materialize(_shingles(docs, id_col, text_col, comp.select("id"), size))
+    reps = materialize(reps.join(comp, "id", "left_semi"))
     links, tested = [], []
 
     def confirmed(pairs, last=False):
@@ -216,28 +234,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
         pairs = materialize(_close(pairs, reps))
         tested.append(pairs)
-        full = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+        few = broadcast_if_small(pairs, pairs.count())
+        ends = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        named = sets.join(broadcast_if_small(ends, ends.count()), "id", "left_semi")
+        full = few.join(named.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(named.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
         both = F.size(F.array_intersect("sa", "sb"))
         links.append(materialize(full.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")))
         return links[-1]
 
-    for t in range(PIVOT_ROUNDS + 1):
+    t, before = 0, None
+    while True:
         m = materialize(members.join(comp, "id"))
         of = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct(F.xxhash64("id", F.lit(t)).alias("r"), "id")).alias("pick"))
         most = F.max(F.struct("c", "pick", "comp"))
         per = of.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), most.alias("home"))
-        per = materialize(per.filter("n * n > q").select("key", "n", "q", F.col("home.pick.id").alias("pivot"), F.col("home.comp").alias("home")))
-        left = per.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("x"), F.sum("n").alias("n")).first()
+        per = materialize(per.filter("n * n > q").select("key", "n", "q", F.col("home.c").alias("at_home"), F.col("home.pick.id").alias("pivot"), F.col("home.comp").alias("home")))
+        left = _blocks(per).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("x"), F.sum("n").alias("n"),
+                                *[F.coalesce(F.sum(F.when(F.col("n") > BLOCK, F.col(c))), F.lit(0)).alias(f"wide_{c}") for c in ("n", "rows")]).first()
         if not left["x"]:
             break
-        if left["x"] <= left["n"] or t == PIVOT_ROUNDS:
+        # wide buckets go on while that saves a quarter of the rows that their blocks would make
+        enough = left["wide_rows"] <= 2 * left["wide_n"] or (before is not None and 4 * left["wide_rows"] > 3 * before)
+        if left["x"] <= left["n"] or t >= PIVOT_ROUNDS and enough:
             confirmed(_across(m, per, reps.join(sets.select("id", "classes"), "id"), percent), last=True)
             break
-        new = confirmed(m.join(per.select("key", "pivot", "home"), "key").filter("comp <> home").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+        before = left["wide_rows"] if t >= PIVOT_ROUNDS else None
+        wide = per if t < PIVOT_ROUNDS else per.filter(F.col("n") > BLOCK)
+        new = confirmed(m.join(wide.select("key", "pivot", "home"), "key").filter("comp <> home").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
         # equal labels are surely linked; labels that stay apart for now only cost another look
         met = new.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").select("ca", "cb")
-        low = met.select("ca", "cb").union(met.select("cb", "ca")).groupBy("ca").agg(F.min("cb").alias("low"))
+        low = materialize(met.select("ca", "cb").union(met.select("cb", "ca")).groupBy("ca").agg(F.min("cb").alias("low")).withColumn("low", F.least("ca", "low")))
+        # a second step, so that what met one pivot gets one label
+        low = low.join(low.select(F.col("ca").alias("low"), F.col("low").alias("lower")), "low", "left").select("ca", F.coalesce("lower", "low").alias("low"))
         comp = materialize(comp.join(low, comp["comp"] == low["ca"], "left").select("id", F.least("comp", F.coalesce("low", "comp")).alias("comp")))
+        t += 1
     comp = None
     if links:
         comp = components(reduce(DataFrame.unionByName, links)).select("id", "component")
