@@ -115,3 +115,28 @@ def test_pairs_of_a_hot_segment_grow_with_its_lines(spark):
         return op.candidates(d, op.materialize(firsts))[0].count()
 
     assert pairs(1000) <= 15 * max(pairs(100), 100)
+
+
+def test_keys_without_a_second_line_are_not_written(spark, monkeypatch):
+    written = []
+
+    def counted(df, write=op.materialize):
+        r = write(df)
+        written.append(r.count())
+        return r
+
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)), i) for i in range(300)]
+    d = spark.createDataFrame(rows, "id long, text string, row long").repartition(5)
+    firsts = op.materialize(op.occurrences(d).select("h", "id", "row", "pos"))
+    monkeypatch.setattr(op, "materialize", counted)
+    pairs, gone = op.candidates(d, firsts)
+    assert pairs.count() == 0 and gone is None and max(written) == 0
+
+
+def test_places_that_grow_with_the_texts_are_not_broadcast(spark):
+    df = spark.createDataFrame([(i, f"a line of the text {i}\nthe same") for i in range(50)], "doc_id long, text string")
+    r = op.dedup_lines(df)
+    assert sum(x["n_removed"] for x in r.collect()) >= 49
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin [id" not in plan

@@ -81,8 +81,8 @@ def _sketch(seg: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return (a[ends] ^ a[starts]) | (b[ends - 1] ^ b[starts])
 
 
-def _keys(docs: DataFrame, probe: bool) -> DataFrame:
-    """(key, h, s): index keys, or the substrings to look up, of the lines of ``LEAST_BYTES`` and more.
+def _keys(docs: DataFrame) -> DataFrame:
+    """(key, h, s, own): index keys (``own``) and the substrings to look up, of the lines of ``LEAST_BYTES`` and more.
 
     A line's own index keys are not among what it looks up: lines of one length with an equal
     segment in place meet in the index itself.
@@ -96,7 +96,7 @@ def _keys(docs: DataFrame, probe: bool) -> DataFrame:
         _, one = np.unique(h, return_index=True)
         starts, length, ends, h = starts[one], length[one], ends[one], h[one]
         s = _sketch(data, starts, ends)
-        keys, who = [], []
+        keys, who, index = [], [], 0
 
         def add(l, i, at, size, ok):
             a = starts + at
@@ -105,10 +105,10 @@ def _keys(docs: DataFrame, probe: bool) -> DataFrame:
             who.append(np.flatnonzero(ok))
 
         for i in range(TAU + 1):
-            if not probe:
-                at, size = _segments(length, i)
-                add(length, i, at, size, np.ones(len(h), bool))
-                continue
+            at, size = _segments(length, i)
+            add(length, i, at, size, np.ones(len(h), bool))
+            index += len(h)
+        for i in range(TAU + 1):
             for d in range(TAU + 1):
                 l = length - d
                 at, size = _segments(l, i)
@@ -116,7 +116,7 @@ def _keys(docs: DataFrame, probe: bool) -> DataFrame:
                     if d or shift:
                         add(l, i, at + shift, size, (l >= LEAST_BYTES) & (at + shift >= 0) & (at + shift + size <= length))
         who = np.concatenate(who)
-        return [pa.array(x.view(np.int64)) for x in (np.concatenate(keys), h[who], s[who])]
+        return [*[pa.array(x.view(np.int64)) for x in (np.concatenate(keys), h[who], s[who])], pa.array(np.arange(len(who)) < index)]
 
     def run(batches):
         for b in batches:
@@ -128,10 +128,10 @@ def _keys(docs: DataFrame, probe: bool) -> DataFrame:
             while i < len(starts):
                 lo = starts[i]
                 j = max(int(np.searchsorted(ends, lo + BLOCK, "right")), i + 1)
-                yield pa.RecordBatch.from_arrays(block(data[lo: ends[j - 1]], starts[i:j] - lo, ends[i:j] - lo), ["key", "h", "s"])
+                yield pa.RecordBatch.from_arrays(block(data[lo: ends[j - 1]], starts[i:j] - lo, ends[i:j] - lo), ["key", "h", "s", "own"])
                 i = j
 
-    return docs.select("text").mapInArrow(run, "key long, h long, s long")
+    return docs.select("text").mapInArrow(run, "key long, h long, s long, own boolean")
 
 
 def within(a: bytes, b: bytes, most: int) -> bool:
@@ -204,8 +204,8 @@ def _close(s, t):
     return (F.bit_count(off.bitwiseAND(F.lit((1 << 32) - 1))) <= 2 * TAU) & (F.bit_count(F.shiftrightunsigned(off, 32)) <= 4 * TAU)
 
 
-def _later(pairs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(h): the later line of every pair (x, y) within ``TAU`` edits; ``lines`` has (h, line)."""
+def _later(pairs: DataFrame, lines: DataFrame, places: DataFrame) -> DataFrame:
+    """(h): the later line of every pair (x, y) within ``TAU`` edits; ``lines`` has (h, line), ``places`` where each starts first."""
 
     def run(batches):
         for b in batches:
@@ -215,22 +215,28 @@ def _later(pairs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
     both = pairs.join(lines.select(F.col("h").alias("x"), F.col("line").alias("lx")), "x").join(lines.select(F.col("h").alias("y"), F.col("line").alias("ly")), "y")
     links = both.select("x", "y", "lx", "ly").mapInArrow(run, "x long, y long")
     at = F.struct("id", "row", "pos")
-    x, y = firsts.select(F.col("h").alias("x"), at.alias("fx")), firsts.select(F.col("h").alias("y"), at.alias("fy"))
+    x, y = places.select(F.col("h").alias("x"), at.alias("fx")), places.select(F.col("h").alias("y"), at.alias("fy"))
     return links.join(x, "x").join(y, "y").select(F.when(F.col("fx") < F.col("fy"), F.col("y")).otherwise(F.col("x")).alias("h")).distinct()
 
 
-def _lines_of(docs: DataFrame, hashes_: DataFrame, firsts: DataFrame) -> DataFrame:
-    return materialize(_texts(docs, hashes_.join(firsts, "h").select("id", "row", "pos")).dropDuplicates(["h"]))
+def _places(names: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of ``firsts`` of the lines in ``names`` (h); few names don't make all lines move."""
+    names = materialize(names.distinct())
+    return materialize(firsts.join(broadcast_if_small(names, names.count()), "h", "left_semi"))
+
+
+def _lines_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+    return materialize(_texts(docs, places.select("id", "row", "pos")).dropDuplicates(["h"]))
 
 
-def _settled(docs: DataFrame, members: DataFrame, firsts: DataFrame) -> DataFrame:
+def _settled(docs: DataFrame, members: DataFrame, places: DataFrame) -> DataFrame:
     """(h): lines of hot keys near a line that starts earlier, as far as pivots tell.
 
     Each round takes the earliest index line of every key that is neither settled nor taken yet
     and compares it with all lines of the key.  Rounds end when one leaves over three quarters of
     the index lines unsettled, so their number is logarithmic.
     """
-    lines = _lines_of(docs, members.select("h").distinct(), firsts)
+    lines = _lines_of(docs, places)
     own = members.filter("own")
     gone = used = None
     before = own.count()
@@ -238,7 +244,7 @@ def _settled(docs: DataFrame, members: DataFrame, firsts: DataFrame) -> DataFram
         left = own if gone is None else own.join(gone, "h", "left_anti").join(used, ["key", "h"], "left_anti")
         pivots = materialize(left.groupBy("key").agg(F.min(F.struct("first", "h", "s")).alias("p")).select("key", F.col("p.h").alias("x"), F.col("p.s").alias("sx")))
         pairs = members.join(pivots, "key").filter((F.col("h") != F.col("x")) & _close(F.col("s"), F.col("sx"))).select("x", F.col("h").alias("y")).distinct()
-        found = _later(materialize(pairs), lines, firsts)
+        found = _later(materialize(pairs), lines, places)
         gone = materialize(found if gone is None else gone.union(found).distinct())
         taken = pivots.select("key", F.col("x").alias("h"))
         used = materialize(taken if used is None else used.union(taken))
@@ -255,8 +261,11 @@ def candidates(docs: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame
     lines first, and only pairs whose later line is unsettled are made; so a family of near lines
     makes rows in proportion to its size.
     """
-    index = materialize(_keys(docs, False).repartition("key").dropDuplicates(["key", "h"]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))))
-    probe = _keys(docs, True).repartition("key").dropDuplicates(["key", "h"]).withColumnsRenamed({"h": "y", "s": "sy"})
+    of = Window.partitionBy("key")
+    shared = _keys(docs).repartition("key").withColumn("owned", F.max("own").over(of)).withColumn("low", F.min("h").over(of)).withColumn("high", F.max("h").over(of))
+    shared = materialize(shared.filter("owned AND low <> high").select("key", "h", "s", "own"))  # a key of one line makes no pair
+    index = materialize(shared.filter("own").select("key", "h", "s").dropDuplicates(["key", "h"]).withColumn("n", F.count(F.lit(1)).over(of)))
+    probe = shared.filter("NOT own").dropDuplicates(["key", "h"]).select("key", F.col("h").alias("y"), F.col("s").alias("sy"))
     differ = (F.col("x") != F.col("y")) & _close(F.col("sx"), F.col("sy"))
     pair = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
     cold, hot = index.filter(F.col("n") <= HOT), index.filter(F.col("n") > HOT)
@@ -268,10 +277,11 @@ def candidates(docs: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame
     pairs = met.filter("x IS NOT NULL").select(*pair).union(same.select("x", "y"))
     if hot.isEmpty():
         return materialize(pairs.distinct()), None
-    at = firsts.select("h", F.struct("id", "row", "pos").alias("first"))
     members = hot.select("key", "h", "s", F.lit(True).alias("own")).union(met.filter("x IS NULL").select("key", "y", "sy", F.lit(False))).groupBy("key", "h").agg(F.first("s").alias("s"), F.max("own").alias("own"))
+    places = _places(members.select("h"), firsts)
+    at = places.select("h", F.struct("id", "row", "pos").alias("first"))
     members = materialize(members.join(at, "h").select("key", "h", "s", "first", "own"))
-    gone = _settled(docs, members, firsts)
+    gone = _settled(docs, members, places)
     left = materialize(members.join(gone, "h", "left_anti"))
     x, y = [lambda d, c=c: d.select("key", F.col("h").alias(c), F.col("s").alias("s" + c), F.col("first").alias("f" + c)) for c in "xy"]
     late_x = x(left.filter("own")).join(y(members), "key").filter(differ & (F.col("fx") > F.col("fy")))
@@ -282,8 +292,8 @@ def candidates(docs: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h): lines within ``TAU`` edits of a different line that starts earlier; ``firsts`` has (h, id, row, pos) of every line."""
     pairs, gone = candidates(docs, firsts)
-    lines = _lines_of(docs, pairs.select(F.col("x").alias("h")).union(pairs.select("y")).distinct(), firsts)
-    later = _later(pairs, lines, firsts)
+    places = _places(pairs.select(F.col("x").alias("h")).union(pairs.select("y")), firsts)
+    later = _later(pairs, _lines_of(docs, places), places)
     return materialize(later if gone is None else later.union(gone).distinct())
 
 
@@ -298,10 +308,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ready(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL").withColumn("row", F.xxhash64("text"))
     seen = materialize(occurrences(d))
-    low = seen.groupBy("h", "g").agg(F.min(F.struct("id", "row")).alias("first")).select("h", "g", "first.id", "first.row")
-    firsts = materialize(seen.join(low, ["h", "g", "id", "row"]).groupBy("h", "g", "id", "row").agg(F.min("pos").alias("pos")))
+    firsts = materialize(seen.groupBy("h", "g").agg(F.min(F.struct("id", "row", "pos")).alias("first")).select("h", "g", "first.*"))
     later = near_lines(d, firsts.select("h", "id", "row", "pos"))
-    stay = firsts.join(later, "h", "left_anti").groupBy("id", F.col("row").alias("key")).agg(F.collect_list("pos").alias("stay"))
+    stay = firsts.join(broadcast_if_small(later, later.count()), "h", "left_anti").groupBy("id", F.col("row").alias("key")).agg(F.collect_list("pos").alias("stay"))
+    stay = stay.hint("shuffle_hash")  # it grows with the texts, so no size of it is broadcast
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     full = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text")).join(stay, ["id", "key"], "left")
 
