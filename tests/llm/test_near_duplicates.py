@@ -301,3 +301,21 @@ def test_a_large_component_makes_a_row_for_each_block_outside(spark, monkeypatch
     for (_, i, j), members in groups.items():
         met |= {(min(x.id, y.id), max(x.id, y.id)) for x in members if x.block == i for y in members if y.block == j and x.comp != y.comp}
     assert met == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]}
+
+
+def test_shingle_sets_are_not_broadcast(spark, monkeypatch):
+    """Sets grow with the texts: a pair's second set comes by a shuffle at every size."""
+    plans = []
+
+    def noted(df, write=minhash.materialize):
+        if df.columns == ["a", "b"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(minhash, "materialize", noted)
+    words = [f"word{k}" for k in range(60)]
+    rows = [(i, " ".join([*words, f"own{i}"])) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["component_id"] for r in minhash.near_duplicates(df, size=2).collect()} == {0}
+    confirming = [p for p in plans if "array_intersect" in p]
+    assert confirming and all("ShuffledHashJoin [a" in p for p in confirming)

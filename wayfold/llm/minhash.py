@@ -237,7 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         few = broadcast_if_small(pairs, pairs.count())
         ends = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         named = sets.join(broadcast_if_small(ends, ends.count()), "id", "left_semi")
-        full = few.join(named.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(named.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+        full = few.join(named.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        full = full.join(named.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("shuffle_hash"), "a")  # sets grow with the texts: never broadcast
         both = F.size(F.array_intersect("sa", "sb"))
         links.append(materialize(full.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")))
         return links[-1]
