@@ -40,3 +40,28 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
+
+
+def matches_sql(spark, name, tables):
+    """Whether a query gives the rows of its SQL over frames in a folder ``{table: path}``."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t, path in tables.items():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/*.parquet'")
+    df = entry.queries()[name](spark, os.path.dirname(next(iter(tables.values()))))
+    rel = con.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in rel.description]
+    got = sorted(tuple(norm(r[c]) for c in names) for r in df.collect())
+    return got == sorted(tuple(map(norm, r)) for r in rel.fetchall())
+
+
+@pytest.fixture
+def odd_documents(spark, tmp_path):
+    rows = [(1, "some\nwords", "en", "web", 10), (2, "", "de", "web", 0), (3, "words", "fr", "web", 0), (4, "a \U0001f600", "", "web", None)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    return {"documents": path}
+
+
+def test_custom_scorer_of_empty_texts(spark, odd_documents):
+    assert matches_sql(spark, "custom_scorer", odd_documents)

@@ -167,4 +167,7 @@ def _(spark, d):
 
 
 def _fullness(text: str, n: str):
-    return F.length(text) / F.col(n)
+    """Characters held of those counted; a count of zero divides as doubles do, to infinity or NaN, like the SQL."""
+    size, n = F.length(text), F.col(n)
+    by_zero = F.when(size > 0, float("inf")).when(size == 0, float("nan"))
+    return F.when(n == 0, by_zero).otherwise(size / n)
