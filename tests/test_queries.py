@@ -65,3 +65,7 @@ def odd_documents(spark, tmp_path):
 
 def test_custom_scorer_of_empty_texts(spark, odd_documents):
     assert matches_sql(spark, "custom_scorer", odd_documents)
+
+
+def test_media_segments_of_empty_texts(spark, odd_documents):
+    assert matches_sql(spark, "media_segments", odd_documents)

@@ -176,3 +176,11 @@ def test_few_shot_messages(spark):
         assert r.id == 8 or text[0].startswith(f"The following are multiple choice questions (with answers) about {r.subject}.\n\nq")
         assert [m.role for m in r.messages] == ["user", "assistant"] * (len(text) // 2)
         assert r.id == 8 or (text[-2].endswith(f"q{r.id}" + ("\nA. w" if r.id == 7 else "\nA. w\nC. y") + "\nAnswer:") and sum(f"q{r.id}\n" in x for x in text) == 1)
+
+
+def test_media_segments(spark):
+    df = spark.createDataFrame([(1, "a<b\n<image><image>x<video>"), (2, ""), (3, None)], "k long, c string")
+    def parts(**options):
+        return [(r.k, r.pos, r.type, r.value) for r in p.media_segments(df, "k", "c", **options).orderBy("k", "pos").collect()]
+    assert parts() == [(1, 0, "text", "a<b\n"), (1, 1, "image", None), (1, 2, "image", None), (1, 3, "text", "x"), (1, 4, "video", None)]
+    assert parts(keep_empty=True) == [(1, 0, "text", "a<b\n"), (1, 1, "image", None), (1, 2, "text", ""), (1, 3, "image", None), (1, 4, "text", "x"), (1, 5, "video", None), (1, 6, "text", "")]

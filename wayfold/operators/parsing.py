@@ -117,9 +117,18 @@ def action_tokens(rows: DataFrame, blob: str) -> DataFrame:
     return r.withColumn("answer", F.when(single, F.get("args", F.lit(0)))).drop("_t")
 
 
-def media_segments(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Content cut at image and video placeholders into typed parts, in order."""
-    parts = F.regexp_extract_all(F.col(text), F.lit(r"(?s)<image>|<video>|(?:(?!<image>|<video>).)+"), F.lit(0))
+def media_segments(rows: DataFrame, key: str, text: str, keep_empty: bool = False) -> DataFrame:
+    """Content cut at image and video placeholders into typed parts, in order.
+
+    Empty texts are no parts; with ``keep_empty`` each placeholder is followed by its text, empty or not.
+    """
+    mark, plain = "(?:<image>|<video>)", "(?:[^<]++|<(?!image>|video>))"
+    if keep_empty:
+        units = F.regexp_extract_all(F.col(text), F.lit(f"{mark}{plain}*+|{plain}++"), F.lit(0))
+        split = F.transform(units, lambda u: F.when(u.rlike(f"^{mark}"), F.array(u.substr(1, 7), F.substring(u, 8, 2**31 - 1))).otherwise(F.array(u)))
+        parts = F.flatten(split)
+    else:
+        parts = F.regexp_extract_all(F.col(text), F.lit(f"{mark}|{plain}++"), F.lit(0))
     p = rows.select(key, F.posexplode(parts).alias("pos", "part"))
     kind = F.when(F.col("part") == "<image>", "image").when(F.col("part") == "<video>", "video").otherwise("text")
     return p.select(key, F.col("pos").cast("long").alias("pos"), kind.alias("type"), F.when(kind == "text", F.col("part")).alias("value"))
