@@ -69,3 +69,20 @@ def test_unreachable_recall_is_an_error(spark, monkeypatch):
     df = spark.createDataFrame([(i, v, q, "n", 1) for i, v, q in table(3, 40)], SCHEMA)
     with pytest.raises(RuntimeError):
         neighbours.nearest_neighbours(df, F.col("id") % 5 == 0, least_recall=1.1)
+
+
+def test_a_block_meets_a_node_once(spark, monkeypatch):
+    """Over all rounds a vector is sent to a block of queries once at most, never again to each query."""
+    sent, scored = [], neighbours._scored
+
+    def seen(pairs, *more):
+        sent.extend(map(tuple, pairs.collect()))
+        return scored(pairs, *more)
+
+    monkeypatch.setattr(neighbours, "_scored", seen)
+    monkeypatch.setattr(neighbours, "EXPANDED", 4)
+    monkeypatch.setattr(neighbours, "LEAST", 8)
+    df = spark.createDataFrame([(i, v, q, "n", 1) for i, v, q in table(4, 600)], SCHEMA)
+    got = neighbours.nearest_neighbours(df, F.col("id") % 5 == 0)
+    assert got.select("query_id").distinct().count() == 120
+    assert len({b for b, _ in sent}) > 1 and len(sent) == len(set(sent))

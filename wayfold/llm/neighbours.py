@@ -5,7 +5,9 @@ length one by a further component, so that a larger inner product with a query m
 The graph starts from nodes side by side in a few random sign orders.  Rounds join each node's
 neighbours with each other, pairs with a new neighbour only, and every list keeps its nearest, until
 hardly any list changes.  Queries, all at once, hold the best nodes met; each round they expand the
-best of these that are not expanded yet and look at all their neighbours, until none is left.
+best of these that are not expanded yet and look at all their neighbours, until none is left.  Queries
+that lie close together form a block and share what they meet, so a vector is sent and a list followed
+once a block and not once a query.
 
 A bounded sample of queries is compared with all nodes.  While its recall is too low, the search goes
 on with a wider beam, every other time on a graph refined with longer lists.  Graph and search use half
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.functions.ordering import ranked
 from wayfold.llm.arrays import broadcast_if_small, ready
 from wayfold.llm.vectors import dimension, gathered, matrix, narrowed, one_an_id, packed, unpacked
 from wayfold.session import materialize
@@ -34,6 +37,8 @@ ORDERS, CHUNK, SIDE = 6, 256, 8
 #: Rounds end when fewer than this share of all list entries is new.
 STILL = 0.05
 BEAM, EXPANDED, ENTRIES = 96, 48, 64
+#: Blocks that the queries are dealt into, while one has no fewer queries than ``LEAST`` and no more than ``MOST``.
+BLOCKS, LEAST, MOST = 16, 64, 1024
 AUDITED, RECALL = 128, 0.95
 #: Attempts in a row that leave the recall as it was: then there is an error, not a result.
 STALLED = 4
@@ -167,42 +172,89 @@ def _adjacent(graph: DataFrame) -> DataFrame:
     return materialize(graph.select(F.col("u").alias("node"), F.col("v").alias("next")).union(back.select("v", "u")).distinct())
 
 
-def _scored(pairs: DataFrame, queries: DataFrame, nodes: DataFrame, d: int) -> DataFrame:
-    """(query, node, s) of the pairs that may enter what the query holds."""
+def _blocks(queries: DataFrame, d: int) -> DataFrame:
+    """(block, query, qa, node): queries side by side in a sign order share a block."""
+    most = min(max(queries.count() // BLOCKS, LEAST), MOST)
 
-    def run(batches):
+    def signs(batches):
+        plane = np.random.default_rng(d).standard_normal((d + 1, 16)).astype(np.float32)
         for b in batches:
-            s = np.einsum("ij,ij->i", *(unpacked(b.column(k), np.float16, d + 1).astype(np.float32) for k in (3, 4)))
-            keep = pa.array(s >= b.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(s).filter(keep)], ["query", "node", "s"])
+            key = (unpacked(b.column(1), np.float16, d + 1).astype(np.float32) @ plane > 0) @ (1 << np.arange(16)[::-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key.astype(np.int64))], ["query", "qa", "node", "key"])
+
+    keyed = queries.select("query", "qa", "node").mapInArrow(signs, "query long, qa binary, node long, key long")
+    place = ranked(keyed, [], ["key", "query"], "rank")
+    return materialize(place.select(F.floor((F.col("rank") - 1) / most).alias("block"), "query", "qa", "node"))
+
 
-    full = pairs.join(nodes.select("node", "a"), "node").join(queries, "query")
-    return full.select("query", "node", "bar", "a", "qa").mapInArrow(run, "query long, node long, s float")
+def _scored(met: DataFrame, blocks: DataFrame, nodes: DataFrame, d: int, beam: int) -> DataFrame:
+    """(block, query, node, s): the ``beam`` best for each query among the nodes its block has ``met``.
 
+    A block's queries come first and stay in memory; its nodes stream past, so a vector is sent once a block.
+    """
+    full = met.join(nodes.select("node", "a"), "node").select("block", F.lit(1).alias("kind"), F.col("node").alias("id"), "a")
+    rows = blocks.select("block", F.lit(0).alias("kind"), F.col("query").alias("id"), F.col("qa").alias("a")).unionByName(full)
+    rows = rows.repartition("block").sortWithinPartitions("block", "kind", "id").select("block", "kind", "id", "a")
+
+    def run(batches):
+        now, q, qa, s, n = None, None, None, None, None
 
-def greedy(queries: DataFrame, adjacent: DataFrame, nodes: DataFrame, d: int, beam: int, held: DataFrame | None) -> DataFrame:
-    """(query, node): the ``beam`` best nodes that each query (query, qa, node) meets on its way through the graph.
+        def best():
+            i, j = np.nonzero(s > -2.5)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), now)), pa.array(q[i]), pa.array(n[i, j]), pa.array(s[i, j])], ["block", "query", "node", "s"])
 
-    A query enters at what it ``held`` before, or else at its own ``node``, if it has one, and at the
-    nodes of a bounded set of entries.
+        for b in batches:
+            block, kind, ids = (b.column(k).to_numpy() for k in range(3))
+            a = unpacked(b.column(3), np.float16, d + 1).astype(np.float32)
+            for part in np.split(np.arange(len(block)), np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1):
+                if not len(part):
+                    continue
+                if block[part[0]] != now:
+                    if now is not None:
+                        yield best()
+                    now, q, qa = block[part[0]], np.zeros(0, np.int64), np.zeros((0, d + 1), np.float32)
+                if kind[part[0]] == 0:
+                    q, qa = np.append(q, ids[part]), np.concatenate([qa, a[part]])
+                    s, n = np.full((len(q), beam), -3, np.float32), np.full((len(q), beam), -1, np.int64)
+                    continue
+                for t in np.split(part, range(CHUNK * 8, len(part), CHUNK * 8)):
+                    s = np.concatenate([s, qa @ a[t].T], 1)
+                    n = np.concatenate([n, np.broadcast_to(ids[t], (len(q), len(t)))], 1)
+                    top = np.argpartition(-s, beam - 1, axis=1)[:, :beam]
+                    s, n = np.take_along_axis(s, top, 1), np.take_along_axis(n, top, 1)
+        if now is not None:
+            yield best()
+
+    return rows.mapInArrow(run, "block long, query long, node long, s float")
+
+
+def greedy(blocks: DataFrame, adjacent: DataFrame, nodes: DataFrame, d: int, beam: int, held: DataFrame | None) -> DataFrame:
+    """(block, query, node): the ``beam`` best nodes that each query meets on its way through the graph.
+
+    The queries of a block meet what any of them meets: a node's vector is looked at once a block, and its
+    list is followed once.  A block enters at what its queries ``held`` before, or else at their own
+    nodes, and at the nodes of a bounded set of entries.
     """
     if held is None:
         entries = nodes.select("node").orderBy(F.xxhash64("node", F.lit("entries")), "node").limit(ENTRIES)
         of = [r["node"] for r in entries.collect()]  # ENTRIES ids
-        held = queries.select("query", F.explode(F.array_distinct(F.array("node", *map(F.lit, of)))).alias("node")).filter("node IS NOT NULL")
-    new = _scored(held, queries.select("query", "qa", F.lit(-2.0).cast("float").alias("bar")), nodes, d).withColumn("done", F.lit(False))
+        held = blocks.select("block", F.explode(F.array_distinct(F.array("node", *map(F.lit, of)))).alias("node")).filter("node IS NOT NULL")
+    met = materialize(held.select("block", "node").distinct())
     best = Window.partitionBy("query").orderBy(F.desc("s"), "node")
-    open_ = Window.partitionBy("query").orderBy("done", F.desc("s"), "node")
+    now, seen, followed = None, met, None
     while True:
-        now = new.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam)
-        now = materialize(now.withColumn("go", ~F.col("done") & (F.row_number().over(open_) <= EXPANDED)))
-        if not now.filter("go").take(1):
-            return now.select("query", "node")
-        bar = now.groupBy("query").agg(F.when(F.count(F.lit(1)) >= beam, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("bar"))
-        pairs = now.filter("go").select("query", "node").join(adjacent, "node").select("query", F.col("next").alias("node")).distinct()
-        new = _scored(pairs, queries.select("query", "qa").join(bar, "query"), nodes, d).withColumn("done", F.lit(False))
-        new = now.select("query", "node", "s", (F.col("done") | F.col("go")).alias("done")).unionByName(new)
-        new = new.groupBy("query", "node").agg(F.max("s").alias("s"), F.max("done").alias("done"))
+        new = _scored(met, blocks, nodes, d, beam)
+        now = new if now is None else now.unionByName(new)
+        now = materialize(now.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam).drop("r"))
+        left = now if followed is None else now.join(followed, ["block", "node"], "left_anti")
+        go = left.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= EXPANDED)
+        go = materialize(go.select("block", "node").distinct())
+        if not go.take(1):
+            return now.select("block", "query", "node")
+        followed = go if followed is None else followed.unionByName(go)
+        met = go.join(adjacent, "node").select("block", F.col("next").alias("node")).distinct()
+        met = materialize(met.join(seen, ["block", "node"], "left_anti"))
+        seen = seen.unionByName(met)
 
 
 def _truth(queries: DataFrame, nodes: DataFrame, d: int, k: int) -> DataFrame:
@@ -271,6 +323,7 @@ def nearest_neighbours(df: DataFrame, query: Column, id_col: str = "vec_id", vec
             yield pa.RecordBatch.from_arrays([b.column(0), packed(a), b.column(0)], ["query", "qa", "node"])
 
     queries = materialize(nodes.join(points, "node", "left_semi").select("node", "a").mapInArrow(without_length, "query long, qa binary, node long"))
+    blocks = _blocks(queries, d)
     audited = queries.orderBy(F.xxhash64("query", F.lit("audit")), "query").limit(AUDITED)
     truth = materialize(_truth(audited, nodes, d, k))
     graph, adjacent, held, recall, attempt, most, stalled = None, None, None, -1.0, 0, LIST, 0
@@ -281,13 +334,13 @@ def nearest_neighbours(df: DataFrame, query: Column, id_col: str = "vec_id", vec
             graph = descend(nodes, d, n, graph, attempt, most)
             adjacent, most = _adjacent(graph), most + LIST // 2
         wide = max(beam, 2 * k + 1)
-        held = greedy(queries, adjacent, nodes, d, wide, held)
+        held = greedy(blocks, adjacent, nodes, d, wide, held)
         hit = truth.join(held.withColumn("hit", F.lit(1)), ["query", "node"], "left").groupBy("query").agg((F.count("hit") / F.count(F.lit(1))).alias("share"))
         now = hit.agg(F.avg("share")).first()[0]
         now = 1.0 if now is None else now
         stalled = 0 if now > recall + 0.001 else stalled + 1
         recall, attempt, beam = now, attempt + 1, 2 * wide
-    near = materialize(_exact(held, nodes, d))
+    near = materialize(_exact(held.select("query", "node"), nodes, d))
     twice = ids.join(valid.groupBy("x").count().filter("count > 1").select("x").join(nodes.select("x", "node"), "x").select("node"), "node", "left_semi")
     members = twice.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).filter(F.col("r") <= k + 1)  # no more can be among a query's k
     members = materialize(members.select("node", F.col("id").alias("vec_id")))
